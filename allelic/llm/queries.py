@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import table
+from . import bpe, lang_id, minhash_dedup, simhash, toxicity
+from .common import fold, table
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word 4-shingles, Jaccard similarity of 0.8 or more."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+
+
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +50,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.encode_digests(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op5_lang_id": op5_lang_id,
+    "op7_toxicity": op7_toxicity,
+    "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
