@@ -226,7 +226,7 @@ def _pairs(found) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links) and kept, for every row of docs."""
+    """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links), kept and first, for every row of docs."""
     threshold = percent / 100
     sk = materialize(sketches(docs, k), "sketches")
     full = sk.where("cls is not null")
@@ -241,14 +241,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not rest.isEmpty():
         more = confirmed(rest, classes, docs, k, percent)
         labels = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    reps = classes.select("cls", F.col("rep.doc_id").alias("rep_id"))
-    linked = labels.join(reps, labels["node"] == reps["cls"]).select("cls", "root", "rep_id")
-    least = linked.groupBy("root").agg(F.min("rep_id").alias("component_id"))
-    linked = linked.join(least, "root").select("cls", "component_id")
-    known = reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep_id").alias("component_id"))
-    out = ["doc_id", "text_hash", "n_shingles", "component_id"]
-    rows = full.join(known, "cls", "left").select(*out).unionAll(sk.where("cls is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    reps = classes.select("cls", "rep")
+    linked = labels.join(reps, labels["node"] == reps["cls"]).select("cls", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("first"))
+    linked = linked.join(least, "root").select("cls", "first")
+    known = reps.join(linked, "cls", "left").select("cls", F.coalesce("first", "rep").alias("first"))
+    own = F.struct("doc_id", "text_hash")
+    rows = full.join(known, "cls", "left").select("doc_id", "text_hash", "n_shingles", "first")
+    rows = rows.unionAll(sk.where("cls is null").select("doc_id", "text_hash", "n_shingles", own.alias("first")))
+    # first: whether the row is its component's first by doc_id and text hash; several equal rows can be
+    return rows.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False)).alias("kept"), own.eqNullSafe(F.col("first")).alias("first"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but one row of each group of near-duplicates. Rows with an empty set stay."""
+    rows = near_duplicates(docs, k, percent)
+    full = rows.where("n_shingles > 0")
+    gone = materialize(full.groupBy("doc_id", "text_hash").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "gone")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "first")
+    if gone.count() <= 1_000_000:  # 20 MB; beyond it, a shuffle join
+        gone = F.broadcast(gone)
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
+    stay = marked.join(gone, at, "left_anti").select(*docs.columns)
+    # firsts that occur as several equal rows
+    repeated = marked.join(gone.where("first"), at).groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return stay.unionAll(repeated.select("_row.*"))
 
 
 ship(__name__)

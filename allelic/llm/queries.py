@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, minhash_dedup, simhash, toxicity
+from . import bpe, lang_id, minhash_dedup, packing, simhash, toxicity
 from .common import fold, table
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 4-shingles, Jaccard similarity of 0.8 or more."""
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash", "first")
 
 
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are counts of words."""
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"], F.regexp_count("text", F.lit(r"\S+")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
 QUERIES = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op5_lang_id": op5_lang_id,
+    "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
