@@ -75,47 +75,91 @@ class Vocabulary:
             known = self._fits[a, b] = self.merge(a + b) == [a, b]
         return known
 
+    def automaton(self) -> None:
+        """Suffix automaton of the tokens: step[state << 8 | byte] leads to the state of the longest suffix that begins
+        a token; ends[state] has the (length, id) of the tokens that end there, the longest first."""
+        self.step: dict[int, int] = {}
+        self.ends: list[tuple] = [()]
+        parent = [(0, 0)]
+        for token, i in self.id_of.items():
+            state = 0
+            for b in token:
+                to = self.step.get(state << 8 | b)
+                if to is None:
+                    to = self.step[state << 8 | b] = len(self.ends)
+                    self.ends.append(())
+                    parent.append((state, b))
+                state = to
+            if self.whole(token):
+                self.ends[state] = ((len(token), i),)
+        self.fail = [0] * len(self.ends)
+        depth = [0] * len(self.ends)
+        for s in range(1, len(self.ends)):
+            depth[s] = depth[parent[s][0]] + 1
+        for s in sorted(range(1, len(self.ends)), key=depth.__getitem__):
+            up, b = parent[s]
+            f = 0
+            if up:
+                f = self.fail[up]
+                while f and f << 8 | b not in self.step:
+                    f = self.fail[f]
+                f = self.step.get(f << 8 | b, 0)
+            self.fail[s] = f
+            self.ends[s] += self.ends[f]
+        self._pairs: dict[int, bool] = {}
+
+    def follow(self, state: int, b: int) -> int:
+        """A step that isn't in the table: by failure links; the result is kept."""
+        f = state
+        while f and f << 8 | b not in self.step:
+            f = self.fail[f]
+        to = self.step.get(f << 8 | b, 0)
+        if len(self.step) < 4_000_000:
+            self.step[state << 8 | b] = to
+        return to
+
     def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """The encoding of each word, by a depth-first walk of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for b in word:
-                node = node.setdefault(b, {})
-            node[-1] = word
-        # last[d]: the last token of the path's first d bytes; ids[d]: their encoding
-        path = bytearray()
-        last: list[bytes] = [b""]
-        ids: list[tuple] = [()]
-        stack = [(root, iter(sorted(k for k in root if k >= 0)))]
-        while stack:
-            node, children = stack[-1]
-            b = next(children, None)
-            if b is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                    last.pop()
-                    ids.pop()
-                continue
-            path.append(b)
-            depth = len(path)
-            for size in range(min(depth, self.longest), 0, -1):
-                token = bytes(path[depth - size :])
-                if token in self.id_of and self.whole(token) and (size == depth or self.fits(last[depth - size], token)):
+        """The encoding of each distinct word. The trie is walked depth first: sorted words visit its nodes in that
+        order, and the stacks hold the states on the path to the present node, so that what a word shares with the one
+        before it isn't done again."""
+        if not hasattr(self, "step"):
+            self.automaton()
+        step, ends, pairs, known, follow = self.step.get, self.ends, self._pairs, self._pairs.get, self.follow
+        states, last, came = [0], [0], [0]  # by depth: automaton state, last token, depth at which that token begins
+        before, n = b"", 0
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
                     break
-            else:
-                raise ValueError(f"no token ends {bytes(path)!r}")
-            last.append(token)
-            ids.append((ids[depth - size], self.id_of[token]))
-            child = node[b]
-            if -1 in child:
-                out, at = [], ids[depth]
-                while at:
-                    at, i = at
-                    out.append(i)
-                yield child[-1], out[::-1]
-            stack.append((child, iter(sorted(k for k in child if k >= 0))))
+                shared += 1
+            del states[shared + 1 :], last[shared + 1 :], came[shared + 1 :]
+            state, depth = states[shared], shared
+            for b in word[shared:]:
+                depth += 1
+                to = step(state << 8 | b)
+                state = follow(state, b) if to is None else to
+                for size, token in ends[state]:
+                    at = depth - size
+                    if not at:
+                        break
+                    pair = last[at] << 20 | token
+                    fits = known(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.fits(self.bytes_of[last[at]], self.bytes_of[token])
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                states.append(state)
+                last.append(token)
+                came.append(at)
+            before, out, n = word, [], depth
+            while n:
+                out.append(last[n])
+                n = came[n]
+            out.reverse()
+            yield word, out
 
     def pieces(self, text: str, special: bool = True) -> Iterator[tuple[bool, str]]:
         """(is it a special token, piece) from left to right."""
@@ -133,38 +177,33 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, special: bool = True):
         self.v, self.special = vocabulary, special
-        self.known: dict[str, list[int]] = {}
-        self.digits: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}  # word -> ids joined by commas, bytes they decode to
+        self.digits = {i: str(i) for i in vocabulary.bytes_of}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards every piece is in self.known."""
         if len(self.known) > REMEMBER:
-            self.known, self.digits, self.raw = {}, {}, {}
+            self.known = {}
         special = self.special and self.v.at_special
-        split, out, fresh = self.v.split.findall, [], set()
+        split, known, digits, raw = self.v.split.findall, self.known, self.digits.__getitem__, self.v.bytes_of.__getitem__
+        out, fresh = [], set()
         for text in texts:
             if special and special.search(text):
                 pieces = []
                 for is_special, p in self.v.pieces(text):
                     if is_special:
-                        self.known[p] = [self.v.special[p]]
+                        known[p] = (digits(self.v.special[p]), p.encode())
                     pieces.append(p)
             else:
                 pieces = split(text)
             fresh.update(pieces)
             out.append(pieces)
-        fresh.difference_update(self.digits)
-        coded = dict(self.v.walk([p.encode() for p in fresh if p not in self.known]))
-        for p in fresh:
-            ids = self.known.get(p) or coded[p.encode()]
-            self.known[p] = ids
-            self.digits[p] = ",".join(map(str, ids))
-            self.raw[p] = b"".join(self.v.bytes_of[i] for i in ids)
+        for word, ids in self.v.walk([p.encode() for p in fresh.difference(known)]):
+            known[word.decode()] = (",".join(map(digits, ids)), b"".join(map(raw, ids)))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for p in pieces for i in self.known[p]] for pieces in self.learn(texts)]
+        return [[int(i) for p in pieces for i in self.known[p][0].split(",")] for pieces in self.learn(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.v.bytes_of[i] for i in ids if i in self.v.bytes_of).decode("utf-8", "replace")
@@ -172,8 +211,9 @@ class Coder:
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text) of each text."""
         for pieces in self.learn(texts):
-            digits = ",".join(map(self.digits.__getitem__, pieces))
-            raw = b"".join(map(self.raw.__getitem__, pieces))
+            found = list(map(self.known.__getitem__, pieces))
+            digits = ",".join([x[0] for x in found])
+            raw = b"".join([x[1] for x in found])
             try:
                 raw.decode()
             except UnicodeDecodeError:
@@ -229,7 +269,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, for every row; a narrow stage without a shuffle."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 768)  # more texts in a batch share more words
     shared = load(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
