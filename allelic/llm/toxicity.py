@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship, small_batches
+from .common import fold, materialize, ship, small_batches
 
-#: Bounds of the training sample, and of the features.
+#: Expected bounds of the training sample, and the bound of the features.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 1024
 STARTS = (3, 4, 5, 6)
 EPOCHS, BATCH, RATE, SHRINK = 30, 256, 0.03, 1e-3
@@ -70,23 +70,35 @@ def feature_sets(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "h", "text").mapInArrow(run, "kind int, h long, parts array<long>")
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list, float]:
-    """Feature sets of up to POSITIVES confirmed and UNLABELLED rows outside the held-out fold, chosen by their ids' hash,
-    and the class prior: the toxic share among the labelled rows of that fold."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, float]:
+    """Feature sets of about POSITIVES confirmed and UNLABELLED rows at most outside the held-out fold, chosen by their
+    ids' hash, and the class prior: the toxic share among the labelled rows of that fold."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, hits = known.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     if not hits:
-        return [], [], 0.0
+        return None, 0.0
     ids = docs.where(fold(F.col("doc_id")) != 0).select("doc_id", "text")
     total = ids.count()
     unit = F.xxhash64("doc_id", F.lit(17)) / F.lit(2.0**64) + 0.5
     h = F.xxhash64("doc_id", F.lit(23))
-    positive = known.where("toxic = 1").where(unit < 1.2 * POSITIVES / hits).select("doc_id")
-    # at most 1.2 * POSITIVES ids in expectation: small by the bound
+    positive = known.where("toxic = 1").where(unit < POSITIVES / hits).select("doc_id")
+    # about POSITIVES ids: small by the bound
     pos = ids.join(F.broadcast(positive), "doc_id").select(F.lit(1).alias("kind"), h.alias("h"), "text")
-    unl = ids.where(unit < 1.2 * UNLABELLED / max(1, total)).select(F.lit(0).alias("kind"), h.alias("h"), "text")
-    rows = sorted(map(tuple, feature_sets(pos.unionAll(unl)).collect()))
-    return [r[2] for r in rows if r[0] == 1][:POSITIVES], [r[2] for r in rows if r[0] == 0][:UNLABELLED], hits / n
+    unl = ids.where(unit < UNLABELLED / max(1, total)).select(F.lit(0).alias("kind"), h.alias("h"), "text")
+    return materialize(feature_sets(pos.unionAll(unl)), "parts"), hits / n
+
+
+def select_features(rows: DataFrame) -> list[int]:
+    """The parts with the largest likelihood ratio statistic among those that are commoner in the positives."""
+    n, m = rows.agg(F.coalesce(F.sum("kind"), F.lit(0)), F.coalesce(F.sum(1 - F.col("kind")), F.lit(0))).first()
+    if not n:
+        return []
+    m = max(1, m)
+    counts = rows.select("kind", F.explode("parts").alias("part")).groupBy("part").agg(F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b"))
+    rate = (F.col("a") + F.col("b")) / (n + m)
+    g = 2 * (F.col("a") * F.log(F.col("a") / n / rate) + F.col("b") * F.log(F.greatest(F.col("b"), F.lit(1e-9)) / m / rate))
+    found = counts.where((F.col("a") >= LEAST) & (F.col("a") / n > F.col("b") / m)).select("part", g.alias("g")).where(F.col("g") > STRONG)
+    return [r["part"] for r in found.orderBy(F.desc(F.round("g", 6)), "part").limit(FEATURES).collect()]
 
 
 class PULinear:
@@ -112,23 +124,6 @@ class PULinear:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def select_features(pos: list, unl: list) -> dict[int, int]:
-    """The parts with the largest likelihood ratio among those that are commoner in the positives."""
-    ids, counts = np.unique(np.concatenate([np.asarray(s, np.int64) for s in pos]), return_counts=True)
-    keep = counts >= LEAST
-    ids, a = ids[keep], counts[keep].astype(float)
-    other = np.concatenate([np.asarray(s, np.int64) for s in unl]) if unl else np.empty(0, np.int64)
-    at = np.searchsorted(ids, other)
-    at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == other)] if len(ids) else at[:0]
-    b = np.bincount(at, minlength=len(ids)).astype(float)
-    n, m = len(pos), max(1, len(unl))
-    rate = (a + b) / (n + m)
-    g = 2 * (a * np.log(a / n / rate) + b * np.log(np.maximum(b, 1e-9) / m / rate))
-    g[a / n <= b / m] = 0
-    best = np.lexsort((ids, -g))[:FEATURES]
-    return {int(ids[i]): k for k, i in enumerate(best) if g[i] > STRONG}
-
-
 def _matrix(sets: list, features: dict[int, int]) -> np.ndarray:
     x = np.zeros((len(sets), len(features)), np.uint8)
     for i, s in enumerate(sets):
@@ -136,10 +131,11 @@ def _matrix(sets: list, features: dict[int, int]) -> np.ndarray:
     return x
 
 
-def fit(pos: list, unl: list, prior: float, seed: int = 5) -> PULinear | None:
+def fit(pos: list, unl: list, prior: float, parts: list[int], seed: int = 5) -> PULinear | None:
+    """pos, unl: the selected parts that each text has."""
     if not pos:
         return None
-    features = select_features(pos, unl)
+    features = {h: i for i, h in enumerate(parts)}
     xp, xu = _matrix(pos, features), _matrix(unl, features)
     w, b = np.zeros(len(features)), -1.0
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -170,7 +166,16 @@ def fit(pos: list, unl: list, prior: float, seed: int = 5) -> PULinear | None:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> PULinear | None:
-    return fit(*sample(docs, labels))
+    rows, prior = sample(docs, labels)
+    if rows is None:
+        return None
+    chosen = select_features(rows)
+    if not chosen:
+        return None
+    # only the chosen parts of the sampled texts come to the driver
+    own = F.array_intersect("parts", F.lit(chosen))
+    found = sorted((r["kind"], r["h"], sorted(r["parts"])) for r in rows.select("kind", "h", own.alias("parts")).collect())
+    return fit([r[2] for r in found if r[0] == 1], [r[2] for r in found if r[0] == 0], prior, chosen)
 
 
 def score(docs: DataFrame, model: PULinear | None) -> DataFrame:
