@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, minhash_dedup, packing, simhash, toxicity
-from .common import fold, table
+from . import bpe, html_extract, lang_id, minhash_dedup, packing, simhash, token_counts, toxicity, url_filters, vector_join
+from .common import fold, shared_dir, table
+
+
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents under two tokenizer versions, the takedown of documents labelled toxic,
+    revised counts of documents of low quality (symbols no longer count), and a batch that is delivered twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    words, marks, revised = F.regexp_count("text", F.lit("[^ \\t\\n]+")), F.regexp_count("text", F.lit("[a-z]+|[^a-z \\t\\n]")), F.regexp_count("text", F.lit("[^ \\t\\n#$%&*]+"))
+    counted = docs.select("doc_id", "lang", "source", words.alias("words"), marks.alias("marks"), revised.alias("revised"))
+    known = counted.join(labels, "doc_id")
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    both = lambda df, kind: token_counts.changes(df, kind, F.lit("words-1"), F.col("words")).unionAll(token_counts.changes(df, kind, F.lit("marks-1"), F.col("marks")))
+    takedown = both(known.where("toxic = 1"), "delete")
+    rollup.commit("0001", both(counted, "insert"))
+    rollup.commit("0002", takedown)
+    rollup.compact()
+    rollup.commit("0003", token_counts.changes(known.where("quality = 0 and toxic = 0"), "revise", F.lit("words-1"), F.col("revised"), F.col("words")))
+    rollup.commit("0002", takedown)
+    return rollup.totals()
+
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+c AS (
+  SELECT d.source, d.lang, l.toxic, l.quality,
+    CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n]+')), 0) AS BIGINT) AS words,
+    CAST(coalesce(len(regexp_extract_all(text, '[a-z]+|[^a-z \t\n]')), 0) AS BIGINT) AS marks,
+    CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n#$%&*]+')), 0) AS BIGINT) AS revised
+  FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
+r AS (
+  SELECT source, lang, 'words-1' AS version, CASE WHEN quality = 0 AND toxic = 0 THEN revised ELSE words END AS tokens FROM c WHERE coalesce(toxic, 0) <> 1
+  UNION ALL SELECT source, lang, 'marks-1', marks FROM c WHERE coalesce(toxic, 0) <> 1)
+SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL
+"""
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +58,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash", "first")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lang_id.fit(docs)
@@ -47,6 +95,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"), simhash.as_hex(F.col("efp")).alias("edited_fingerprint"), simhash.likeness(F.col("fp"), F.col("efp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
 
 
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -56,9 +108,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_token_counts": op2_token_counts,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_lang_id": op5_lang_id,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
-    "op8_simhash": op8_simhash, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+    "op8_simhash": op8_simhash,
+    "op9_vector_join": op9_vector_join,
+    "op10_bpe": op10_bpe,
+}
+ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL}
