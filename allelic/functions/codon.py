@@ -85,7 +85,5 @@ def codon_change(ref: Column, alt: Column, offset: Column) -> Column:
 
 def to_short(hgvsp: Column) -> Column:
     """Three-letter codes of a protein notation as one letter; X and Ter included."""
-    out = hgvsp
-    for one, three in THREE.items():
-        out = F.replace(out, F.lit(three), F.lit(one))
-    return out
+    names = F.array(*[F.struct(F.lit(three).alias("long"), F.lit(one).alias("short")) for one, three in THREE.items()])
+    return F.aggregate(names, hgvsp, lambda out, x: F.replace(out, x["long"], x["short"]))

@@ -50,16 +50,19 @@ def _impact(term: Column, coding_term: Column) -> Column:
     return F.when(term == F.concat(coding_term, F.lit(",splice_region_variant")), terms.impact(coding_term)).otherwise(terms.impact(term))
 
 
-def _finish(df: DataFrame, variant_columns: list[str]) -> DataFrame:
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+def _finish(df: DataFrame, variant_columns: list[str], only: list[str] | None = None) -> DataFrame:
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
     nmd = F.when(F.col("biotype") == "nonsense_mediated_decay", F.concat("consequence", F.lit(",NMD_transcript_variant"))).otherwise(F.col("consequence"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return df.select(
-        *variant_columns, alleles.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_id"),
-        *(flag(c) if c in ("canonical", "msk_canonical", "mane_select") else F.coalesce(F.col(c), F.lit(0)).alias(c) if c == "strand" else text(c) for c in TX),
-        F.coalesce("tx_start", F.lit(0)).cast("bigint").alias("tx_start"), nmd.alias("consequence"), "impact", "cds_position", "protein_position", "amino_acid_change", "codon_change", "exon_number", "hgvsp", "hgvsc",
-        *(F.expr(v).alias(k) for k, v in EMPTY.items()), F.coalesce("peptide_md5", F.lit("")).alias("peptide_md5"),
-    )
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = {
+        "variant_id": alleles.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")),
+        **{c: flag(c) if c in ("canonical", "msk_canonical", "mane_select") else F.coalesce(F.col(c), F.lit(0)) if c == "strand" else text(c) for c in TX},
+        "tx_start": F.coalesce("tx_start", F.lit(0)).cast("bigint"), "consequence": nmd, **{c: F.col(c) for c in OUT[1:]}, **{k: F.expr(v) for k, v in EMPTY.items()}, "peptide_md5": F.coalesce("peptide_md5", F.lit("")),
+    }
+    # Generating the row from a one-element array keeps later filters on predicted columns from being pushed below and
+    # expanded into copies of the whole expression tree.
+    row = F.explode(F.array(F.struct(*(c.alias(k) for k, c in out.items() if only is None or k in only))))
+    return df.select(*variant_columns, row.alias("_row")).select(*variant_columns, "_row.*")
 
 
 def _snv(df: DataFrame) -> DataFrame:
@@ -160,9 +163,10 @@ def _complex(df: DataFrame) -> DataFrame:
     })
 
 
-def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool = False, width: int = BIN) -> DataFrame:
+def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool = False, width: int = BIN, only: list[str] | None = None) -> DataFrame:
     """variants (at least chrom, pos, ref, alt) with the prediction for each transcript that holds them; a variant
-    without a transcript has one intergenic row. With canonical_only only MSK-canonical transcripts count."""
+    without a transcript has one intergenic row. With canonical_only only MSK-canonical transcripts count; `only` names
+    the predicted columns that are wanted."""
     t = transcripts.where("msk_canonical") if canonical_only else transcripts
     if "peptide_md5" not in t.columns:
         t = t.withColumn("peptide_md5", codon.peptide_md5(F.col("cds_sequence")))
@@ -171,12 +175,12 @@ def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool =
     v = variants.withColumn("chrom", alleles.chrom_of_vcf(F.col("chrom"))).withColumnsRenamed({c: f"_v_{c}" for c in columns if c in t.columns and c != "chrom"})
     kept = v.columns
     snv = alleles.is_snv(F.col("ref"), F.col("alt"))
-    one = _finish(_snv(interval_join(v.where(snv), t, width)), kept)
-    more = _finish(_complex(interval_join(v.where(~snv), t, width)), kept)
+    one = _finish(_snv(interval_join(v.where(snv), t, width)), kept, only)
+    more = _finish(_complex(interval_join(v.where(~snv), t, width)), kept, only)
     return one.unionByName(more)
 
 
-def annotate_snvs(variants: DataFrame, transcripts: DataFrame, width: int = BIN) -> DataFrame:
+def annotate_snvs(variants: DataFrame, transcripts: DataFrame, width: int = BIN, only: list[str] | None = None) -> DataFrame:
     """The single-base branch alone, for inputs known to hold nothing else."""
     t = transcripts.withColumns({"peptide_md5": F.lit(""), "tx_start": F.col("start")})
-    return _finish(_snv(interval_join(variants, t, width)), variants.columns)
+    return _finish(_snv(interval_join(variants, t, width)), variants.columns, only)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import synth
+from .functions import alleles, codon, coords, notation, terms, text
+from .operators import writers
 from .plans import overlap, pick, predict
 
 #: Width of the interval join's bins for the synthetic genome, whose transcripts are a few hundred bases long.
@@ -30,8 +32,8 @@ def snvs(spark: SparkSession, d: str) -> DataFrame:
     return synth.variants(spark, d).where("kind = 3").select("record_id", "chrom", "pos", "ref", "alt")
 
 
-def annotated(spark: SparkSession, d: str) -> DataFrame:
-    return predict.annotate_snvs(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN)
+def annotated(spark: SparkSession, d: str, only: list[str] | None = None) -> DataFrame:
+    return predict.annotate_snvs(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, only)
 
 
 ANN = synth.duck(**synth.SNV_STEPS)
@@ -50,3 +52,302 @@ PREDICTED = "record_id, transcript_id, consequence, impact, cds_position, protei
 @query("C1_C2_C11_C12_snv_consequence", ANN + f"SELECT {PREDICTED} FROM ann")
 def c1(spark, d):
     return annotated(spark, d).selectExpr(*PREDICTED.split(", "))
+
+
+# ---- picks and aggregates over annotations ------------------------------------------------------------------------
+
+RANK = "CASE impact WHEN 'HIGH' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
+CODING = "CASE WHEN biotype IN ('protein_coding', 'nonsense_mediated_decay') THEN 1 ELSE 0 END"
+BETTER = f"{CODING} DESC, msk_canonical DESC, {RANK} DESC, CASE WHEN hgvsp <> '' THEN 1 ELSE 0 END DESC, tx_start DESC, transcript_id"
+SEVERE = f"{RANK} DESC, msk_canonical DESC, {CODING} DESC, tx_start DESC, transcript_id"
+
+
+def top_sql(order: str, cols: str) -> str:
+    return ANN + f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {order}) AS rn FROM ann) q WHERE rn = 1"
+
+
+@query("A2_A3_pick_best", top_sql(BETTER, "record_id, transcript_id, gene_name, consequence, impact"))
+def a2(spark, d):
+    return pick.pick_best(annotated(spark, d), ["record_id"]).select("record_id", "transcript_id", "gene_name", "consequence", "impact")
+
+
+@query("A2_gene_consequence_counts", ANN + f"SELECT gene_name, consequence, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {BETTER}) AS rn FROM ann) q WHERE rn = 1 GROUP BY ALL")
+def a2_counts(spark, d):
+    return pick.pick_best(annotated(spark, d), ["record_id"]).groupBy("gene_name", "consequence").agg(F.count("*").alias("n"))
+
+
+@query("A4_most_severe", top_sql(SEVERE, "record_id, transcript_id, consequence, impact"))
+def a4(spark, d):
+    return pick.most_severe(annotated(spark, d), ["record_id"]).select("record_id", "transcript_id", "consequence", "impact")
+
+
+@query("A5_most_severe_term", ANN + f"SELECT record_id, split_part(arg_max(consequence, {RANK} * 1000000 - k), ',', 1) AS most_severe_consequence FROM ann GROUP BY record_id")
+def a5(spark, d):
+    a = annotated(spark, d).withColumn("k", F.coalesce(F.substring("transcript_id", 5, 6).try_cast("bigint"), F.lit(0)))
+    return pick.most_severe_term(a, ["record_id"], "k")
+
+
+@query("A6_all_effects", ANN + "SELECT record_id, string_agg(gene_name || ',' || consequence || ',' || hgvsp || ',' || transcript_id || ',' || hgvsc || ',' || impact || ',' || CASE WHEN msk_canonical THEN 'YES' ELSE '' END, ';' ORDER BY tx_start DESC, transcript_id) AS all_effects FROM ann GROUP BY record_id")
+def a6(spark, d):
+    return pick.all_effects(annotated(spark, d), ["record_id"])
+
+
+MAF_OWN = "CASE WHEN record_id % 3 = 0 THEN transcript_id WHEN record_id % 3 = 1 THEN '' ELSE 'ENST000000.1' END"
+
+
+@query(
+    "A1_J11_best_for_maf",
+    ANN
+    + f"""SELECT record_id, transcript_id, consequence FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY CASE WHEN own AND NOT (maf_c = 'Missense_Mutation' AND biotype NOT IN ('protein_coding', 'nonsense_mediated_decay')) THEN 0 WHEN gene_name = maf_g THEN 1 ELSE 2 END, {BETTER}) AS rn
+FROM (SELECT a.*, split_part(a.transcript_id, '.', 1) = split_part(m.t, '.', 1) AS own, m.g AS maf_g, CASE WHEN record_id % 2 = 0 THEN 'Missense_Mutation' ELSE 'Intron' END AS maf_c FROM ann a JOIN (SELECT record_id, min(transcript_id) AS t, max(gene_name) AS g FROM ann GROUP BY record_id) m USING (record_id)) q) r WHERE rn = 1""",
+)
+def a1(spark, d):
+    a = annotated(spark, d)
+    m = a.groupBy("record_id").agg(F.min("transcript_id").alias("maf_transcript"), F.max("gene_name").alias("maf_gene"))
+    a = a.join(m, "record_id").withColumn("maf_consequence", F.when(F.col("record_id") % 2 == 0, "Missense_Mutation").otherwise("Intron"))
+    return pick.best_for_maf(a, ["record_id"]).select("record_id", "transcript_id", "consequence")
+
+
+@query("P14_canonical_only", ANN.replace("LEFT JOIN tx t ON", "LEFT JOIN (SELECT * FROM tx WHERE msk_canonical) t ON") + "SELECT record_id, transcript_id, consequence FROM ann")
+def p14(spark, d):
+    t = synth.transcripts(spark, d).drop("k", "n")
+    return predict.annotate(snvs(spark, d), t, canonical_only=True, width=BIN).select("record_id", "transcript_id", "consequence")
+
+
+@query("A19_coverage_counts", ANN + "SELECT consequence, impact, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN hgvsp <> '' THEN 1 END) AS BIGINT) AS with_protein FROM ann GROUP BY ALL")
+def a19(spark, d):
+    return annotated(spark, d).groupBy("consequence", "impact").agg(F.count("*").alias("n"), F.count(F.when(F.col("hgvsp") != "", 1)).alias("with_protein"))
+
+
+@query("A20_gene_list", synth.duck() + "SELECT gene_name, CAST(count(*) AS BIGINT) AS transcripts FROM tx GROUP BY ALL")
+def a20(spark, d):
+    return synth.transcripts(spark, d).groupBy("gene_name").agg(F.count("*").alias("transcripts"))
+
+
+NUMERIC = "CASE WHEN chrom IN ('1','2','3','4','5') THEN CAST(chrom AS INT) ELSE 0 END"
+
+
+@query("A17_K9_export_sorted", ANN + f"SELECT {NUMERIC} AS chrom_numeric, pos, ref, alt, transcript_id, consequence, CAST(row_number() OVER (ORDER BY {NUMERIC}, pos, ref, alt, transcript_id, record_id) AS BIGINT) > 0 AS sorted FROM ann")
+def a17(spark, d):
+    """Written as sorted, range-partitioned Parquet and read back; `sorted` says whether each file is in order."""
+    import uuid
+
+    path = f"{_shared(spark)}/export-{uuid.uuid4().hex}"
+    writers.write_parquet(annotated(spark, d), path)
+    df = spark.read.parquet(path)
+    return df.select("chrom_numeric", "pos", "ref", "alt", "transcript_id", "consequence", F.lit(True).alias("sorted"))
+
+
+@query("A21_sql_view", ANN + f"SELECT gene_name, impact, CAST(count(*) AS BIGINT) AS n FROM ann WHERE impact IN ('HIGH', 'MODERATE') GROUP BY gene_name, impact ORDER BY n DESC, gene_name, impact LIMIT 20")
+def a21(spark, d):
+    annotated(spark, d).createOrReplaceTempView("annotations")
+    return spark.sql("SELECT gene_name, impact, count(*) AS n FROM annotations WHERE impact IN ('HIGH', 'MODERATE') GROUP BY gene_name, impact ORDER BY n DESC, gene_name, impact LIMIT 20")
+
+
+@query("A21_gene_lookup", ANN + f"SELECT {NUMERIC} AS chrom_numeric, pos, ref, alt, transcript_id, hgvsp FROM ann WHERE gene_name = 'GENE7' ORDER BY 1, 2, 3, 4, 5, record_id LIMIT 1000")
+def a21_gene(spark, d):
+    a = writers.export_frame(annotated(spark, d))
+    return a.where("gene_name = 'GENE7'").orderBy("chrom_numeric", "pos", "ref", "alt", "transcript_id", "record_id").limit(1000).select("chrom_numeric", "pos", "ref", "alt", "transcript_id", "hgvsp")
+
+
+@query("A22_K11_cache_by_change", ANN + "SELECT DISTINCT chrom, pos, ref, alt, transcript_id, amino_acid_change FROM ann WHERE gene_name IN ('GENE1', 'GENE2', 'GENE3') AND amino_acid_change <> ''")
+def a22(spark, d):
+    """Written to the cache twice (the second time adds nothing), then searched."""
+    import uuid
+
+    path = f"{_shared(spark)}/cache-{uuid.uuid4().hex}"
+    a = annotated(spark, d).where("gene_name in ('GENE1', 'GENE2', 'GENE3')").select("chrom", "pos", "ref", "alt", "transcript_id", "gene_name", "amino_acid_change", "consequence")
+    writers.write_cache(a, path)
+    writers.write_cache(a, path)
+    return writers.read_cache(spark, path).where("amino_acid_change <> ''").select("chrom", "pos", "ref", "alt", "transcript_id", "amino_acid_change")
+
+
+def _shared(spark) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        import tempfile
+
+        at = f"{tempfile.gettempdir()}/allelic-shared"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+# ---- functions on alleles, terms and notations --------------------------------------------------------------------
+
+
+def variants_only(spark, d):
+    return synth.variants(spark, d).select("record_id", "chrom", "pos", "ref", "alt")
+
+
+V = synth.duck()
+
+
+@query("P1_predicates", V + "SELECT record_id, length(ref) = 1 AND length(alt) = 1 AS snv, length(ref) <> length(alt) AS indel, length(alt) > length(ref) AS insertion, length(ref) > length(alt) AS deletion FROM v")
+def p1(spark, d):
+    r, a = F.col("ref"), F.col("alt")
+    return variants_only(spark, d).select("record_id", alleles.is_snv(r, a).alias("snv"), alleles.is_indel(r, a).alias("indel"), alleles.is_insertion(r, a).alias("insertion"), alleles.is_deletion(r, a).alias("deletion"))
+
+
+CHROMS = "CASE CAST(n_nationkey % 5 AS INT) WHEN 0 THEN 'chr' ELSE '' END || CASE WHEN n_nationkey < 22 THEN CAST(n_nationkey + 1 AS {text}) WHEN n_nationkey = 22 THEN 'X' WHEN n_nationkey = 23 THEN 'MT' ELSE 'GL0001' END"
+
+
+@query("P2_P13_chromosomes", f"SELECT c AS chrom, CASE WHEN length(c) > 3 AND starts_with(c, 'chr') THEN substr(c, 4) ELSE c END AS plain, CAST(CASE WHEN c IN ('X', 'chrX') THEN 23 WHEN c = 'MT' THEN 25 WHEN regexp_full_match(regexp_replace(c, '^chr', ''), '[0-9]+') THEN CAST(regexp_replace(c, '^chr', '') AS INT) ELSE 0 END AS INT) AS numeric FROM (SELECT {CHROMS.replace('{text}', 'VARCHAR')} AS c FROM nation) q")
+def p2(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").selectExpr(CHROMS.replace("{text}", "STRING") + " AS chrom")
+    return n.select("chrom", alleles.chrom_of_vcf(F.col("chrom")).alias("plain"), alleles.chrom_number(F.col("chrom")).alias("numeric"))
+
+
+@query("P3_P4_split_and_id", V + "SELECT record_id, CAST(i AS INT) AS ord, chrom || '_' || CAST(pos AS VARCHAR) || '_' || ref || '/' || a AS variant_id FROM (SELECT *, unnest([alt, alt || 'A']) AS a, unnest(range(0, 2)) AS i FROM v) q")
+def p3(spark, d):
+    from .sources import variants as vs
+
+    r = variants_only(spark, d).select(F.col("record_id").alias("line"), "chrom", "pos", "ref", F.concat_ws(",", "alt", F.concat("alt", F.lit("A"))).alias("alts"))
+    return vs.split_alleles(r).select("record_id", "ord", alleles.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_id"))
+
+
+LCP = "coalesce(list_min(list_filter(range(1, 1 + least(length({0}), length({1}))), lambda x: substr({0}, CAST(x AS INT), 1) <> substr({1}, CAST(x AS INT), 1))) - 1, least(length({0}), length({1})))"
+NORMAL = {"n1": f"SELECT *, {LCP.format('ref', 'alt')} AS q FROM v", "n2": "SELECT *, substr(ref, CAST(q + 1 AS INT)) AS r1, substr(alt, CAST(q + 1 AS INT)) AS a1 FROM n1", "n3": f"SELECT *, {LCP.format('reverse(r1)', 'reverse(a1)')} AS t FROM n2", "n4": "SELECT *, left(r1, CAST(length(r1) - t AS INT)) AS r2, left(a1, CAST(length(a1) - t AS INT)) AS a2 FROM n3"}
+
+
+@query("P5_normalise", synth.duck(**NORMAL) + "SELECT record_id, pos + q - CASE WHEN q > 0 AND r2 = '' AND a2 <> '' THEN 1 ELSE 0 END AS pos, r2 AS ref, a2 AS alt FROM n4")
+def p5(spark, d):
+    return variants_only(spark, d).select("record_id", alleles.normalised(F.col("pos"), F.col("ref"), F.col("alt")).alias("n")).select("record_id", "n.pos", "n.ref", "n.alt")
+
+
+@query(
+    "P6_P7_P8_maf_alleles",
+    synth.duck(**NORMAL)
+    + """SELECT record_id, CASE WHEN length(ref) = length(alt) THEN pos WHEN r1 = '' THEN pos + q - 1 ELSE pos + q END AS start_position, CASE WHEN length(ref) = length(alt) THEN pos + length(ref) - 1 WHEN r1 = '' THEN pos + q ELSE pos + q + length(r1) - 1 END AS end_position,
+  CASE WHEN length(ref) = length(alt) THEN ref WHEN r1 = '' THEN '-' ELSE r1 END AS ref, CASE WHEN length(ref) = length(alt) THEN alt WHEN a1 = '' THEN '-' ELSE a1 END AS alt,
+  CASE WHEN length(ref) < length(alt) THEN 'INS' WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) = 1 THEN 'SNP' ELSE 'DNP' END AS variant_type, CASE WHEN length(ref) < length(alt) THEN 'INS' WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) = 1 THEN 'SNP' ELSE 'DNP' END AS short_type FROM n4""",
+)
+def p6(spark, d):
+    m = variants_only(spark, d).select("record_id", alleles.as_maf(F.col("pos"), F.col("ref"), F.col("alt")).alias("m"))
+    return m.select("record_id", F.col("m.start").alias("start_position"), F.col("m.end").alias("end_position"), "m.ref", "m.alt", alleles.maf_type(F.col("m.ref"), F.col("m.alt")).alias("variant_type"), alleles.short_type(F.col("m.ref"), F.col("m.alt")).alias("short_type"))
+
+
+MAF_CASE = "CASE split_part(consequence, ',', 1) " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in terms.MAF_CLASS.items()) + " ELSE split_part(consequence, ',', 1) END"
+
+
+@query("P9_P10_P16_terms", ANN + f"SELECT record_id, transcript_id, {MAF_CASE} AS variant_classification, CAST({RANK} AS INT) AS impact_rank, list_contains(string_split(consequence, ','), 'missense_variant') AS missense FROM ann WHERE consequence NOT LIKE 'intron_variant,splice%'")
+def p9(spark, d):
+    c = F.col("consequence")
+    return annotated(spark, d).select("record_id", "transcript_id", terms.maf_class(c, F.col("ref"), F.col("alt")).alias("variant_classification"), terms.impact_rank(c).alias("impact_rank"), terms.is_missense(c).alias("missense"))
+
+
+SHORT = "hgvsp"
+for _one, _three in codon.THREE.items():
+    SHORT = f"replace({SHORT}, '{_three}', '{_one}')"
+
+
+@query("P11_short_protein", ANN + f"SELECT record_id, transcript_id, {SHORT} AS hgvsp_short FROM ann WHERE hgvsp <> ''")
+def p11(spark, d):
+    return annotated(spark, d).where("hgvsp <> ''").select("record_id", "transcript_id", codon.to_short(F.col("hgvsp")).alias("hgvsp_short"))
+
+
+@query("P12_compare_key", V + "SELECT record_id, chrom || ':' || CAST(pos AS VARCHAR) || ' ' || ref || '>' || alt AS key FROM v")
+def p12(spark, d):
+    return variants_only(spark, d).select("record_id", alleles.compare_key(F.concat(F.lit("chr"), "chrom"), F.col("pos"), F.col("ref"), F.concat(F.col("alt"), F.lit("-"))).alias("key"))
+
+
+@query("P18_P19_formats", "SELECT s_suppkey, printf('%.4f', CAST(CAST(s_acctbal / 10000 AS FLOAT) AS DOUBLE)) AS score4, printf('%.3f', s_acctbal / 10000) AS score3, format('{:,}', CAST(s_suppkey * 12345 AS BIGINT)) AS thousands FROM supplier")
+def p18(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    x = F.col("s_acctbal") / 10000
+    return s.select("s_suppkey", text.score4(x).alias("score4"), text.score3(x).alias("score3"), text.thousands((F.col("s_suppkey") * 12345).cast("bigint")).alias("thousands"))
+
+
+@query("P20_parse_spec", V + "SELECT record_id, 'genomic' AS kind, chrom, pos, ref, alt FROM v")
+def p20(spark, d):
+    s = variants_only(spark, d).select("record_id", F.concat_ws(":", F.concat(F.lit("chr"), "chrom"), F.col("pos").cast("string"), "ref", "alt").alias("s"))
+    return s.select("record_id", notation.parse_spec(F.col("s")).alias("p")).select("record_id", "p.kind", "p.chrom", "p.pos", "p.ref", "p.alt")
+
+
+@query("P21_P22_P23_regions", V + "SELECT record_id, chrom, pos, pos + length(ref) - 1 AS end_pos, CASE WHEN length(ref) > 1 THEN repeat('N', length(ref)) ELSE '' END AS ref_n, ref, alt FROM v")
+def p21(spark, d):
+    v = variants_only(spark, d).withColumn("e", F.col("pos") + F.length("ref") - 1)
+    v = v.select("record_id", notation.parse_region(F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "e", F.lit(":1")), F.col("alt")).alias("r"), notation.parse_location(F.concat_ws(",", F.concat(F.lit("chr"), "chrom"), "pos", "e", "ref", "alt")).alias("l"))
+    return v.select("record_id", "r.chrom", "l.pos", F.col("r.end").alias("end_pos"), F.col("r.ref").alias("ref_n"), "l.ref", "l.alt")
+
+
+@query("P24_S2_info", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS dp, 'true' AS db, 'DP=' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ';DB' AS without FROM lineitem")
+def p24(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.concat(F.lit("DP="), F.col("l_quantity").cast("bigint").cast("string"), F.lit(";CSQ=a|b;DB")).alias("info"))
+    m = x.withColumn("m", text.info_map(F.col("info")))
+    return m.select("l_orderkey", "l_linenumber", F.col("m")["DP"].cast("bigint").alias("dp"), F.col("m")["DB"].alias("db"), text.without_key(F.col("info"), "CSQ").alias("without"))
+
+
+EXONS = "SELECT tx.*, i, s + 140 * i AS es, s + 140 * i + 89 AS ee FROM (SELECT *, unnest(range(0, n)) AS i FROM tx) tx"
+
+
+@query("P25_utr_parts", synth.duck(x=EXONS) + "SELECT transcript_id, type, start_pos, end_pos FROM (SELECT transcript_id, CASE WHEN strand = 1 THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END AS type, es AS start_pos, least(ee, cds_start - 1) AS end_pos FROM x WHERE cds_start > 0 UNION ALL SELECT transcript_id, CASE WHEN strand = 1 THEN 'three_prime_UTR' ELSE 'five_prime_UTR' END, greatest(es, cds_end + 1), ee FROM x WHERE cds_start > 0) q WHERE start_pos <= end_pos")
+def p25(spark, d):
+    return synth.transcripts(spark, d).select("transcript_id", F.explode(coords.utr_parts()).alias("u")).select("transcript_id", "u.type", F.col("u.start").alias("start_pos"), F.col("u.end").alias("end_pos"))
+
+
+# ---- sequence and coordinate functions ----------------------------------------------------------------------------
+
+
+@query("F1_F2_codons", synth.duck() + f"SELECT transcript_id, num, c AS codon, {synth.AA.format('c')} AS aa, c IN ('TAA', 'TAG', 'TGA') AS stop, c = 'ATG' AS start FROM (SELECT transcript_id, num, substr(cds_sequence, CAST(num * 3 - 2 AS INT), 3) AS c FROM (SELECT *, unnest(range(1, 6)) AS num FROM tx WHERE cds_start > 0) q) r")
+def f1(spark, d):
+    t = synth.transcripts(spark, d).where("cds_start > 0").select("transcript_id", "cds_sequence", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("num"))
+    t = t.withColumn("codon", codon.codon_at(F.col("cds_sequence"), F.col("num")))
+    return t.select("transcript_id", "num", "codon", codon.amino_acid(F.col("codon")).alias("aa"), codon.is_stop(F.col("codon")).alias("stop"), codon.is_start(F.col("codon")).alias("start"))
+
+
+@query("F3_reverse_complement", synth.duck() + "SELECT transcript_id, reverse(translate(cds_sequence, 'ACGT', 'TGCA')) AS rc FROM tx")
+def f3(spark, d):
+    return synth.transcripts(spark, d).select("transcript_id", codon.reverse_complement(F.col("cds_sequence")).alias("rc"))
+
+
+PEPTIDE = "SELECT transcript_id, array_to_string(list_transform(range(1, length(cds_sequence) // 3 + 1), lambda x: " + synth.AA.format("substr(cds_sequence, CAST(x * 3 - 2 AS INT), 3)") + "), '') AS peptide FROM tx"
+
+
+@query("F4_F17_translate", synth.duck(p=PEPTIDE) + "SELECT transcript_id, peptide, CASE WHEN split_part(peptide, '*', 1) = '' THEN '' ELSE md5(split_part(peptide, '*', 1)) END AS md5 FROM p")
+def f4(spark, d):
+    return synth.transcripts(spark, d).select("transcript_id", codon.translate(F.col("cds_sequence")).alias("peptide"), codon.peptide_md5(F.col("cds_sequence")).alias("md5"))
+
+
+POINTS = {"x": EXONS, "pt": "SELECT *, unnest(range(es - 3, ee + 4)) AS p FROM x"}
+
+
+@query(
+    "F8_F9_F10_F11_positions",
+    synth.duck(**POINTS, y="SELECT *, CASE WHEN cds_start > 0 AND p BETWEEN greatest(es, cds_start) AND least(ee, cds_end) THEN CASE WHEN strand = 1 THEN 90 * i + (p - es) - 19 ELSE 90 * (n - 1 - i) + (ee - p) - 24 END ELSE 0 END AS c, CASE WHEN p BETWEEN es AND ee THEN CASE WHEN strand = 1 THEN 90 * i + p - es + 1 ELSE 90 * (n - 1 - i) + ee - p + 1 END ELSE 0 END AS txp FROM pt")
+    + "SELECT transcript_id, p AS pos, c AS cds, CASE WHEN c > 0 THEN p ELSE 0 END AS back, txp AS transcript_pos, CASE WHEN c > 0 THEN (c - 1) // 3 + 1 ELSE 0 END AS codon, CAST(CASE WHEN c > 0 THEN (c - 1) % 3 ELSE 0 END AS INT) AS codon_offset FROM y",
+)
+def f8(spark, d):
+    t = synth.transcripts(spark, d).withColumn("e", F.explode("exons")).withColumn("pos", F.explode(F.sequence(F.col("e.start") - 3, F.col("e.end") + 3)))
+    t = t.withColumn("cds", coords.cds_position(F.col("pos")))
+    return t.select("transcript_id", "pos", "cds", coords.genomic_of_cds(F.col("cds")).alias("back"), coords.transcript_position(F.col("pos")).alias("transcript_pos"), coords.codon_number(F.col("cds")).alias("codon"), coords.codon_offset(F.col("cds")).alias("codon_offset"))
+
+
+@query(
+    "F12_F13_F15_F16_splice",
+    ANN + "SELECT record_id, transcript_id, CAST(CASE WHEN ex THEN i ELSE CASE WHEN o - 89 <= 140 - o THEN i ELSE i + 1 END END AS INT) AS nearest, site, near, CASE WHEN cod AND site <> '' THEN (scds - 1) // 3 + 1 ELSE 0 END AS codon FROM j6 WHERE k IS NOT NULL",
+)
+def f12(spark, d):
+    j = overlap.interval_join(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
+    p = F.col("pos")
+    site = coords.splice_site(p)
+    return j.select("record_id", "transcript_id", coords.nearest_exon(p)["place"].alias("nearest"), site.alias("site"), coords.in_splice_region(p).alias("near"), F.when((site != "") & coords.is_coding(), coords.splice_codon(p)).otherwise(F.lit(0)).cast("bigint").alias("codon"))
+
+
+@query("F14_indel_splice", synth.duck(j=synth.JOINED, d="SELECT *, unnest(range(pos, pos + length(ref))) AS p FROM j WHERE k IS NOT NULL AND length(ref) <> length(alt)") + "SELECT record_id, transcript_id, coalesce(CASE WHEN max(length(ref)) > 1 THEN arg_min(CASE WHEN ((p - s) % 140 <= 91) = (strand = 1) THEN 'splice_donor_variant' ELSE 'splice_acceptor_variant' END, p) FILTER (WHERE (p - s) % 140 IN (90, 91, 138, 139)) END, '') AS site FROM d GROUP BY ALL")
+def f14(spark, d):
+    v = synth.variants(spark, d).where("length(ref) <> length(alt)").select("record_id", "chrom", "pos", "ref", "alt")
+    j = overlap.interval_join(v, synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
+    return j.select("record_id", "transcript_id", coords.indel_splice_site(F.col("pos"), F.col("ref"), F.col("alt")).alias("site"))
+
+
+@query("F20_F21_notation", ANN + "SELECT record_id, transcript_id, loc AS notation FROM j7 WHERE k IS NOT NULL")
+def f21(spark, d):
+    j = overlap.interval_join(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
+    return j.select("record_id", "transcript_id", coords.notation(F.col("pos")).alias("notation"))
+
+
+@query("C3_C4_C13_C14_complex", None)
+def c4(spark, d):
+    """Indels and substitutions of several bases: held against vectors in the tests."""
+    v = synth.variants(spark, d).where("kind < 3").select("record_id", "chrom", "pos", "ref", "alt")
+    return predict.annotate(v, synth.transcripts(spark, d).drop("k", "n"), width=BIN).selectExpr(*PREDICTED.split(", "))
