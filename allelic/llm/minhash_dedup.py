@@ -8,7 +8,8 @@ and what is left is confirmed on the full shingle sets.
 
 Work by group size: equal sets are one class. In each bucket every class is compared with the bucket's least class
 only (a star). Buckets whose classes are then still in several components are searched in blocks, where all pairs
-across components are compared by their sketches and only pairs above the margin are emitted. No bucket is capped.
+across components are compared by their sketches; promising ones join into families, by a spanning forest of each block
+only, and families are compared on full sets, block by block. No bucket is capped.
 
 Defined results: a null text and a text without words have an empty set, are linked with nothing and are their own
 component. Equal rows and equal ids stay as many rows; ids that are null come out with a null component.
@@ -34,6 +35,8 @@ BASE, RATE, TOP = 1.02, 20.0, 65534
 MARGIN = 0.18
 #: Links of a hub that one task confirms together, and the blocks of the search in mixed buckets.
 SALT, BLOCK_R, BLOCK_L = 64, 128, 512
+#: Rows of a block within a family, and members beyond which a family is compared by single pairs of its buckets.
+BLOCK_F, LARGE = 192, 50_000
 
 _ODD = np.random.default_rng(20240229).integers(1 << 63, size=(2, M), dtype=np.uint64)
 MULTIPLY, ADD = (_ODD[0] * np.uint64(2) + np.uint64(1))[:, None], (_ODD[1] * np.uint64(2))[:, None]
@@ -139,20 +142,13 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B| on the full sets. A hub's pairs are dealt to several tasks."""
+    """The distinct pairs (a, b) with 100 * |A and B| >= percent * |A or B| on the full sets. A hub's pairs are dealt to several tasks."""
     small_batches(docs.sparkSession)
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.col("a").alias("cls"))
     heads = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("cls"))
     wanted = members.unionAll(heads)
-    reps = wanted.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_th"))
-    reps = materialize(reps, "reps")
-    if reps.count() <= 1_000_000:  # 24 MB; beyond it, a shuffle join
-        reps = F.broadcast(reps)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).join(reps, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    texts = texts.groupBy("cls").agg(F.min("text").alias("text"))
-    rows = wanted.join(texts, "cls").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("cls") != F.col("b"))
+    rows = wanted.join(texts_of(wanted, classes, docs), "cls").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("cls") != F.col("b"))
 
     def run(batches):
         at, own = None, None
@@ -172,54 +168,147 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return rows.select("b", "salt", "cls", "text").mapInArrow(run, "a long, b long")
 
 
-def across(buckets: DataFrame, bands: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Promising pairs within buckets that still hold several components, other than those with the bucket's centre.
+def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, every_pair: bool = False) -> DataFrame:
+    """Promising pairs within buckets that still hold several components, other than those with the bucket's centre: of
+    each block's pairs a spanning forest, or every one.
 
     Rows outside the centre's component go into blocks of BLOCK_R, all rows into blocks of BLOCK_L; each task compares
-    one block of either kind by sketches."""
-    rows = bands.join(buckets.where("n > 2").select("key", "center"), "key")
-    rows = rows.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", "center", F.coalesce("root", "cls").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("center"), F.col("comp"))).alias("main"), F.count("*").alias("n"))
-    mixed = mixed.where("lo != hi").select("key", "main", "n")
+    one block of either kind by sketches. A pair is compared in the first band in which its rows agree."""
+    rows = members.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "band", "cls", "center", F.coalesce("root", "cls").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("center"), F.col("comp"))).alias("main"))
+    mixed = mixed.where("lo != hi").select("key", "main")
     rows = materialize(rows.join(mixed, "key").where("cls != center"), "mixed")
     counts = rows.groupBy("key").agg(F.ceil(F.count(F.when(F.col("comp") != F.col("main"), 1)) / BLOCK_R).cast("int").alias("rbs"), F.ceil(F.count("*") / BLOCK_L).cast("int").alias("lbs"))
     rows = rows.join(counts, "key").where("rbs > 0").join(classes.select("cls", F.col("n").alias("size"), "registers"), "cls")
     block = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "cls"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.where("comp != main").withColumn("lb", every("lbs")).select("key", block("r", "rbs").alias("rb"), "lb", F.lit(0).alias("role"), "cls", "comp", "size", "registers")
-    other = rows.withColumn("rb", every("rbs")).select("key", "rb", block("l", "lbs").alias("lb"), F.lit(1).alias("role"), "cls", "comp", "size", "registers")
-    dealt = own.unionAll(other).repartition("key", "rb", "lb").sortWithinPartitions("key", "rb", "lb", "role")
+    own = rows.where("comp != main").withColumn("lb", _every("lbs")).select("key", block("r", "rbs").alias("rb"), "lb", F.lit(0).alias("role"), "band", "cls", "comp", "size", "registers")
+    other = rows.withColumn("rb", _every("rbs")).select("key", "rb", block("l", "lbs").alias("lb"), F.lit(1).alias("role"), "band", "cls", "comp", "size", "registers")
+    dealt = own.unionAll(other).repartition("key", "rb", "lb").sortWithinPartitions("key", "rb", "lb", "role", "cls")
 
-    def compare(held):
+    def compare(held, band):
         own, other = held
         if not own or not other:
             return
         rb, nb, cb, kb = (np.array([x[i] for x in other]) if i else np.frombuffer(b"".join(x[0] for x in other), "<u2").reshape(-1, M) for i in range(4))
         for reg, n, comp, cls in own:
-            # only pairs across components; a pair of two outsiders is compared once
-            keep = np.flatnonzero((cb != comp) & (cls != kb))
-            if len(keep):
-                r = np.broadcast_to(np.frombuffer(reg, "<u2"), (len(keep), M))
-                near = keep[((rb[keep] == r).mean(1)) >= (threshold - MARGIN) * 0.8]  # equal registers bound the estimate roughly
-                if len(near):
-                    j = estimate(r[: len(near)], np.full(len(near), float(n)), rb[near], nb[near].astype(float))
-                    yield from ((cls, int(x)) for x in kb[near[j >= threshold - MARGIN]])
+            keep = np.flatnonzero((cb != comp) & (cls != kb))  # only pairs across components
+            same = rb[keep] == np.frombuffer(reg, "<u2")
+            agree = same.reshape(-1, BANDS, ROWS).all(2)
+            # equal registers bound the estimate roughly
+            near = keep[(agree.argmax(1) == band) & agree[:, band] & (same.mean(1) >= (threshold - MARGIN) * 0.8)]
+            if len(near):
+                j = estimate(np.broadcast_to(np.frombuffer(reg, "<u2"), (len(near), M)), np.full(len(near), float(n)), rb[near], nb[near].astype(float))
+                yield from ((cls, int(x)) for x in kb[near[j >= threshold - MARGIN]])
 
     def run(batches):
-        at, held = None, ([], [])
+        at, band, held = None, None, ([], [])
         for batch in batches:
             found = []
-            for key, r, l, role, cls, comp, size, reg in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for key, r, l, role, own_band, cls, comp, size, reg in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if (key, r, l) != at:
-                    found += compare(held)
-                    at, held = (key, r, l), ([], [])
+                    found += pairs(held, band)
+                    at, band, held = (key, r, l), own_band, ([], [])
                 held[role].append((reg, size, comp, cls))
             yield _pairs(found)
-        yield _pairs(compare(held))
+        yield _pairs(pairs(held, band))
 
+    pairs = compare if every_pair else lambda held, band: spanning(compare(held, band))
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def spanning(pairs) -> list[tuple[int, int]]:
+    """Those of the pairs that join what earlier ones didn't."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            up[ra] = rb
+            out.append((a, b))
+    return out
+
+
+def within_families(families: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components within each family (family, cls, comp), by full sets: a spanning forest of those of each
+    pair of blocks. Blocks have about BLOCK_F rows, and a row goes to as many tasks as its family has blocks."""
+    small_batches(docs.sparkSession)
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_F).cast("int").alias("blocks"))
+    rows = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", _every("blocks"))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp")
+    rows = rows.join(texts_of(families.select("cls"), classes, docs), "cls").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cls")
+
+    def compare(held):
+        at, comp = {}, {}
+        for side, cls, c, text in held:
+            if cls not in at:
+                at[cls] = (side, shingles(text, k))
+                comp[cls] = c
+        ids = sorted(at)
+        regs = np.stack([registers(at[x][1]) for x in ids])
+        bands = regs.reshape(len(ids), BANDS, ROWS)
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for x in range(len(ids)):
+            # later rows that share a band, the likeliest first
+            share = (regs[x + 1 :] == regs[x]).mean(1)
+            later = np.flatnonzero((bands[x + 1 :] == bands[x]).all(2).any(1) & (share >= (percent / 100 - MARGIN) * 0.8))
+            for y in later[np.argsort(-share[later], kind="stable")] + x + 1:
+                a, b = ids[x], ids[y]
+                ra, rb = root(comp[a]), root(comp[b])
+                if ra == rb:
+                    continue
+                s, t = at[a][1], at[b][1]
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    continue
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    up[ra] = rb
+                    out.append((a, b))
+        return out
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            found = []
+            for family, i, j, side, cls, comp, text in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if (family, i, j) != at:
+                    found += compare(held) if held else []
+                    at, held = (family, i, j), []
+                held.append((side, cls, comp, text))
+            yield _pairs(found)
+        yield _pairs(compare(held) if held else [])
+
+    return rows.select("family", "i", "j", "side", "cls", "comp", "text").mapInArrow(run, "a long, b long")
+
+
+def texts_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and text of the classes wanted."""
+    reps = wanted.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_th"))
+    reps = materialize(reps, "reps")
+    if reps.count() <= 1_000_000:  # 24 MB; beyond it, a shuffle join
+        reps = F.broadcast(reps)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h")).join(reps, (F.col("_h") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return texts.groupBy("cls").agg(F.min("text").alias("text"))
+
+
 def _pairs(found) -> pa.RecordBatch:
     found = list(found)
     return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -232,14 +321,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = sk.where("cls is not null")
     classes = materialize(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers")), "classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
-    bands = classes.select("cls", F.explode(keys).alias("key"))
-    buckets = materialize(bands.groupBy("key").agg(F.min("cls").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = bands.join(buckets, "key").where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct()
-    links = materialize(confirmed(promising(stars, classes, threshold), classes, docs, k, percent), "links")
+    bands = classes.select("cls", F.posexplode(keys).alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.min("cls").alias("center"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(buckets, "key"), "members")
+    ordered = lambda p: p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tested = materialize(ordered(promising(members.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct(), classes, threshold)), "tested")
+    links = materialize(confirmed(tested, classes, docs, k, percent), "links")
     labels = components(links)
-    rest = materialize(across(buckets, bands, classes, labels, threshold), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, classes, docs, k, percent)
+    members = members.where("n > 2")
+    # what may link across components: families of promising pairs, compared within; the largest by single pairs
+    label = labels.select(F.col("node").alias("cls"), "root")
+    promise = materialize(across(members, classes, labels, threshold), "promise")
+    if not promise.isEmpty():
+        families = components(promise.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("cls"), F.col("root").alias("family"))
+        open_ = families.join(promise.select(F.col("a").alias("cls")).distinct(), "cls").groupBy("family").agg(F.lit(1).alias("open"))
+        families = families.join(open_, "family").join(label, "cls", "left").select("family", "cls", F.coalesce("root", "cls").alias("comp"))
+        families = materialize(families, "families")
+        large = families.groupBy("family").agg(F.count("*").alias("k")).where(F.col("k") > LARGE).select("family")
+        more = within_families(families.join(large, "family", "left_anti"), classes, docs, k, percent)
+        if not large.isEmpty():
+            own = families.join(large, "family").select("cls")
+            rest = materialize(ordered(across(members.join(own, "cls"), classes, labels, threshold, every_pair=True)).join(tested, ["a", "b"], "left_anti"), "rest")
+            more = more.unionAll(confirmed(rest, classes, docs, k, percent))
         labels = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     reps = classes.select("cls", "rep")
     linked = labels.join(reps, labels["node"] == reps["cls"]).select("cls", "root", "rep")
