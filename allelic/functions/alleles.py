@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def is_snv(ref: Column, alt: Column) -> Column:
     return (F.length(ref) == 1) & (F.length(alt) == 1)
@@ -58,12 +60,20 @@ def lcp(a: Column, b: Column) -> Column:
 def normalised(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(pos, ref, alt): common prefix, then common suffix removed. An insertion after a trimmed prefix stays at
     the base before it."""
-    q = lcp(ref, alt)
-    r, a = F.substring(ref, q + 1, F.length(ref)), F.substring(alt, q + 1, F.length(alt))
-    s = lcp(F.reverse(r), F.reverse(a))
-    r, a = F.substring(r, F.lit(1), F.length(r) - s), F.substring(a, F.lit(1), F.length(a) - s)
-    back = F.when((q > 0) & (r == "") & (a != ""), 1).otherwise(0)
-    return F.struct((pos + q - back).cast("bigint").alias("pos"), r.alias("ref"), a.alias("alt"))
+
+    def trimmed(x):
+        cut = lambda y, s: F.substring(y, F.lit(1), F.length(y) - s)
+
+        def out(s):
+            r, a = cut(x["r"], s), cut(x["a"], s)
+            back = F.when((x["q"] > 0) & (r == "") & (a != ""), 1).otherwise(0)
+            return F.struct((pos + x["q"] - back).cast("bigint").alias("pos"), r.alias("ref"), a.alias("alt"))
+
+        return let(lcp(F.reverse(x["r"]), F.reverse(x["a"])), out)
+
+    rest = lambda q: F.struct(q.alias("q"), F.substring(ref, q + 1, F.length(ref)).alias("r"), F.substring(alt, q + 1, F.length(alt)).alias("a"))
+    plain = (F.length(ref) == 1) & (F.length(alt) == 1) & (ref != alt)
+    return F.when(plain, F.struct(pos.cast("bigint").alias("pos"), ref.alias("ref"), alt.alias("alt"))).otherwise(let(let(lcp(ref, alt), rest), trimmed))
 
 
 def as_maf(pos: Column, ref: Column, alt: Column) -> Column:

@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def score4(x: Column) -> Column:
-    return F.format_string("%.4f", x.cast("float").cast("double"))
+    return F.when(x.isNotNull(), F.format_string("%.4f", x.cast("float").cast("double")))
 
 
 def score3(x: Column) -> Column:
-    return F.format_string("%.3f", x)
+    return F.when(x.isNotNull(), F.format_string("%.3f", x))
 
 
 def significant(x: Column) -> Column:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import synth
+from . import session, synth
 from .functions import alleles, codon, coords, notation, terms, text
-from .operators import writers
-from .plans import overlap, pick, predict
+from .operators import lookups, writers
+from .plans import compare, model, overlap, pick, predict, reverse
+from .sources import tables
 
 #: Width of the interval join's bins for the synthetic genome, whose transcripts are a few hundred bases long.
 BIN = 1024
@@ -351,3 +352,286 @@ def c4(spark, d):
     """Indels and substitutions of several bases: held against vectors in the tests."""
     v = synth.variants(spark, d).where("kind < 3").select("record_id", "chrom", "pos", "ref", "alt")
     return predict.annotate(v, synth.transcripts(spark, d).drop("k", "n"), width=BIN).selectExpr(*PREDICTED.split(", "))
+
+
+# ---- lookups ------------------------------------------------------------------------------------------------------
+
+#: Source rows that hit some variants: keyed by their first line, scores from the key.
+HITS = "SELECT chrom, pos, ref, alt, min(record_id) AS line, max(record_id) AS last, count(*) AS n FROM v WHERE kind = 3 AND ln <= 2 GROUP BY chrom, pos, ref, alt"
+FIRST_HITS = {"h": HITS}
+
+
+def hit_rows(spark, d) -> DataFrame:
+    return synth.variants(spark, d).where("kind = 3 and ln <= 2").select("record_id", "chrom", "pos", "ref", "alt", F.col("record_id").alias("line"))
+
+
+def index_of(spark, d) -> DataFrame:
+    h = hit_rows(spark, d)
+    am = h.select("chrom", "pos", "ref", "alt", "line", (F.col("line") % 1000 / 1000).cast("float").alias("am_score"), F.when(F.col("line") % 2 == 0, "benign").otherwise("pathogenic").alias("am_class"))
+    cv = h.where("line % 3 = 0").select("chrom", "pos", "ref", "alt", "line", F.concat(F.lit("sig"), F.col("line") % 4).alias("clinvar_significance"))
+    gn = h.where("line % 5 <> 0").select("chrom", "pos", "ref", "alt", "line", (F.col("line") % 997).cast("bigint").alias("gnomad_ac"))
+    return lookups.unified_index({"am": (am, ["am_score", "am_class"], True), "clinvar": (cv, ["clinvar_significance"], False), "gnomad": (gn, ["gnomad_ac"], False)})
+
+
+INDEX = """SELECT chrom, pos, ref, alt, CAST(CAST(min(record_id) % 1000 / 1000 AS FLOAT) AS DOUBLE) AS am_score, CASE WHEN min(record_id) % 2 = 0 THEN 'benign' ELSE 'pathogenic' END AS am_class,
+  coalesce('sig' || CAST(max(CASE WHEN record_id % 3 = 0 THEN record_id END) % 4 AS VARCHAR), '') AS clinvar_significance, coalesce(max(CASE WHEN record_id % 5 <> 0 THEN record_id END) % 997, 0) AS gnomad_ac FROM v WHERE kind = 3 AND ln <= 2 GROUP BY chrom, pos, ref, alt"""
+
+
+@query("A7_unified_index", synth.duck(x=INDEX) + "SELECT * FROM x")
+def a7(spark, d):
+    return index_of(spark, d).withColumn("am_score", F.col("am_score").cast("double"))
+
+
+@query("J2_genomic_index_join", synth.duck(**synth.SNV_STEPS, x=INDEX) + "SELECT a.record_id, a.transcript_id, CASE WHEN list_contains(string_split(consequence, ','), 'missense_variant') THEN coalesce(am_class, '') ELSE '' END AS am_class, coalesce(clinvar_significance, '') AS clinvar_significance, coalesce(gnomad_ac, 0) AS gnomad_ac FROM ann a LEFT JOIN x ON a.chrom = x.chrom AND a.pos = x.pos AND a.ref = x.ref AND a.alt = x.alt")
+def j2(spark, d):
+    return lookups.join_index(annotated(spark, d, ["transcript_id", "consequence"]), index_of(spark, d)).select("record_id", "transcript_id", "am_class", "clinvar_significance", "gnomad_ac")
+
+
+HOTSPOTS = "SELECT 'ENST' || lpad(CAST(p_partkey AS {text}), 6, '0') AS transcript_id, CAST(1 + (p_partkey * 7 + j) % 40 AS BIGINT) AS position, CASE (p_partkey + j) % 4 WHEN 0 THEN 'single residue' WHEN 1 THEN 'splice' WHEN 2 THEN '3d' ELSE 'in-frame indel' END AS type, CAST((p_partkey % 3) / 100.0 AS DOUBLE) AS q_value FROM part, (SELECT CAST(r_regionkey % 3 AS INT) AS j FROM region) r"
+HOT_BEST = {"hs": HOTSPOTS.replace("{text}", "VARCHAR"), "hb": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, position ORDER BY q_value, CASE type WHEN 'single residue' THEN 1 WHEN 'in-frame indel' THEN 2 WHEN 'splice' THEN 3 ELSE 4 END, type) AS rn FROM hs) q WHERE rn = 1"}
+
+
+def hotspot_rows(spark, d) -> DataFrame:
+    sql = HOTSPOTS.replace("{text}", "STRING").replace("FROM part,", "FROM {part},").replace("FROM region", "FROM {region}")
+    return spark.sql(sql, part=spark.read.parquet(f"{d}/part.parquet"), region=spark.read.parquet(f"{d}/region.parquet"))
+
+
+@query("A8_hotspot_dedup", synth.duck(**HOT_BEST) + "SELECT transcript_id, position, type, q_value FROM hb")
+def a8(spark, d):
+    return lookups.best_hotspots(hotspot_rows(spark, d)).select("transcript_id", "position", "type", "q_value")
+
+
+@query("J3_hotspots", synth.duck(**synth.SNV_STEPS, **HOT_BEST) + "SELECT a.record_id, a.transcript_id, CASE WHEN hb.type IS NULL THEN '' ELSE 'Y' END AS hotspot, coalesce(hb.type, '') AS hotspot_type, CASE WHEN hb.type IS NULL THEN '' WHEN hb.q_value = 0 THEN '0' WHEN hb.q_value = 0.01 THEN '0.01' ELSE '0.02' END AS hotspot_q FROM ann a LEFT JOIN hb ON a.protein_position <> 0 AND split_part(a.transcript_id, '.', 1) = hb.transcript_id AND a.protein_position = hb.position")
+def j3(spark, d):
+    return lookups.join_hotspots(annotated(spark, d, ["transcript_id", "protein_position"]), hotspot_rows(spark, d)).select("record_id", "transcript_id", "hotspot", "hotspot_type", "hotspot_q")
+
+
+GENES = "SELECT 'GENE' || CAST(s_suppkey % 150 AS {text}) AS gene_name, CASE s_nationkey % 3 WHEN 0 THEN 'ONCOGENE' WHEN 1 THEN 'TSG' ELSE 'BOTH' END AS gene_type, s_suppkey AS line FROM supplier"
+
+
+@query("J4_cancer_genes", synth.duck(**synth.SNV_STEPS, g=GENES.replace("{text}", "VARCHAR"), g1="SELECT gene_name, arg_max(gene_type, line) AS gene_type FROM g GROUP BY gene_name") + "SELECT record_id, transcript_id, coalesce(gene_type, '') AS gene_type FROM ann LEFT JOIN g1 USING (gene_name)")
+def j4(spark, d):
+    g = spark.sql(GENES.replace("{text}", "STRING").replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+    return lookups.join_genes(annotated(spark, d, ["transcript_id", "gene_name"]), g).select("record_id", "transcript_id", "gene_type")
+
+
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def matrices(spark, d) -> DataFrame:
+    """Prediction matrices of five positions from digests of the transcripts' peptides."""
+    t = synth.transcripts(spark, d).where("cds_start > 0").select(codon.peptide_md5(F.col("cds_sequence")).alias("md5")).where("md5 <> ''").distinct()
+    body = F.concat(*[F.md5(F.concat("md5", F.lit(f"-{j}"))) for j in range(13)])
+    m = t.select("md5", F.explode(F.array(F.lit("sift"), F.lit("polyphen"))).alias("analysis"), F.unhex(F.concat(F.lit("000000"), F.substring(body, 1, 400))).alias("matrix"))
+    return m
+
+
+CELLS = {
+    "p": PEPTIDE,
+    "pm": "SELECT DISTINCT md5(split_part(peptide, '*', 1)) AS md5 FROM p WHERE split_part(peptide, '*', 1) <> ''",
+    "hx": "SELECT md5, " + " || ".join(f"md5(md5 || '-{j}')" for j in range(13)) + " AS h FROM pm",
+    "ce": "SELECT md5, a AS analysis, c // 20 + 1 AS position, substr('ACDEFGHIKLMNPQRSTVWY', CAST(c % 20 + 1 AS INT), 1) AS alt_aa, CAST('0x' || substr(h, CAST(c * 4 + 3 AS INT), 2) || substr(h, CAST(c * 4 + 1 AS INT), 2) AS BIGINT) AS cell FROM (SELECT *, unnest(range(0, 100)) AS c FROM hx) q, (SELECT unnest(['sift', 'polyphen']) AS a) b",
+    "cl": """SELECT md5, analysis, position, alt_aa, (cell & 1023) / 1000.0 AS score, CASE WHEN analysis = 'sift' THEN CASE cell >> 14 WHEN 0 THEN 'tolerated' WHEN 1 THEN 'deleterious' WHEN 2 THEN 'tolerated_low_confidence' ELSE 'deleterious_low_confidence' END
+  ELSE CASE cell >> 14 WHEN 0 THEN 'probably_damaging' WHEN 1 THEN 'possibly_damaging' WHEN 2 THEN 'benign' ELSE 'unknown' END END AS prediction FROM ce WHERE cell <> 65535""",
+}
+
+
+@query("F28_S19_prediction_cells", synth.duck(**CELLS) + "SELECT * FROM cl")
+def f28(spark, d):
+    return lookups.explode_matrix(matrices(spark, d))
+
+
+@query(
+    "J5_sift_polyphen",
+    synth.duck(**synth.SNV_STEPS, **CELLS, am="SELECT a.*, CASE WHEN split_part(peptide, '*', 1) = '' THEN NULL ELSE md5(split_part(peptide, '*', 1)) END AS m FROM ann a LEFT JOIN p USING (transcript_id)")
+    + "SELECT record_id, transcript_id, coalesce(printf('%.3f', CAST(max(CASE WHEN analysis = 'sift' THEN score END) AS DOUBLE)), '') AS sift_score, coalesce(max(CASE WHEN analysis = 'polyphen' THEN prediction END), '') AS polyphen_prediction FROM am LEFT JOIN cl ON cl.md5 = am.m AND list_contains(string_split(consequence, ','), 'missense_variant') AND protein_position = position AND right(amino_acid_change, 1) = alt_aa GROUP BY record_id, transcript_id, tx_start, hgvsc",
+)
+def j5(spark, d):
+    a = annotated(spark, d, ["transcript_id", "consequence", "protein_position", "amino_acid_change"])
+    t = synth.transcripts(spark, d).select("transcript_id", codon.peptide_md5(F.col("cds_sequence")).alias("peptide_md5"))
+    return lookups.join_predictions(a.join(t, "transcript_id", "left").fillna("", ["peptide_md5"]), lookups.explode_matrix(matrices(spark, d))).select("record_id", "transcript_id", "sift_score", "polyphen_prediction")
+
+
+@query("J14_domains_by_transcript", synth.duck(**HOT_BEST) + "SELECT transcript_id, CAST(coalesce(q.n, 0) AS BIGINT) AS n, coalesce(first_at, 0) AS first_at FROM tx LEFT JOIN (SELECT transcript_id AS b, count(*) AS n, min(position) AS first_at FROM hs GROUP BY 1) q ON split_part(transcript_id, '.', 1) = b")
+def j14(spark, d):
+    t = lookups.join_by_transcript(synth.transcripts(spark, d).select("transcript_id"), hotspot_rows(spark, d), ["position", "type"], "sites")
+    return t.select("transcript_id", F.size("sites").cast("bigint").alias("n"), F.coalesce(F.get("sites", F.lit(0))["position"], F.lit(0)).alias("first_at"))
+
+
+OVERRIDES = "SELECT 'GENE' || CAST(k % 400 AS {text}) AS gene_name, CASE WHEN k % 3 = 0 THEN 'ENST999999' ELSE 'ENST' || lpad(CAST(k AS {text}), 6, '0') END AS target FROM (SELECT p_partkey AS k FROM part WHERE p_partkey < 120) q"
+
+
+@query("J7_overrides", synth.duck(o=OVERRIDES.replace("{text}", "VARCHAR"), o1="SELECT gene_name, max(target) AS target FROM o GROUP BY 1", j="SELECT tx.*, coalesce(split_part(transcript_id, '.', 1) = target, false) AS hit FROM tx LEFT JOIN o1 USING (gene_name)") + "SELECT transcript_id, CASE WHEN bool_or(hit) OVER (PARTITION BY gene_name) THEN hit ELSE msk_canonical END AS msk_canonical FROM j")
+def j7(spark, d):
+    o = spark.sql(OVERRIDES.replace("{text}", "STRING").replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{d}/part.parquet"))
+    return model.with_overrides(synth.transcripts(spark, d), o).select("transcript_id", "msk_canonical")
+
+
+@query("J8_entrez", synth.duck() + "SELECT transcript_id, CASE WHEN k % 400 < 150 THEN CAST(k % 400 + 1000 AS VARCHAR) ELSE '' END AS entrez_id FROM tx")
+def j8(spark, d):
+    e = spark.range(150).select(F.concat(F.lit("GENE"), "id").alias("gene_name"), (F.col("id") + 1000).cast("string").alias("entrez_id"))
+    return model.with_entrez(synth.transcripts(spark, d), e).select("transcript_id", "entrez_id")
+
+
+@query("J9_A9_A10_S6_S7_gtf_model", synth.duck(x=EXONS) + """SELECT transcript_id, gene_name, tx.s AS start_pos, tx.e AS end_pos, cds_start, cds_end, CAST(n AS BIGINT) AS exons, CASE WHEN cds_start = 0 THEN 0 WHEN strand = 1 THEN 0 ELSE CASE WHEN n = 1 THEN 0 ELSE 90 * (n - 1) - 25 END END AS first_offset, CASE WHEN strand = 1 THEN 90 * (n - 1) ELSE 0 END AS last_cum FROM tx""")
+def j9(spark, d):
+    """A GTF written from the synthetic transcripts, read back and assembled."""
+    import uuid
+
+    t = synth.transcripts(spark, d)
+    tag = F.when(F.col("canonical"), F.lit(' tag "Ensembl_canonical";')).otherwise(F.lit(""))
+    attributes = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "transcript_id", F.lit('"; gene_name "'), "gene_name", F.lit('"; transcript_type "'), "biotype", F.lit('";'), tag)
+    sign = F.when(F.col("strand") == 1, "+").otherwise("-")
+    row = lambda kind, lo, hi: F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.lit("x"), F.lit(kind), lo.cast("string"), hi.cast("string"), F.lit("."), sign, F.lit("."), attributes)
+    e = t.withColumn("e", F.explode("exons"))
+    lines = t.select(row("transcript", F.col("start"), F.col("end")).alias("value")).unionAll(e.select(row("exon", F.col("e.start"), F.col("e.end")))).unionAll(e.where("e.cds_start > 0").select(row("CDS", F.col("e.cds_start"), F.col("e.cds_end"))))
+    path = f"{_shared(spark)}/gtf-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    m = model.assemble(tables.gtf(tables.read(spark, path)))
+    return m.select("transcript_id", "gene_name", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "cds_start", "cds_end", F.size("exons").cast("bigint").alias("exons"), F.coalesce(F.get("cds_regions", F.lit(0))["offset"], F.lit(0)).alias("first_offset"), F.element_at("exon_cum", -1).alias("last_cum"))
+
+
+@query("J6_S8_fasta", synth.duck() + "SELECT transcript_id, cds_sequence, utr3_sequence FROM tx WHERE cds_start > 0")
+def j6(spark, d):
+    """FASTA records under other versions, with the coding range in the header, joined by the id without version."""
+    import uuid
+
+    t = synth.transcripts(spark, d).where("cds_start > 0")
+    seq = F.concat(F.lit("GGGGG"), "cds_sequence", "utr3_sequence")
+    head = F.concat(F.lit(">"), text.unversioned(F.col("transcript_id")), F.lit(".99|"), "gene_name", F.lit("|CDS:6-"), F.length("cds_sequence") + 5, F.lit("|"))
+    path = f"{_shared(spark)}/fasta-{uuid.uuid4().hex}"
+    t.select(F.concat_ws("\n", head, F.substring(seq, 1, 60), F.substring(seq, 61, 100000)).alias("value")).write.text(path)
+    return model.with_sequences(t.drop("cds_sequence", "utr3_sequence"), tables.fasta(spark, path)).select("transcript_id", "cds_sequence", "utr3_sequence")
+
+
+@query("J13_X5_canonical_by_gene", synth.duck() + "SELECT gene_name, transcript_id FROM (SELECT *, row_number() OVER (PARTITION BY gene_name ORDER BY msk_canonical DESC, canonical DESC, cds_start > 0 DESC, mane_select DESC, e - s DESC, transcript_id) AS rn FROM tx) q WHERE rn = 1")
+def j13(spark, d):
+    return session.canonical_transcripts(synth.transcripts(spark, d)).select("gene_name", "transcript_id")
+
+
+@query("J13_transcripts_by_gene", synth.duck() + "SELECT transcript_id, chrom FROM tx WHERE gene_name = 'GENE9'")
+def j13b(spark, d):
+    return session.transcripts_where(synth.transcripts(spark, d), gene="GENE9").select("transcript_id", "chrom")
+
+
+REFBASE = {"cj": "SELECT v.chrom, v.pos, t.s, t.transcript_id, CASE WHEN strand = 1 THEN 90 * ((pos - s) // 140) + (pos - s) % 140 - 19 ELSE 90 * (n - 1 - (pos - s) // 140) + 89 - (pos - s) % 140 - 24 END AS c, strand, cds_sequence FROM (SELECT DISTINCT chrom, pos FROM v) v JOIN tx t ON v.chrom = t.chrom AND v.pos BETWEEN t.cds_start AND t.cds_end AND (v.pos - t.s) % 140 < 90"}
+
+
+@query("J15_reference_base", synth.duck(**REFBASE) + "SELECT v.chrom, v.pos, coalesce(base, '') AS base FROM (SELECT DISTINCT chrom, pos FROM v) v LEFT JOIN (SELECT chrom, pos, arg_min(CASE WHEN strand = 1 THEN substr(cds_sequence, CAST(c AS INT), 1) ELSE translate(substr(cds_sequence, CAST(c AS INT), 1), 'ACGT', 'TGCA') END, CAST(100000000 - s AS VARCHAR) || transcript_id) AS base FROM cj GROUP BY 1, 2) b ON v.chrom = b.chrom AND v.pos = b.pos")
+def j15(spark, d):
+    return reverse.reference_bases(synth.variants(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN)
+
+
+# ---- comparison ---------------------------------------------------------------------------------------------------
+
+#: Two files of annotations: the same variants, some dropped, some relabelled.
+LEFT = "SELECT record_id, chrom, pos, ref, alt, consequence, hgvsc, {short} AS hgvsp_short, impact FROM a WHERE record_id % 11 <> 0".replace("{short}", "hgvsp")
+RELABEL = "CASE record_id % 7 WHEN 0 THEN 'intergenic_variant' WHEN 1 THEN 'frameshift_variant' WHEN 2 THEN 'Missense_Mutation' ELSE consequence END"
+
+
+def two_files(spark, d):
+    a = pick.pick_best(annotated(spark, d), ["record_id"]).withColumn("key", alleles.compare_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
+    left = a.where("record_id % 11 <> 0").select("key", "record_id", "consequence", "hgvsc", F.col("hgvsp").alias("hgvsp_short"), "impact")
+    right = a.where("record_id % 13 <> 0").select("key", "record_id", F.expr(RELABEL).alias("consequence"), F.when(F.col("record_id") % 5 == 0, "").otherwise(F.col("hgvsc")).alias("hgvsc"), F.when(F.col("record_id") % 9 == 0, F.concat("hgvsp", F.lit("fs"))).otherwise(F.col("hgvsp")).alias("hgvsp_short"), "impact")
+    return left, right
+
+
+COMPARE = synth.SNV_STEPS | {
+    "a": f"SELECT *, chrom || ':' || CAST(pos AS VARCHAR) || ' ' || ref || '>' || alt AS key FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {BETTER}) AS rn FROM ann) q WHERE rn = 1",
+    "l": "SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM a WHERE record_id % 11 <> 0",
+    "r": f"SELECT key, record_id, {RELABEL} AS consequence, CASE WHEN record_id % 5 = 0 THEN '' ELSE hgvsc END AS hgvsc, CASE WHEN record_id % 9 = 0 THEN hgvsp || 'fs' ELSE hgvsp END AS hgvsp, impact, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM a WHERE record_id % 13 <> 0",
+    "p": "SELECT coalesce(l.key, r.key) AS key, coalesce(l.nn, r.nn) AS n, l.key IS NOT NULL AS hl, r.key IS NOT NULL AS hr, l.consequence AS lc, r.consequence AS rc, l.hgvsc AS lh, r.hgvsc AS rh, l.hgvsp AS lp, r.hgvsp AS rp, l.impact AS li, r.impact AS ri FROM l FULL JOIN r ON l.key = r.key AND l.nn = r.nn",
+}
+
+
+@query("J10_A14_overlap", synth.duck(**COMPARE) + "SELECT CAST(count(CASE WHEN hl AND hr THEN 1 END) AS BIGINT) AS shared, CAST(count(CASE WHEN hl AND NOT hr THEN 1 END) AS BIGINT) AS left_only, CAST(count(CASE WHEN hr AND NOT hl THEN 1 END) AS BIGINT) AS right_only, CAST(count(*) AS BIGINT) AS total, round(100.0 * count(CASE WHEN hl AND hr THEN 1 END) / count(*), 4) AS shared_percent FROM p")
+def j10(spark, d):
+    return compare.overlap_stats(compare.paired(*two_files(spark, d), "key", "record_id"))
+
+
+COLUMNS = [("consequence", "consequence"), ("hgvsc", "hgvsc"), ("hgvsp_short", "hgvsp_short"), ("impact", "impact")]
+
+
+def compared(spark, d, categorise=True):
+    pairs, _ = compare.resolve_columns(["key", "record_id", *(c for c, _ in COLUMNS)], ["key", "record_id", *(c for c, _ in COLUMNS)], {"key", "record_id"})
+    return compare.categorised(compare.paired(*two_files(spark, d), "key", "record_id"), pairs, categorise)
+
+
+SIMPLE = "CASE WHEN {0} = {1} THEN 'match' ELSE 'mismatch' END"
+LONG = " UNION ALL ".join(f"SELECT '{c}' AS col, {x} AS lv, {y} AS rv, {SIMPLE.format(x, y)} AS cat FROM p WHERE hl AND hr" for c, x, y in (("consequence", "lc", "rc"), ("hgvsc", "lh", "rh"), ("hgvsp_short", "lp", "rp"), ("impact", "li", "ri")))
+
+
+@query("D1_D2_A11_column_counts", synth.duck(**COMPARE, lo=LONG) + "SELECT col AS column, CAST(count(CASE WHEN cat = 'match' THEN 1 END) AS BIGINT) AS matches, CAST(count(CASE WHEN cat <> 'match' THEN 1 END) AS BIGINT) AS diffs, round(100.0 * count(CASE WHEN cat = 'match' THEN 1 END) / count(*), 4) AS concordance FROM lo GROUP BY col")
+def d2(spark, d):
+    return compare.column_counts(compared(spark, d, False))
+
+
+@query("A13_transitions", synth.duck(**COMPARE, lo=LONG, g="SELECT col, lv, rv, CAST(count(*) AS BIGINT) AS c FROM lo WHERE lv <> rv GROUP BY ALL", vals="SELECT col, count(DISTINCT x) AS k FROM (SELECT col, lv AS x FROM g UNION ALL SELECT col, rv FROM g) q GROUP BY col") + "SELECT col AS column, lv AS left, rv AS right, c AS count, rn AS place, greatest(k - 20, 0) AS more FROM (SELECT g.*, CAST(row_number() OVER (PARTITION BY g.col ORDER BY c DESC, lv, rv) AS BIGINT) AS rn, CAST(count(*) OVER (PARTITION BY g.col) AS BIGINT) AS k FROM g JOIN vals ON g.col = vals.col AND vals.k <= 500) q WHERE rn <= 20")
+def a13(spark, d):
+    return compare.transitions(compared(spark, d, False))
+
+
+HGVSC_CAT = "CASE WHEN lh = '' AND rh = '' THEN 'both_empty' WHEN lh = rh THEN 'match' WHEN lh = '' THEN 'maf_empty' ELSE 'vep_empty' END"
+HGVSP_CAT = "CASE WHEN lp = '' AND rp = '' THEN 'both_empty' WHEN lp = rp THEN 'match' WHEN contains(rc, 'splice_donor_variant') OR contains(rc, 'splice_acceptor_variant') AND rp = '' THEN 'mismatch' WHEN lp = '' THEN 'maf_empty' ELSE 'mismatch' END"
+
+
+@query("D7_hgvsc_category", synth.duck(**COMPARE) + f"SELECT key, n, {HGVSC_CAT} AS cat FROM p WHERE hl AND hr")
+def d7(spark, d):
+    return compared(spark, d).select("key", "n", F.col("Cat_hgvsc").alias("cat"))
+
+
+@query("D6_hgvsp_category", synth.duck(**COMPARE) + "SELECT key, n, CASE WHEN lp = '' AND rp = '' THEN 'both_empty' WHEN lp = rp THEN 'match' WHEN lp = '' THEN CASE WHEN contains(rp, 'fs') THEN 'maf_empty' ELSE 'mismatch' END WHEN lp <> '' AND regexp_replace(lp, '[0-9]', '', 'g') = regexp_replace(rp, '[0-9]', '', 'g') OR lh <> '' AND rh <> '' AND lh = rh THEN 'position_shift' WHEN regexp_full_match(lp, 'p\\.[A-Z][0-9]+_splice') THEN 'splice_vs_predicted' ELSE 'mismatch' END AS cat FROM p WHERE hl AND hr")
+def d6(spark, d):
+    return compared(spark, d).select("key", "n", F.col("Cat_hgvsp_short").alias("cat"))
+
+
+NORM = {
+    "ct": "SELECT DISTINCT lc, rc FROM p WHERE hl AND hr",
+    "tm": "SELECT DISTINCT c, list_transform(string_split(lower(c), ','), lambda x: CASE x " + " ".join("WHEN '{}' THEN '{}'".format(k.replace("'", "''"), v) for k, v in terms.ALIASES.items()) + " ELSE x END) AS t FROM (SELECT lc AS c FROM ct UNION ALL SELECT rc FROM ct) q",
+    "t2": "SELECT c, list_filter(t, lambda x: x NOT IN ('non_coding_transcript_variant', 'nmd_transcript_variant', 'splice_polypyrimidine_tract_variant')) AS t FROM tm",
+    "t3": "SELECT c, list_sort(list_filter(t, lambda x: NOT ((list_has_any(t, ['splice_donor_variant', 'splice_acceptor_variant']) AND x = 'intron_variant') OR (len(list_filter(t, lambda y: y NOT IN ('intron_variant', 'splice_region_variant'))) > 0 AND x = 'splice_region_variant') OR (list_has_any(t, ['splice_acceptor_variant', 'splice_donor_variant', 'stop_gained', 'frameshift_variant', 'stop_lost', 'start_lost']) AND x IN ('5_prime_utr_variant', '3_prime_utr_variant', 'stop_retained_variant', 'start_retained_variant', 'coding_sequence_variant')) OR (list_contains(t, 'frameshift_variant') AND x IN ('stop_gained', 'stop_lost'))))) AS t FROM t2",
+}
+
+
+@query("D4_normalise_terms", synth.duck(**COMPARE, **NORM) + "SELECT c AS consequence, array_to_string(t, ',') AS normalised FROM t3")
+def d4(spark, d):
+    c = compared(spark, d)
+    both = c.select(F.col("L_consequence").alias("consequence")).unionAll(c.select("R_consequence")).distinct()
+    return both.select("consequence", terms.normalised(F.col("consequence")).alias("normalised"))
+
+
+NON = "list_has_any({0}, ['non_coding_transcript_exon_variant', 'intron_variant'])"
+COD = "list_has_any(string_split(lower({0}), ','), [" + ", ".join(f"'{t}'" for t in terms.CODING_TERMS) + "])"
+UTR = "(contains({0}, '5_prime_utr_variant') OR contains({0}, '3_prime_utr_variant'))"
+PRIM = "CASE WHEN list_has_any({0}, ['splice_acceptor_variant']) THEN 'splice_acceptor_variant' WHEN list_contains({0}, 'splice_donor_variant') THEN 'splice_donor_variant' ELSE {0}[1] END"
+
+
+@query(
+    "D3_D5_D8_consequence_category",
+    synth.duck(**COMPARE, **NORM, q=f"SELECT p.*, {HGVSC_CAT} AS hc, array_to_string(x.t, ',') AS a, array_to_string(y.t, ',') AS b, {NON.format('x.t')} AS na, {NON.format('y.t')} AS nb, {COD.format('lc')} AS ca, {COD.format('rc')} AS cb, x.t[1] AS pa, y.t[1] AS pb FROM p JOIN t3 x ON lc = x.c JOIN t3 y ON rc = y.c WHERE hl AND hr")
+    + f"""SELECT key, n, CASE WHEN a = b THEN 'match' WHEN a IN ('downstream_gene_variant', 'upstream_gene_variant') THEN 'upstream_reclassified' WHEN b = 'coding_sequence_variant' AND ca THEN 'no_cds_data'
+  WHEN (ca AND nb) OR (na AND cb) OR (na AND nb) OR (a = 'non_coding_transcript_exon_variant' AND {UTR.format('b')}) OR ({UTR.format('a')} AND b = 'non_coding_transcript_exon_variant') THEN 'transcript_model_change'
+  WHEN (na AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND nb) OR (ca AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND cb) THEN 'gene_model_change'
+  WHEN ({UTR.format('a')} OR a = 'intron_variant') AND ({UTR.format('b')} OR b = 'intron_variant') THEN 'upstream_reclassified'
+  WHEN pa = pb OR contains(b, pa) OR contains(a, pb) OR (pa = 'frameshift_variant' AND pb IN ('stop_gained', 'start_lost')) OR (pb = 'frameshift_variant' AND pa IN ('stop_gained', 'start_lost'))
+    OR (b IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(a, 'splice_region_variant') OR contains(a, 'frameshift_variant') OR a = 'start_lost')) OR (a IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(b, 'splice_region_variant') OR contains(b, 'frameshift_variant') OR b = 'start_lost'))
+    OR (pa = 'stop_retained_variant' AND pb IN ('stop_lost', 'synonymous_variant')) OR (pb = 'stop_retained_variant' AND pa IN ('stop_lost', 'synonymous_variant')) OR (pa = 'start_lost' AND pb IN ('synonymous_variant', 'missense_variant')) OR (pb = 'start_lost' AND pa IN ('synonymous_variant', 'missense_variant')) THEN 'match'
+  ELSE 'mismatch' END AS cat FROM q""",
+)
+def d5(spark, d):
+    return compared(spark, d).select("key", "n", F.col("Cat_consequence").alias("cat"))
+
+
+@query("A12_category_counts", synth.duck(**COMPARE) + f"SELECT 'hgvsc' AS column, cat AS category, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, cat) AS BIGINT) AS place FROM (SELECT {HGVSC_CAT} AS cat FROM p WHERE hl AND hr) q GROUP BY cat")
+def a12(spark, d):
+    return compare.category_counts(compared(spark, d)).where(F.col("column") == "hgvsc")
+
+
+@query("A15_K14_differing_rows", synth.duck(**COMPARE) + "SELECT key, n, lc AS l_consequence, rc AS r_consequence FROM p WHERE hl AND hr AND NOT (lc = rc AND lh = rh AND lp = rp AND li = ri) ORDER BY key, n LIMIT 100")
+def a15(spark, d):
+    return compare.differing(compared(spark, d, False), 100).select("key", "n", F.col("L_consequence").alias("l_consequence"), F.col("R_consequence").alias("r_consequence"))
+
+
+@query("D9_A16_K15_field_report", synth.duck(**COMPARE, f=" UNION ALL ".join(f"SELECT '{c}' AS field, CASE WHEN {x} = '' AND {y} = '' THEN 'both_empty' WHEN {x} = '' THEN 'right_only' WHEN {y} = '' THEN 'left_only' WHEN {x} = {y} THEN 'match' ELSE 'mismatch' END AS st FROM p WHERE hl AND hr" for c, x, y in (("consequence", "lc", "rc"), ("hgvsc", "lh", "rh"), ("hgvsp_short", "lp", "rp")))) + "SELECT field, CAST(count(*) AS BIGINT) AS total, " + ", ".join(f"CAST(count(CASE WHEN st = '{s}' THEN 1 END) AS BIGINT) AS {s}" for s in ("match", "mismatch", "both_empty", "left_only", "right_only")) + ", CASE WHEN count(CASE WHEN st <> 'both_empty' THEN 1 END) > 0 THEN round(100.0 * count(CASE WHEN st = 'match' THEN 1 END) / count(CASE WHEN st <> 'both_empty' THEN 1 END), 4) ELSE 0.0 END AS match_rate FROM f GROUP BY field")
+def d9(spark, d):
+    return compare.gn_report(compare.gn_fields(compare.paired(*two_files(spark, d), "key", "record_id"), ["consequence", "hgvsc", "hgvsp_short"]))

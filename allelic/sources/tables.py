@@ -42,8 +42,8 @@ def gtf(lines: DataFrame, chrom: str | None = None) -> DataFrame:
     attribute = lambda k: F.regexp_extract(at(8), rf'(?:^|;\s*){k} "([^"]*)"', 1)
     tags = F.array_join(F.regexp_extract_all(at(8), F.lit(r'(?:^|;\s*)tag "([^"]*)"'), F.lit(1)), " ")
     return f.select(
-        "line", alleles.chrom_of_gtf(at(0)).alias("chrom"), at(2).alias("feature"), at(3).cast("bigint").alias("start"), at(4).cast("bigint").alias("end"), F.when(at(6) == "-", -1).otherwise(1).alias("strand"),
-        F.coalesce(at(7).cast("int"), F.lit(-1)).alias("frame"), attribute("transcript_id").alias("transcript_id"), text.unversioned(attribute("gene_id")).alias("gene_id"), attribute("gene_name").alias("gene_name"),
+        "line", alleles.chrom_of_gtf(at(0)).alias("chrom"), at(2).alias("feature"), at(3).try_cast("bigint").alias("start"), at(4).try_cast("bigint").alias("end"), F.when(at(6) == "-", -1).otherwise(1).alias("strand"),
+        F.coalesce(at(7).try_cast("int"), F.lit(-1)).alias("frame"), attribute("transcript_id").alias("transcript_id"), text.unversioned(attribute("gene_id")).alias("gene_id"), attribute("gene_name").alias("gene_name"),
         F.coalesce(F.nullif(attribute("transcript_type"), F.lit("")), attribute("transcript_biotype")).alias("biotype"), text.unversioned(attribute("protein_id")).alias("protein_id"), tags.alias("tags"),
         tags.contains("Ensembl_canonical").alias("canonical"), tags.contains("MANE_Select").alias("mane_select"),
     ).where("start is not null and end is not null")
@@ -53,7 +53,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (up to the first pipe or space), cds_from and cds_to (null where the header has no CDS:a-b) and sequence."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v")).where("trim(v) <> ''")
     head, body = F.split("v", "\n", 2)[0], F.coalesce(F.get(F.split("v", "\n", 2), F.lit(1)), F.lit(""))
-    part = lambda i: F.nullif(F.regexp_extract(head, r"CDS:(\d+)-(\d+)", i), F.lit("")).cast("bigint")
+    part = lambda i: F.nullif(F.regexp_extract(head, r"CDS:(\d+)-(\d+)", i), F.lit("")).try_cast("bigint")
     return raw.select(F.regexp_extract(head, r"^([^|\s]*)", 1).alias("name"), part(1).alias("cds_from"), part(2).alias("cds_to"), F.upper(F.regexp_replace(body, r"[\s>]", "")).alias("sequence"))
 
 
@@ -74,19 +74,19 @@ def override_table(lines: DataFrame) -> DataFrame:
 
 def alphamissense(lines: DataFrame) -> DataFrame:
     f = fields(lines, skip=4).where(F.size("f") >= 10)
-    return f.select(alleles.chrom_of_vcf(at(0)).alias("chrom"), at(1).cast("bigint").alias("pos"), at(2).alias("ref"), at(3).alias("alt"), "line", at(8).cast("float").alias("am_score"), at(9).alias("am_class")).where("length(ref) = 1 and length(alt) = 1 and pos is not null and am_score is not null")
+    return f.select(alleles.chrom_of_vcf(at(0)).alias("chrom"), at(1).try_cast("bigint").alias("pos"), at(2).alias("ref"), at(3).alias("alt"), "line", at(8).try_cast("float").alias("am_score"), at(9).alias("am_class")).where("length(ref) = 1 and length(alt) = 1 and pos is not null and am_score is not null")
 
 
 def signal(lines: DataFrame) -> DataFrame:
     rows, c = by_header(lines)
-    out = rows.select("line", alleles.chrom_of_vcf(c["Chromosome"]).alias("chrom"), c["Start_Position"].cast("bigint").alias("pos"), c["Reference_Allele"].alias("_r"), c["Alternate_Allele"].alias("_a"), c["n_impact"].cast("bigint").alias("signal_count"), c["f_impact"].cast("double").alias("signal_frequency"))
+    out = rows.select("line", alleles.chrom_of_vcf(c["Chromosome"]).alias("chrom"), c["Start_Position"].try_cast("bigint").alias("pos"), c["Reference_Allele"].alias("_r"), c["Alternate_Allele"].alias("_a"), c["n_impact"].try_cast("bigint").alias("signal_count"), c["f_impact"].try_cast("double").alias("signal_frequency"))
     bare = lambda x: F.when(F.col(x) == "-", F.lit("")).otherwise(F.col(x))
     return out.where("signal_count > 0 and signal_frequency > 0").select("chrom", "pos", bare("_r").alias("ref"), bare("_a").alias("alt"), "line", F.lit("germline").alias("signal_status"), "signal_count", "signal_frequency")
 
 
 def hotspots(lines: DataFrame) -> DataFrame:
     rows, c = by_header(lines)
-    return rows.select("line", c["hugo_symbol"].alias("gene_name"), c["amino_acid_position"].cast("bigint").alias("position"), c["type"].alias("type"), F.coalesce(c["q_value"].cast("double"), F.lit(0.0)).alias("q_value"), c["transcript_id"].alias("transcript_id")).where("transcript_id <> '' and position is not null")
+    return rows.select("line", c["hugo_symbol"].alias("gene_name"), c["amino_acid_position"].try_cast("bigint").alias("position"), c["type"].alias("type"), F.coalesce(c["q_value"].try_cast("double"), F.lit(0.0)).alias("q_value"), c["transcript_id"].alias("transcript_id")).where("transcript_id <> '' and position is not null")
 
 
 def gene_list(lines: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def gene_list(lines: DataFrame) -> DataFrame:
 def pfam(families: DataFrame, domains: DataFrame) -> DataFrame:
     """transcript_id, pfam, name, start, end: domains with their family's name."""
     a = fields(families).select(at(0).alias("pfam"), at(1).alias("name"), at(2).alias("description")).where("pfam <> ''")
-    d = fields(domains, skip=1).select(at(1).alias("transcript_id"), at(3).alias("pfam"), at(4).cast("bigint").alias("start"), at(5).cast("bigint").alias("end")).where("transcript_id <> '' and pfam <> '' and start is not null")
+    d = fields(domains, skip=1).select(at(1).alias("transcript_id"), at(3).alias("pfam"), at(4).try_cast("bigint").alias("start"), at(5).try_cast("bigint").alias("end")).where("transcript_id <> '' and pfam <> '' and start is not null")
     return d.join(a.groupBy("pfam").agg(F.max("name").alias("name"), F.max("description").alias("description")), "pfam", "left").fillna("", ["name", "description"])
 
 
@@ -121,10 +121,10 @@ def json_transcripts(spark: SparkSession, path: str) -> DataFrame:
     schema = f"ID string, GeneID string, GeneName string, Chrom string, Start bigint, End bigint, Strand int, Biotype string, IsCanonicalMSK boolean, IsCanonicalEnsembl boolean, IsMANESelect boolean, ProteinID string, CDSStart bigint, CDSEnd bigint, Exons array<struct<{exon.replace(' int', ':int').replace(' bigint', ':bigint')}>>, CDSSequence string, UTR3Sequence string"
     j = spark.read.schema(schema).option("multiLine", True).json(path)
     s = lambda c: F.coalesce(F.col(c), F.lit(""))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).try_cast("bigint")
     b = lambda c: F.coalesce(F.col(c), F.lit(False))
     exons = F.transform(F.array_sort(F.transform("Exons", lambda e: F.struct(e["Start"].alias("start"), e["End"].alias("end"), e["Number"].alias("number"), F.coalesce(e["CDSStart"], F.lit(0)).alias("cds_start"), F.coalesce(e["CDSEnd"], F.lit(0)).alias("cds_end"), F.coalesce(e["Frame"], F.lit(-1)).alias("frame")))), lambda e: F.struct(e["number"].alias("number"), e["start"].alias("start"), e["end"].alias("end"), e["cds_start"].alias("cds_start"), e["cds_end"].alias("cds_end"), e["frame"].alias("frame")))
-    return j.select(s("ID").alias("transcript_id"), s("GeneID").alias("gene_id"), s("GeneName").alias("gene_name"), alleles.chrom_of_gtf(s("Chrom")).alias("chrom"), z("Start").alias("start"), z("End").alias("end"), F.coalesce("Strand", F.lit(1)).cast("int").alias("strand"), s("Biotype").alias("biotype"), b("IsCanonicalEnsembl").alias("canonical"), b("IsCanonicalMSK").alias("msk_canonical"), b("IsMANESelect").alias("mane_select"), z("CDSStart").alias("cds_start"), z("CDSEnd").alias("cds_end"), s("ProteinID").alias("protein_id"), F.lit("").alias("entrez_id"), exons.alias("exons"), s("CDSSequence").alias("cds_sequence"), s("UTR3Sequence").alias("utr3_sequence"))
+    return j.select(s("ID").alias("transcript_id"), s("GeneID").alias("gene_id"), s("GeneName").alias("gene_name"), alleles.chrom_of_gtf(s("Chrom")).alias("chrom"), z("Start").alias("start"), z("End").alias("end"), F.coalesce("Strand", F.lit(1)).try_cast("int").alias("strand"), s("Biotype").alias("biotype"), b("IsCanonicalEnsembl").alias("canonical"), b("IsCanonicalMSK").alias("msk_canonical"), b("IsMANESelect").alias("mane_select"), z("CDSStart").alias("cds_start"), z("CDSEnd").alias("cds_end"), s("ProteinID").alias("protein_id"), F.lit("").alias("entrez_id"), exons.alias("exons"), s("CDSSequence").alias("cds_sequence"), s("UTR3Sequence").alias("utr3_sequence"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
