@@ -12,6 +12,8 @@ from .functions import alleles, codon, coords, notation, terms, text
 from .operators import lookups, writers
 from .plans import compare, model, overlap, pick, predict, reverse
 from .sources import tables
+from .sources import variants as vs
+from .streaming import annotate as stream
 
 #: Width of the interval join's bins for the synthetic genome, whose transcripts are a few hundred bases long.
 BIN = 1024
@@ -200,8 +202,6 @@ def p2(spark, d):
 
 @query("P3_P4_split_and_id", V + "SELECT record_id, CAST(i AS INT) AS ord, chrom || '_' || CAST(pos AS VARCHAR) || '_' || ref || '/' || a AS variant_id FROM (SELECT *, unnest([alt, alt || 'A']) AS a, unnest(range(0, 2)) AS i FROM v) q")
 def p3(spark, d):
-    from .sources import variants as vs
-
     r = variants_only(spark, d).select(F.col("record_id").alias("line"), "chrom", "pos", "ref", F.concat_ws(",", "alt", F.concat("alt", F.lit("A"))).alias("alts"))
     return vs.split_alleles(r).select("record_id", "ord", alleles.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_id"))
 
@@ -635,3 +635,174 @@ def a15(spark, d):
 @query("D9_A16_K15_field_report", synth.duck(**COMPARE, f=" UNION ALL ".join(f"SELECT '{c}' AS field, CASE WHEN {x} = '' AND {y} = '' THEN 'both_empty' WHEN {x} = '' THEN 'right_only' WHEN {y} = '' THEN 'left_only' WHEN {x} = {y} THEN 'match' ELSE 'mismatch' END AS st FROM p WHERE hl AND hr" for c, x, y in (("consequence", "lc", "rc"), ("hgvsc", "lh", "rh"), ("hgvsp_short", "lp", "rp")))) + "SELECT field, CAST(count(*) AS BIGINT) AS total, " + ", ".join(f"CAST(count(CASE WHEN st = '{s}' THEN 1 END) AS BIGINT) AS {s}" for s in ("match", "mismatch", "both_empty", "left_only", "right_only")) + ", CASE WHEN count(CASE WHEN st <> 'both_empty' THEN 1 END) > 0 THEN round(100.0 * count(CASE WHEN st = 'match' THEN 1 END) / count(CASE WHEN st <> 'both_empty' THEN 1 END), 4) ELSE 0.0 END AS match_rate FROM f GROUP BY field")
 def d9(spark, d):
     return compare.gn_report(compare.gn_fields(compare.paired(*two_files(spark, d), "key", "record_id"), ["consequence", "hgvsc", "hgvsp_short"]))
+
+
+# ---- reverse mapping ----------------------------------------------------------------------------------------------
+
+
+def specs(spark, d, expr: str) -> DataFrame:
+    t = synth.transcripts(spark, d).where("cds_start > 0")
+    return t.select(F.col("k").alias("id"), F.expr(expr).alias("input"))
+
+
+def resolved(spark, d, expr: str) -> DataFrame:
+    return reverse.resolve(specs(spark, d, expr), synth.transcripts(spark, d).drop("k", "n"), width=BIN).select("id", "chrom", "pos", "ref", "alt", (F.col("error") != "").alias("failed"))
+
+
+TARGETS = "substr('ACDEFGHIKLMNPQRSTVWY', CAST(k % 20 + 1 AS INT), 1)"
+CODON_NO = "(3 + k % 10)"
+GENOMIC = "CASE WHEN strand = 1 THEN s + 140 * ((({0}) + 20) // 90) + (({0}) + 20) % 90 ELSE s + 140 * (n - 1 - (({0}) + 25) // 90) + 89 - (({0}) + 25) % 90 END"
+REV = {
+    "c0": f"SELECT *, {CODON_NO} AS num, {TARGETS} AS want, substr(cds_sequence, CAST({CODON_NO} * 3 - 2 AS INT), 3) AS cod FROM tx WHERE cds_start > 0",
+    "c1": f"SELECT *, {synth.AA.format('cod')} AS have FROM c0",
+    "c2": "SELECT *, unnest([0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2]) AS o, unnest(['A', 'C', 'G', 'T', 'A', 'C', 'G', 'T', 'A', 'C', 'G', 'T']) AS b FROM c1",
+    "c3": "SELECT *, substr(cod, 1, CAST(o AS INT)) || b || substr(cod, CAST(o + 2 AS INT)) AS new FROM c2 WHERE substr(cod, CAST(o + 1 AS INT), 1) <> b",
+    "c4": f"SELECT k AS id, chrom, {GENOMIC.format('num * 3 - 2 + o - 1')} AS pos, CASE WHEN strand = 1 THEN substr(cod, CAST(o + 1 AS INT), 1) ELSE translate(substr(cod, CAST(o + 1 AS INT), 1), 'ACGT', 'TGCA') END AS ref, CASE WHEN strand = 1 THEN b ELSE translate(b, 'ACGT', 'TGCA') END AS alt, false AS failed FROM c3 WHERE {synth.AA.format('new')} = want",
+}
+
+
+@query("R1_R4_protein_to_variants", synth.duck(**REV) + "SELECT * FROM c4 UNION ALL SELECT k, '', 0, '', '', true FROM c1 WHERE k NOT IN (SELECT id FROM c4)")
+def r1(spark, d):
+    peptide = codon.translate(F.col("cds_sequence"))
+    t = synth.transcripts(spark, d).where("cds_start > 0").withColumn("pep", peptide)
+    inputs = t.select(F.col("k").alias("id"), F.concat("transcript_id", F.lit(" p."), F.expr(f"substring(pep, cast({CODON_NO} as int), 1)"), F.expr(f"cast({CODON_NO} as string)"), F.expr(TARGETS)).alias("input"))
+    return reverse.resolve(inputs, synth.transcripts(spark, d).drop("k", "n"), width=BIN).select("id", "chrom", "pos", "ref", "alt", (F.col("error") != "").alias("failed"))
+
+
+SUBS = f"SELECT k AS id, chrom, {GENOMIC.format('4 + k % 30')} AS pos, CASE WHEN strand = 1 THEN r ELSE translate(r, 'ACGT', 'TGCA') END AS ref, CASE WHEN strand = 1 THEN translate(r, 'ACGT', 'CGTA') ELSE translate(translate(r, 'ACGT', 'CGTA'), 'ACGT', 'TGCA') END AS alt, false AS failed FROM (SELECT *, substr(cds_sequence, CAST(5 + k % 30 AS INT), 1) AS r FROM tx WHERE cds_start > 0) q"
+
+
+@query("R2_coding_substitution", synth.duck() + SUBS)
+def r2(spark, d):
+    return resolved(spark, d, "concat(transcript_id, ':c.', cast(5 + k % 30 as string), substring(cds_sequence, cast(5 + k % 30 as int), 1), '>', translate(substring(cds_sequence, cast(5 + k % 30 as int), 1), 'ACGT', 'CGTA'))")
+
+
+@query(
+    "R3_F27_coding_deletion",
+    synth.duck(q="SELECT *, 6 + k % 20 AS a, 6 + k % 20 + k % 3 AS z, length(cds_sequence) AS len FROM tx WHERE cds_start > 0", c="SELECT *, unnest(range(1, len - (z - a) + 1)) AS p FROM q", e="SELECT * FROM c WHERE substr(cds_sequence, 1, CAST(p - 1 AS INT)) || substr(cds_sequence, CAST(p + z - a + 1 AS INT)) = substr(cds_sequence, 1, CAST(a - 1 AS INT)) || substr(cds_sequence, CAST(z + 1 AS INT))", g=f"SELECT *, p + z - a AS y, {GENOMIC.format('p - 1')} AS glo, {GENOMIC.format('p + z - a - 1')} AS ghi FROM e")
+    + "SELECT k AS id, chrom, CASE WHEN strand = 1 THEN glo ELSE ghi END - 1 AS pos, CASE WHEN strand = 1 THEN substr(cds_sequence, CAST(p - 1 AS INT), CAST(y - p + 2 AS INT)) ELSE reverse(translate(substr(cds_sequence, CAST(p AS INT), CAST(y - p + 2 AS INT)), 'ACGT', 'TGCA')) END AS ref, CASE WHEN strand = 1 THEN substr(cds_sequence, CAST(p - 1 AS INT), 1) ELSE translate(substr(cds_sequence, CAST(y + 1 AS INT), 1), 'ACGT', 'TGCA') END AS alt, false AS failed FROM g WHERE CASE WHEN strand = 1 THEN p > 1 ELSE y < len END",
+)
+def r3(spark, d):
+    return resolved(spark, d, "concat(transcript_id, ':c.', cast(6 + k % 20 as string), case when k % 3 = 0 then '' else concat('_', cast(6 + k % 20 + k % 3 as string)) end, 'del')")
+
+
+@query("R5_R6_genomic_notation", synth.duck(**REFBASE, b="SELECT chrom, pos, arg_min(CASE WHEN strand = 1 THEN substr(cds_sequence, CAST(c AS INT), 1) ELSE translate(substr(cds_sequence, CAST(c AS INT), 1), 'ACGT', 'TGCA') END, CAST(100000000 - s AS VARCHAR) || transcript_id) AS base FROM cj GROUP BY 1, 2") + "SELECT record_id AS id, v.chrom, v.pos, base AS ref, base || alt || 'A' AS alt, false AS failed FROM v JOIN b ON v.chrom = b.chrom AND v.pos = b.pos UNION ALL SELECT record_id, '', 0, '', '', true FROM v WHERE NOT EXISTS (SELECT 1 FROM b WHERE v.chrom = b.chrom AND v.pos = b.pos)")
+def r5(spark, d):
+    v = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":g."), "pos", F.lit("_"), F.col("pos") + 1, F.lit("ins"), "alt", F.lit("A")).alias("input"))
+    return reverse.resolve(v, synth.transcripts(spark, d).drop("k", "n"), width=BIN).select("id", "chrom", "pos", "ref", "alt", (F.col("error") != "").alias("failed"))
+
+
+# ---- files: written, read back ------------------------------------------------------------------------------------
+
+
+def _path(spark, name: str) -> str:
+    import uuid
+
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("S1_S3_K1_vcf_round_trip", ANN + "SELECT chrom, pos, ref, alt, replace(consequence, ',', '&') AS consequence, transcript_id FROM ann")
+def s1(spark, d):
+    """Annotations written as VCF with CSQ, scanned again, and taken apart."""
+    a = annotated(spark, d).withColumns({"ord": F.lit(0), "id": F.lit("."), "qual": F.lit(0.0), "filter": F.lit("PASS"), "raw_info": F.lit("DP=5;CSQ=old"), "sample_cols": F.lit("GT\t0/1")})
+    path = _path(spark, "vcf")
+    writers.write_vcf(a, ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"], path)
+    v = vs.read_vcf(spark, path)
+    c = v.withColumn("c", F.explode(F.split(text.info_value(F.col("raw_info"), "CSQ"), ",")))
+    g = lambda i: F.get(F.split("c", r"\|"), F.lit(i))
+    return c.select("chrom", "pos", "ref", "alt", g(1).alias("consequence"), g(6).alias("transcript_id"))
+
+
+@query("S4_S5_K2_maf_append", top_sql(BETTER, "record_id, consequence, hgvsc, {MAF_CASE} AS variant_classification".replace("{MAF_CASE}", MAF_CASE)))
+def s4(spark, d):
+    """A MAF written from the variants, scanned, annotated, written with appended columns and scanned again."""
+    path, out = _path(spark, "maf"), _path(spark, "maf")
+    head = ["Hugo_Symbol", "Chromosome", "Start_Position", "End_Position", "Reference_Allele", "Tumor_Seq_Allele2", "Key"]
+    rows = snvs(spark, d).select(F.lit(1).alias("n"), F.concat_ws("\t", F.lit(""), F.concat(F.lit("chr"), "chrom"), "pos", "pos", "ref", "alt", "record_id").alias("value"))
+    spark.createDataFrame([(0, "#version 2.4"), (0, "\t".join(head))], "n int, value string").coalesce(1).unionAll(rows).select("value").write.text(path)
+    m, header = vs.read_maf(spark, path)
+    a = predict.annotate(m, synth.transcripts(spark, d).drop("k", "n"), width=BIN)
+    best = pick.best_for_maf(a, ["record_id"]).withColumn("all_effects", F.lit(""))
+    header, lines = writers.maf_append(best, header)
+    spark.createDataFrame([(-1, "\t".join(header))], "record_id bigint, value string").unionAll(lines).orderBy("record_id").select("value").write.text(out)
+    rows, c = tables.by_header(tables.read(spark, out))
+    return rows.select(c["Key"].cast("bigint").alias("record_id"), c["allelic.consequence"].alias("consequence"), c["allelic.hgvsc"].alias("hgvsc"), c["allelic.variant_classification"].alias("variant_classification"))
+
+
+@query("K3_maf_replace", top_sql(BETTER, "record_id, gene_name, consequence, hgvsc"))
+def k3(spark, d):
+    a = annotated(spark, d).withColumn("raw", F.array(F.lit("OLD"), F.lit("old"), F.lit("c.1"), F.col("record_id").cast("string")))
+    _, lines = writers.maf_replace(pick.pick_best(a, ["record_id"]), ["Hugo_Symbol", "Consequence", "HGVSc", "Key"])
+    f = F.split("value", "\t", -1)
+    return lines.select("record_id", f[0].alias("gene_name"), f[1].alias("consequence"), f[2].alias("hgvsc"))
+
+
+@query("K4_vcf_to_maf", top_sql(BETTER, "record_id, CASE WHEN gene_name = '' THEN 'Unknown' ELSE gene_name END AS hugo, pos AS start_position, 'SNP' AS variant_type, transcript_id, {S} AS hgvsp_short".replace("{S}", SHORT)))
+def k4(spark, d):
+    a = annotated(spark, d).withColumns({"ord": F.lit(0), "id": F.lit(".")})
+    m = writers.vcf_to_maf(a)
+    return m.select("record_id", F.col("Hugo_Symbol").alias("hugo"), F.col("Start_Position").cast("bigint").alias("start_position"), F.col("Variant_Type").alias("variant_type"), F.col("Transcript_ID").alias("transcript_id"), F.col("HGVSp_Short").alias("hgvsp_short"))
+
+
+WORST = f"split_part(arg_max(consequence, printf('%d-%09d-%s', {RANK}, tx_start, transcript_id)), ',', 1)"
+
+
+@query("K5_A5_vep_json", ANN + f"SELECT record_id, {WORST} AS most_severe_consequence, CAST(count(CASE WHEN transcript_id <> '' THEN 1 END) AS BIGINT) AS transcripts FROM ann GROUP BY record_id")
+def k5(spark, d):
+    j = writers.vep_json(annotated(spark, d))
+    p = F.from_json("value", "most_severe_consequence string, transcript_consequences array<struct<transcript_id:string>>")
+    return j.select("record_id", p.alias("p")).select("record_id", "p.most_severe_consequence", F.size("p.transcript_consequences").cast("bigint").alias("transcripts"))
+
+
+@query("K6_native_json", ANN + "SELECT record_id, transcript_id, hgvsc, 'x' AS extra FROM ann")
+def k6(spark, d):
+    j = writers.native_json(annotated(spark, d).withColumn("note", F.lit("x")), extra=["note"])
+    p = F.from_json("value", "hgvsc string, extra map<string,string>")
+    return j.select("record_id", "transcript_id", p.alias("p")).select("record_id", "transcript_id", "p.hgvsc", F.col("p.extra")["note"].alias("extra"))
+
+
+@query("K8_A18_nexus_json", ANN + "SELECT record_id, chrom || ':g.' || CAST(pos AS VARCHAR) || ref || '>' || alt AS variant, coalesce(arg_min(transcript_id, (CASE WHEN msk_canonical THEN '0' ELSE '1' END) || CAST(100000000 - tx_start AS VARCHAR) || transcript_id) FILTER (WHERE transcript_id <> ''), '') AS first_transcript FROM ann GROUP BY record_id, chrom, pos, ref, alt")
+def k8(spark, d):
+    j = writers.nexus_json(annotated(spark, d))
+    p = F.from_json("value", "variant string, transcript_consequences array<struct<transcript_id:string>>")
+    return j.select("record_id", p.alias("p")).select("record_id", "p.variant", F.coalesce(F.get("p.transcript_consequences", F.lit(0))["transcript_id"], F.lit("")).alias("first_transcript"))
+
+
+@query("T1_S23_K7_stream", ANN + f"SELECT chrom || '_' || CAST(pos AS VARCHAR) || '_' || ref || '/' || alt AS id, {WORST} AS most_severe_consequence, '' AS error FROM (SELECT DISTINCT * EXCLUDE (record_id) FROM ann) ann GROUP BY chrom, pos, ref, alt UNION ALL SELECT '', '', 'unknown variant notation'")
+def t1(spark, d):
+    """JSON lines and one that can't be read, as a file stream processed with available-now."""
+    source, target = _path(spark, "in"), _path(spark, "out")
+    v = snvs(spark, d).select("chrom", "pos", "ref", "alt").distinct()
+    loc = F.to_json(F.struct(F.concat(F.lit("chr"), "chrom").alias("chromosome"), F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("ref").alias("referenceAllele"), F.col("alt").alias("variantAllele")))
+    v.select(loc.alias("value")).unionAll(spark.createDataFrame([("what is this",)], "value string")).write.text(source)
+    t = synth.transcripts(spark, d).drop("k", "n")
+    stream.start(spark, source, t, target, f"{target}-checkpoint", BIN).awaitTermination()
+    p = F.from_json("value", "id string, most_severe_consequence string, error string")
+    out = spark.read.text(f"{target}/*").select(p.alias("p"))
+    e = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c)
+    return out.select(e("id"), e("most_severe_consequence"), e("error"))
+
+
+@query("S12_S13_S15_S16_index_files", synth.duck(x="SELECT chrom, pos, ref, alt, min(record_id) AS lo FROM v WHERE kind = 3 GROUP BY 1, 2, 3, 4") + "SELECT chrom, pos, ref, alt, CAST(CAST(lo % 100 / 100 AS FLOAT) AS DOUBLE) AS am_score, 'sig' || CAST(lo % 4 AS VARCHAR) AS clinvar_significance, lo % 50 + 1 AS gnomad_ac, 'rs' || CAST(lo AS VARCHAR) AS dbsnp_id FROM x")
+def s12(spark, d):
+    """Score, significance, frequency and id files written from the variants, scanned, and joined into one index."""
+    x = snvs(spark, d).groupBy("chrom", "pos", "ref", "alt").agg(F.min("record_id").alias("lo"))
+    write = lambda df, name: (df.write.text(p := _path(spark, name)), p)[1]
+    tab = lambda *c: F.concat_ws("\t", *c).alias("value")
+    am = spark.createDataFrame([("# a",), ("# b",), ("# c",), ("#CHROM",)], "value string").coalesce(1).unionAll(x.select(tab(F.concat(F.lit("chr"), "chrom"), "pos", "ref", "alt", F.lit("hg38"), F.lit("u"), F.lit("t"), F.lit("p"), F.col("lo") % 100 / 100, F.lit("c"))))
+    cv = x.select(tab("chrom", "pos", F.lit("1"), "ref", "alt", F.lit("."), F.lit("."), F.concat(F.lit("XCLNSIG=no;CLNSIG=sig"), F.col("lo") % 4, F.lit(";CLNREVSTAT=r"))))
+    gn = x.select(tab(F.concat(F.lit("chr"), "chrom"), "pos", F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.concat(F.lit("AC="), F.col("lo") % 50 + 1, F.lit(";AF=0.5;AN=100"))))
+    db = x.select(tab(F.concat(F.lit("NC_00000"), "chrom", F.lit(".11")), "pos", F.concat(F.lit("rs"), "lo"), "ref", "alt", F.lit("."), F.lit("."), F.lit("X")))
+    parts = {
+        "am": (tables.alphamissense(tables.read(spark, write(am, "am"))), ["am_score", "am_class"], True),
+        "clinvar": (vs.clinvar(tables.read(spark, write(cv, "cv"))), ["clinvar_significance"], False),
+        "gnomad": (vs.gnomad(tables.read(spark, write(gn, "gn"))), ["gnomad_ac"], False),
+        "dbsnp": (vs.dbsnp(tables.read(spark, write(db, "db"))), ["dbsnp_id"], False),
+    }
+    return lookups.unified_index(parts).select("chrom", "pos", "ref", "alt", F.col("am_score").cast("double").alias("am_score"), "clinvar_significance", "gnomad_ac", "dbsnp_id")
+
+
+@query("X4_region_requests", synth.duck(**REFBASE, b="SELECT DISTINCT chrom, pos FROM cj") + "SELECT record_id AS id, CAST(count(*) AS BIGINT) AS n FROM (SELECT record_id, k FROM v LEFT JOIN tx t ON v.chrom = t.chrom AND v.pos BETWEEN t.s AND t.e) q GROUP BY 1")
+def x4(spark, d):
+    r = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "pos", F.lit(":1")).alias("region"), F.col("alt").alias("allele"))
+    return session.annotate_regions(r, synth.transcripts(spark, d).drop("k", "n"), BIN).groupBy("id").agg(F.count("*").alias("n"))
