@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, lang_id, minhash_dedup, packing, simhash, token_counts, toxicity, url_filters, vector_join
-from .common import fold, shared_dir, table
+from .common import fold, materialize, shared_dir, table
 
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -89,6 +89,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = simhash.fingerprints(near.select(*keys, F.col("_x.e").alias("_e"), F.col("_x.t").alias("_t")), [*keys, "_e"], "_t")
     pick = lambda e: F.max(F.when(F.col("_e") == e, F.col("fingerprint")))
     rows = both.groupBy(*keys).agg(pick(False).alias("fp"), pick(True).alias("efp"), F.max("n_rows").alias("n_rows"))
+    rows = materialize(rows, "fingerprints")  # small; without it both sides of the next join would vote anew
     nexts = rows.select(F.col("doc_id").alias("_i"), F.col("_h").alias("_ih"), F.col("fp").alias("nfp")).groupBy("_i", "_ih").agg(F.max("nfp").alias("nfp"))
     rows = rows.join(nexts, F.col("_nid").eqNullSafe(F.col("_i")) & (F.col("_nh") == F.col("_ih")), "left")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
