@@ -120,4 +120,31 @@ QUERIES = {
     "op9_vector_join": op9_vector_join,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL}
+#: Components of links (x, y) among all nodes (id).
+REACH = """
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id AS a, id AS b FROM nodes WHERE id IN (SELECT x FROM sides) UNION SELECT reach.a, sides.y FROM reach JOIN sides ON reach.b = sides.x),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+nodes AS (SELECT doc_id AS id FROM documents),""" + REACH + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least ON a = d.doc_id
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings),""" + REACH + """, deg AS (SELECT x, count(*) AS k FROM sides GROUP BY x)
+SELECT v.vec_id, coalesce(k, 0) AS n_links, coalesce(component_id, v.vec_id) AS component_id, v.vec_id = coalesce(component_id, v.vec_id) AS kept
+FROM v LEFT JOIN deg ON x = v.vec_id LEFT JOIN least ON a = v.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op9_vector_join": OP9_SQL}
