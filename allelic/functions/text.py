@@ -11,12 +11,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A fixed number of decimals, rounded by the exact value of the double (halves to even), as C's printf does; the
+    JVM's formatter rounds the shortest decimal that stands for the double instead."""
+    scale = 10**digits
+    a = F.abs(x)
+
+    def out(y):
+        # the error of the product, by splitting the factor into two halves of 26 bits
+        high = y["c"] - (y["c"] - y["a"])
+        error = (high * scale - y["p"]) + (y["a"] - high) * scale
+        whole = F.floor(y["p"])
+        rest = y["p"] - whole
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        n = (whole + up.cast("int")).cast("bigint")
+        return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+    body = let(F.struct(a.alias("a"), (a * float(scale)).alias("p"), (a * 134217729.0).alias("c")), out)
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body))
+
+
 def score4(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.format_string("%.4f", x.cast("float").cast("double")))
+    return fixed(x.cast("float").cast("double"), 4)
 
 
 def score3(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.format_string("%.3f", x))
+    return fixed(x.cast("double"), 3)
 
 
 def significant(x: Column) -> Column:
