@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms, text
 
-TIES = [F.desc("tx_start"), F.asc("transcript_id")]
+def ties() -> list[Column]:
+    return [F.desc("tx_start"), F.asc("transcript_id")]
+
 
 
 def _coding() -> Column:
@@ -17,12 +19,12 @@ def _coding() -> Column:
 
 def better() -> list[Column]:
     """Coding biotype, MSK canonical, impact, protein notation present."""
-    return [_coding().desc(), F.col("msk_canonical").desc(), terms.rank_of_impact(F.col("impact")).desc(), (F.col("hgvsp") != "").desc(), *TIES]
+    return [_coding().desc(), F.col("msk_canonical").desc(), terms.rank_of_impact(F.col("impact")).desc(), (F.col("hgvsp") != "").desc(), *ties()]
 
 
 def severe() -> list[Column]:
     """Impact, MSK canonical, coding biotype."""
-    return [terms.rank_of_impact(F.col("impact")).desc(), F.col("msk_canonical").desc(), _coding().desc(), *TIES]
+    return [terms.rank_of_impact(F.col("impact")).desc(), F.col("msk_canonical").desc(), _coding().desc(), *ties()]
 
 
 def top(annotations: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -43,7 +45,7 @@ def best_for_maf(annotations: DataFrame, key: list[str], maf_transcript: str = "
     else its gene, else any."""
     same = (F.col(maf_transcript) != "") & (text.unversioned(F.col("transcript_id")) == text.unversioned(F.col(maf_transcript)))
     # only the first row of that transcript is looked at
-    nth = F.row_number().over(Window.partitionBy(*key, same).orderBy(*TIES))
+    nth = F.row_number().over(Window.partitionBy(*key, same).orderBy(*ties()))
     usable = same & (nth == 1) & ~(terms.has_coding(F.col(maf_consequence)) & ~terms.is_coding_biotype(F.col("biotype")))
     level = F.when(usable, 0).when((F.col(maf_gene) != "") & (F.col("gene_name") == F.col(maf_gene)), 1).otherwise(2)
     return top(annotations.withColumn("_level", level), key, [F.asc("_level"), *better()]).drop("_level")

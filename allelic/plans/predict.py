@@ -6,7 +6,10 @@ its own variants."""
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from ..functions import alleles, codon, coords, terms
 from . import indel
 from .overlap import BIN, interval_join
 
+# Executors need no copy of this package: what runs on them travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(indel)
+
 OUT = ["consequence", "impact", "cds_position", "protein_position", "amino_acid_change", "codon_change", "exon_number", "hgvsp", "hgvsc"]
 #: Columns that exist in every output and are never assigned.
 EMPTY = {"intron_number": "''", "cdna_position": "0L"}
@@ -115,7 +122,6 @@ def _snv(df: DataFrame) -> DataFrame:
 EFFECT = "consequence string, cds_position bigint, protein_position bigint, amino_acid_change string, hgvsp string, hgvsc string"
 
 
-@F.pandas_udf(EFFECT)
 def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, in_cds: pd.Series, tx: pd.DataFrame) -> pd.DataFrame:
     out = []
     names = list(tx.columns)
@@ -137,7 +143,7 @@ def _complex(df: DataFrame) -> DataFrame:
     in_cds = F.coalesce(F.col("_coding") & F.col("_exon").isNotNull() & pos.between(F.col("cds_start"), F.col("cds_end")), F.lit(False))
     df = df.withColumn("_in_cds", in_cds)
     tx = F.struct("strand", "cds_regions", "cds_sequence", "utr3_sequence", "exons", "cds_start", "cds_end", "exon_cum")
-    df = df.withColumn("_e", _effects("pos", "ref", "alt", "_in_cds", tx))
+    df = df.withColumn("_e", F.pandas_udf(_effects, EFFECT)("pos", "ref", "alt", "_in_cds", tx))
     long, indel_ = F.length("ref") > 1, F.length("ref") != F.length("alt")
     lo, hi, plus = F.col("cds_start"), F.col("cds_end"), F.col("_plus")
     start_lo, start_hi = F.when(plus, lo).otherwise(hi - 2), F.when(plus, lo + 2).otherwise(hi)
