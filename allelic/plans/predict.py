@@ -27,13 +27,14 @@ EMPTY = {"intron_number": "''", "cdna_position": "0L"}
 TX = ["transcript_id", "gene_id", "gene_name", "strand", "biotype", "canonical", "msk_canonical", "mane_select", "protein_id", "entrez_id"]
 
 
-def _region(df: DataFrame) -> DataFrame:
+def _region(df: DataFrame, indels: bool = False) -> DataFrame:
     """Where a variant starts: exon, coding position, splice sites."""
     pos, ref, alt = F.col("pos"), F.col("ref"), F.col("alt")
-    return df.withColumns({
-        "_exon": coords.exon_at(pos), "_coding": coords.is_coding(), "_plus": F.col("strand") == 1, "_cds": coords.cds_position(pos),
-        "_site": F.coalesce(F.nullif(coords.indel_splice_site(pos, ref, alt), F.lit("")), coords.splice_site(pos)), "_indel_site": coords.indel_splice_site(pos, ref, alt), "_near": coords.in_splice_region(pos),
-    })
+    df = df.withColumns({"_exon": coords.exon_at(pos), "_coding": coords.is_coding(), "_plus": F.col("strand") == 1})
+    touched = coords.indel_splice_site(pos, ref, alt) if indels else F.lit("")
+    df = df.withColumns({"_cds": F.when(F.col("_exon").isNull(), F.lit(0).cast("bigint")).otherwise(coords.cds_position(pos)), "_indel_site": touched, "_near": coords.in_splice_region(pos)})
+    site = F.when(F.col("_exon").isNull(), coords.splice_site(pos)).otherwise(F.lit(""))
+    return df.withColumns({"_site": F.coalesce(F.nullif("_indel_site", F.lit("")), site) if indels else site})
 
 
 def _cascade(coding_term: Column, extra_utr: Column | None = None, extra_cds: Column | None = None) -> Column:
@@ -105,7 +106,7 @@ def _snv(df: DataFrame) -> DataFrame:
     strand_base = lambda c: F.when(F.col("_plus"), F.col(c)).otherwise(codon.complement(F.col(c)))
     at = coords.notation(F.col("pos"))
     prefix = F.when(F.col("_coding"), F.lit("c.")).otherwise(F.lit("n."))
-    df = df.withColumn("_at", at)
+    df = df.withColumns({"_at": at})
     c = F.when(F.col("transcript_id").isNull() | (F.col("_at") == ""), F.lit("")).when(F.col("ref") == F.col("alt"), F.concat(prefix, F.col("_at"), F.lit("="))).otherwise(F.concat(prefix, F.col("_at"), strand_base("ref"), F.lit(">"), strand_base("alt")))
     change = F.when(F.col("_known") & F.col("_term").isin("missense_variant", "stop_gained", "stop_lost", "start_lost"), F.concat(ref, number, alt)).otherwise(F.lit(""))
     return df.withColumns({
@@ -122,15 +123,37 @@ def _snv(df: DataFrame) -> DataFrame:
 EFFECT = "consequence string, cds_position bigint, protein_position bigint, amino_acid_change string, hgvsp string, hgvsc string"
 
 
-def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, in_cds: pd.Series, tx: pd.DataFrame) -> pd.DataFrame:
+#: Transcripts that a worker keeps parsed.
+KEEP = 5000
+_parsed: dict[str, indel.Tx] = {}
+
+
+def packed_transcript() -> Column:
+    """A transcript as one string, made once for each transcript before the join; workers parse each string once."""
+    regions = F.array_join(F.transform("cds_regions", lambda r: F.concat_ws(",", r["start"], r["end"], r["offset"])), ";")
+    exons = F.array_join(F.transform(F.arrays_zip(F.col("exons").alias("e"), F.col("exon_cum").alias("c")), lambda x: F.concat_ws(",", x["e"]["start"], x["e"]["end"], x["e"]["cds_start"], x["e"]["cds_end"], x["c"])), ";")
+    return F.concat_ws("|", "strand", "cds_start", "cds_end", F.coalesce(regions, F.lit("")), F.coalesce(exons, F.lit("")), F.coalesce("cds_sequence", F.lit("")), F.coalesce("utr3_sequence", F.lit("")))
+
+
+def parsed(s: str) -> indel.Tx:
+    t = _parsed.get(s)
+    if t is None:
+        if len(_parsed) >= KEEP:
+            _parsed.clear()
+        strand, lo, hi, regions, exons, cds, utr3 = s.split("|")
+        rows = lambda text: [tuple(map(int, x.split(","))) for x in text.split(";") if x]
+        e = rows(exons)
+        t = _parsed[s] = indel.Tx(int(strand), rows(regions), cds, utr3, exons=[x[:4] for x in e], cds_start=int(lo), cds_end=int(hi), exon_cum=[x[4] for x in e])
+    return t
+
+
+def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, in_cds: pd.Series, tx: pd.Series) -> pd.DataFrame:
     out = []
-    names = list(tx.columns)
-    for p, r, a, inside, row in zip(pos, ref, alt, in_cds, tx.itertuples(index=False, name=None), strict=True):
-        x = dict(zip(names, row, strict=True))
-        if x["exons"] is None or pd.isna(x["strand"]):
+    for p, r, a, inside, s in zip(pos.tolist(), ref.tolist(), alt.tolist(), in_cds.tolist(), tx.tolist(), strict=True):
+        if not s:
             out.append(("", 0, 0, "", "", ""))
             continue
-        t = indel.Tx(int(x["strand"]), [(s["start"], s["end"], s["offset"]) for s in (x["cds_regions"] if x["cds_regions"] is not None else [])], x["cds_sequence"] or "", x["utr3_sequence"] or "", exons=[(e["start"], e["end"], e["cds_start"], e["cds_end"]) for e in x["exons"]], cds_start=int(x["cds_start"]), cds_end=int(x["cds_end"]), exon_cum=list(x["exon_cum"]))
+        t = parsed(s)
         e = indel.coding_effect(t, p, r, a) if inside else indel.Effect()
         out.append((e.consequence, e.cds_position, e.protein_position, e.amino_acid_change, e.hgvsp(), indel.hgvsc(t, p, r, a)))
     return pd.DataFrame(out, columns=["consequence", "cds_position", "protein_position", "amino_acid_change", "hgvsp", "hgvsc"])
@@ -138,12 +161,11 @@ def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, in_cds: pd.Series,
 
 def _complex(df: DataFrame) -> DataFrame:
     """Adds the predicted columns for all other variants."""
-    df = _region(df)
+    df = _region(df, indels=True)
     pos, end = F.col("pos"), F.col("pos") + F.length("ref") - 1
     in_cds = F.coalesce(F.col("_coding") & F.col("_exon").isNotNull() & pos.between(F.col("cds_start"), F.col("cds_end")), F.lit(False))
     df = df.withColumn("_in_cds", in_cds)
-    tx = F.struct("strand", "cds_regions", "cds_sequence", "utr3_sequence", "exons", "cds_start", "cds_end", "exon_cum")
-    df = df.withColumn("_e", F.pandas_udf(_effects, EFFECT)("pos", "ref", "alt", "_in_cds", tx))
+    df = df.withColumn("_e", F.pandas_udf(_effects, EFFECT)("pos", "ref", "alt", "_in_cds", "_packed"))
     long, indel_ = F.length("ref") > 1, F.length("ref") != F.length("alt")
     lo, hi, plus = F.col("cds_start"), F.col("cds_end"), F.col("_plus")
     start_lo, start_hi = F.when(plus, lo).otherwise(hi - 2), F.when(plus, lo + 2).otherwise(hi)
@@ -152,7 +174,7 @@ def _complex(df: DataFrame) -> DataFrame:
     five = F.when(plus, pos < lo).otherwise(pos > hi)
     utr = F.when(long, F.when(indel_ & (F.col("_indel_site") != ""), F.col("_indel_site")).when(five & spans_start, F.lit("start_lost")).when(~five & spans_stop, F.lit("stop_lost,3_prime_UTR_variant")))
     cds = F.when(indel_ & long & spans_start, F.lit("start_lost")).when(F.col("_indel_site") != "", F.col("_indel_site"))
-    df = df.withColumn("consequence", _cascade(F.col("_e.consequence"), utr, cds))
+    df = df.withColumns({"consequence": _cascade(F.col("_e.consequence"), utr, cds)})
     df = df.withColumn("impact", _impact(F.col("consequence"), F.col("_e.consequence")))
     splice_n = F.when(F.col("_coding") & F.col("_exon").isNull() & F.col("consequence").isin("splice_donor_variant", "splice_acceptor_variant"), coords.splice_codon(pos)).otherwise(F.lit(0))
     df = df.withColumn("_splice_n", splice_n)
@@ -182,7 +204,7 @@ def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool =
     kept = v.columns
     snv = alleles.is_snv(F.col("ref"), F.col("alt"))
     one = _finish(_snv(interval_join(v.where(snv), t, width)), kept, only)
-    more = _finish(_complex(interval_join(v.where(~snv), t, width)), kept, only)
+    more = _finish(_complex(interval_join(v.where(~snv), t.withColumn("_packed", packed_transcript()), width)), kept, only)
     return one.unionByName(more)
 
 
