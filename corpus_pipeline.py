@@ -9,12 +9,12 @@ from allelic.llm import lang_id, minhash_dedup, packing, toxicity
 from allelic.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose language is less sure than this is rejected.
-SURE = 0.5
+#: A text is rejected if its leading language is less sure than this. Texts in two languages are clean, and stay.
+SURE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts of no sure language."""
+    """Rejects texts without a letter and texts without a leading language."""
     seen = lang_id.identify(docs.select(*COLUMNS), lang_id.fit(docs))
     return seen.where((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= SURE)).select(*COLUMNS)
 
