@@ -73,9 +73,10 @@ def splice_sites(t: T = col_of) -> Column:
 
 
 def splice_site(pos: Column, t: T = col_of) -> Column:
-    """The splice site term at an intron position, '' elsewhere."""
-    hit = first(F.filter(splice_sites(t), lambda s: (s["start"] <= pos) & (pos <= s["end"])))
-    return F.coalesce(hit["site"], F.lit(""))
+    """The splice site term at an intron position, '' elsewhere: one pass over the exons, the first that is near."""
+    after, before = lambda e: pos.between(e["end"] + 1, e["end"] + 2), lambda e: pos.between(e["start"] - 2, e["start"] - 1)
+    hit = first(F.transform(F.filter(t("exons"), lambda e: after(e) | before(e)), lambda e: after(e) == (t("strand") == 1)))
+    return F.when(hit, F.lit("splice_donor_variant")).when(~hit, F.lit("splice_acceptor_variant")).otherwise(F.lit(""))
 
 
 def indel_splice_site(pos: Column, ref: Column, alt: Column, t: T = col_of) -> Column:
