@@ -178,10 +178,12 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("center"), F.col("comp"))).alias("main"))
     mixed = mixed.where("lo != hi").select("key", "main")
     rows = materialize(rows.join(mixed, "key").where("cls != center"), "mixed")
-    counts = rows.groupBy("key").agg(F.ceil(F.count(F.when(F.col("comp") != F.col("main"), 1)) / BLOCK_R).cast("int").alias("rbs"), F.ceil(F.count("*") / BLOCK_L).cast("int").alias("lbs"))
+    # without a main, the centre isn't among the members, and then none of them is in its component
+    apart = F.coalesce(F.col("comp") != F.col("main"), F.lit(True))
+    counts = rows.groupBy("key").agg(F.ceil(F.count(F.when(apart, 1)) / BLOCK_R).cast("int").alias("rbs"), F.ceil(F.count("*") / BLOCK_L).cast("int").alias("lbs"))
     rows = rows.join(counts, "key").where("rbs > 0").join(classes.select("cls", F.col("n").alias("size"), "registers"), "cls")
     block = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "cls"), n).cast("int")
-    own = rows.where("comp != main").withColumn("lb", _every("lbs")).select("key", block("r", "rbs").alias("rb"), "lb", F.lit(0).alias("role"), "band", "cls", "comp", "size", "registers")
+    own = rows.where(apart).withColumn("lb", _every("lbs")).select("key", block("r", "rbs").alias("rb"), "lb", F.lit(0).alias("role"), "band", "cls", "comp", "size", "registers")
     other = rows.withColumn("rb", _every("rbs")).select("key", "rb", block("l", "lbs").alias("lb"), F.lit(1).alias("role"), "band", "cls", "comp", "size", "registers")
     dealt = own.unionAll(other).repartition("key", "rb", "lb").sortWithinPartitions("key", "rb", "lb", "role", "cls")
 

@@ -76,6 +76,32 @@ def test_large_families_by_pairs(spark, rows, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 4, 80).collect()} == {i: c for (i, _), c in want.items()}
 
 
+def test_large_families_whose_buckets_have_other_centres(spark, monkeypatch):
+    """Two similar texts meet in no bucket but those whose least class is a text unlike both."""
+    monkeypatch.setattr(minhash_dedup, "LARGE", 1)
+    k, base = 4, words(200, 7)
+    digest = lambda w: minhash_dedup.xxhash.xxh3_64_intdigest(shingles(" ".join(w), k).tobytes())
+    sketch = lambda w: registers(shingles(" ".join(w), k))
+    bands = lambda r: r.reshape(-1, minhash_dedup.ROWS)
+    # of many texts those of greatest digests, so that others are the centres
+    a = max((edited(base, 1, i) for i in range(60)), key=digest)
+    b = max((edited(a, 4, i) for i in range(60)), key=digest)
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    ra, rb = sketch(a), sketch(b)
+    alone = np.stack([sketch(a[p : p + k]) for p in range(len(a) - k + 1)])
+    for band in np.flatnonzero((bands(ra) == bands(rb)).all(1)):
+        # a text of the few shingles that make the band's registers
+        at = [int(np.flatnonzero(alone[:, i] == ra[i])[0]) for i in range(band * minhash_dedup.ROWS, (band + 1) * minhash_dedup.ROWS)]
+        tries = ([x for p in at for x in (*a[p : p + k], f"f{seed}")] for seed in range(200))
+        c = next(w for w in tries if digest(w) < min(digest(a), digest(b)) and (bands(sketch(w))[band] == bands(ra)[band]).all())
+        rows.append((len(rows) + 1, " ".join(c)))
+    assert len(rows) > 2
+    want, _ = brute(rows, k, 80)
+    assert want[rows[1]] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, k, 80).collect()} == {i: c for (i, _), c in want.items()}
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "other text that is here now", "x"), (None, "a b c d e f", "y"), (2, None, None)], "doc_id long, text string, component_id string")
     assert near_duplicates(df.drop("component_id"), 4).count() == 5
