@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Whether the query being built takes all variants. SQL can't express the notation of indels, so that the queries with
+#: SQL take single bases only; each has a second one, named `..._all`, over all of lineitem.
+EVERY: ContextVar[bool] = ContextVar("every", default=False)
+
+
+def over_all(f):
+    """A query over single bases as one over all variants."""
+
+    def run(spark, d):
+        token = EVERY.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            EVERY.reset(token)
+
+    return run
+
+
 def snvs(spark: SparkSession, d: str) -> DataFrame:
-    return synth.variants(spark, d).where("kind = 3").select("record_id", "chrom", "pos", "ref", "alt")
+    v = synth.variants(spark, d)
+    return (v if EVERY.get() else v.where("kind = 3")).select("record_id", "chrom", "pos", "ref", "alt")
 
 
 def annotated(spark: SparkSession, d: str, only: list[str] | None = None) -> DataFrame:
+    if EVERY.get():
+        return predict.annotate(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), width=BIN, only=only)
     return predict.annotate_snvs(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, only)
 
 
@@ -718,7 +740,7 @@ def s4(spark, d):
     """A MAF written from the variants, scanned, annotated, written with appended columns and scanned again."""
     path, out = _path(spark, "maf"), _path(spark, "maf")
     head = ["Hugo_Symbol", "Chromosome", "Start_Position", "End_Position", "Reference_Allele", "Tumor_Seq_Allele2", "Key"]
-    rows = snvs(spark, d).select(F.lit(1).alias("n"), F.concat_ws("\t", F.lit(""), F.concat(F.lit("chr"), "chrom"), "pos", "pos", "ref", "alt", "record_id").alias("value"))
+    rows = snvs(spark, d).select(F.lit(1).alias("n"), F.concat_ws("\t", F.lit(""), F.concat(F.lit("chr"), "chrom"), "pos", F.col("pos") + F.length("ref") - 1, "ref", "alt", "record_id").alias("value"))
     spark.createDataFrame([(0, "#version 2.4"), (0, "\t".join(head))], "n int, value string").coalesce(1).unionAll(rows).select("value").write.text(path)
     m, header = vs.read_maf(spark, path)
     a = predict.annotate(m, synth.transcripts(spark, d).drop("k", "n"), width=BIN)
@@ -773,7 +795,7 @@ def t1(spark, d):
     """JSON lines and one that can't be read, as a file stream processed with available-now."""
     source, target = _path(spark, "in"), _path(spark, "out")
     v = snvs(spark, d).select("chrom", "pos", "ref", "alt").distinct()
-    loc = F.to_json(F.struct(F.concat(F.lit("chr"), "chrom").alias("chromosome"), F.col("pos").alias("start"), F.col("pos").alias("end"), F.col("ref").alias("referenceAllele"), F.col("alt").alias("variantAllele")))
+    loc = F.to_json(F.struct(F.concat(F.lit("chr"), "chrom").alias("chromosome"), F.col("pos").alias("start"), (F.col("pos") + F.length("ref") - 1).alias("end"), F.col("ref").alias("referenceAllele"), F.col("alt").alias("variantAllele")))
     v.select(loc.alias("value")).unionAll(spark.createDataFrame([("what is this",)], "value string")).write.text(source)
     t = synth.transcripts(spark, d).drop("k", "n")
     stream.start(spark, source, t, target, f"{target}-checkpoint", BIN).awaitTermination()
@@ -806,3 +828,15 @@ def s12(spark, d):
 def x4(spark, d):
     r = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "pos", F.lit(":1")).alias("region"), F.col("alt").alias("allele"))
     return session.annotate_regions(r, synth.transcripts(spark, d).drop("k", "n"), BIN).groupBy("id").agg(F.count("*").alias("n"))
+
+
+# ---- the same over all variants -----------------------------------------------------------------------------------
+
+OVER_ALL = (
+    "C1_C2_C11_C12_snv_consequence A2_A3_pick_best A2_gene_consequence_counts A4_most_severe A5_most_severe_term A6_all_effects A1_J11_best_for_maf P14_canonical_only A19_coverage_counts A17_K9_export_sorted A21_sql_view A21_gene_lookup "
+    "A22_K11_cache_by_change P9_P10_P16_terms P11_short_protein F12_F13_F15_F16_splice F20_F21_notation J2_genomic_index_join J3_hotspots J4_cancer_genes J5_sift_polyphen J10_A14_overlap D1_D2_A11_column_counts A13_transitions D7_hgvsc_category "
+    "D6_hgvsp_category D4_normalise_terms D3_D5_D8_consequence_category A12_category_counts A15_K14_differing_rows D9_A16_K15_field_report S1_S3_K1_vcf_round_trip S4_S5_K2_maf_append K3_maf_replace K4_vcf_to_maf K5_A5_vep_json K6_native_json "
+    "K8_A18_nexus_json T1_S23_K7_stream S12_S13_S15_S16_index_files"
+).split()
+for _name in OVER_ALL:
+    QUERIES[f"{_name}_all"] = over_all(QUERIES[_name])
