@@ -177,14 +177,14 @@ def a21_gene(spark, d):
 
 @query("A22_K11_cache_by_change", ANN + "SELECT DISTINCT chrom, pos, ref, alt, transcript_id, amino_acid_change FROM ann WHERE gene_name IN ('GENE1', 'GENE2', 'GENE3') AND amino_acid_change <> ''")
 def a22(spark, d):
-    """Written to the cache twice (the second time adds nothing), then searched."""
+    """All annotations written to the cache twice (the second time adds nothing), then searched."""
     import uuid
 
     path = f"{_shared(spark)}/cache-{uuid.uuid4().hex}"
-    a = annotated(spark, d).where("gene_name in ('GENE1', 'GENE2', 'GENE3')").select("chrom", "pos", "ref", "alt", "transcript_id", "gene_name", "amino_acid_change", "consequence")
+    a = annotated(spark, d).select("chrom", "pos", "ref", "alt", "transcript_id", "gene_name", "amino_acid_change", "consequence")
     writers.write_cache(a, path)
     writers.write_cache(a, path)
-    return writers.read_cache(spark, path).where("amino_acid_change <> ''").select("chrom", "pos", "ref", "alt", "transcript_id", "amino_acid_change")
+    return writers.read_cache(spark, path).where("gene_name in ('GENE1', 'GENE2', 'GENE3') and amino_acid_change <> ''").select("chrom", "pos", "ref", "alt", "transcript_id", "amino_acid_change")
 
 
 def _shared(spark) -> str:
@@ -313,7 +313,9 @@ def p25(spark, d):
 
 @query("F1_F2_codons", synth.duck() + f"SELECT transcript_id, num, c AS codon, {synth.AA.format('c')} AS aa, c IN ('TAA', 'TAG', 'TGA') AS stop, c = 'ATG' AS start FROM (SELECT transcript_id, num, substr(cds_sequence, CAST(num * 3 - 2 AS INT), 3) AS c FROM (SELECT *, unnest(range(1, 6)) AS num FROM tx WHERE cds_start > 0) q) r")
 def f1(spark, d):
-    t = synth.transcripts(spark, d).where("cds_start > 0").select("transcript_id", "cds_sequence", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("num"))
+    """The first five codons, as in the SQL; every one in F1_F2_codons_all."""
+    last = F.expr("length(cds_sequence) div 3") if EVERY.get() else F.lit(5).cast("bigint")
+    t = synth.transcripts(spark, d).where("cds_start > 0").select("transcript_id", "cds_sequence", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("num"))
     t = t.withColumn("codon", codon.codon_at(F.col("cds_sequence"), F.col("num")))
     return t.select("transcript_id", "num", "codon", codon.amino_acid(F.col("codon")).alias("aa"), codon.is_stop(F.col("codon")).alias("stop"), codon.is_start(F.col("codon")).alias("start"))
 
@@ -384,7 +386,8 @@ FIRST_HITS = {"h": HITS}
 
 
 def hit_rows(spark, d) -> DataFrame:
-    return synth.variants(spark, d).where("kind = 3 and ln <= 2").select("record_id", "chrom", "pos", "ref", "alt", F.col("record_id").alias("line"))
+    v = synth.variants(spark, d)
+    return (v if EVERY.get() else v.where("kind = 3 and ln <= 2")).select("record_id", "chrom", "pos", "ref", "alt", F.col("record_id").alias("line"))
 
 
 def index_of(spark, d) -> DataFrame:
@@ -646,7 +649,9 @@ def d5(spark, d):
 
 @query("A12_category_counts", synth.duck(**COMPARE) + f"SELECT 'hgvsc' AS column, cat AS category, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, cat) AS BIGINT) AS place FROM (SELECT {HGVSC_CAT} AS cat FROM p WHERE hl AND hr) q GROUP BY cat")
 def a12(spark, d):
-    return compare.category_counts(compared(spark, d)).where(F.col("column") == "hgvsc")
+    """Of hgvsc, as in the SQL; of every column in A12_category_counts_all."""
+    n = compare.category_counts(compared(spark, d))
+    return n if EVERY.get() else n.where(F.col("column") == "hgvsc")
 
 
 @query("A15_K14_differing_rows", synth.duck(**COMPARE) + "SELECT key, n, lc AS l_consequence, rc AS r_consequence FROM p WHERE hl AND hr AND NOT (lc = rc AND lh = rh AND lp = rp AND li = ri) ORDER BY key, n LIMIT 100")
@@ -834,7 +839,7 @@ def x4(spark, d):
 
 OVER_ALL = (
     "C1_C2_C11_C12_snv_consequence A2_A3_pick_best A2_gene_consequence_counts A4_most_severe A5_most_severe_term A6_all_effects A1_J11_best_for_maf P14_canonical_only A19_coverage_counts A17_K9_export_sorted A21_sql_view A21_gene_lookup "
-    "A22_K11_cache_by_change P9_P10_P16_terms P11_short_protein F12_F13_F15_F16_splice F20_F21_notation J2_genomic_index_join J3_hotspots J4_cancer_genes J5_sift_polyphen J10_A14_overlap D1_D2_A11_column_counts A13_transitions D7_hgvsc_category "
+    "A22_K11_cache_by_change F1_F2_codons A7_unified_index P9_P10_P16_terms P11_short_protein F12_F13_F15_F16_splice F20_F21_notation J2_genomic_index_join J3_hotspots J4_cancer_genes J5_sift_polyphen J10_A14_overlap D1_D2_A11_column_counts A13_transitions D7_hgvsc_category "
     "D6_hgvsp_category D4_normalise_terms D3_D5_D8_consequence_category A12_category_counts A15_K14_differing_rows D9_A16_K15_field_report S1_S3_K1_vcf_round_trip S4_S5_K2_maf_append K3_maf_replace K4_vcf_to_maf K5_A5_vep_json K6_native_json "
     "K8_A18_nexus_json T1_S23_K7_stream S12_S13_S15_S16_index_files"
 ).split()
