@@ -78,17 +78,19 @@ def generalise(paths: DataFrame) -> DataFrame:
 
 
 def merge(t: DataFrame) -> DataFrame:
-    """Replaces a template's last literal segment by `*` where its labelled rate is, within chance, that of all branches
-    of its parent; from the deepest level up. Branches without labels stay as they are."""
+    """Replaces a branch's segment by `*` in every template that passes through it, where the branch's labelled rate is,
+    within chance, that of all branches of its parent; from the deepest level up. Branches without labels stay as they are."""
     for d in range(DEPTH, 0, -1):
-        here = t.where((F.size("template") == d) & (F.col("labelled") > 0)).select("host", F.slice("template", 1, d - 1).alias("_up"), F.element_at("template", d).alias("_s"), "labelled", "blocked")
-        branch = here.groupBy("host", "_up", "_s").agg(F.sum("labelled").alias("k"), F.sum("blocked").alias("b"))
+        through = F.size("template") >= d
+        t = t.withColumns({"_up": F.when(through, F.slice("template", 1, d - 1)), "_s": F.get("template", F.lit(d - 1))})
+        branch = t.where(through & (F.col("labelled") > 0)).groupBy("host", "_up", "_s").agg(F.sum("labelled").alias("k"), F.sum("blocked").alias("b"))
         parent = branch.groupBy("host", "_up").agg(F.sum("k").alias("all_k"), F.sum("b").alias("all_b"))
         rate = F.col("all_b") / F.col("all_k")
         alike = branch.join(parent, ["host", "_up"]).where(F.abs(F.col("b") / F.col("k") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("k")) + 1e-12)
-        alike = alike.where(F.col("k") < F.col("all_k")).select("host", F.concat("_up", F.array("_s")).alias("template"), F.lit(True).alias("_alike"))
-        t = t.join(alike, ["host", "template"], "left")
-        t = t.withColumn("template", F.when(F.col("_alike") & (F.col("labelled") > 0), F.concat(F.slice("template", 1, F.greatest(F.lit(0), F.size("template") - 1)), F.array(F.lit("*")))).otherwise(F.col("template"))).drop("_alike")
+        alike = alike.where(F.col("k") < F.col("all_k")).select("host", "_up", "_s", F.lit(True).alias("_alike"))
+        t = t.join(alike, ["host", "_up", "_s"], "left")
+        merged = F.concat("_up", F.array(F.lit("*")), F.slice("template", d + 1, DEPTH))
+        t = t.withColumn("template", F.when(F.col("_alike"), merged).otherwise(F.col("template"))).drop("_alike", "_up", "_s")
         t = materialize(t, "level")
     return t
 

@@ -115,6 +115,16 @@ def test_url_templates(spark):
     assert got["http://s.org/spam/x1"]["verdict"] in ("allow", "block")
 
 
+def test_url_branches_merge_whole(spark):
+    """Unlabelled paths go with their branch, and branches with children merge too."""
+    urls = [f"http://s.org/u{i}/{x}" for i in range(60) for x in ("spam", "scam")] + [f"http://t.org/user/{x}/{i}" for x in ("ann", "bob") for i in range(8)]
+    rules = {f"s.org/u{i}/{x}": "block" for i in range(1, 10) for x in ("spam", "scam")} | {f"t.org/user/{x}/{i}": "block" for x in ("ann", "bob") for i in range(1, 5)}
+    got = {r["url"]: r for r in url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got["http://s.org/u0/spam"]["rule"] is None and got["http://s.org/u0/spam"]["verdict"] == "block"
+    assert {got[f"http://t.org/user/{x}/0"]["template"] for x in ("ann", "bob")} == {"/user/*/{n}"}
+    assert got["http://t.org/user/ann/0"]["verdict"] == "block"
+
+
 def test_rollup(spark, tmp_path):
     df = spark.createDataFrame([("a", "en", 3), ("a", "en", 4), ("b", None, 5)], "source string, lang string, n long")
     r = token_counts.Rollup(spark, str(tmp_path / "rollup"))
