@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, lang_id, minhash_dedup, packing, simhash, token_counts, toxicity, url_filters, vector_join
@@ -80,20 +80,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = simhash.with_next(docs, "doc_id", "doc_id", "text")
+    """Besides the likenesses: n_within, for rows whose id is divisible by 50 the number of other documents whose
+    fingerprint differs in at most three bits, by block tables (null for other rows)."""
+    near = simhash.with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
     n, half = F.length("text").cast("long"), F.expr("cast(length(text) div 2 as int)")
-    near = near.select("doc_id", "text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("_next.text"), F.lit(1), half)).alias("edited"), F.struct(F.col("_next.doc_id").alias("id"), F.xxhash64("_next.text").alias("h")).alias("_n"))
-    near = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("_h"), F.col("_n.id").alias("_nid"), F.col("_n.h").alias("_nh"), F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("edited").alias("t")))).alias("_x"))
-    keys = ["doc_id", "n_chars", "edited_sha256", "_h", "_nid", "_nh"]
-    both = simhash.fingerprints(near.select(*keys, F.col("_x.e").alias("_e"), F.col("_x.t").alias("_t")), [*keys, "_e"], "_t")
-    pick = lambda e: F.max(F.when(F.col("_e") == e, F.col("fingerprint")))
-    rows = both.groupBy(*keys).agg(pick(False).alias("fp"), pick(True).alias("efp"), F.max("n_rows").alias("n_rows"))
-    rows = materialize(rows, "fingerprints")  # small; without it both sides of the next join would vote anew
-    nexts = rows.select(F.col("doc_id").alias("_i"), F.col("_h").alias("_ih"), F.col("fp").alias("nfp")).groupBy("_i", "_ih").agg(F.max("nfp").alias("nfp"))
-    rows = rows.join(nexts, F.col("_nid").eqNullSafe(F.col("_i")) & (F.col("_nh") == F.col("_ih")), "left")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return rows.select("doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"), simhash.as_hex(F.col("efp")).alias("edited_fingerprint"), simhash.likeness(F.col("fp"), F.col("efp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
+    edited = F.when(~F.col("guest"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    near = near.select("range", "seat", "guest", "doc_id", n.alias("n_chars"), "text", edited.alias("edited"))
+    both = F.array(F.struct(F.lit("").alias("sha"), F.col("text").alias("t")), F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")))
+    own = ["range", "seat", "guest", "doc_id", "n_chars"]
+    near = near.select(*own, F.explode(F.filter(both, lambda x: x["t"].isNotNull())).alias("x")).select(*own, "x.sha", "x.t")
+    # all within a range, so that nothing is shuffled but the texts
+    fps = simhash.fingerprints(near, [*own, "sha"], "t")
+    in_order = Window.partitionBy("range").orderBy("seat", "sha")  # a text stands before its edited one
+    rows = fps.select(*own, "sha", F.col("fingerprint").alias("fp"), F.lead("fingerprint", 1).over(in_order).alias("efp"), F.lead("fingerprint", 2).over(in_order).alias("nfp"), F.lead("sha", 1).over(in_order).alias("edited_sha256"))
+    rows = materialize(rows.where("sha = '' and not guest").select("doc_id", "n_chars", "edited_sha256", "fp", "efp", "nfp"), "fingerprints")
+    asks = rows.where("doc_id % 50 = 0")
+    found = simhash.near_counts(rows.select("fp"), asks.select("fp"), fp="fp").select(F.col("fp").alias("_fp"), F.lit(0).alias("_ask"), (F.col("n_within") - 1).alias("n_within"))
+    rows = rows.join(found, (F.col("fp") == F.col("_fp")) & (F.col("doc_id") % 50 == F.col("_ask")), "left")
+    return rows.select("doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"), simhash.as_hex(F.col("efp")).alias("edited_fingerprint"), simhash.likeness(F.col("fp"), F.col("efp")).alias("near_edited"), simhash.likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "n_within")
 
 
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
