@@ -91,7 +91,8 @@ def export(spark: SparkSession, a) -> None:
     t = load_model(spark, a.model)
     rows = variants.read_maf(spark, a.input)[0] if a.input.endswith((".maf", ".txt", ".maf.gz")) else variants.read_vcf(spark, a.input)
     out = predict.annotate(rows, t, a.canonical_only)
-    writers.write_parquet(pick.pick_best(out, ["record_id"]) if a.pick else out, a.out)
+    key = [c for c in ("record_id", "ord") if c in out.columns]  # a VCF line has a row for each allele
+    writers.write_parquet(pick.pick_best(out, key) if a.pick else out, a.out)
 
 
 def run_stream(spark: SparkSession, a) -> None:

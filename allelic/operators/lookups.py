@@ -13,8 +13,6 @@ from ..functions import alleles, terms, text
 from ..plans.overlap import with_size_check
 
 GENOMIC_KEY = ["chrom", "pos", "ref", "alt"]
-#: Rows of a protein- or gene-level table up to which it is broadcast.
-SMALL = 2_000_000
 
 
 class Source(Protocol):
@@ -83,14 +81,14 @@ def best_hotspots(hotspots: DataFrame) -> DataFrame:
 def join_hotspots(annotations: DataFrame, hotspots: DataFrame) -> DataFrame:
     h = best_hotspots(hotspots).select(F.col("transcript_id").alias("_t"), F.col("position").alias("_p"), F.col("type").alias("hotspot_type"), text.q_value(F.col("q_value")).alias("hotspot_q"))
     key = F.when(F.col("protein_position") != 0, text.unversioned(F.col("transcript_id")))
-    out = annotations.join(with_size_check(h, SMALL), (key == F.col("_t")) & (F.col("protein_position") == F.col("_p")), "left")
+    out = annotations.join(with_size_check(h), (key == F.col("_t")) & (F.col("protein_position") == F.col("_p")), "left")
     return out.withColumns({"hotspot": F.when(F.col("_t").isNotNull(), "Y").otherwise(""), "hotspot_type": F.coalesce("hotspot_type", F.lit("")), "hotspot_q": F.coalesce("hotspot_q", F.lit(""))}).drop("_t", "_p")
 
 
 def join_genes(annotations: DataFrame, genes: DataFrame) -> DataFrame:
     """Gene type of each cancer gene; of repeated genes the last line counts."""
     g = keep_last(genes, ["gene_name"], "line").select("gene_name", "gene_type")
-    return annotations.join(with_size_check(g, SMALL), "gene_name", "left").withColumn("gene_type", F.coalesce("gene_type", F.lit("")))
+    return annotations.join(with_size_check(g), "gene_name", "left").withColumn("gene_type", F.coalesce("gene_type", F.lit("")))
 
 
 def join_predictions(annotations: DataFrame, cells: DataFrame) -> DataFrame:

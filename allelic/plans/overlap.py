@@ -1,36 +1,73 @@
 """The interval join: variants with the transcripts that hold them.
 
 Transcripts are listed once for each bin that they touch; a position has exactly one bin, so a pair comes out once. The
-join is an equi-join on (chrom, bin) with the exact bounds as a residual condition. The transcript side is broadcast
-only if its estimated size is below a bound; beyond it, both sides shuffle on (chrom, bin) and adaptive execution splits
-skewed bins. Exons and sequences stay out of the join of large models: pass `columns` and join them back by id."""
+join is an equi-join on (chrom, bin) with the exact bounds as a residual condition.
+
+What is broadcast is bounded by its measured bytes. A small model is broadcast as it is. Of a larger one the ids and bounds
+alone take part in the interval join, broadcast if they are below the bound, and the exons and sequences are joined by id
+afterwards, so that a row that isn't in a transcript never meets them and a whole model is never copied to every task.
+Beyond it, both sides shuffle on (chrom, bin) and adaptive execution splits skewed bins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIN = 1 << 17
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a value of fixed width, and of what a row or an array holds besides its values.
+WIDTH = 8
 
 
 def binned(transcripts: DataFrame, width: int = BIN) -> DataFrame:
     return transcripts.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}"))))
 
 
-def with_size_check(df: DataFrame, rows_at_most: int):
-    """df hinted for broadcast if it has no more rows than the bound."""
-    return F.broadcast(df) if df.limit(rows_at_most + 1).count() <= rows_at_most else df
+def bytes_of(kind: T.DataType, c: Column) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return WIDTH + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        each = WIDTH * (1 + len(inner.fields)) if isinstance(inner, T.StructType) else 4 * WIDTH
+        return WIDTH + F.greatest(F.size(c), F.lit(0)) * each
+    return F.lit(WIDTH)
+
+
+def total_bytes(df: DataFrame) -> int:
+    """The measured bytes of a table's rows."""
+    each = F.lit(2 * WIDTH)
+    for f in df.schema.fields:
+        each = each + bytes_of(f.dataType, F.col(f"`{f.name}`"))
+    return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0])
+
+
+def with_size_check(df: DataFrame, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:
+    """df hinted for broadcast if its measured bytes are below the bound."""
+    return F.broadcast(df) if total_bytes(df) <= bytes_at_most else df
+
+
+KEY = ["transcript_id", "chrom", "start"]
 
 
-def interval_join(variants: DataFrame, transcripts: DataFrame, width: int = BIN, how: str = "left", broadcast_rows: int = 300_000) -> DataFrame:
+def interval_join(variants: DataFrame, transcripts: DataFrame, width: int = BIN, how: str = "left", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each variant with each transcript of its chromosome with start <= pos <= end; with `left`, variants without any
     stay, with null transcript columns (transcript_id null)."""
     clash = set(variants.columns) & set(transcripts.columns) - {"chrom"}
     if clash:
         raise ValueError(f"both sides have columns {sorted(clash)}")
-    t = binned(transcripts, width).withColumnRenamed("chrom", "_chrom")
-    t = with_size_check(t, broadcast_rows)
     v = variants.withColumn("_vbin", F.expr(f"pos div {width}"))
     on = (F.col("chrom") == F.col("_chrom")) & (F.col("_vbin") == F.col("_bin")) & F.col("pos").between(F.col("start"), F.col("end"))
-    return v.join(t, on, how).drop("_chrom", "_bin", "_vbin")
+    whole = binned(transcripts, width).withColumnRenamed("chrom", "_chrom")
+    narrow = [*KEY, "end"]
+    small = total_bytes(whole) <= broadcast_bytes
+    if small or set(transcripts.columns) <= set(narrow):
+        return v.join(F.broadcast(whole) if small else whole, on, how).drop("_chrom", "_bin", "_vbin")
+    ids = binned(transcripts.select(*narrow), width).withColumnRenamed("chrom", "_chrom")
+    found = v.join(with_size_check(ids, broadcast_bytes), on, how).drop("_chrom", "_bin", "_vbin")
+    rest = transcripts.withColumnsRenamed({"transcript_id": "_id", "chrom": "_chrom", "start": "_start"}).drop("end")
+    # variants without a transcript are dealt to all tasks by a key that no transcript has
+    key = F.coalesce("transcript_id", F.concat(F.lit("-"), F.pmod(F.xxhash64("chrom", "pos"), F.lit(4096)).cast("string")))
+    joined = found.withColumn("_key", key).join(rest, (F.col("_key") == F.col("_id")) & (F.col("chrom") == F.col("_chrom")) & (F.col("start") == F.col("_start")), how)
+    return joined.select(*variants.columns, *(c for c in transcripts.columns if c != "chrom" or "chrom" not in variants.columns))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
-from contextvars import ContextVar
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import session, synth
@@ -32,36 +35,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-#: Whether the query being built takes all variants. SQL can't express the notation of indels, so that the queries with
-#: SQL take single bases only; each has a second one, named `..._all`, over all of lineitem.
-EVERY: ContextVar[bool] = ContextVar("every", default=False)
-
-
-def over_all(f):
-    """A query over single bases as one over all variants."""
-
-    def run(spark, d):
-        token = EVERY.set(True)
-        try:
-            return f(spark, d)
-        finally:
-            EVERY.reset(token)
-
-    return run
-
-
-def snvs(spark: SparkSession, d: str) -> DataFrame:
-    v = synth.variants(spark, d)
-    return (v if EVERY.get() else v.where("kind = 3")).select("record_id", "chrom", "pos", "ref", "alt")
+def variants_only(spark: SparkSession, d: str) -> DataFrame:
+    return synth.variants(spark, d).select("record_id", "chrom", "pos", "ref", "alt")
 
 
 def annotated(spark: SparkSession, d: str, only: list[str] | None = None) -> DataFrame:
-    if EVERY.get():
-        return predict.annotate(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), width=BIN, only=only)
-    return predict.annotate_snvs(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, only)
+    return predict.annotate(variants_only(spark, d), synth.transcripts(spark, d).drop("k", "n"), width=BIN, only=only)
 
 
-ANN = synth.duck(**synth.SNV_STEPS)
+ANN = synth.duck(**synth.STEPS)
 
 
 @query("J1_interval_join", synth.duck(j=synth.JOINED) + "SELECT record_id, coalesce(transcript_id, '') AS transcript_id FROM j")
@@ -136,7 +118,7 @@ def a1(spark, d):
 @query("P14_canonical_only", ANN.replace("LEFT JOIN tx t ON", "LEFT JOIN (SELECT * FROM tx WHERE msk_canonical) t ON") + "SELECT record_id, transcript_id, consequence FROM ann")
 def p14(spark, d):
     t = synth.transcripts(spark, d).drop("k", "n")
-    return predict.annotate(snvs(spark, d), t, canonical_only=True, width=BIN).select("record_id", "transcript_id", "consequence")
+    return predict.annotate(variants_only(spark, d), t, canonical_only=True, width=BIN).select("record_id", "transcript_id", "consequence")
 
 
 @query("A19_coverage_counts", ANN + "SELECT consequence, impact, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN hgvsp <> '' THEN 1 END) AS BIGINT) AS with_protein FROM ann GROUP BY ALL")
@@ -152,15 +134,16 @@ def a20(spark, d):
 NUMERIC = "CASE WHEN chrom IN ('1','2','3','4','5') THEN CAST(chrom AS INT) ELSE 0 END"
 
 
-@query("A17_K9_export_sorted", ANN + f"SELECT {NUMERIC} AS chrom_numeric, pos, ref, alt, transcript_id, consequence, CAST(row_number() OVER (ORDER BY {NUMERIC}, pos, ref, alt, transcript_id, record_id) AS BIGINT) > 0 AS sorted FROM ann")
+@query("A17_K9_export_sorted", ANN + f"SELECT {NUMERIC} AS chrom_numeric, pos, ref, alt, transcript_id, consequence, true AS sorted FROM ann")
 def a17(spark, d):
-    """Written as sorted, range-partitioned Parquet and read back; `sorted` says whether each file is in order."""
-    import uuid
-
+    """Written as sorted, range-partitioned Parquet and read back; `sorted` says of each row whether it stands where the
+    order puts it: not before the row ahead of it in its file."""
     path = f"{_shared(spark)}/export-{uuid.uuid4().hex}"
     writers.write_parquet(annotated(spark, d), path)
-    df = spark.read.parquet(path)
-    return df.select("chrom_numeric", "pos", "ref", "alt", "transcript_id", "consequence", F.lit(True).alias("sorted"))
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = F.struct(*writers.EXPORT_ORDER)
+    ahead = F.lag(place).over(Window.partitionBy("file").orderBy("row"))
+    return df.select("chrom_numeric", "pos", "ref", "alt", "transcript_id", "consequence", F.coalesce(ahead <= place, F.lit(True)).alias("sorted"))
 
 
 @query("A21_sql_view", ANN + f"SELECT gene_name, impact, CAST(count(*) AS BIGINT) AS n FROM ann WHERE impact IN ('HIGH', 'MODERATE') GROUP BY gene_name, impact ORDER BY n DESC, gene_name, impact LIMIT 20")
@@ -178,8 +161,6 @@ def a21_gene(spark, d):
 @query("A22_K11_cache_by_change", ANN + "SELECT DISTINCT chrom, pos, ref, alt, transcript_id, amino_acid_change FROM ann WHERE gene_name IN ('GENE1', 'GENE2', 'GENE3') AND amino_acid_change <> ''")
 def a22(spark, d):
     """All annotations written to the cache twice (the second time adds nothing), then searched."""
-    import uuid
-
     path = f"{_shared(spark)}/cache-{uuid.uuid4().hex}"
     a = annotated(spark, d).select("chrom", "pos", "ref", "alt", "transcript_id", "gene_name", "amino_acid_change", "consequence")
     writers.write_cache(a, path)
@@ -188,20 +169,22 @@ def a22(spark, d):
 
 
 def _shared(spark) -> str:
+    """The folder that driver and executors share; there is no local one to fall back to, which executors wouldn't see."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at.rstrip("/") if at else _local()
 
-        at = f"{tempfile.gettempdir()}/allelic-shared"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
 
-
-# ---- functions on alleles, terms and notations --------------------------------------------------------------------
+@cache
+def _local() -> str:
+    """With a local master there is one machine: a folder that goes with the process."""
+    folder = tempfile.TemporaryDirectory(prefix="allelic-")
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
-def variants_only(spark, d):
-    return synth.variants(spark, d).select("record_id", "chrom", "pos", "ref", "alt")
+# ---- functions on alleles, terms and notations --------------------------------------------------------------------
 
 
 V = synth.duck()
@@ -228,8 +211,7 @@ def p3(spark, d):
     return vs.split_alleles(r).select("record_id", "ord", alleles.variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")).alias("variant_id"))
 
 
-LCP = "coalesce(list_min(list_filter(range(1, 1 + least(length({0}), length({1}))), lambda x: substr({0}, CAST(x AS INT), 1) <> substr({1}, CAST(x AS INT), 1))) - 1, least(length({0}), length({1})))"
-NORMAL = {"n1": f"SELECT *, {LCP.format('ref', 'alt')} AS q FROM v", "n2": "SELECT *, substr(ref, CAST(q + 1 AS INT)) AS r1, substr(alt, CAST(q + 1 AS INT)) AS a1 FROM n1", "n3": f"SELECT *, {LCP.format('reverse(r1)', 'reverse(a1)')} AS t FROM n2", "n4": "SELECT *, left(r1, CAST(length(r1) - t AS INT)) AS r2, left(a1, CAST(length(a1) - t AS INT)) AS a2 FROM n3"}
+NORMAL = {"n1": f"SELECT *, {synth.LCP.format('ref', 'alt')} AS q FROM v", "n2": "SELECT *, substr(ref, CAST(q + 1 AS INT)) AS r1, substr(alt, CAST(q + 1 AS INT)) AS a1 FROM n1", "n3": f"SELECT *, {synth.LCP.format('reverse(r1)', 'reverse(a1)')} AS t FROM n2", "n4": "SELECT *, left(r1, CAST(length(r1) - t AS INT)) AS r2, left(a1, CAST(length(a1) - t AS INT)) AS a2 FROM n3"}
 
 
 @query("P5_normalise", synth.duck(**NORMAL) + "SELECT record_id, pos + q - CASE WHEN q > 0 AND r2 = '' AND a2 <> '' THEN 1 ELSE 0 END AS pos, r2 AS ref, a2 AS alt FROM n4")
@@ -249,18 +231,23 @@ def p6(spark, d):
     return m.select("record_id", F.col("m.start").alias("start_position"), F.col("m.end").alias("end_position"), "m.ref", "m.alt", alleles.maf_type(F.col("m.ref"), F.col("m.alt")).alias("variant_type"), alleles.short_type(F.col("m.ref"), F.col("m.alt")).alias("short_type"))
 
 
-MAF_CASE = "CASE split_part(consequence, ',', 1) " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in terms.MAF_CLASS.items()) + " ELSE split_part(consequence, ',', 1) END"
+# The SQL's own values, stated apart from the engine's tables.
+MAF_CASE = """CASE split_part(consequence, ',', 1) WHEN 'missense_variant' THEN 'Missense_Mutation' WHEN 'stop_gained' THEN 'Nonsense_Mutation' WHEN 'stop_lost' THEN 'Nonstop_Mutation' WHEN 'start_lost' THEN 'Translation_Start_Site'
+  WHEN 'synonymous_variant' THEN 'Silent' WHEN 'stop_retained_variant' THEN 'Silent' WHEN 'splice_donor_variant' THEN 'Splice_Site' WHEN 'splice_acceptor_variant' THEN 'Splice_Site' WHEN 'splice_region_variant' THEN 'Splice_Region'
+  WHEN 'frameshift_variant' THEN CASE WHEN length(ref) > length(alt) THEN 'Frame_Shift_Del' ELSE 'Frame_Shift_Ins' END WHEN 'inframe_deletion' THEN 'In_Frame_Del' WHEN 'inframe_insertion' THEN 'In_Frame_Ins' WHEN 'intron_variant' THEN 'Intron'
+  WHEN '5_prime_UTR_variant' THEN '5''UTR' WHEN '3_prime_UTR_variant' THEN '3''UTR' WHEN 'non_coding_transcript_exon_variant' THEN 'RNA' WHEN 'mature_miRNA_variant' THEN 'RNA' WHEN 'intergenic_variant' THEN 'IGR' ELSE split_part(consequence, ',', 1) END"""
 
 
-@query("P9_P10_P16_terms", ANN + f"SELECT record_id, transcript_id, {MAF_CASE} AS variant_classification, CAST({RANK} AS INT) AS impact_rank, list_contains(string_split(consequence, ','), 'missense_variant') AS missense FROM ann WHERE consequence NOT LIKE 'intron_variant,splice%'")
+@query("P9_P10_P16_terms", ANN + f"SELECT record_id, transcript_id, {MAF_CASE} AS variant_classification, CAST({RANK} AS INT) AS impact_rank, list_contains(string_split(consequence, ','), 'missense_variant') AS missense FROM ann")
 def p9(spark, d):
     c = F.col("consequence")
     return annotated(spark, d).select("record_id", "transcript_id", terms.maf_class(c, F.col("ref"), F.col("alt")).alias("variant_classification"), terms.impact_rank(c).alias("impact_rank"), terms.is_missense(c).alias("missense"))
 
 
 SHORT = "hgvsp"
-for _one, _three in codon.THREE.items():
+for _one, _three in synth.RESIDUES.items():
     SHORT = f"replace({SHORT}, '{_three}', '{_one}')"
+SHORT = f"replace({SHORT}, 'Xaa', 'X')"
 
 
 @query("P11_short_protein", ANN + f"SELECT record_id, transcript_id, {SHORT} AS hgvsp_short FROM ann WHERE hgvsp <> ''")
@@ -311,10 +298,9 @@ def p25(spark, d):
 # ---- sequence and coordinate functions ----------------------------------------------------------------------------
 
 
-@query("F1_F2_codons", synth.duck() + f"SELECT transcript_id, num, c AS codon, {synth.AA.format('c')} AS aa, c IN ('TAA', 'TAG', 'TGA') AS stop, c = 'ATG' AS start FROM (SELECT transcript_id, num, substr(cds_sequence, CAST(num * 3 - 2 AS INT), 3) AS c FROM (SELECT *, unnest(range(1, 6)) AS num FROM tx WHERE cds_start > 0) q) r")
+@query("F1_F2_codons", synth.duck() + f"SELECT transcript_id, num, c AS codon, {synth.AA.format('c')} AS aa, c IN ('TAA', 'TAG', 'TGA') AS stop, c = 'ATG' AS start FROM (SELECT transcript_id, num, substr(cds_sequence, CAST(num * 3 - 2 AS INT), 3) AS c FROM (SELECT *, unnest(range(1, length(cds_sequence) // 3 + 1)) AS num FROM tx WHERE cds_start > 0) q) r")
 def f1(spark, d):
-    """The first five codons, as in the SQL; every one in F1_F2_codons_all."""
-    last = F.expr("length(cds_sequence) div 3") if EVERY.get() else F.lit(5).cast("bigint")
+    last = F.expr("length(cds_sequence) div 3")
     t = synth.transcripts(spark, d).where("cds_start > 0").select("transcript_id", "cds_sequence", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("num"))
     t = t.withColumn("codon", codon.codon_at(F.col("cds_sequence"), F.col("num")))
     return t.select("transcript_id", "num", "codon", codon.amino_acid(F.col("codon")).alias("aa"), codon.is_stop(F.col("codon")).alias("stop"), codon.is_start(F.col("codon")).alias("start"))
@@ -352,7 +338,7 @@ def f8(spark, d):
     ANN + "SELECT record_id, transcript_id, CAST(CASE WHEN ex THEN i ELSE CASE WHEN o - 89 <= 140 - o THEN i ELSE i + 1 END END AS INT) AS nearest, site, near, CASE WHEN cod AND site <> '' THEN (scds - 1) // 3 + 1 ELSE 0 END AS codon FROM j6 WHERE k IS NOT NULL",
 )
 def f12(spark, d):
-    j = overlap.interval_join(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
+    j = overlap.interval_join(variants_only(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
     p = F.col("pos")
     site = coords.splice_site(p)
     return j.select("record_id", "transcript_id", coords.nearest_exon(p)["place"].alias("nearest"), site.alias("site"), coords.in_splice_region(p).alias("near"), F.when((site != "") & coords.is_coding(), coords.splice_codon(p)).otherwise(F.lit(0)).cast("bigint").alias("codon"))
@@ -367,27 +353,22 @@ def f14(spark, d):
 
 @query("F20_F21_notation", ANN + "SELECT record_id, transcript_id, loc AS notation FROM j7 WHERE k IS NOT NULL")
 def f21(spark, d):
-    j = overlap.interval_join(snvs(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
+    j = overlap.interval_join(variants_only(spark, d), synth.transcripts(spark, d).drop("k", "n"), BIN, how="inner")
     return j.select("record_id", "transcript_id", coords.notation(F.col("pos")).alias("notation"))
 
 
-@query("C3_C4_C13_C14_complex", None)
+@query("C3_to_C9_C13_C14_F22_to_F26_complex", ANN + f"SELECT {PREDICTED} FROM others")
 def c4(spark, d):
-    """Indels and substitutions of several bases: held against vectors in the tests."""
-    v = synth.variants(spark, d).where("kind < 3").select("record_id", "chrom", "pos", "ref", "alt")
+    """Indels and substitutions of several bases alone."""
+    v = variants_only(spark, d).where(~alleles.is_snv(F.col("ref"), F.col("alt")))
     return predict.annotate(v, synth.transcripts(spark, d).drop("k", "n"), width=BIN).selectExpr(*PREDICTED.split(", "))
 
 
 # ---- lookups ------------------------------------------------------------------------------------------------------
 
-#: Source rows that hit some variants: keyed by their first line, scores from the key.
-HITS = "SELECT chrom, pos, ref, alt, min(record_id) AS line, max(record_id) AS last, count(*) AS n FROM v WHERE kind = 3 AND ln <= 2 GROUP BY chrom, pos, ref, alt"
-FIRST_HITS = {"h": HITS}
-
-
 def hit_rows(spark, d) -> DataFrame:
-    v = synth.variants(spark, d)
-    return (v if EVERY.get() else v.where("kind = 3 and ln <= 2")).select("record_id", "chrom", "pos", "ref", "alt", F.col("record_id").alias("line"))
+    """Source rows that hit the variants: keyed by their first line, scores from the key."""
+    return variants_only(spark, d).withColumn("line", F.col("record_id"))
 
 
 def index_of(spark, d) -> DataFrame:
@@ -398,16 +379,18 @@ def index_of(spark, d) -> DataFrame:
     return lookups.unified_index({"am": (am, ["am_score", "am_class"], True), "clinvar": (cv, ["clinvar_significance"], False), "gnomad": (gn, ["gnomad_ac"], False)})
 
 
+#: The key that the index goes by.
+KEYED = NORMAL | {"n5": "SELECT record_id, chrom, pos + q - CASE WHEN q > 0 AND r2 = '' AND a2 <> '' THEN 1 ELSE 0 END AS pos, r2 AS ref, a2 AS alt, pos AS pos0, ref AS ref0, alt AS alt0 FROM n4"}
 INDEX = """SELECT chrom, pos, ref, alt, CAST(CAST(min(record_id) % 1000 / 1000 AS FLOAT) AS DOUBLE) AS am_score, CASE WHEN min(record_id) % 2 = 0 THEN 'benign' ELSE 'pathogenic' END AS am_class,
-  coalesce('sig' || CAST(max(CASE WHEN record_id % 3 = 0 THEN record_id END) % 4 AS VARCHAR), '') AS clinvar_significance, coalesce(max(CASE WHEN record_id % 5 <> 0 THEN record_id END) % 997, 0) AS gnomad_ac FROM v WHERE kind = 3 AND ln <= 2 GROUP BY chrom, pos, ref, alt"""
+  coalesce('sig' || CAST(max(CASE WHEN record_id % 3 = 0 THEN record_id END) % 4 AS VARCHAR), '') AS clinvar_significance, coalesce(max(CASE WHEN record_id % 5 <> 0 THEN record_id END) % 997, 0) AS gnomad_ac FROM n5 GROUP BY chrom, pos, ref, alt"""
 
 
-@query("A7_unified_index", synth.duck(x=INDEX) + "SELECT * FROM x")
+@query("A7_unified_index", synth.duck(**KEYED, x=INDEX) + "SELECT * FROM x")
 def a7(spark, d):
     return index_of(spark, d).withColumn("am_score", F.col("am_score").cast("double"))
 
 
-@query("J2_genomic_index_join", synth.duck(**synth.SNV_STEPS, x=INDEX) + "SELECT a.record_id, a.transcript_id, CASE WHEN list_contains(string_split(consequence, ','), 'missense_variant') THEN coalesce(am_class, '') ELSE '' END AS am_class, coalesce(clinvar_significance, '') AS clinvar_significance, coalesce(gnomad_ac, 0) AS gnomad_ac FROM ann a LEFT JOIN x ON a.chrom = x.chrom AND a.pos = x.pos AND a.ref = x.ref AND a.alt = x.alt")
+@query("J2_genomic_index_join", synth.duck(**synth.STEPS, **KEYED, x=INDEX, key="SELECT DISTINCT record_id, chrom, pos, ref, alt FROM n5") + "SELECT a.record_id, a.transcript_id, CASE WHEN list_contains(string_split(consequence, ','), 'missense_variant') THEN coalesce(am_class, '') ELSE '' END AS am_class, coalesce(clinvar_significance, '') AS clinvar_significance, coalesce(gnomad_ac, 0) AS gnomad_ac FROM ann a JOIN key USING (record_id) LEFT JOIN x ON key.chrom = x.chrom AND key.pos = x.pos AND key.ref = x.ref AND key.alt = x.alt")
 def j2(spark, d):
     return lookups.join_index(annotated(spark, d, ["transcript_id", "consequence"]), index_of(spark, d)).select("record_id", "transcript_id", "am_class", "clinvar_significance", "gnomad_ac")
 
@@ -426,7 +409,7 @@ def a8(spark, d):
     return lookups.best_hotspots(hotspot_rows(spark, d)).select("transcript_id", "position", "type", "q_value")
 
 
-@query("J3_hotspots", synth.duck(**synth.SNV_STEPS, **HOT_BEST) + "SELECT a.record_id, a.transcript_id, CASE WHEN hb.type IS NULL THEN '' ELSE 'Y' END AS hotspot, coalesce(hb.type, '') AS hotspot_type, CASE WHEN hb.type IS NULL THEN '' WHEN hb.q_value = 0 THEN '0' WHEN hb.q_value = 0.01 THEN '0.01' ELSE '0.02' END AS hotspot_q FROM ann a LEFT JOIN hb ON a.protein_position <> 0 AND split_part(a.transcript_id, '.', 1) = hb.transcript_id AND a.protein_position = hb.position")
+@query("J3_hotspots", synth.duck(**synth.STEPS, **HOT_BEST) + "SELECT a.record_id, a.transcript_id, CASE WHEN hb.type IS NULL THEN '' ELSE 'Y' END AS hotspot, coalesce(hb.type, '') AS hotspot_type, CASE WHEN hb.type IS NULL THEN '' WHEN hb.q_value = 0 THEN '0' WHEN hb.q_value = 0.01 THEN '0.01' ELSE '0.02' END AS hotspot_q FROM ann a LEFT JOIN hb ON a.protein_position <> 0 AND split_part(a.transcript_id, '.', 1) = hb.transcript_id AND a.protein_position = hb.position")
 def j3(spark, d):
     return lookups.join_hotspots(annotated(spark, d, ["transcript_id", "protein_position"]), hotspot_rows(spark, d)).select("record_id", "transcript_id", "hotspot", "hotspot_type", "hotspot_q")
 
@@ -434,7 +417,7 @@ def j3(spark, d):
 GENES = "SELECT 'GENE' || CAST(s_suppkey % 150 AS {text}) AS gene_name, CASE s_nationkey % 3 WHEN 0 THEN 'ONCOGENE' WHEN 1 THEN 'TSG' ELSE 'BOTH' END AS gene_type, s_suppkey AS line FROM supplier"
 
 
-@query("J4_cancer_genes", synth.duck(**synth.SNV_STEPS, g=GENES.replace("{text}", "VARCHAR"), g1="SELECT gene_name, arg_max(gene_type, line) AS gene_type FROM g GROUP BY gene_name") + "SELECT record_id, transcript_id, coalesce(gene_type, '') AS gene_type FROM ann LEFT JOIN g1 USING (gene_name)")
+@query("J4_cancer_genes", synth.duck(**synth.STEPS, g=GENES.replace("{text}", "VARCHAR"), g1="SELECT gene_name, arg_max(gene_type, line) AS gene_type FROM g GROUP BY gene_name") + "SELECT record_id, transcript_id, coalesce(gene_type, '') AS gene_type FROM ann LEFT JOIN g1 USING (gene_name)")
 def j4(spark, d):
     g = spark.sql(GENES.replace("{text}", "STRING").replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{d}/supplier.parquet"))
     return lookups.join_genes(annotated(spark, d, ["transcript_id", "gene_name"]), g).select("record_id", "transcript_id", "gene_type")
@@ -468,8 +451,8 @@ def f28(spark, d):
 
 @query(
     "J5_sift_polyphen",
-    synth.duck(**synth.SNV_STEPS, **CELLS, am="SELECT a.*, CASE WHEN split_part(peptide, '*', 1) = '' THEN NULL ELSE md5(split_part(peptide, '*', 1)) END AS m FROM ann a LEFT JOIN p USING (transcript_id)")
-    + "SELECT record_id, transcript_id, coalesce(printf('%.3f', CAST(max(CASE WHEN analysis = 'sift' THEN score END) AS DOUBLE)), '') AS sift_score, coalesce(max(CASE WHEN analysis = 'polyphen' THEN prediction END), '') AS polyphen_prediction FROM am LEFT JOIN cl ON cl.md5 = am.m AND list_contains(string_split(consequence, ','), 'missense_variant') AND protein_position = position AND right(amino_acid_change, 1) = alt_aa GROUP BY record_id, transcript_id, tx_start, hgvsc",
+    synth.duck(**synth.STEPS, **CELLS, am="SELECT a.*, CASE WHEN split_part(peptide, '*', 1) = '' THEN NULL ELSE md5(split_part(peptide, '*', 1)) END AS m, row_number() OVER () AS rid FROM ann a LEFT JOIN p USING (transcript_id)")
+    + "SELECT record_id, transcript_id, coalesce(printf('%.3f', CAST(max(CASE WHEN analysis = 'sift' THEN score END) AS DOUBLE)), '') AS sift_score, coalesce(max(CASE WHEN analysis = 'polyphen' THEN prediction END), '') AS polyphen_prediction FROM am LEFT JOIN cl ON cl.md5 = am.m AND list_contains(string_split(consequence, ','), 'missense_variant') AND protein_position = position AND right(amino_acid_change, 1) = alt_aa GROUP BY rid, record_id, transcript_id",
 )
 def j5(spark, d):
     a = annotated(spark, d, ["transcript_id", "consequence", "protein_position", "amino_acid_change"])
@@ -501,8 +484,6 @@ def j8(spark, d):
 @query("J9_A9_A10_S6_S7_gtf_model", synth.duck(x=EXONS) + """SELECT transcript_id, gene_name, tx.s AS start_pos, tx.e AS end_pos, cds_start, cds_end, CAST(n AS BIGINT) AS exons, CASE WHEN cds_start = 0 THEN 0 WHEN strand = 1 THEN 0 ELSE CASE WHEN n = 1 THEN 0 ELSE 90 * (n - 1) - 25 END END AS first_offset, CASE WHEN strand = 1 THEN 90 * (n - 1) ELSE 0 END AS last_cum FROM tx""")
 def j9(spark, d):
     """A GTF written from the synthetic transcripts, read back and assembled."""
-    import uuid
-
     t = synth.transcripts(spark, d)
     tag = F.when(F.col("canonical"), F.lit(' tag "Ensembl_canonical";')).otherwise(F.lit(""))
     attributes = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "transcript_id", F.lit('"; gene_name "'), "gene_name", F.lit('"; transcript_type "'), "biotype", F.lit('";'), tag)
@@ -519,8 +500,6 @@ def j9(spark, d):
 @query("J6_S8_fasta", synth.duck() + "SELECT transcript_id, cds_sequence, utr3_sequence FROM tx WHERE cds_start > 0")
 def j6(spark, d):
     """FASTA records under other versions, with the coding range in the header, joined by the id without version."""
-    import uuid
-
     t = synth.transcripts(spark, d).where("cds_start > 0")
     seq = F.concat(F.lit("GGGGG"), "cds_sequence", "utr3_sequence")
     head = F.concat(F.lit(">"), text.unversioned(F.col("transcript_id")), F.lit(".99|"), "gene_name", F.lit("|CDS:6-"), F.length("cds_sequence") + 5, F.lit("|"))
@@ -549,22 +528,25 @@ def j15(spark, d):
 
 # ---- comparison ---------------------------------------------------------------------------------------------------
 
-#: Two files of annotations: the same variants, some dropped, some relabelled.
-LEFT = "SELECT record_id, chrom, pos, ref, alt, consequence, hgvsc, {short} AS hgvsp_short, impact FROM a WHERE record_id % 11 <> 0".replace("{short}", "hgvsp")
-RELABEL = "CASE record_id % 7 WHEN 0 THEN 'intergenic_variant' WHEN 1 THEN 'frameshift_variant' WHEN 2 THEN 'Missense_Mutation' ELSE consequence END"
+#: Two files of annotations: the same variants, some dropped, some relabelled; the second in Spark's and in DuckDB's words.
+RELABEL = "CASE record_id % 7 WHEN 0 THEN 'intergenic_variant' WHEN 1 THEN 'frameshift_variant' WHEN 2 THEN 'Missense_Mutation' WHEN 3 THEN 'In_Frame_Del' ELSE consequence END"
+RENAME = "CASE record_id % 9 WHEN 0 THEN '' WHEN 1 THEN replace(hgvsc, 'c.', 'n.') WHEN 2 THEN {0}(hgvsc, '[0-9]+', '9'{1}) WHEN 3 THEN replace(hgvsc, 'dup', 'insACGT') WHEN 4 THEN replace(hgvsc, 'del', 'delins') WHEN 5 THEN 'c.1_2insCA' ELSE hgvsc END"
+REWRITE = "CASE record_id % 10 WHEN 0 THEN concat({2}, 'fs') WHEN 1 THEN '' WHEN 2 THEN {0}({2}, '[0-9]+', '7'{1}) WHEN 3 THEN 'p.K3*' WHEN 4 THEN 'p.K3=' ELSE {2} END"
+LABELLED = "CASE WHEN record_id % 2 = 0 AND hgvsc <> '' THEN concat(transcript_id, ':', hgvsc) WHEN record_id % 31 = 1 THEN 'c.1_2insAC' ELSE hgvsc END"
 
 
 def two_files(spark, d):
-    a = pick.pick_best(annotated(spark, d), ["record_id"]).withColumn("key", alleles.compare_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt")))
-    left = a.where("record_id % 11 <> 0").select("key", "record_id", "consequence", "hgvsc", F.col("hgvsp").alias("hgvsp_short"), "impact")
-    right = a.where("record_id % 13 <> 0").select("key", "record_id", F.expr(RELABEL).alias("consequence"), F.when(F.col("record_id") % 5 == 0, "").otherwise(F.col("hgvsc")).alias("hgvsc"), F.when(F.col("record_id") % 9 == 0, F.concat("hgvsp", F.lit("fs"))).otherwise(F.col("hgvsp")).alias("hgvsp_short"), "impact")
+    a = pick.pick_best(annotated(spark, d), ["record_id"]).withColumn("key", alleles.compare_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("short", codon.to_short(F.col("hgvsp")))
+    left = a.where("record_id % 11 <> 0").select("key", "record_id", "consequence", F.expr(LABELLED).alias("hgvsc"), F.col("short").alias("hgvsp_short"), "impact")
+    right = a.where("record_id % 13 <> 0").select("key", "record_id", F.expr(RELABEL).alias("consequence"), F.expr(RENAME.format("regexp_replace", "")).alias("hgvsc"), F.expr(REWRITE.format("regexp_replace", "", "short")).alias("hgvsp_short"), "impact")
     return left, right
 
 
-COMPARE = synth.SNV_STEPS | {
+COMPARE = synth.STEPS | {
     "a": f"SELECT *, chrom || ':' || CAST(pos AS VARCHAR) || ' ' || ref || '>' || alt AS key FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {BETTER}) AS rn FROM ann) q WHERE rn = 1",
-    "l": "SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM a WHERE record_id % 11 <> 0",
-    "r": f"SELECT key, record_id, {RELABEL} AS consequence, CASE WHEN record_id % 5 = 0 THEN '' ELSE hgvsc END AS hgvsc, CASE WHEN record_id % 9 = 0 THEN hgvsp || 'fs' ELSE hgvsp END AS hgvsp, impact, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM a WHERE record_id % 13 <> 0",
+    "sh": f"SELECT *, {SHORT} AS short FROM a",
+    "l": f"SELECT key, record_id, consequence, {LABELLED} AS hgvsc, short AS hgvsp, impact, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM sh WHERE record_id % 11 <> 0",
+    "r": f"SELECT key, record_id, {RELABEL} AS consequence, {RENAME.format('regexp_replace', ", 'g'")} AS hgvsc, {REWRITE.format('regexp_replace', ", 'g'", 'short')} AS hgvsp, impact, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM sh WHERE record_id % 13 <> 0",
     "p": "SELECT coalesce(l.key, r.key) AS key, coalesce(l.nn, r.nn) AS n, l.key IS NOT NULL AS hl, r.key IS NOT NULL AS hr, l.consequence AS lc, r.consequence AS rc, l.hgvsc AS lh, r.hgvsc AS rh, l.hgvsp AS lp, r.hgvsp AS rp, l.impact AS li, r.impact AS ri FROM l FULL JOIN r ON l.key = r.key AND l.nn = r.nn",
 }
 
@@ -596,8 +578,20 @@ def a13(spark, d):
     return compare.transitions(compared(spark, d, False))
 
 
-HGVSC_CAT = "CASE WHEN lh = '' AND rh = '' THEN 'both_empty' WHEN lh = rh THEN 'match' WHEN lh = '' THEN 'maf_empty' ELSE 'vep_empty' END"
-HGVSP_CAT = "CASE WHEN lp = '' AND rp = '' THEN 'both_empty' WHEN lp = rp THEN 'match' WHEN contains(rc, 'splice_donor_variant') OR contains(rc, 'splice_acceptor_variant') AND rp = '' THEN 'mismatch' WHEN lp = '' THEN 'maf_empty' ELSE 'mismatch' END"
+# ln: the left notation without its transcript
+BARE_C = "regexp_replace(lh, '^.*:', '')"
+OPERATION = "regexp_extract({0}, '([ACGT]>[ACGT]|(?:del|dup|ins)\\w*)$', 1)"
+INSERTED = "regexp_extract({0}, 'ins([ACGT]+)$', 1)"
+HGVSC_CAT = f"""CASE WHEN lh = '' AND rh = '' THEN 'both_empty' WHEN {BARE_C} = rh THEN 'match' WHEN lh = '' THEN 'maf_empty' WHEN rh = '' THEN 'vep_empty' WHEN starts_with({BARE_C}, 'n.') OR starts_with(rh, 'n.') THEN 'transcript_model_change'
+  WHEN {OPERATION.format(BARE_C)} <> '' AND {OPERATION.format(BARE_C)} = {OPERATION.format('rh')} THEN 'position_shift' WHEN (contains({BARE_C}, 'dup') AND contains(rh, 'ins')) OR (contains(rh, 'dup') AND contains({BARE_C}, 'ins')) THEN 'dup_vs_ins'
+  WHEN contains({BARE_C}, 'delins') OR contains(rh, 'delins') THEN 'delins_normalized' WHEN {INSERTED.format(BARE_C)} <> '' AND length({INSERTED.format(BARE_C)}) = length({INSERTED.format('rh')}) AND contains({INSERTED.format(BARE_C)} || {INSERTED.format(BARE_C)}, {INSERTED.format('rh')}) THEN 'position_shift' ELSE 'mismatch' END"""
+_FS, _END = "contains({0}, 'fs')", "(ends_with({0}, '*') AND NOT contains({0}, 'fs'))"
+SPLICED = "regexp_full_match(lp, 'p\\.[A-Z][0-9]+_splice')"
+ODD = "(length(lp) > 3 AND starts_with(lp, 'p.*') AND ends_with(lp, '*'))"
+HGVSP_PLAIN = f"""CASE WHEN lp = '' AND rp = '' THEN 'both_empty' WHEN lp = rp THEN 'match' WHEN ({_FS.format('lp')} AND {_FS.format('rp')}) OR ({_FS.format('lp')} AND {_END.format('rp')}) OR ({_FS.format('rp')} AND {_END.format('lp')}) THEN 'fuzzy_fs' WHEN {SPLICED} AND regexp_matches(rp, '^p\\.\\w+=') THEN 'splice_vs_syn'
+  WHEN {ODD} AND rp = '' THEN 'maf_nonstandard' WHEN {ODD} THEN 'transcript_model_change' WHEN (contains(rc, 'splice_donor_variant') OR contains(rc, 'splice_acceptor_variant')) AND rp = '' THEN 'splice_no_protein' WHEN contains(rc, 'coding_sequence_variant') AND rp = '' THEN 'no_cds_data' WHEN lp = '' THEN 'maf_empty' WHEN rp = '' THEN 'vep_empty'
+  WHEN regexp_replace(lp, '[0-9]', '', 'g') = regexp_replace(rp, '[0-9]', '', 'g') OR (lh <> '' AND rh <> '' AND {BARE_C} = rh) THEN 'position_shift' WHEN {SPLICED} THEN 'splice_vs_predicted' ELSE 'mismatch' END"""
+HGVSP_CAT = f"CASE WHEN {HGVSP_PLAIN} = 'mismatch' AND {HGVSC_CAT} IN ('position_shift', 'delins_normalized', 'transcript_model_change', 'dup_vs_ins') THEN {HGVSC_CAT} ELSE {HGVSP_PLAIN} END"
 
 
 @query("D7_hgvsc_category", synth.duck(**COMPARE) + f"SELECT key, n, {HGVSC_CAT} AS cat FROM p WHERE hl AND hr")
@@ -605,14 +599,14 @@ def d7(spark, d):
     return compared(spark, d).select("key", "n", F.col("Cat_hgvsc").alias("cat"))
 
 
-@query("D6_hgvsp_category", synth.duck(**COMPARE) + "SELECT key, n, CASE WHEN lp = '' AND rp = '' THEN 'both_empty' WHEN lp = rp THEN 'match' WHEN lp = '' THEN CASE WHEN contains(rp, 'fs') THEN 'maf_empty' ELSE 'mismatch' END WHEN lp <> '' AND regexp_replace(lp, '[0-9]', '', 'g') = regexp_replace(rp, '[0-9]', '', 'g') OR lh <> '' AND rh <> '' AND lh = rh THEN 'position_shift' WHEN regexp_full_match(lp, 'p\\.[A-Z][0-9]+_splice') THEN 'splice_vs_predicted' ELSE 'mismatch' END AS cat FROM p WHERE hl AND hr")
+@query("D6_hgvsp_category", synth.duck(**COMPARE) + f"SELECT key, n, {HGVSP_CAT} AS cat FROM p WHERE hl AND hr")
 def d6(spark, d):
     return compared(spark, d).select("key", "n", F.col("Cat_hgvsp_short").alias("cat"))
 
 
 NORM = {
     "ct": "SELECT DISTINCT lc, rc FROM p WHERE hl AND hr",
-    "tm": "SELECT DISTINCT c, list_transform(string_split(lower(c), ','), lambda x: CASE x " + " ".join("WHEN '{}' THEN '{}'".format(k.replace("'", "''"), v) for k, v in terms.ALIASES.items()) + " ELSE x END) AS t FROM (SELECT lc AS c FROM ct UNION ALL SELECT rc FROM ct) q",
+    "tm": "SELECT DISTINCT c, list_transform(string_split(lower(c), ','), lambda x: CASE x WHEN 'missense_mutation' THEN 'missense_variant' WHEN 'in_frame_del' THEN 'inframe_deletion' WHEN 'inframe_deletion' THEN 'inframe_variant' WHEN 'inframe_insertion' THEN 'inframe_variant' WHEN 'mature_mirna_variant' THEN 'non_coding_transcript_exon_variant' ELSE x END) AS t FROM (SELECT lc AS c FROM ct UNION ALL SELECT rc FROM ct) q",
     "t2": "SELECT c, list_filter(t, lambda x: x NOT IN ('non_coding_transcript_variant', 'nmd_transcript_variant', 'splice_polypyrimidine_tract_variant')) AS t FROM tm",
     "t3": "SELECT c, list_sort(list_filter(t, lambda x: NOT ((list_has_any(t, ['splice_donor_variant', 'splice_acceptor_variant']) AND x = 'intron_variant') OR (len(list_filter(t, lambda y: y NOT IN ('intron_variant', 'splice_region_variant'))) > 0 AND x = 'splice_region_variant') OR (list_has_any(t, ['splice_acceptor_variant', 'splice_donor_variant', 'stop_gained', 'frameshift_variant', 'stop_lost', 'start_lost']) AND x IN ('5_prime_utr_variant', '3_prime_utr_variant', 'stop_retained_variant', 'start_retained_variant', 'coding_sequence_variant')) OR (list_contains(t, 'frameshift_variant') AND x IN ('stop_gained', 'stop_lost'))))) AS t FROM t2",
 }
@@ -626,32 +620,35 @@ def d4(spark, d):
 
 
 NON = "list_has_any({0}, ['non_coding_transcript_exon_variant', 'intron_variant'])"
-COD = "list_has_any(string_split(lower({0}), ','), [" + ", ".join(f"'{t}'" for t in terms.CODING_TERMS) + "])"
+COD = "list_has_any(string_split(lower({0}), ','), ['missense_variant', 'missense_mutation', 'synonymous_variant', 'frameshift_variant', 'stop_gained', 'stop_lost', 'start_lost', 'inframe_deletion', 'inframe_insertion', 'in_frame_del', 'stop_retained_variant'])"
 UTR = "(contains({0}, '5_prime_utr_variant') OR contains({0}, '3_prime_utr_variant'))"
-PRIM = "CASE WHEN list_has_any({0}, ['splice_acceptor_variant']) THEN 'splice_acceptor_variant' WHEN list_contains({0}, 'splice_donor_variant') THEN 'splice_donor_variant' ELSE {0}[1] END"
+GRADE = "CASE WHEN {0} IN ('splice_acceptor_variant', 'splice_donor_variant', 'stop_gained', 'frameshift_variant', 'stop_lost', 'start_lost') THEN 3 WHEN {0} IN ('missense_variant', 'inframe_deletion', 'inframe_insertion') THEN 2 WHEN {0} IN ('splice_region_variant', 'stop_retained_variant', 'synonymous_variant') THEN 1 ELSE 0 END"
+PRIM = "list_filter({0}, lambda y: " + GRADE.format("y") + " = list_max(list_transform({0}, lambda z: " + GRADE.format("z") + ")))[1]"
 
 
-@query(
-    "D3_D5_D8_consequence_category",
-    synth.duck(**COMPARE, **NORM, q=f"SELECT p.*, {HGVSC_CAT} AS hc, array_to_string(x.t, ',') AS a, array_to_string(y.t, ',') AS b, {NON.format('x.t')} AS na, {NON.format('y.t')} AS nb, {COD.format('lc')} AS ca, {COD.format('rc')} AS cb, x.t[1] AS pa, y.t[1] AS pb FROM p JOIN t3 x ON lc = x.c JOIN t3 y ON rc = y.c WHERE hl AND hr")
+D5_SQL = (
+    synth.duck(**COMPARE, **NORM, q=f"SELECT p.*, {HGVSC_CAT} AS hc, array_to_string(x.t, ',') AS a, array_to_string(y.t, ',') AS b, {NON.format('x.t')} AS na, {NON.format('y.t')} AS nb, {COD.format('lc')} AS ca, {COD.format('rc')} AS cb, {PRIM.format("x.t")} AS pa, {PRIM.format("y.t")} AS pb FROM p JOIN t3 x ON lc = x.c JOIN t3 y ON rc = y.c WHERE hl AND hr")
     + f"""SELECT key, n, CASE WHEN a = b THEN 'match' WHEN a IN ('downstream_gene_variant', 'upstream_gene_variant') THEN 'upstream_reclassified' WHEN b = 'coding_sequence_variant' AND ca THEN 'no_cds_data'
   WHEN (ca AND nb) OR (na AND cb) OR (na AND nb) OR (a = 'non_coding_transcript_exon_variant' AND {UTR.format('b')}) OR ({UTR.format('a')} AND b = 'non_coding_transcript_exon_variant') THEN 'transcript_model_change'
   WHEN (na AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND nb) OR (ca AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND cb) THEN 'gene_model_change'
   WHEN ({UTR.format('a')} OR a = 'intron_variant') AND ({UTR.format('b')} OR b = 'intron_variant') THEN 'upstream_reclassified'
   WHEN pa = pb OR contains(b, pa) OR contains(a, pb) OR (pa = 'frameshift_variant' AND pb IN ('stop_gained', 'start_lost')) OR (pb = 'frameshift_variant' AND pa IN ('stop_gained', 'start_lost'))
     OR (b IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(a, 'splice_region_variant') OR contains(a, 'frameshift_variant') OR a = 'start_lost')) OR (a IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(b, 'splice_region_variant') OR contains(b, 'frameshift_variant') OR b = 'start_lost'))
-    OR (pa = 'stop_retained_variant' AND pb IN ('stop_lost', 'synonymous_variant')) OR (pb = 'stop_retained_variant' AND pa IN ('stop_lost', 'synonymous_variant')) OR (pa = 'start_lost' AND pb IN ('synonymous_variant', 'missense_variant')) OR (pb = 'start_lost' AND pa IN ('synonymous_variant', 'missense_variant')) THEN 'match'
-  ELSE 'mismatch' END AS cat FROM q""",
+    OR (b IN ('splice_acceptor_variant', 'splice_donor_variant') AND contains(a, 'inframe_variant')) OR (a IN ('splice_acceptor_variant', 'splice_donor_variant') AND contains(b, 'inframe_variant')) OR (pa = 'inframe_variant' AND pb IN ('stop_gained', 'stop_lost')) OR (pb = 'inframe_variant' AND pa IN ('stop_gained', 'stop_lost'))
+    OR (pa = 'stop_retained_variant' AND pb IN ('stop_lost', 'synonymous_variant')) OR (pb = 'stop_retained_variant' AND pa IN ('stop_lost', 'synonymous_variant')) OR (pa = 'start_lost' AND pb IN ('synonymous_variant', 'missense_variant', 'inframe_variant', 'inframe_deletion')) OR (pb = 'start_lost' AND pa IN ('synonymous_variant', 'missense_variant', 'inframe_variant', 'inframe_deletion')) THEN 'match'
+  WHEN hc IN ('position_shift', 'delins_normalized', 'transcript_model_change') THEN hc ELSE 'mismatch' END AS cat FROM q"""
 )
+
+
+@query("D3_D5_D8_consequence_category", D5_SQL)
 def d5(spark, d):
     return compared(spark, d).select("key", "n", F.col("Cat_consequence").alias("cat"))
 
 
-@query("A12_category_counts", synth.duck(**COMPARE) + f"SELECT 'hgvsc' AS column, cat AS category, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, cat) AS BIGINT) AS place FROM (SELECT {HGVSC_CAT} AS cat FROM p WHERE hl AND hr) q GROUP BY cat")
+@query("A12_category_counts", D5_SQL.replace("SELECT key, n, CASE", ", dc AS (SELECT CASE", 1) + ")" + f""", cats AS (SELECT 'consequence' AS col, cat FROM dc UNION ALL SELECT 'hgvsc', {HGVSC_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'hgvsp_short', {HGVSP_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'impact', CASE WHEN li = ri THEN 'match' ELSE 'mismatch' END FROM p WHERE hl AND hr)
+SELECT col AS column, cat AS category, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, cat) AS BIGINT) AS place FROM cats GROUP BY col, cat""")
 def a12(spark, d):
-    """Of hgvsc, as in the SQL; of every column in A12_category_counts_all."""
-    n = compare.category_counts(compared(spark, d))
-    return n if EVERY.get() else n.where(F.col("column") == "hgvsc")
+    return compare.category_counts(compared(spark, d))
 
 
 @query("A15_K14_differing_rows", synth.duck(**COMPARE) + "SELECT key, n, lc AS l_consequence, rc AS r_consequence FROM p WHERE hl AND hr AND NOT (lc = rc AND lh = rh AND lp = rp AND li = ri) ORDER BY key, n LIMIT 100")
@@ -723,8 +720,6 @@ def r5(spark, d):
 
 
 def _path(spark, name: str) -> str:
-    import uuid
-
     return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -740,12 +735,12 @@ def s1(spark, d):
     return c.select("chrom", "pos", "ref", "alt", g(1).alias("consequence"), g(6).alias("transcript_id"))
 
 
-@query("S4_S5_K2_maf_append", top_sql(BETTER, "record_id, consequence, hgvsc, {MAF_CASE} AS variant_classification".replace("{MAF_CASE}", MAF_CASE)))
+@query("S4_S5_K2_maf_append", ANN + f"SELECT v.record_id, consequence, hgvsc, variant_classification FROM v JOIN (SELECT *, {MAF_CASE} AS variant_classification, row_number() OVER (PARTITION BY record_id ORDER BY {BETTER}) AS rn FROM ann) q ON v.record_id = q.record_id AND rn = 1")
 def s4(spark, d):
     """A MAF written from the variants, scanned, annotated, written with appended columns and scanned again."""
     path, out = _path(spark, "maf"), _path(spark, "maf")
     head = ["Hugo_Symbol", "Chromosome", "Start_Position", "End_Position", "Reference_Allele", "Tumor_Seq_Allele2", "Key"]
-    rows = snvs(spark, d).select(F.lit(1).alias("n"), F.concat_ws("\t", F.lit(""), F.concat(F.lit("chr"), "chrom"), "pos", F.col("pos") + F.length("ref") - 1, "ref", "alt", "record_id").alias("value"))
+    rows = variants_only(spark, d).select(F.lit(1).alias("n"), F.concat_ws("\t", F.lit(""), F.concat(F.lit("chr"), "chrom"), "pos", F.col("pos") + F.length("ref") - 1, "ref", "alt", "record_id").alias("value"))
     spark.createDataFrame([(0, "#version 2.4"), (0, "\t".join(head))], "n int, value string").coalesce(1).unionAll(rows).select("value").write.text(path)
     m, header = vs.read_maf(spark, path)
     a = predict.annotate(m, synth.transcripts(spark, d).drop("k", "n"), width=BIN)
@@ -764,7 +759,7 @@ def k3(spark, d):
     return lines.select("record_id", f[0].alias("gene_name"), f[1].alias("consequence"), f[2].alias("hgvsc"))
 
 
-@query("K4_vcf_to_maf", top_sql(BETTER, "record_id, CASE WHEN gene_name = '' THEN 'Unknown' ELSE gene_name END AS hugo, pos AS start_position, 'SNP' AS variant_type, transcript_id, {S} AS hgvsp_short".replace("{S}", SHORT)))
+@query("K4_vcf_to_maf", top_sql(BETTER, "record_id, CASE WHEN gene_name = '' THEN 'Unknown' ELSE gene_name END AS hugo, CASE WHEN length(ref) > length(alt) THEN pos + 1 ELSE pos END AS start_position, CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' WHEN length(ref) = 1 THEN 'SNP' ELSE 'DNP' END AS variant_type, transcript_id, {S} AS hgvsp_short".replace("{S}", SHORT)))
 def k4(spark, d):
     a = annotated(spark, d).withColumns({"ord": F.lit(0), "id": F.lit(".")})
     m = writers.vcf_to_maf(a)
@@ -788,7 +783,7 @@ def k6(spark, d):
     return j.select("record_id", "transcript_id", p.alias("p")).select("record_id", "transcript_id", "p.hgvsc", F.col("p.extra")["note"].alias("extra"))
 
 
-@query("K8_A18_nexus_json", ANN + "SELECT record_id, chrom || ':g.' || CAST(pos AS VARCHAR) || ref || '>' || alt AS variant, coalesce(arg_min(transcript_id, (CASE WHEN msk_canonical THEN '0' ELSE '1' END) || CAST(100000000 - tx_start AS VARCHAR) || transcript_id) FILTER (WHERE transcript_id <> ''), '') AS first_transcript FROM ann GROUP BY record_id, chrom, pos, ref, alt")
+@query("K8_A18_nexus_json", ANN + "SELECT record_id, chrom || ':g.' || CASE WHEN length(ref) > length(alt) THEN CAST(pos + 1 AS VARCHAR) || CASE WHEN length(ref) = 2 THEN '' ELSE '_' || CAST(pos + length(ref) - 1 AS VARCHAR) END || 'del' WHEN length(ref) < length(alt) THEN CAST(pos AS VARCHAR) || '_' || CAST(pos + 1 AS VARCHAR) || 'ins' || substr(alt, 2) WHEN length(ref) = 2 THEN CAST(pos AS VARCHAR) || '_' || CAST(pos + 1 AS VARCHAR) || 'delins' || alt ELSE CAST(pos AS VARCHAR) || ref || '>' || alt END AS variant, coalesce(arg_min(transcript_id, (CASE WHEN msk_canonical THEN '0' ELSE '1' END) || CAST(100000000 - tx_start AS VARCHAR) || transcript_id) FILTER (WHERE transcript_id <> ''), '') AS first_transcript FROM ann GROUP BY record_id, chrom, pos, ref, alt")
 def k8(spark, d):
     j = writers.nexus_json(annotated(spark, d))
     p = F.from_json("value", "variant string, transcript_consequences array<struct<transcript_id:string>>")
@@ -799,7 +794,7 @@ def k8(spark, d):
 def t1(spark, d):
     """JSON lines and one that can't be read, as a file stream processed with available-now."""
     source, target = _path(spark, "in"), _path(spark, "out")
-    v = snvs(spark, d).select("chrom", "pos", "ref", "alt").distinct()
+    v = variants_only(spark, d).select("chrom", "pos", "ref", "alt").distinct()
     loc = F.to_json(F.struct(F.concat(F.lit("chr"), "chrom").alias("chromosome"), F.col("pos").alias("start"), (F.col("pos") + F.length("ref") - 1).alias("end"), F.col("ref").alias("referenceAllele"), F.col("alt").alias("variantAllele")))
     v.select(loc.alias("value")).unionAll(spark.createDataFrame([("what is this",)], "value string")).write.text(source)
     t = synth.transcripts(spark, d).drop("k", "n")
@@ -810,10 +805,11 @@ def t1(spark, d):
     return out.select(e("id"), e("most_severe_consequence"), e("error"))
 
 
-@query("S12_S13_S15_S16_index_files", synth.duck(x="SELECT chrom, pos, ref, alt, min(record_id) AS lo FROM v WHERE kind = 3 GROUP BY 1, 2, 3, 4") + "SELECT chrom, pos, ref, alt, CAST(CAST(lo % 100 / 100 AS FLOAT) AS DOUBLE) AS am_score, 'sig' || CAST(lo % 4 AS VARCHAR) AS clinvar_significance, lo % 50 + 1 AS gnomad_ac, 'rs' || CAST(lo AS VARCHAR) AS dbsnp_id FROM x")
+@query("S12_S13_S15_S16_index_files", synth.duck(**KEYED, x="SELECT chrom, pos, ref, alt, min(record_id) AS lo FROM n5 GROUP BY 1, 2, 3, 4") + "SELECT chrom, pos, ref, alt, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN CAST(CAST(lo % 100 / 100 AS FLOAT) AS DOUBLE) ELSE 0.0 END AS am_score, 'sig' || CAST(lo % 4 AS VARCHAR) AS clinvar_significance, lo % 50 + 1 AS gnomad_ac, 'rs' || CAST(lo AS VARCHAR) AS dbsnp_id FROM x")
 def s12(spark, d):
     """Score, significance, frequency and id files written from the variants, scanned, and joined into one index."""
-    x = snvs(spark, d).groupBy("chrom", "pos", "ref", "alt").agg(F.min("record_id").alias("lo"))
+    v = variants_only(spark, d).withColumn("n", alleles.normalised(F.col("pos"), F.col("ref"), F.col("alt")))
+    x = v.groupBy("chrom", "n").agg(F.min("record_id").alias("lo"), F.min_by(F.struct("pos", "ref", "alt"), "record_id").alias("x")).select("chrom", "lo", "x.*")
     write = lambda df, name: (df.write.text(p := _path(spark, name)), p)[1]
     tab = lambda *c: F.concat_ws("\t", *c).alias("value")
     am = spark.createDataFrame([("# a",), ("# b",), ("# c",), ("#CHROM",)], "value string").coalesce(1).unionAll(x.select(tab(F.concat(F.lit("chr"), "chrom"), "pos", "ref", "alt", F.lit("hg38"), F.lit("u"), F.lit("t"), F.lit("p"), F.col("lo") % 100 / 100, F.lit("c"))))
@@ -833,15 +829,3 @@ def s12(spark, d):
 def x4(spark, d):
     r = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "pos", F.lit(":1")).alias("region"), F.col("alt").alias("allele"))
     return session.annotate_regions(r, synth.transcripts(spark, d).drop("k", "n"), BIN).groupBy("id").agg(F.count("*").alias("n"))
-
-
-# ---- the same over all variants -----------------------------------------------------------------------------------
-
-OVER_ALL = (
-    "C1_C2_C11_C12_snv_consequence A2_A3_pick_best A2_gene_consequence_counts A4_most_severe A5_most_severe_term A6_all_effects A1_J11_best_for_maf P14_canonical_only A19_coverage_counts A17_K9_export_sorted A21_sql_view A21_gene_lookup "
-    "A22_K11_cache_by_change F1_F2_codons A7_unified_index P9_P10_P16_terms P11_short_protein F12_F13_F15_F16_splice F20_F21_notation J2_genomic_index_join J3_hotspots J4_cancer_genes J5_sift_polyphen J10_A14_overlap D1_D2_A11_column_counts A13_transitions D7_hgvsc_category "
-    "D6_hgvsp_category D4_normalise_terms D3_D5_D8_consequence_category A12_category_counts A15_K14_differing_rows D9_A16_K15_field_report S1_S3_K1_vcf_round_trip S4_S5_K2_maf_append K3_maf_replace K4_vcf_to_maf K5_A5_vep_json K6_native_json "
-    "K8_A18_nexus_json T1_S23_K7_stream S12_S13_S15_S16_index_files"
-).split()
-for _name in OVER_ALL:
-    QUERIES[f"{_name}_all"] = over_all(QUERIES[_name])

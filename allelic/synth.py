@@ -72,11 +72,12 @@ def duck(**more: str) -> str:
 JOINED = "SELECT v.*, t.* EXCLUDE (chrom), (pos - s) // 140 AS i, (pos - s) % 140 AS o FROM v LEFT JOIN tx t ON v.chrom = t.chrom AND v.pos BETWEEN t.s AND t.e"
 
 AA = "substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * (strpos('TCAG', substr({0}, 1, 1)) - 1) + 4 * (strpos('TCAG', substr({0}, 2, 1)) - 1) + strpos('TCAG', substr({0}, 3, 1)) AS INT), 1)"
-THREE = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in {"A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "Q": "Gln", "E": "Glu", "G": "Gly", "H": "His", "I": "Ile", "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val", "*": "Ter"}.items()) + " ELSE 'Xaa' END"
+RESIDUES = {"A": "Ala", "R": "Arg", "N": "Asn", "D": "Asp", "C": "Cys", "Q": "Gln", "E": "Glu", "G": "Gly", "H": "His", "I": "Ile", "L": "Leu", "K": "Lys", "M": "Met", "F": "Phe", "P": "Pro", "S": "Ser", "T": "Thr", "W": "Trp", "Y": "Tyr", "V": "Val", "*": "Ter"}
+THREE = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in RESIDUES.items()) + " ELSE 'Xaa' END"
 
-#: Annotations of single-base variants, step by step.
+#: Annotations of single-base variants (ones), step by step; the steps before the last are of every variant.
 SNV_STEPS = {
-    "j": JOINED.replace("FROM v ", "FROM (SELECT * FROM v WHERE kind = 3) v "),
+    "j": JOINED,
     "j1": "SELECT *, o < 90 AS ex, cds_start > 0 AS cod, CASE WHEN o < 90 AND cds_start > 0 AND pos BETWEEN cds_start AND cds_end THEN CASE WHEN strand = 1 THEN 90 * i + o - 20 + 1 ELSE 90 * (n - 1 - i) + (89 - o) - 25 + 1 END ELSE 0 END AS cds, o <= 2 OR o BETWEEN 87 AND 89 OR o BETWEEN 92 AND 97 OR o BETWEEN 132 AND 137 AS near FROM j",
     "j2": "SELECT *, CASE WHEN cds > 0 THEN (cds - 1) // 3 + 1 ELSE 0 END AS num, CASE WHEN cds > 0 THEN (cds - 1) % 3 ELSE 0 END AS off, CASE WHEN cds > 0 THEN substr(cds_sequence, CAST((cds - 1) // 3 * 3 + 1 AS INT), 3) ELSE '' END AS rc, CASE WHEN strand = 1 THEN alt ELSE translate(alt, 'ACGT', 'TGCA') END AS ab, CASE WHEN strand = 1 THEN ref ELSE translate(ref, 'ACGT', 'TGCA') END AS rb FROM j1",
     "j3": "SELECT *, CASE WHEN cds > 0 THEN substr(rc, 1, CAST(off AS INT)) || ab || substr(rc, CAST(off + 2 AS INT)) ELSE '' END AS ac FROM j2",
@@ -95,7 +96,7 @@ SNV_STEPS = {
     WHEN NOT cod THEN CASE WHEN biotype = 'miRNA' THEN 'mature_miRNA_variant' ELSE 'non_coding_transcript_exon_variant' END
     WHEN pos < cds_start THEN CASE WHEN strand = 1 THEN '5_prime_UTR_variant' ELSE '3_prime_UTR_variant' END WHEN pos > cds_end THEN CASE WHEN strand = 1 THEN '3_prime_UTR_variant' ELSE '5_prime_UTR_variant' END
     ELSE term || CASE WHEN near THEN ',splice_region_variant' ELSE '' END END AS base FROM j6""",
-    "ann": f"""SELECT record_id, chrom, pos, ref, alt, coalesce(transcript_id, '') AS transcript_id, coalesce(gene_id, '') AS gene_id, coalesce(gene_name, '') AS gene_name, coalesce(biotype, '') AS biotype, coalesce(msk_canonical, false) AS msk_canonical, coalesce(canonical, false) AS canonical, coalesce(s, 0) AS tx_start, coalesce(k, 0) AS k, coalesce(cds_sequence, '') AS cds_sequence,
+    "ones": f"""SELECT record_id, chrom, pos, ref, alt, coalesce(transcript_id, '') AS transcript_id, coalesce(gene_id, '') AS gene_id, coalesce(gene_name, '') AS gene_name, coalesce(biotype, '') AS biotype, coalesce(msk_canonical, false) AS msk_canonical, coalesce(canonical, false) AS canonical, coalesce(s, 0) AS tx_start, coalesce(k, 0) AS k, coalesce(cds_sequence, '') AS cds_sequence,
   base || CASE WHEN biotype = 'nonsense_mediated_decay' THEN ',NMD_transcript_variant' ELSE '' END AS consequence,
   CASE WHEN split_part(base, ',', 1) IN ('splice_acceptor_variant', 'splice_donor_variant', 'stop_gained', 'stop_lost', 'start_lost') THEN 'HIGH' WHEN split_part(base, ',', 1) = 'missense_variant' THEN 'MODERATE' WHEN split_part(base, ',', 1) IN ('splice_region_variant', 'stop_retained_variant', 'synonymous_variant') THEN 'LOW' ELSE 'MODIFIER' END AS impact,
   CASE WHEN cds > 0 THEN cds ELSE 0 END AS cds_position, CASE WHEN cds > 0 THEN num WHEN cod AND NOT ex AND site <> '' THEN (scds - 1) // 3 + 1 ELSE 0 END AS protein_position,
@@ -105,5 +106,100 @@ SNV_STEPS = {
   CASE WHEN cds > 0 THEN CASE term WHEN 'missense_variant' THEN 'p.' || {THREE.format('ra')} || CAST(num AS VARCHAR) || {THREE.format('aa')} WHEN 'synonymous_variant' THEN 'p.' || {THREE.format('ra')} || CAST(num AS VARCHAR) || '=' WHEN 'stop_gained' THEN 'p.' || {THREE.format('ra')} || CAST(num AS VARCHAR) || 'Ter'
     WHEN 'stop_lost' THEN 'p.Ter' || CAST(num AS VARCHAR) || {THREE.format('aa')} || 'ext*' || coalesce(CAST(ext AS VARCHAR), '?') WHEN 'stop_retained_variant' THEN 'p.Ter' || CAST(num AS VARCHAR) || '=' ELSE 'p.Met1?' END
     WHEN cod AND NOT ex AND site <> '' THEN 'p.X' || CAST((scds - 1) // 3 + 1 AS VARCHAR) || '_splice' ELSE '' END AS hgvsp,
-  CASE WHEN k IS NULL THEN '' WHEN ref = alt THEN (CASE WHEN cod THEN 'c.' ELSE 'n.' END) || loc || '=' ELSE (CASE WHEN cod THEN 'c.' ELSE 'n.' END) || loc || rb || '>' || ab END AS hgvsc FROM j7""",
+  CASE WHEN k IS NULL THEN '' WHEN ref = alt THEN (CASE WHEN cod THEN 'c.' ELSE 'n.' END) || loc || '=' ELSE (CASE WHEN cod THEN 'c.' ELSE 'n.' END) || loc || rb || '>' || ab END AS hgvsc FROM j7 WHERE kind = 3""",
 }
+
+
+def _cds(p: str) -> str:
+    """Coding position of a genomic one, or 0."""
+    return f"(CASE WHEN cds_start > 0 AND {p} BETWEEN cds_start AND cds_end AND ({p} - s) % 140 < 90 THEN CASE WHEN strand = 1 THEN 90 * (({p} - s) // 140) + ({p} - s) % 140 - 19 ELSE 90 * (n - 1 - ({p} - s) // 140) + 65 - ({p} - s) % 140 END ELSE 0 END)"
+
+
+def _loc(p: str) -> str:
+    """Notation of a genomic position: in an exon, or from the nearer exon's edge."""
+    i, o = f"(({p} - s) // 140)", f"(({p} - s) % 140)"
+    exonic = lambda i, o: f"(CASE WHEN NOT cod THEN CAST(CASE WHEN strand = 1 THEN 90 * {i} + {o} + 1 ELSE 90 * (n - 1 - {i}) + 90 - {o} END AS VARCHAR) WHEN 140 * {i} + {o} + s < cds_start THEN (CASE WHEN strand = 1 THEN '-' ELSE '*' END) || CAST(cds_start - s - 140 * {i} - {o} AS VARCHAR) WHEN 140 * {i} + {o} + s > cds_end THEN (CASE WHEN strand = 1 THEN '*' ELSE '-' END) || CAST(s + 140 * {i} + {o} - cds_end AS VARCHAR) ELSE CAST({_cds(f'(140 * {i} + {o} + s)')} AS VARCHAR) END)"
+    low = f"({o} - 89 <= 140 - {o} OR {p} > e)"
+    return f"(CASE WHEN {o} < 90 THEN {exonic(i, o)} WHEN {low} THEN {exonic(i, '89')} || (CASE WHEN strand = 1 THEN '+' ELSE '-' END) || CAST({o} - 89 AS VARCHAR) ELSE {exonic(f'({i} + 1)', '0')} || (CASE WHEN strand = 1 THEN '-' ELSE '+' END) || CAST(140 - {o} AS VARCHAR) END)"
+
+
+def _sub(x: str, at: str, n: str | None = None) -> str:
+    """Characters from a place (from 0)."""
+    return f"substr({x}, CAST({at} + 1 AS INT)" + (f", CAST({n} AS INT))" if n else ")")
+
+
+def _peptide(x: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({x}) // 3 + 1), lambda z: {AA.format(f'substr({x}, CAST(z * 3 - 2 AS INT), 3)')}), '')"
+
+
+#: How many leading characters two texts share.
+LCP = "coalesce(list_min(list_filter(range(1, 1 + least(length({0}), length({1}))), lambda x: substr({0}, CAST(x AS INT), 1) <> substr({1}, CAST(x AS INT), 1))) - 1, least(length({0}), length({1})))"
+_STOPS = "('TAA', 'TAG', 'TGA')"
+_flip = lambda x: f"CASE WHEN strand = 1 THEN {x} ELSE reverse(translate({x}, 'ACGT', 'TGCA')) END"
+_res = lambda at: f"(CASE WHEN {at} >= 1 THEN substr(pp, CAST({at} AS INT), 1) ELSE '' END)"
+_either = lambda a, b: f"(CASE WHEN {a} <> '' THEN {a} ELSE {b} END)"
+_three = lambda a: f"({THREE.format(a)})"
+_threes = lambda x: f"(CASE WHEN {x} = '' THEN '' ELSE array_to_string(list_transform(range(1, length({x}) + 1), lambda z: {THREE.format(f'substr({x}, CAST(z AS INT), 1)')}), '') END)"
+#: Last coding index of the exon that holds one (the first exon holds 70 bases, or 65 on the other strand).
+_end_of = lambda x: f"least(cl - 1, (CASE WHEN strand = 1 THEN 70 ELSE 65 END) + CASE WHEN {x} < (CASE WHEN strand = 1 THEN 70 ELSE 65 END) THEN 0 ELSE 90 * (({x} - (CASE WHEN strand = 1 THEN 70 ELSE 65 END)) // 90 + 1) END - 1)"
+_span = lambda a, b, what: f"('c.' || CAST({a} AS VARCHAR) || CASE WHEN {a} = {b} THEN '' ELSE '_' || CAST({b} AS VARCHAR) END || '{what}')"
+
+#: Annotations of all other variants (others), step by step: mutant sequences are built, translated and compared.
+#: An index on the coding strand counts from 0, a residue from 1.
+INDEL_STEPS = {
+    "m0": f"""SELECT *, length(ref) AS rl, length(alt) AS al, length(alt) - length(ref) AS g, length(cds_sequence) AS cl, {_flip('alt')} AS sa, coalesce(biotype, '') = 'nonsense_mediated_decay' AS nmd,
+  CASE WHEN length(ref) > 1 AND length(ref) <> length(alt) THEN list_filter(range(pos, pos + length(ref)), lambda x: (x - s) % 140 IN (90, 91, 138, 139))[1] END AS hit,
+  CASE WHEN strand = 1 THEN cds - 1 ELSE greatest(0, cds - length(ref)) END AS at0 FROM j7 WHERE kind < 3""",
+    "m1": f"""SELECT *, CASE WHEN hit IS NULL THEN '' WHEN ((hit - s) % 140 <= 91) = (strand = 1) THEN 'splice_donor_variant' ELSE 'splice_acceptor_variant' END AS isite, at0 // 3 * 3 AS bg, least(at0 + rl, cl) AS rest,
+  CASE WHEN cds > 0 THEN {_sub('cds_sequence', '0', 'cds - 1')} || sa || {_sub('cds_sequence', 'least(cds - 1 + rl, cl)')} ELSE '' END AS um FROM m0""",
+    "m2": f"""SELECT *, CASE WHEN cds > 0 THEN {_sub('cds_sequence', 'bg', '60')} ELSE '' END AS wb, CASE WHEN cds > 0 THEN {_sub('cds_sequence', 'bg', 'at0 - bg')} || sa || {_sub(_sub('cds_sequence', 'bg', '60'), 'rest - bg')} ELSE '' END AS wa,
+  CASE WHEN cds > 0 THEN {_sub('cds_sequence', 'bg', 'at0 - bg')} || sa || {_sub('cds_sequence', 'rest')} || utr3_sequence ELSE '' END AS fs, CASE WHEN cds > 0 THEN {_sub('cds_sequence', 'bg')} ELSE '' END AS fo FROM m1""",
+    "m3": f"SELECT *, {_peptide('wb')} AS pb, {_peptide('wa')} AS pa, {_peptide('fs')} AS pm, {_peptide('fo')} AS po, CASE WHEN cds > 0 THEN {_peptide('cds_sequence')} ELSE '' END AS pp FROM m2",
+    "m4": f"SELECT *, {LCP.format('pb', 'pa')} AS head, {LCP.format('pm', 'po')} AS same FROM m3",
+    "m5": "SELECT *, substr(pb, CAST(head + 1 AS INT)) AS tb, substr(pa, CAST(head + 1 AS INT)) AS ta FROM m4",
+    "m6": f"SELECT *, {LCP.format('reverse(tb)', 'reverse(ta)')} AS tl FROM m5",
+    "m7": "SELECT *, CASE WHEN pb = '' OR pa = '' THEN '' ELSE left(tb, CAST(length(tb) - tl AS INT)) END AS gone, CASE WHEN pb = '' OR pa = '' THEN '' ELSE left(ta, CAST(length(ta) - tl AS INT)) END AS fresh FROM m6",
+    "m8": f"""SELECT *, CASE WHEN gone <> '' OR fresh <> '' THEN bg // 3 + 1 + head ELSE 0 END AS first_, CASE WHEN gone <> '' THEN bg // 3 + head + length(gone) ELSE 0 END AS last_, CASE WHEN same < length(pm) THEN bg // 3 + 1 + same ELSE 0 END AS fs_at, substr(po, CAST(same + 1 AS INT), 1) AS fs_old, substr(pm, CAST(same + 1 AS INT), 1) AS fs_new, strpos(substr(pm, CAST(same + 1 AS INT)), '*') AS dist,
+  CASE WHEN strand = 1 THEN {_cds('(pos + 1)')} ELSE {_cds('(pos + rl - 1)')} END AS e0, CASE WHEN strand = 1 THEN {_cds('(pos + rl - 1)')} ELSE {_cds('(pos + 1)')} END AS e1, (cds - 1) // 3 + 1 AS p0,
+  {_sub('um', 'cl - 3', '3')} IN {_STOPS} OR (cl - 3 + g >= 0 AND {_sub('um', 'cl - 3 + g', '3')} IN {_STOPS}) AS keeps, {_sub('um', '(cds - 1) // 3 * 3', '3')} AS u1, {_sub('um', '(cds - 1) // 3 * 3 + 3', '3')} AS u2, {_sub('cds_sequence', '(cds - 1) // 3 * 3', '3')} AS c1, {_sub('cds_sequence', '(cds - 1) // 3 * 3 + 3', '3')} AS c2 FROM m7""",
+    "m9": f"""SELECT *, CASE WHEN u1 IN {_STOPS} THEN c1 NOT IN {_STOPS} WHEN length(u1) = 3 AND u2 IN {_STOPS} THEN c2 NOT IN {_STOPS} ELSE false END AS makes, CASE WHEN g < 0 AND e0 > 0 THEN (e0 - 1) // 3 + 1 ELSE p0 END AS dp, CASE WHEN g < 0 AND e1 > 0 THEN (e1 - 1) // 3 + 1 ELSE 0 END AS dl, cl - 2 <= cds + rl - 1 AS reaches FROM m8""",
+    "m10": f"SELECT *, {_res('dp')} AS r0, CASE WHEN cds < 1 THEN '' WHEN g = 0 THEN 'sub' WHEN g > 0 AND cl - 2 <= cds AND keeps THEN 'retain' WHEN g % 3 <> 0 THEN 'shift' WHEN g > 0 AND makes THEN 'stop' WHEN g > 0 AND fresh = '' THEN 'bare' WHEN g > 0 AND gone <> '' THEN 'swap' WHEN g > 0 THEN 'ins' ELSE 'del' END AS br, CASE WHEN first_ > 1 THEN first_ - 1 ELSE p0 END AS q FROM m9",
+    "m11": f"SELECT *, q - length(fresh) + 1 AS q0, length(gone) = 1 AND length(fresh) = 1 AS single FROM m10",
+    "m12": """SELECT *, br = 'ins' AND q0 >= 1 AND substr(pp, CAST(greatest(q0, 1) AS INT), length(fresh)) = fresh AS dup, CASE br WHEN 'sub' THEN
+    CASE WHEN first_ = 0 THEN 'synonymous_variant' WHEN single THEN CASE WHEN fresh = '*' THEN 'stop_gained' WHEN gone = '*' THEN 'stop_lost' WHEN gone = 'M' AND first_ = 1 THEN 'start_lost' ELSE 'missense_variant' END
+      WHEN contains(fresh, '*') AND NOT contains(gone, '*') THEN 'stop_gained' WHEN contains(gone, '*') AND NOT contains(fresh, '*') THEN 'stop_lost' WHEN first_ = 1 AND left(gone, 1) IN ('', 'M') THEN 'start_lost' ELSE 'missense_variant' END
+    WHEN 'retain' THEN 'inframe_insertion,stop_retained_variant' WHEN 'shift' THEN CASE WHEN fs_at > 0 AND fs_new = '*' THEN 'stop_gained' WHEN reaches THEN 'frameshift_variant,stop_lost' ELSE 'frameshift_variant' END
+    WHEN 'stop' THEN 'stop_gained' WHEN 'del' THEN CASE WHEN reaches THEN 'stop_lost,3_prime_UTR_variant' WHEN makes THEN 'stop_gained,inframe_deletion' ELSE 'inframe_deletion' END WHEN '' THEN '' ELSE 'inframe_insertion' END AS mterm FROM m11""",
+    "m13": f"""SELECT *, CASE br WHEN 'sub' THEN CASE WHEN first_ > 0 THEN first_ ELSE p0 END WHEN 'shift' THEN CASE WHEN fs_at > 0 THEN fs_at ELSE dp END WHEN 'swap' THEN first_ WHEN 'ins' THEN CASE WHEN dup THEN q0 ELSE q END WHEN 'del' THEN CASE WHEN first_ > 0 THEN first_ ELSE dp END ELSE dp END AS mp,
+  CASE br WHEN 'sub' THEN CASE WHEN first_ > 0 THEN left(gone, 1) ELSE '' END WHEN 'shift' THEN CASE WHEN fs_at > 0 THEN fs_old ELSE r0 END WHEN 'swap' THEN {_either(_res('first_'), 'r0')} WHEN 'ins' THEN CASE WHEN dup THEN {_res('q0')} WHEN first_ > 1 THEN {_either(_res('(first_ - 1)'), 'r0')} ELSE r0 END WHEN 'del' THEN CASE WHEN first_ > 0 THEN {_either(_res('first_'), 'r0')} ELSE r0 END ELSE r0 END AS mr,
+  CASE br WHEN 'sub' THEN CASE WHEN NOT single AND length(gone) > 1 THEN last_ ELSE 0 END WHEN 'swap' THEN CASE WHEN last_ > first_ THEN last_ ELSE 0 END WHEN 'ins' THEN CASE WHEN dup THEN q ELSE 0 END WHEN 'del' THEN CASE WHEN first_ > 0 THEN last_ WHEN dl > dp THEN dl ELSE 0 END ELSE 0 END AS me,
+  CASE br WHEN 'sub' THEN right(gone, 1) WHEN 'swap' THEN {_res('last_')} WHEN 'ins' THEN CASE WHEN dup AND length(fresh) > 1 THEN {_res('q')} WHEN first_ > 1 THEN {_res('first_')} ELSE '' END WHEN 'del' THEN CASE WHEN first_ > 0 THEN {_res('last_')} WHEN dl > dp THEN {_res('dl')} ELSE '' END ELSE '' END AS ma FROM m12""",
+    "m14": f"SELECT *, CASE WHEN mr = '' THEN '' ELSE {_three('mr')} END AS rt, CASE WHEN me > mp AND ma <> '' THEN '_' || {_three('ma')} || CAST(me AS VARCHAR) ELSE '' END AS upto, CAST(mp AS VARCHAR) AS mn FROM m13",
+    "m15": f"""SELECT *, CASE split_part(mterm, ',', 1) WHEN 'start_lost' THEN 'p.Met1?' WHEN 'missense_variant' THEN CASE WHEN single THEN 'p.' || {_three('mr')} || mn || {_three('fresh')} ELSE 'p.' || rt || mn || upto || 'delins' || {_threes('fresh')} END
+    WHEN 'synonymous_variant' THEN 'p.' || {_three('mr')} || mn || '=' WHEN 'stop_gained' THEN 'p.' || {_three('mr')} || mn || 'Ter' WHEN 'stop_lost' THEN 'p.Ter' || mn || CASE WHEN br = 'sub' AND single THEN {_three('fresh')} ELSE 'Xaa' END || 'ext*?'
+    WHEN 'frameshift_variant' THEN 'p.' || rt || mn || CASE WHEN fs_at > 0 THEN {_three('fs_new')} ELSE '' END || 'fs' || CASE WHEN fs_at > 0 AND dist > 0 THEN 'Ter' || CAST(dist AS VARCHAR) ELSE '' END
+    WHEN 'inframe_deletion' THEN 'p.' || rt || mn || upto || CASE WHEN first_ > 0 AND fresh <> '' THEN 'delins' || {_threes('fresh')} ELSE 'del' END
+    WHEN 'inframe_insertion' THEN CASE WHEN br = 'swap' THEN 'p.' || rt || mn || upto || 'delins' || {_threes('fresh')} WHEN dup THEN 'p.' || rt || mn || upto || 'dup' ELSE 'p.' || rt || mn || '_' || CASE WHEN ma = '' THEN '' ELSE {_three('ma')} END || CAST(mp + 1 AS VARCHAR) || 'ins' || CASE WHEN br = 'ins' THEN {_threes('fresh')} ELSE '' END END ELSE '' END AS mprot FROM m14""",
+    "m16": """SELECT *, pos + rl - 1 AS pe, CASE WHEN strand = 1 THEN pos < cds_start ELSE pos > cds_end END AS five, CASE WHEN strand = 1 THEN pos + rl - 1 >= cds_start AND pos <= cds_start + 2 ELSE pos + rl - 1 >= cds_end - 2 AND pos <= cds_end END AS on_start, CASE WHEN strand = 1 THEN pos + rl - 1 >= cds_end - 2 AND pos <= cds_end ELSE pos + rl - 1 >= cds_start AND pos <= cds_start + 2 END AS on_stop FROM m15""",
+    "m17": """SELECT *, CASE WHEN k IS NULL THEN 'intergenic_variant' WHEN NOT ex THEN CASE WHEN isite <> '' THEN isite WHEN site <> '' THEN site WHEN near THEN 'splice_region_variant,intron_variant' ELSE 'intron_variant' END
+    WHEN NOT cod THEN CASE WHEN biotype = 'miRNA' THEN 'mature_miRNA_variant' ELSE 'non_coding_transcript_exon_variant' END
+    WHEN pos < cds_start OR pos > cds_end THEN CASE WHEN rl > 1 AND g <> 0 AND isite <> '' THEN isite WHEN rl > 1 AND five AND on_start THEN 'start_lost' WHEN rl > 1 AND NOT five AND on_stop THEN 'stop_lost,3_prime_UTR_variant' WHEN five THEN '5_prime_UTR_variant' ELSE '3_prime_UTR_variant' END
+    WHEN g <> 0 AND rl > 1 AND on_start THEN 'start_lost' WHEN isite <> '' THEN isite ELSE mterm || CASE WHEN near THEN ',splice_region_variant' ELSE '' END END AS mc FROM m16""",
+    # coding notation: an insertion moves to its last place, a deletion too, both within their exon
+    "m18": f"""SELECT *, substr(sa, CASE WHEN strand = 1 THEN CAST(rl + 1 AS INT) ELSE 1 END, CAST(g AS INT)) AS nw, greatest(0, cds - 1 - CASE WHEN strand = 1 THEN 0 ELSE 1 END) AS an, {_cds('(pos + 1)')} AS bes, {_loc('pos')} AS la, {_loc('(pos + 1)')} AS lb, {_loc('(pos + rl - 1)')} AS lc, CASE WHEN strand = 1 THEN {_cds('(pos + 1)')} ELSE {_cds('(pos + rl - 1)')} END AS ci, CASE WHEN strand = 1 THEN {_cds('(pos + rl - 1)')} ELSE {_cds('(pos + 1)')} END AS cj FROM m17""",
+    "m19": f"SELECT *, greatest(0, {_end_of('an')} - an) AS room, greatest(0, {_end_of('(cj - 1)')} - (cj - 1)) AS droom FROM m18",
+    "m20": f"""SELECT *, CASE WHEN g > 0 AND cds > 0 THEN coalesce(list_filter(range(0, room), lambda x: {_sub('cds_sequence', 'an + 1 + x', '1')} <> {_sub('nw', 'x % g', '1')})[1], room) ELSE 0 END AS sh, CASE WHEN g < 0 AND ci > 0 AND cj > 0 THEN coalesce(list_filter(range(0, droom), lambda x: {_sub('cds_sequence', 'ci - 1 + x', '1')} <> {_sub('cds_sequence', 'cj + x', '1')})[1], droom) ELSE 0 END AS dsh FROM m19""",
+    "m21": f"SELECT *, an + sh AS am, CASE WHEN g > 0 THEN {_sub('nw', 'sh % g')} || {_sub('nw', '0', 'sh % g')} ELSE '' END AS rot, CASE WHEN cod THEN 'c.' ELSE 'n.' END AS pre FROM m20",
+    "m22": f"""SELECT *, CASE WHEN k IS NULL THEN '' WHEN g = 0 THEN pre || CASE WHEN strand = 1 THEN la || '_' || lb ELSE lb || '_' || la END || 'delins' || sa
+    WHEN g > 0 THEN CASE WHEN cds > 0 THEN CASE WHEN am - g + 1 >= 0 AND {_sub('cds_sequence', 'greatest(0, am - g + 1)', 'g')} = rot THEN {_span('(am - g + 2)', '(am + 1)', 'dup')} WHEN {_sub('cds_sequence', 'am + 1', 'g')} = rot THEN {_span('(am + 2)', '(am + 1 + g)', 'dup')}
+        WHEN am + 2 <= cl THEN 'c.' || CAST(am + 1 AS VARCHAR) || '_' || CAST(am + 2 AS VARCHAR) || 'ins' || rot ELSE pre || CAST(am + 1 AS VARCHAR) || '_*1ins' || rot END
+      WHEN cod AND bes > 0 AND {_sub('cds_sequence', 'bes - 1', 'g')} = nw THEN {_span('bes', '(bes + g - 1)', 'dup')} ELSE pre || CASE WHEN strand = 1 THEN la || '_' || lb ELSE lb || '_' || la END || 'ins' || nw END
+    WHEN ci > 0 AND cj > 0 THEN {_span('(ci + dsh)', '(cj + dsh)', 'del')} WHEN rl = 2 THEN pre || lb || 'del' ELSE pre || CASE WHEN strand = 1 THEN lb || '_' || lc ELSE lc || '_' || lb END || 'del' END AS mh FROM m21""",
+    "others": """SELECT record_id, chrom, pos, ref, alt, coalesce(transcript_id, '') AS transcript_id, coalesce(gene_id, '') AS gene_id, coalesce(gene_name, '') AS gene_name, coalesce(biotype, '') AS biotype, coalesce(msk_canonical, false) AS msk_canonical, coalesce(canonical, false) AS canonical, coalesce(s, 0) AS tx_start, coalesce(k, 0) AS k, coalesce(cds_sequence, '') AS cds_sequence, mc || CASE WHEN nmd THEN ',NMD_transcript_variant' ELSE '' END AS consequence,
+  CASE WHEN split_part(mc, ',', 1) IN ('splice_acceptor_variant', 'splice_donor_variant', 'stop_gained', 'stop_lost', 'start_lost', 'frameshift_variant') THEN 'HIGH' WHEN split_part(mc, ',', 1) IN ('missense_variant', 'inframe_insertion', 'inframe_deletion') THEN 'MODERATE' WHEN split_part(mc, ',', 1) IN ('splice_region_variant', 'stop_retained_variant', 'synonymous_variant') THEN 'LOW' ELSE 'MODIFIER' END AS impact,
+  CASE WHEN cds > 0 THEN cds ELSE 0 END AS cds_position, CASE WHEN mc = 'start_lost' AND (cds = 0 OR (g <> 0 AND rl > 1)) THEN 1 WHEN cds > 0 THEN mp WHEN cod AND NOT ex AND mc IN ('splice_donor_variant', 'splice_acceptor_variant') AND scds > 0 THEN (scds - 1) // 3 + 1 ELSE 0 END AS protein_position,
+  CASE WHEN cds > 0 AND br = 'sub' AND single AND mterm IN ('missense_variant', 'stop_gained') THEN gone || CAST(mp AS VARCHAR) || fresh ELSE '' END AS amino_acid_change, '' AS codon_change, CASE WHEN ex THEN CAST(CASE WHEN strand = 1 THEN i + 1 ELSE n - i END AS VARCHAR) || '/' || CAST(n AS VARCHAR) ELSE '' END AS exon_number,
+  CASE WHEN mc = 'start_lost' AND (cds = 0 OR (g <> 0 AND rl > 1)) THEN 'p.Met1?' WHEN cds > 0 THEN mprot WHEN cod AND NOT ex AND mc IN ('splice_donor_variant', 'splice_acceptor_variant') AND scds > 0 THEN 'p.X' || CAST((scds - 1) // 3 + 1 AS VARCHAR) || '_splice' ELSE '' END AS hgvsp, mh AS hgvsc FROM m22""",
+}
+#: Annotations of every variant.
+STEPS = SNV_STEPS | INDEL_STEPS | {"ann": "SELECT * FROM ones UNION ALL SELECT * FROM others"}

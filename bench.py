@@ -16,7 +16,7 @@ from allelic import synth  # noqa: E402
 from allelic.plans import pick, predict  # noqa: E402
 from allelic.queries import BIN, QUERIES  # noqa: E402
 
-HEADLINE = ["J1_interval_join", "C1_C2_C11_C12_snv_consequence", "C3_C4_C13_C14_complex", "A2_A3_pick_best", "A2_gene_consequence_counts", "J2_genomic_index_join", "J3_hotspots", "J4_cancer_genes", "D3_D5_D8_consequence_category", "A6_all_effects", "R5_R6_genomic_notation"]
+HEADLINE = ["J1_interval_join", "C1_C2_C11_C12_snv_consequence", "C3_to_C9_C13_C14_F22_to_F26_complex", "A2_A3_pick_best", "A2_gene_consequence_counts", "J2_genomic_index_join", "J3_hotspots", "J4_cancer_genes", "D3_D5_D8_consequence_category", "A6_all_effects", "R5_R6_genomic_notation"]
 
 
 def main() -> None:

@@ -59,7 +59,10 @@ def test_interval_join_finds_long_transcripts(spark):
     got = {(r["pos"], r["transcript_id"]) for r in overlap.interval_join(v, t, 1024).collect()}
     assert got == {(1, "a"), (5, "a"), (5, "b"), (6, "a"), (6, "b"), (50, "a"), (262144, "a"), (500000, "a"), (500001, None)}
     # the plan beyond the broadcast bound
-    assert {(r["pos"], r["transcript_id"]) for r in overlap.interval_join(v, t, 1024, broadcast_rows=1).collect()} == got
+    assert {(r["pos"], r["transcript_id"]) for r in overlap.interval_join(v, t, 1024, broadcast_bytes=1).collect()} == got
+    wide = t.withColumn("exons", F.array("start"))
+    assert {(r["pos"], r["transcript_id"], r["exons"] is None) for r in overlap.interval_join(v, wide, 1024, broadcast_bytes=200).collect()} == {(p, i, i is None) for p, i in got}
+    assert overlap.interval_join(v, wide, 1024, how="inner", broadcast_bytes=1).count() == 8
 
 
 def test_no_python_on_the_single_base_path(spark, tx):
@@ -183,3 +186,41 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["gene_name", "consequence", "n"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def run_command(spark, *argv):
+    from allelic import __main__ as command
+
+    command.main(list(map(str, argv)))
+
+
+def test_export_picks_for_each_allele(spark, tx, tmp_path):
+    """Of a line with two alternate alleles, both have a row."""
+    tx.write.parquet(f"{tmp_path}/model")
+    (tmp_path / "a.vcf").write_text(VCF)
+    run_command(spark, "export", tmp_path / "a.vcf", tmp_path / "out", "--model", tmp_path / "model", "--pick")
+    assert sorted((r["pos"], r["alt"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(5, "T"), (1003, "A"), (1003, "T")]
+
+
+def test_long_headers_and_equal_names(spark, tmp_path):
+    head = ["##fileformat=VCFv4.2", *(f"##contig=<ID={i}>" for i in range(100_001))]
+    column = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
+    (tmp_path / "a.vcf").write_text("\n".join([*head, column, "1\t5\t.\tA\tT\t.\t.\t."]))
+    meta, _ = variants.vcf_header(spark, str(tmp_path / "a.vcf"))
+    assert meta == head and variants.read_vcf(spark, str(tmp_path / "a.vcf")).count() == 1
+    for folder in ("x y", "z"):  # files of one name in two folders keep apart
+        (tmp_path / "two" / folder).mkdir(parents=True)
+        (tmp_path / "two" / folder / "part.txt").write_text(f"{folder} 1\n{folder} 2\n")
+    lines = variants.lines_of(spark, f"{tmp_path}/two/*").collect()
+    assert [r["value"] for r in sorted(lines, key=lambda r: r["line"])] == ["x y 1", "x y 2", "z 1", "z 2"]
+
+
+def test_long_genomic_spans(spark):
+    """A deletion of more than a hundred thousand covered bases keeps them all."""
+    n = 120_000
+    bases = "ACGT" * (n // 4)
+    row = ("T1.1", "1", 1, n, 1, 1, n, [(1, n, 0)], bases)
+    t = spark.createDataFrame([row], "transcript_id string, chrom string, start bigint, end bigint, strand int, cds_start bigint, cds_end bigint, cds_regions array<struct<start:bigint,end:bigint,offset:bigint>>, cds_sequence string")
+    specs = spark.createDataFrame([(1, "1:g.2_110000del")], "id long, input string").select("id", F.explode(F.array(reverse.parse_spec(F.col("input")))).alias("spec"))
+    got = reverse.hgvsg_to_variants(specs, t).first()
+    assert (got["pos"], got["ref"], got["alt"], got["error"]) == (1, bases[:110_000], "A", "")
