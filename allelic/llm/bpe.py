@@ -6,7 +6,7 @@ distinct words of a batch go into a trie; a depth-first walk finds the last toke
 it, so that a prefix which many words share is encoded once.
 
 Defined results: a null text counts as empty; an empty text has no tokens. Repeated rows and extra columns pass
-through unchanged. Special tokens that stand in a text are encoded as themselves unless `special=False`.
+through unchanged; a column named like the result gives way to it. Very long texts are encoded whole. Special tokens that stand in a text are encoded as themselves unless `special=False`.
 """
 
 from __future__ import annotations
@@ -18,13 +18,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import ship, small_batches
+from .common import free_name, ship, small_batches
 
 #: The pattern that a byte-level vocabulary was trained with; a fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBER = 250_000
+#: Distinct words that a worker remembers before it starts anew, the bytes of a word that it remembers, and pairs of tokens.
+REMEMBER, SHORT_WORD, PAIRS = 250_000, 64, 2_000_000
+#: Rows whose words are walked together: the more, the more prefixes are shared.
+TOGETHER = 768
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,7 +52,6 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._whole: dict[bytes, bool] = {}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, word: bytes) -> list[bytes]:
         """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
@@ -70,10 +72,7 @@ class Vocabulary:
 
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether the two tokens, side by side, stay as they are."""
-        known = self._fits.get((a, b))
-        if known is None:
-            known = self._fits[a, b] = self.merge(a + b) == [a, b]
-        return known
+        return self.merge(a + b) == [a, b]
 
     def automaton(self) -> None:
         """Suffix automaton of the tokens: step[state << 8 | byte] leads to the state of the longest suffix that begins
@@ -124,6 +123,8 @@ class Vocabulary:
         before it isn't done again."""
         if not hasattr(self, "step"):
             self.automaton()
+        if len(self._pairs) > PAIRS:
+            self._pairs.clear()
         step, ends, pairs, known, follow = self.step.get, self.ends, self._pairs, self._pairs.get, self.follow
         states, last, came = [0], [0], [0]  # by depth: automaton state, last token, depth at which that token begins
         before, n = b"", 0
@@ -177,13 +178,14 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, special: bool = True):
         self.v, self.special = vocabulary, special
-        self.known: dict[str, tuple[str, bytes]] = {}  # word -> ids joined by commas, bytes they decode to
+        self.known: dict[str, tuple[str, bytes, int]] = {}  # word -> ids joined by commas, bytes they decode to, number of ids
         self.digits = {i: str(i) for i in vocabulary.bytes_of}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text; afterwards every piece is in self.known."""
+        """The pieces of each text; afterwards `found` has every piece."""
         if len(self.known) > REMEMBER:
             self.known = {}
+        self.once: dict[str, tuple[str, bytes, int]] = {}
         special = self.special and self.v.at_special
         split, known, digits, raw = self.v.split.findall, self.known, self.digits.__getitem__, self.v.bytes_of.__getitem__
         out, fresh = [], set()
@@ -192,26 +194,38 @@ class Coder:
                 pieces = []
                 for is_special, p in self.v.pieces(text):
                     if is_special:
-                        known[p] = (digits(self.v.special[p]), p.encode())
+                        known[p] = (digits(self.v.special[p]), p.encode(), 1)
                     pieces.append(p)
             else:
                 pieces = split(text)
             fresh.update(pieces)
             out.append(pieces)
+        # long words hardly come again: they are known for these texts alone
         for word, ids in self.v.walk([p.encode() for p in fresh.difference(known)]):
-            known[word.decode()] = (",".join(map(digits, ids)), b"".join(map(raw, ids)))
+            (known if len(word) <= SHORT_WORD else self.once)[word.decode()] = (",".join(map(digits, ids)), b"".join(map(raw, ids)), len(ids))
         return out
 
+    def found(self, pieces: list[str]) -> list[tuple[str, bytes, int]]:
+        known, once = self.known, self.once
+        if not once:
+            return list(map(known.__getitem__, pieces))
+        return [known.get(p) or once[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for p in pieces for i in self.known[p][0].split(",")] for pieces in self.learn(texts)]
+        return [[int(i) for x in self.found(pieces) for i in x[0].split(",")] for pieces in self.learn(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.v.bytes_of[i] for i in ids if i in self.v.bytes_of).decode("utf-8", "replace")
 
+    def counts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """(tokens, pieces of the split) of each text."""
+        for pieces in self.learn(texts):
+            yield sum([x[2] for x in self.found(pieces)]), len(pieces)
+
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text) of each text."""
         for pieces in self.learn(texts):
-            found = list(map(self.known.__getitem__, pieces))
+            found = self.found(pieces)
             digits = ",".join([x[0] for x in found])
             raw = b"".join([x[1] for x in found])
             try:
@@ -239,48 +253,88 @@ def coder_of(shared, special: bool = True) -> Coder:
     return _CODERS[key]
 
 
+def _rest(df: DataFrame, name: str) -> list[str]:
+    """The columns that pass through: all but the result's."""
+    return [c for c in df.columns if c.lower() != name.lower()]
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", special: bool = True) -> DataFrame:
-    """Adds the token ids of each text as array<int>."""
+    """df with the token ids of each text as array<int>, in place of a column of that name."""
     small_batches(df.sparkSession)
-    shared = load(df.sparkSession, path)
+    shared, rest = load(df.sparkSession, path), _rest(df, ids)
+    source = free_name(df.columns, "_text")
 
     def run(batches):
         coder = coder_of(shared, special)
         for batch in batches:
-            out = coder.encode([t or "" for t in batch.column(text).to_pylist()])
-            yield batch.append_column(ids, pa.array(out, pa.list_(pa.int32())))
+            out = coder.encode([t or "" for t in batch.column(source).to_pylist()])
+            yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(out, pa.list_(pa.int32()))], names=[*rest, ids])
 
-    return df.mapInArrow(run, df.limit(0).selectExpr("*", f"cast(null as array<int>) as `{ids}`").schema)
+    quoted = [f"`{c}`" for c in rest]
+    return df.selectExpr(*quoted, f"`{text}` as `{source}`").mapInArrow(run, df.limit(0).selectExpr(*quoted, f"cast(null as array<int>) as `{ids}`").schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds the text that the ids stand for."""
+    """df with the text that the ids stand for, in place of a column of that name."""
     small_batches(df.sparkSession)
-    shared = load(df.sparkSession, path)
+    shared, rest = load(df.sparkSession, path), _rest(df, text)
+    source = free_name(df.columns, "_ids")
 
     def run(batches):
         coder = coder_of(shared)
         for batch in batches:
-            out = [coder.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield batch.append_column(text, pa.array(out, pa.string()))
+            out = [coder.decode(x or []) for x in batch.column(source).to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(out, pa.string())], names=[*rest, text])
+
+    quoted = [f"`{c}`" for c in rest]
+    return df.selectExpr(*quoted, f"`{ids}` as `{source}`").mapInArrow(run, df.limit(0).selectExpr(*quoted, f"cast(null as string) as `{text}`").schema)
 
-    return df.mapInArrow(run, df.limit(0).selectExpr("*", f"cast(null as string) as `{text}`").schema)
+
+def _gathered(batches, rows: int):
+    """Batches put together until they have so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, for every row; a narrow stage without a shuffle."""
-    small_batches(docs.sparkSession, 768)  # more texts in a batch share more words
+    small_batches(docs.sparkSession)
     shared = load(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
         coder = coder_of(shared)
-        for batch in batches:
-            rows = list(coder.digests([t or "" for t in batch.column("text").to_pylist()]))
+        for held in _gathered(batches, TOGETHER):
+            rows = list(coder.digests([t or "" for batch in held for t in batch.column("text").to_pylist()]))
             n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], schema=schema)
+            yield pa.record_batch([pa.concat_arrays([batch.column("doc_id") for batch in held]), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def token_counts(df: DataFrame, path: str, text: str = "text", names: tuple[str, str] = ("n_tokens", "n_pieces")) -> DataFrame:
+    """df without its text, with the number of tokens of each, and that of the pieces which the vocabulary's split gives."""
+    small_batches(df.sparkSession)
+    shared = load(df.sparkSession, path)
+    rest = [c for c in df.columns if c != text and c.lower() not in names]
+
+    def run(batches):
+        coder = coder_of(shared)
+        for held in _gathered(batches, TOGETHER):
+            n = iter(coder.counts([t or "" for batch in held for t in batch.column(text).to_pylist()]))
+            for batch in held:
+                rows = [next(n) for _ in range(batch.num_rows)]
+                yield pa.record_batch([*(batch.column(c) for c in rest), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))], names=[*rest, *names])
+
+    quoted = [f"`{c}`" for c in rest]
+    return df.selectExpr(*quoted, f"`{text}`").mapInArrow(run, df.limit(0).selectExpr(*quoted, *(f"0L as `{n}`" for n in names)).schema)
 
 
 ship(__name__)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -24,19 +26,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests, one
+    machine) gets a folder that goes with the process; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"{tempfile.gettempdir()}/allelic-shared"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at.rstrip("/") if at else _local()
+
+
+@cache
+def _local() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="allelic-")
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing reads it any more."""
+    for df in tables:
+        path = df.__dict__.pop("_written", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores in front while a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def ascii_lower(c):
@@ -49,6 +76,12 @@ def fold(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, since one text can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch, since one text can be very long.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows in this session, the same for every operator; a size that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(BATCH_ROWS))

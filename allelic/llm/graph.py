@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import discard, materialize, ship
 
 #: Edges (16 bytes each as Arrow, about 300 in a task's dictionary) that one task may join.
 FEW = 1_000_000
@@ -52,14 +52,21 @@ def stars(e: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = materialize(small.where("a != b").distinct(), "edges")
+        new = materialize(small.where("a != b").distinct(), "edges")
+        discard(e)
+        e = new
     return e
 
 
 def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """edges: a, b. Returns (node, root) for every node that has a link to another one; root is the least node."""
     e = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b").mapInArrow(forest, "a long, b long"), "edges")
-    e = materialize(e.coalesce(1).mapInArrow(forest, "a long, b long"), "edges") if e.count() <= few else stars(e.distinct())
+    if e.count() <= few:
+        one = materialize(e.coalesce(1).mapInArrow(forest, "a long, b long"), "edges")
+        discard(e)
+        e = one
+    else:
+        e = stars(e.distinct())
     roots = e.select("b").distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
 

@@ -5,7 +5,9 @@ classified by a softmax. A text is cut into windows from its first byte to its l
 averaged by length. Inference runs on Arrow batches, some hundreds of windows at a time.
 
 Defined results: texts that are null or have no letter are `und` with score 1; a language that is null in the training
-rows teaches nothing; with no training row at all every text is `und` with score 0.
+rows teaches nothing; with no training row at all every text is `und` with score 0. Ties go to the language that sorts
+first. Very long texts are read whole, some MB of windows at a time. Repeated rows are repeated; other columns pass through,
+but for columns named lang_pred and score, which the results replace.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import fold, ship, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
-#: Bounds of the training sample: texts for each language, languages, windows cut from one text.
-TEXTS, LANGUAGES, CUTS = 700, 200, 3
+#: Bounds of the training sample: texts for each language (every language is learnt), windows cut from one text.
+TEXTS, CUTS = 700, 3
 EPOCHS, BATCH, RATE = 14, 64, 0.01
 CHUNK = 512
 UND = "und"
@@ -109,13 +111,11 @@ def training_rows(docs: DataFrame) -> list:
     """(lang, cut) of a bounded sample: up to TEXTS rows for each language outside the held-out fold, chosen by the hash
     of their id, and CUTS windows of each at places that the hash gives."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
     # share of each language's rows whose hash is below this limit: about 1.3 * TEXTS, cut to TEXTS below
-    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * TEXTS / r["count"]))])
+    counts = rows.groupBy(F.col("lang").alias("_lang")).agg((1.3 * TEXTS / F.count("*")).alias("_limit"))
     unit = F.col("_h") / F.lit(2.0**64) + 0.5
-    rows = rows.where(unit < limit[F.col("lang")])
+    # one row for each language, as many as the model has classes
+    rows = rows.join(F.broadcast(counts), (F.col("lang") == F.col("_lang")) & (unit < F.col("_limit")))
     place = lambda i: F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
     cuts = F.array(*[F.substring("text", place(i), F.lit(WINDOW)) for i in range(CUTS)])
     found = rows.select("lang", "_h", cuts.alias("cuts")).collect()

@@ -9,10 +9,14 @@ and what is left is confirmed on the full shingle sets.
 Work by group size: equal sets are one class. In each bucket every class is compared with the bucket's least class
 only (a star). Buckets whose classes are then still in several components are searched in blocks, where all pairs
 across components are compared by their sketches; promising ones join into families, by a spanning forest of each block
-only, and families are compared on full sets, block by block. No bucket is capped.
+only, and families are compared on full sets, block by block, of which a spanning forest goes on. No bucket and no family
+is capped or handled otherwise for its size. Joins by a hot bucket's key stay sort-merge joins, whose large partitions
+adaptive execution splits.
 
 Defined results: a null text and a text without words have an empty set, are linked with nothing and are their own
-component. Equal rows and equal ids stay as many rows; ids that are null come out with a null component.
+component. Equal rows and equal ids stay as many rows; ids that are null come out with a null component. Very long texts are
+read whole. Ties go to the least (id, hash of the text). Columns other than doc_id and text aren't read, and pass through
+`deduplicate` whatever their names.
 
 Chance of missing a pair at exactly the threshold 0.8: (1 - 0.8**5)**30 = 7e-6 by the bands, below 1e-6 by the margin.
 """
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches
+from .common import discard, materialize, ship, small_batches
 from .graph import components
 
 BANDS, ROWS = 30, 5
@@ -35,8 +39,8 @@ BASE, RATE, TOP = 1.02, 20.0, 65534
 MARGIN = 0.18
 #: Links of a hub that one task confirms together, and the blocks of the search in mixed buckets.
 SALT, BLOCK_R, BLOCK_L = 64, 128, 512
-#: Rows of a block within a family, and members beyond which a family is compared by single pairs of its buckets.
-BLOCK_F, LARGE = 192, 50_000
+#: Rows and shingles of a block within a family.
+BLOCK_F, BLOCK_S = 256, 200_000
 
 _ODD = np.random.default_rng(20240229).integers(1 << 63, size=(2, M), dtype=np.uint64)
 MULTIPLY, ADD = (_ODD[0] * np.uint64(2) + np.uint64(1))[:, None], (_ODD[1] * np.uint64(2))[:, None]
@@ -50,6 +54,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOW = (1 << 64) - 1
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -111,21 +118,23 @@ def _matrix(column) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (digest of the set, null if it is empty) and registers of every row."""
+    """doc_id, text_hash, n_shingles, cls and check (halves of a digest of the set, null if it is empty) and registers of every row."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("registers", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("registers", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            n, cls, regs = [], [], []
+            n, cls, check, regs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, k)
                 n.append(len(s))
-                cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                digest = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
+                cls.append((digest & _LOW) - (1 << 63) if len(s) else None)
+                check.append((digest >> 64) - (1 << 63) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(regs, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(regs, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, cls long, check long, registers binary")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -168,20 +177,20 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     return rows.select("b", "salt", "cls", "text").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float, every_pair: bool = False) -> DataFrame:
+def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Promising pairs within buckets that still hold several components, other than those with the bucket's centre: of
-    each block's pairs a spanning forest, or every one.
+    each block's pairs a spanning forest.
 
     Rows outside the centre's component go into blocks of BLOCK_R, all rows into blocks of BLOCK_L; each task compares
     one block of either kind by sketches. A pair is compared in the first band in which its rows agree."""
     rows = members.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "band", "cls", "center", F.coalesce("root", "cls").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("center"), F.col("comp"))).alias("main"))
     mixed = mixed.where("lo != hi").select("key", "main")
-    rows = materialize(rows.join(mixed, "key").where("cls != center"), "mixed")
+    rows = materialize(rows.join(mixed.hint("merge"), "key").where("cls != center"), "mixed")
     # without a main, the centre isn't among the members, and then none of them is in its component
     apart = F.coalesce(F.col("comp") != F.col("main"), F.lit(True))
     counts = rows.groupBy("key").agg(F.ceil(F.count(F.when(apart, 1)) / BLOCK_R).cast("int").alias("rbs"), F.ceil(F.count("*") / BLOCK_L).cast("int").alias("lbs"))
-    rows = rows.join(counts, "key").where("rbs > 0").join(classes.select("cls", F.col("n").alias("size"), "registers"), "cls")
+    rows = rows.join(counts.where("rbs > 0").hint("merge"), "key").join(classes.select("cls", F.col("n").alias("size"), "registers"), "cls")
     block = lambda c, n: F.pmod(F.xxhash64(F.lit(c), "cls"), n).cast("int")
     own = rows.where(apart).withColumn("lb", _every("lbs")).select("key", block("r", "rbs").alias("rb"), "lb", F.lit(0).alias("role"), "band", "cls", "comp", "size", "registers")
     other = rows.withColumn("rb", _every("rbs")).select("key", "rb", block("l", "lbs").alias("lb"), F.lit(1).alias("role"), "band", "cls", "comp", "size", "registers")
@@ -208,13 +217,12 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
             found = []
             for key, r, l, role, own_band, cls, comp, size, reg in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if (key, r, l) != at:
-                    found += pairs(held, band)
+                    found += spanning(compare(held, band))
                     at, band, held = (key, r, l), own_band, ([], [])
                 held[role].append((reg, size, comp, cls))
             yield _pairs(found)
-        yield _pairs(pairs(held, band))
+        yield _pairs(spanning(compare(held, band)))
 
-    pairs = compare if every_pair else lambda held, band: spanning(compare(held, band))
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -243,10 +251,12 @@ def spanning(pairs) -> list[tuple[int, int]]:
 
 def within_families(families: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links across components within each family (family, cls, comp), by full sets: a spanning forest of those of each
-    pair of blocks. Blocks have about BLOCK_F rows, and a row goes to as many tasks as its family has blocks."""
+    pair of blocks. Blocks have about BLOCK_F rows and BLOCK_S shingles at most, and a row goes to as many tasks as its family
+    has blocks."""
     small_batches(docs.sparkSession)
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_F).cast("int").alias("blocks"))
-    rows = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", _every("blocks"))
+    sized = families.join(classes.select("cls", "n"), "cls")
+    blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_F), F.ceil(F.sum("n") / BLOCK_S)).cast("int").alias("blocks"))
+    rows = families.join(blocks.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("other", _every("blocks"))
     rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp")
     rows = rows.join(texts_of(families.select("cls"), classes, docs), "cls").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cls")
 
@@ -321,38 +331,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     threshold = percent / 100
     sk = materialize(sketches(docs, k), "sketches")
     full = sk.where("cls is not null")
-    classes = materialize(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers")), "classes")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
+    grouped = lambda full: materialize(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers"), F.min("check").alias("lo"), F.max("check").alias("hi")), "classes")
+    classes = grouped(full)
+    if not classes.where("lo != hi").isEmpty():  # sets whose digests agree in one half only: both halves name the class
+        twice = classes.where("lo != hi").select(F.col("cls").alias("_c"))
+        full = full.join(twice.hint("merge"), F.col("cls") == F.col("_c"), "left").withColumn("cls", F.when(F.col("_c").isNull(), F.col("cls")).otherwise(F.xxhash64("cls", "check"))).drop("_c")
+        classes = grouped(full)
+    # an expression over the bands' numbers: thirty of them spelled out make a very large method
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = classes.select("cls", F.posexplode(keys).alias("band", "key"))
     buckets = bands.groupBy("key").agg(F.min("cls").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(buckets, "key"), "members")
+    members = written = materialize(bands.join(buckets.hint("merge"), "key"), "members")
     ordered = lambda p: p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tested = materialize(ordered(promising(members.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")).distinct(), classes, threshold)), "tested")
-    links = materialize(confirmed(tested, classes, docs, k, percent), "links")
-    labels = components(links)
+    labels = components(confirmed(tested, classes, docs, k, percent))
     members = members.where("n > 2")
-    # what may link across components: families of promising pairs, compared within; the largest by single pairs
+    # what may link across components: families of promising pairs, compared within
     label = labels.select(F.col("node").alias("cls"), "root")
     promise = materialize(across(members, classes, labels, threshold), "promise")
+    families = None
     if not promise.isEmpty():
         families = components(promise.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("cls"), F.col("root").alias("family"))
         open_ = families.join(promise.select(F.col("a").alias("cls")).distinct(), "cls").groupBy("family").agg(F.lit(1).alias("open"))
-        families = families.join(open_, "family").join(label, "cls", "left").select("family", "cls", F.coalesce("root", "cls").alias("comp"))
+        families = families.join(open_.hint("merge"), "family").join(label, "cls", "left").select("family", "cls", F.coalesce("root", "cls").alias("comp"))
         families = materialize(families, "families")
-        large = families.groupBy("family").agg(F.count("*").alias("k")).where(F.col("k") > LARGE).select("family")
-        more = within_families(families.join(large, "family", "left_anti"), classes, docs, k, percent)
-        if not large.isEmpty():
-            own = families.join(large, "family").select("cls")
-            rest = materialize(ordered(across(members.join(own, "cls"), classes, labels, threshold, every_pair=True)).join(tested, ["a", "b"], "left_anti"), "rest")
-            more = more.unionAll(confirmed(rest, classes, docs, k, percent))
+        more = within_families(families, classes, docs, k, percent)
         labels = components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    discard(written, tested, promise, *([families] if families is not None else []))
     reps = classes.select("cls", "rep")
     linked = labels.join(reps, labels["node"] == reps["cls"]).select("cls", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("first"))
-    linked = linked.join(least, "root").select("cls", "first")
+    linked = linked.join(least.hint("merge"), "root").select("cls", "first")
     known = reps.join(linked, "cls", "left").select("cls", F.coalesce("first", "rep").alias("first"))
     own = F.struct("doc_id", "text_hash")
-    rows = full.join(known, "cls", "left").select("doc_id", "text_hash", "n_shingles", "first")
+    rows = full.join(known.hint("merge"), "cls", "left").select("doc_id", "text_hash", "n_shingles", "first")
     rows = rows.unionAll(sk.where("cls is null").select("doc_id", "text_hash", "n_shingles", own.alias("first")))
     # first: whether the row is its component's first by doc_id and text hash; several equal rows can be
     return rows.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False)).alias("kept"), own.eqNullSafe(F.col("first")).alias("first"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, lang_id, minhash_dedup, packing, simhash, token_counts, toxicity, url_filters, vector_join
-from .common import fold, materialize, shared_dir, table
+from .common import discard, fold, materialize, shared_dir, table
 
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -16,43 +16,38 @@ RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "al
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filters.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return url_filters.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity", "judged_by")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents under two tokenizer versions, the takedown of documents labelled toxic,
-    revised counts of documents of low quality (symbols no longer count), and a batch that is delivered twice."""
+def vocabulary(path: str | None) -> str:
+    """A tokenizer file: the public byte-level one unless another is named."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Totals after four batches: all documents under two tokenizers (the vocabulary's tokens, and the words of its split),
+    the takedown of documents labelled toxic, revised counts of documents of low quality (an end-of-text token counts now),
+    and a batch that is delivered twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    words, marks, revised = F.regexp_count("text", F.lit("[^ \\t\\n]+")), F.regexp_count("text", F.lit("[a-z]+|[^a-z \\t\\n]")), F.regexp_count("text", F.lit("[^ \\t\\n#$%&*]+"))
-    counted = docs.select("doc_id", "lang", "source", words.alias("words"), marks.alias("marks"), revised.alias("revised"))
+    counted = materialize(bpe.token_counts(docs, vocabulary(path)), "counts")
     known = counted.join(labels, "doc_id")
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    both = lambda df, kind: token_counts.changes(df, kind, F.lit("words-1"), F.col("words")).unionAll(token_counts.changes(df, kind, F.lit("marks-1"), F.col("marks")))
+    both = lambda df, kind: token_counts.changes(df, kind, F.lit("byte-bpe-50k"), F.col("n_tokens")).unionAll(token_counts.changes(df, kind, F.lit("byte-split"), F.col("n_pieces")))
     takedown = both(known.where("toxic = 1"), "delete")
     rollup.commit("0001", both(counted, "insert"))
     rollup.commit("0002", takedown)
     rollup.compact()
-    rollup.commit("0003", token_counts.changes(known.where("quality = 0 and toxic = 0"), "revise", F.lit("words-1"), F.col("revised"), F.col("words")))
+    rollup.commit("0003", token_counts.changes(known.where("quality = 0 and toxic = 0"), "revise", F.lit("byte-bpe-50k"), F.col("n_tokens") + 1, F.col("n_tokens")))
     rollup.commit("0002", takedown)
+    discard(counted)
     return rollup.totals()
 
 
-OP2_SQL = r"""
-WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
-c AS (
-  SELECT d.source, d.lang, l.toxic, l.quality,
-    CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n]+')), 0) AS BIGINT) AS words,
-    CAST(coalesce(len(regexp_extract_all(text, '[a-z]+|[^a-z \t\n]')), 0) AS BIGINT) AS marks,
-    CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n#$%&*]+')), 0) AS BIGINT) AS revised
-  FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
-r AS (
-  SELECT source, lang, 'words-1' AS version, CASE WHEN quality = 0 AND toxic = 0 THEN revised ELSE words END AS tokens FROM c WHERE coalesce(toxic, 0) <> 1
-  UNION ALL SELECT source, lang, 'marks-1', marks FROM c WHERE coalesce(toxic, 0) <> 1)
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY ALL
-"""
-
-
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 4-shingles, Jaccard similarity of 0.8 or more."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash", "first")
@@ -68,9 +63,13 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+#: The pieces of the byte-level split; a fixed value of the public format, in the words of Java's expressions.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{Z}\p{L}\p{N}]+|[\s\p{Z}]+(?![^\s\p{Z}])|[\s\p{Z}]+"
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths are counts of words."""
-    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"], F.regexp_count("text", F.lit(r"\S+")))
+    """Lengths are the numbers of words that the byte-level split gives; the pipeline packs tokens of the vocabulary."""
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"], F.regexp_count("text", F.lit(PIECES)))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +104,7 @@ def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), path)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary(path))
 
 
 QUERIES = {
@@ -151,4 +146,4 @@ SELECT v.vec_id, coalesce(k, 0) AS n_links, coalesce(component_id, v.vec_id) AS
 FROM v LEFT JOIN deg ON x = v.vec_id LEFT JOIN least ON a = v.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_token_counts": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op9_vector_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_dedup": OP3_SQL, "op9_vector_join": OP9_SQL}

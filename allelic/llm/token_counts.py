@@ -6,10 +6,14 @@ the new one. A batch's changes are summed on the map side into one row for each
 Parquet log, named by the batch; committing a batch again changes nothing. Totals are the sum of the log; `compact` folds
 committed batches into one base partition, of which the log keeps the names.
 
-A commit is a rename of a finished folder, so a lost executor or driver leaves either the whole batch or none of it.
+A commit is a rename of a finished folder to a name that must not exist yet, so a lost executor or driver leaves either the
+whole batch or none of it, and of two drivers that commit one batch one succeeds. Counting tokens is not this module's work:
+it takes counts (`bpe.token_counts` gives those of a vocabulary).
 
 Defined results: null sources, languages and versions are groups of their own; groups whose sums are all zero vanish from
-the totals; null token counts count as 0; an empty batch commits and changes nothing.
+the totals; null token counts count as 0; an empty batch commits and changes nothing. Repeated rows count as often as they
+occur. Sums don't depend on the order of rows, so there are no ties; a text's length doesn't matter, since no text is read.
+Only source, lang and the given columns are read, whatever others are named.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,40 +56,54 @@ class Rollup:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def _rename(self, a: str, b: str) -> bool:
+        """Renames a folder to a name that must not exist: False if it does."""
         fs, p = self._fs(a)
         _, q = self._fs(b)
         fs.mkdirs(q.getParent())
-        return not fs.exists(q) and fs.rename(p, q)
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(p), fs.makeQualified(q), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(p, True)
+            return False
+        return True
+
+    def _bases(self) -> list[str]:
+        return self._names("base")
+
+    def _names_of(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/base/{base}/names")
 
-    def committed(self) -> set[str]:
-        """Names of the batches that count."""
-        live = {n.removeprefix("batch-") for n in self._names("log")}
-        for base in self._names("base")[-1:]:
-            live |= {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/base/{base}/names").collect()}
-        return live
+    def is_committed(self, batch: str) -> bool:
+        fs, p = self._fs(f"{self.path}/log/batch-{batch}")
+        return fs.exists(p) or any(not self._names_of(b).where(F.col("batch") == batch).isEmpty() for b in self._bases()[-1:])
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Adds a batch of signed rows once; False if it is already there."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
             raise ValueError(f"name of a batch: {batch!r}")
-        if batch in self.committed():
+        if self.is_committed(batch):
             return False
         draft = f"{self.path}/draft/{uuid.uuid4().hex}"
         sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.parquet(draft)
         return self._rename(draft, f"{self.path}/log/batch-{batch}")
 
-    def _deltas(self) -> tuple[DataFrame, list[str]]:
-        bases, out = self._names("base"), self.spark.createDataFrame([], SCHEMA)
-        done: set[str] = set()
-        if bases:
-            at = f"{self.path}/base/{bases[-1]}"
-            out = out.unionByName(self.spark.read.schema(SCHEMA).parquet(f"{at}/totals"))
-            done = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/names").collect()}
-        new = [n for n in self._names("log") if n.removeprefix("batch-") not in done]
-        if new:
-            out = out.unionByName(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/log/{n}" for n in new)))
-        return out, sorted(done | {n.removeprefix("batch-") for n in new})
+    def _deltas(self) -> tuple[DataFrame, list[str], DataFrame | None]:
+        """The rows that make up the totals, the batches of the log among them, and the names that the base holds."""
+        out, names = self.spark.createDataFrame([], SCHEMA), None
+        log = self._names("log")
+        for base in self._bases()[-1:]:
+            out, names = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/base/{base}/totals"), self._names_of(base)
+            if log:  # a batch that the base holds may still be in the log
+                own = self.spark.createDataFrame([(n,) for n in log], "log string")
+                log = sorted(r[0] for r in own.join(names, own["log"] == F.concat(F.lit("batch-"), "batch"), "left_anti").collect())
+        if log:
+            out = out.unionByName(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/log/{n}" for n in log)))
+        return out, log, names
 
     def totals(self, *by: str) -> DataFrame:
         """Documents and tokens of each group, or of coarser groups: the sums are additive."""
@@ -93,13 +112,16 @@ class Rollup:
         return sums.where("docs != 0 or tokens != 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into a new base; a batch of the log that the base names isn't read again."""
-        deltas, names = self._deltas()
-        n = len(self._names("base"))
+        """Folds all committed batches into a new base; a batch of the log that the base names isn't read again. The base
+        before stays for those who read it now; older ones go."""
+        deltas, log, names = self._deltas()
+        bases = self._bases()
+        number = int(bases[-1]) + 1 if bases else 0
         draft = f"{self.path}/draft/{uuid.uuid4().hex}"
         deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{draft}/totals")
-        self.spark.createDataFrame([(x,) for x in names], "batch string").write.parquet(f"{draft}/names")
-        if self._rename(draft, f"{self.path}/base/{n:08d}"):
-            for name in names:
-                fs, p = self._fs(f"{self.path}/log/batch-{name}")
+        new = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in log], "batch string")
+        (new if names is None else names.unionAll(new)).write.parquet(f"{draft}/names")
+        if self._rename(draft, f"{self.path}/base/{number:08d}"):
+            for old in [*(f"log/{n}" for n in log), *(f"base/{b}" for b in bases[:-1])]:
+                fs, p = self._fs(f"{self.path}/{old}")
                 fs.delete(p, True)

@@ -69,18 +69,28 @@ def test_against_brute_force(spark, rows, k):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_large_families_by_pairs(spark, rows, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "LARGE", 3)
+def test_families_of_many_blocks(spark, rows, monkeypatch):
+    """A family cut into many blocks, by rows and by shingles, gives the same."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute(rows, 4, 80)
+    for name, value in (("BLOCK_F", 7), ("BLOCK_S", 900)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 4, 80).collect()} == {i: c for (i, _), c in want.items()}
+        monkeypatch.undo()
+
+
+def test_digests_that_collide(spark, rows, monkeypatch):
+    """Different sets with one half of their digests equal stay apart."""
+    monkeypatch.setattr(minhash_dedup, "_LOW", 3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, _ = brute(rows, 4, 80)
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 4, 80).collect()} == {i: c for (i, _), c in want.items()}
 
 
-def test_large_families_whose_buckets_have_other_centres(spark, monkeypatch):
+def test_buckets_with_other_centres(spark):
     """Two similar texts meet in no bucket but those whose least class is a text unlike both."""
-    monkeypatch.setattr(minhash_dedup, "LARGE", 1)
     k, base = 4, words(200, 7)
-    digest = lambda w: minhash_dedup.xxhash.xxh3_64_intdigest(shingles(" ".join(w), k).tobytes())
+    digest = lambda w: minhash_dedup.xxhash.xxh3_128_intdigest(shingles(" ".join(w), k).tobytes()) & minhash_dedup._LOW
     sketch = lambda w: registers(shingles(" ".join(w), k))
     bands = lambda r: r.reshape(-1, minhash_dedup.ROWS)
     # of many texts those of greatest digests, so that others are the centres
