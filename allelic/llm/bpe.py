@@ -25,7 +25,7 @@ from .common import free_name, ship, small_batches
 #: The pattern that a byte-level vocabulary was trained with; a fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew, the bytes of a word that it remembers, and pairs of tokens.
-REMEMBER, SHORT_WORD, PAIRS = 250_000, 64, 2_000_000
+REMEMBER, SHORT_WORD, PAIRS = 250_000, 64, 1_000_000
 #: Rows whose words are walked together: the more, the more prefixes are shared.
 TOGETHER = 768
 
@@ -178,14 +178,15 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, special: bool = True):
         self.v, self.special = vocabulary, special
-        self.known: dict[str, tuple[str, bytes, int]] = {}  # word -> ids joined by commas, bytes they decode to, number of ids
+        self.sizes: dict[str, int] = {}  # word -> number of ids
+        self.known: dict[str, tuple[str, bytes]] = {}  # word -> ids joined by commas, bytes they decode to
         self.digits = {i: str(i) for i in vocabulary.bytes_of}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards `found` has every piece."""
         if len(self.known) > REMEMBER:
             self.known = {}
-        self.once: dict[str, tuple[str, bytes, int]] = {}
+        self.once: dict[str, tuple[str, bytes]] = {}
         special = self.special and self.v.at_special
         split, known, digits, raw = self.v.split.findall, self.known, self.digits.__getitem__, self.v.bytes_of.__getitem__
         out, fresh = [], set()
@@ -194,7 +195,7 @@ class Coder:
                 pieces = []
                 for is_special, p in self.v.pieces(text):
                     if is_special:
-                        known[p] = (digits(self.v.special[p]), p.encode(), 1)
+                        known[p] = (digits(self.v.special[p]), p.encode())
                     pieces.append(p)
             else:
                 pieces = split(text)
@@ -202,10 +203,10 @@ class Coder:
             out.append(pieces)
         # long words hardly come again: they are known for these texts alone
         for word, ids in self.v.walk([p.encode() for p in fresh.difference(known)]):
-            (known if len(word) <= SHORT_WORD else self.once)[word.decode()] = (",".join(map(digits, ids)), b"".join(map(raw, ids)), len(ids))
+            (known if len(word) <= SHORT_WORD else self.once)[word.decode()] = (",".join(map(digits, ids)), b"".join(map(raw, ids)))
         return out
 
-    def found(self, pieces: list[str]) -> list[tuple[str, bytes, int]]:
+    def found(self, pieces: list[str]) -> list[tuple[str, bytes]]:
         known, once = self.known, self.once
         if not once:
             return list(map(known.__getitem__, pieces))
@@ -218,9 +219,26 @@ class Coder:
         return b"".join(self.v.bytes_of[i] for i in ids if i in self.v.bytes_of).decode("utf-8", "replace")
 
     def counts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """(tokens, pieces of the split) of each text."""
-        for pieces in self.learn(texts):
-            yield sum([x[2] for x in self.found(pieces)]), len(pieces)
+        """(tokens, pieces of the split) of each text. Of words only the number of their tokens is remembered."""
+        if len(self.sizes) > REMEMBER:
+            self.sizes = {}
+        special = self.special and self.v.at_special
+        split, sizes, once, out, fresh = self.v.split.findall, self.sizes, {}, [], set()
+        for text in texts:
+            if special and special.search(text):
+                pieces = []
+                for is_special, p in self.v.pieces(text):
+                    if is_special:
+                        sizes[p] = 1
+                    pieces.append(p)
+            else:
+                pieces = split(text)
+            fresh.update(pieces)
+            out.append(pieces)
+        for word, ids in self.v.walk([p.encode() for p in fresh.difference(sizes)]):
+            (sizes if len(word) <= SHORT_WORD else once)[word.decode()] = len(ids)
+        for pieces in out:
+            yield sum(map(sizes.__getitem__, pieces)) if not once else sum([sizes.get(p) or once[p] for p in pieces]), len(pieces)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text) of each text."""
@@ -327,10 +345,9 @@ def token_counts(df: DataFrame, path: str, text: str = "text", names: tuple[str,
 
     def run(batches):
         coder = coder_of(shared)
-        for held in _gathered(batches, TOGETHER):
-            n = iter(coder.counts([t or "" for batch in held for t in batch.column(text).to_pylist()]))
-            for batch in held:
-                rows = [next(n) for _ in range(batch.num_rows)]
+        for batch in batches:
+            rows = list(coder.counts([t or "" for t in batch.column(text).to_pylist()]))
+            if rows:
                 yield pa.record_batch([*(batch.column(c) for c in rest), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))], names=[*rest, *names])
 
     quoted = [f"`{c}`" for c in rest]

@@ -14,7 +14,8 @@ is capped or handled otherwise for its size. Joins by a hot bucket's key stay so
 adaptive execution splits.
 
 Defined results: a null text and a text without words have an empty set, are linked with nothing and are their own
-component. Equal rows and equal ids stay as many rows; ids that are null come out with a null component. Very long texts are
+component. Equal rows and equal ids stay as many rows; a null id comes after all others, and is its
+component only where no row with an id is in it. Very long texts are
 read whole. Ties go to the least (id, hash of the text). Columns other than doc_id and text aren't read, and pass through
 `deduplicate` whatever their names.
 
@@ -326,12 +327,17 @@ def _pairs(found) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _own():
+    """What a component's rows are ordered by: ids that are null come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links), kept and first, for every row of docs."""
     threshold = percent / 100
     sk = materialize(sketches(docs, k), "sketches")
     full = sk.where("cls is not null")
-    grouped = lambda full: materialize(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers"), F.min("check").alias("lo"), F.max("check").alias("hi")), "classes")
+    grouped = lambda full: materialize(full.groupBy("cls").agg(F.min(_own()).alias("rep"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers"), F.min("check").alias("lo"), F.max("check").alias("hi")), "classes")
     classes = grouped(full)
     if not classes.where("lo != hi").isEmpty():  # sets whose digests agree in one half only: both halves name the class
         twice = classes.where("lo != hi").select(F.col("cls").alias("_c"))
@@ -361,10 +367,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = classes.select("cls", "rep")
     linked = labels.join(reps, labels["node"] == reps["cls"]).select("cls", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("first"))
-    linked = linked.join(least.hint("merge"), "root").select("cls", "first")
+    linked = linked.join(least, "root").select("cls", "first")
     known = reps.join(linked, "cls", "left").select("cls", F.coalesce("first", "rep").alias("first"))
-    own = F.struct("doc_id", "text_hash")
-    rows = full.join(known.hint("merge"), "cls", "left").select("doc_id", "text_hash", "n_shingles", "first")
+    own = _own()
+    rows = full.join(known, "cls", "left").select("doc_id", "text_hash", "n_shingles", "first")
     rows = rows.unionAll(sk.where("cls is null").select("doc_id", "text_hash", "n_shingles", own.alias("first")))
     # first: whether the row is its component's first by doc_id and text hash; several equal rows can be
     return rows.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(False)).alias("kept"), own.eqNullSafe(F.col("first")).alias("first"))

@@ -104,7 +104,7 @@ def test_classifiers_keep_other_columns(spark, odd):
 
 def test_every_language_is_learnt(spark):
     """More than two hundred languages, each of letters of its own."""
-    rows = [(i, " ".join([chr(0x4E00 + 40 * (i % 230) + j) * 2 for j in range(30)]), f"l{i % 230:03}") for i in range(230 * 3)]
+    rows = [(i, " ".join([chr(0x4E00 + 40 * (i % 230) + j) * 2 for j in range(30)]), f"l{i % 230:03}") for i in range(230 * 8)]
     model = lang_id.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len({lang for lang, _ in model}) == 230
 
