@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 T = Callable[[str], Column]
@@ -148,3 +148,83 @@ def utr_parts(t: T = col_of) -> Column:
     part = lambda kind, lo, hi: F.struct(kind.alias("type"), lo.alias("start"), hi.alias("end"))
     both = F.flatten(F.transform(t("exons"), lambda e: F.array(part(left, e["start"], F.least(e["end"], t("cds_start") - 1)), part(right, F.greatest(e["start"], t("cds_end") + 1), e["end"]))))
     return F.when(is_coding(t), F.filter(both, lambda p: p["start"] <= p["end"])).otherwise(F.filter(both, lambda p: F.lit(False)))
+
+
+# ---- positions by the two exons beside them -------------------------------------------------------------------------
+#
+# Most transcripts are plain: exons by position that fill the transcript from end to end, none shorter than 3 bases, introns of
+# 9 or more, and coding parts that follow each other without a gap. There, everything about a position follows from the exon
+# that begins last before it and the next one: a segment holds both as plain columns, so that no expression goes over
+# arrays. The functions above are for the others.
+
+
+def with_plan(transcripts: DataFrame) -> DataFrame:
+    """transcripts with _plain, and the positions among exonic bases of the first and the last coding base (0 if there is
+    none). Once for each transcript."""
+    e = F.col("exons")
+    gap = lambda x, i: F.when(i == 0, F.lit(True)).otherwise(x["start"] - F.get(e, F.greatest(i - 1, F.lit(0)))["end"] > 9)
+    apart = F.forall(F.transform(e, lambda x, i: gap(x, i) & (x["end"] - x["start"] >= 2)), lambda ok: ok)
+    filled = (F.get(e, F.lit(0))["start"] == F.col("start")) & (F.get(e, F.size(e) - 1)["end"] == F.col("end"))
+    plus = F.col("strand") == 1
+    t5 = transcript_position(F.when(plus, F.col("cds_start")).otherwise(F.col("cds_end")))
+    t3 = transcript_position(F.when(plus, F.col("cds_end")).otherwise(F.col("cds_start")))
+    t = transcripts.withColumns({"_t5": F.when(is_coding(), t5).otherwise(F.lit(0)), "_t3": F.when(is_coding(), t3).otherwise(F.lit(0))})
+    length = F.aggregate("cds_regions", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"] + 1)
+    whole = ~is_coding() | ((F.col("_t5") > 0) & (F.col("_t3") > 0) & (length == F.col("_t3") - F.col("_t5") + 1))
+    return t.withColumn("_plain", F.coalesce((F.size(e) > 0) & filled & apart & whole & (F.size(e) == F.size("exon_cum")), F.lit(False)))
+
+
+def segments(plain: DataFrame) -> DataFrame:
+    """A row for each exon of plain transcripts with the intron behind it (start and end are the segment's): _lo, the exon,
+    _hi, the next one, and the codons of its own coding bases as _slice, from the codon after _codon0 on."""
+    seg = plain.select(*(c for c in plain.columns if c not in ("exons", "exon_cum", "cds_regions", "start", "end")), F.col("end").alias("_end"), F.posexplode("exons").alias("_at", "_lo"), "exons", "exon_cum")
+    seg = seg.withColumns({"_hi": F.get("exons", F.col("_at") + 1), "_cum_lo": F.get("exon_cum", F.col("_at")), "_cum_hi": F.get("exon_cum", F.col("_at") + 1), "_exons": F.size("exons")}).drop("exons", "exon_cum", "_at")
+    one, two = (_among(F.col(f"_lo.{c}"), F.col("_lo"), F.col("_cum_lo")) - F.col("_t5") + 1 for c in ("cds_start", "cds_end"))
+    seg = seg.withColumns({"start": F.col("_lo.start"), "end": F.coalesce(F.col("_hi.start") - 1, F.col("_end")), "_a": F.when((F.col("_t5") > 0) & (F.col("_lo.cds_start") > 0), F.least(one, two)), "_b": F.greatest(one, two)}).drop("_end")
+    before = F.floor((F.col("_a") - 1) / 3)
+    codons = F.floor((F.col("_b") - 1) / 3) - before + 1
+    slice_ = F.substring("cds_sequence", (3 * before + 1).cast("int"), (3 * codons).cast("int"))
+    return seg.withColumns({"_slice": F.coalesce(slice_, F.lit("")), "_codon0": F.coalesce(before, F.lit(0)).cast("bigint")}).drop("_a", "_b", "cds_sequence", "utr3_sequence")
+
+
+def _among(pos: Column, e: Column, cum: Column) -> Column:
+    """Position among exonic bases of one that the exon holds."""
+    return cum + F.when(F.col("strand") == 1, pos - e["start"]).otherwise(e["end"] - pos) + 1
+
+
+def plain_cds_position(pos: Column) -> Column:
+    at = _among(pos, F.col("_lo"), F.col("_cum_lo"))
+    inside = F.col("_inside") & (F.col("_t5") > 0) & pos.between(F.col("cds_start"), F.col("cds_end"))
+    return F.when(inside, at - F.col("_t5") + 1).otherwise(F.lit(0)).cast("bigint")
+
+
+def plain_in_splice_region(pos: Column) -> Column:
+    near = lambda d: F.coalesce(d.between(0, 2) | d.between(-8, -3), F.lit(False))
+    return near(pos - F.col("_lo.start")) | near(F.col("_lo.end") - pos) | near(pos - F.col("_hi.start"))
+
+
+def plain_splice_site(pos: Column) -> Column:
+    """The splice site term at an intron position, '' elsewhere."""
+    after = F.coalesce((pos - F.col("_lo.end")).between(1, 2), F.lit(False))
+    before = F.coalesce((F.col("_hi.start") - pos).between(1, 2), F.lit(False))
+    donor = after == (F.col("strand") == 1)
+    return F.when(~(after | before), F.lit("")).when(donor, F.lit("splice_donor_variant")).otherwise(F.lit("splice_acceptor_variant"))
+
+
+def plain_splice_codon(pos: Column) -> Column:
+    """Codon at the coding end of the exon boundary within two bases, 0 if none."""
+    lo = F.coalesce((pos - F.col("_lo.end") <= 2) & (F.col("_lo.cds_start") > 0), F.lit(False))
+    hi = F.coalesce((F.col("_hi.start") - pos <= 2) & (F.col("_hi.cds_start") > 0), F.lit(False))
+    at = F.when(lo, _among(F.col("_lo.cds_end"), F.col("_lo"), F.col("_cum_lo"))).when(hi, _among(F.col("_hi.cds_start"), F.col("_hi"), F.col("_cum_hi")))
+    return F.coalesce(codon_number(at - F.col("_t5") + 1), F.lit(0))
+
+
+def plain_notation(pos: Column) -> Column:
+    """HGVS position: introns count from the nearer exon, the lower one on ties."""
+    lo, hi = F.col("_lo.end"), F.col("_hi.start")
+    use_low = F.col("_inside") | (lo.isNotNull() & (hi.isNull() | (hi - pos >= pos - lo)))
+    edge = F.when(F.col("_inside"), pos).when(use_low, lo).otherwise(hi)
+    at = F.when(use_low, _among(edge, F.col("_lo"), F.col("_cum_lo"))).otherwise(_among(edge, F.col("_hi"), F.col("_cum_hi")))
+    exonic = F.when(F.col("_t5") == 0, _text(at)).when(at < F.col("_t5"), F.concat(F.lit("-"), _text(F.col("_t5") - at))).when(at > F.col("_t3"), F.concat(F.lit("*"), _text(at - F.col("_t3")))).otherwise(_text(at - F.col("_t5") + 1))
+    sign = F.when(use_low == (F.col("strand") == 1), F.lit("+")).otherwise(F.lit("-"))
+    return F.when(F.col("_inside"), exonic).when(edge.isNull(), F.lit("")).otherwise(F.concat(exonic, sign, _text(F.abs(edge - pos))))

@@ -29,6 +29,7 @@ ALIASES = {
     "intron": "intron_variant", "igr": "intergenic_variant", "3'flank": "downstream_gene_variant", "5'flank": "upstream_gene_variant", "protein_altering_variant": "inframe_variant", "inframe_deletion": "inframe_variant",
     "inframe_insertion": "inframe_variant", "mature_mirna_variant": "non_coding_transcript_exon_variant", "splice_donor_region_variant": "splice_region_variant", "splice_donor_5th_base_variant": "splice_region_variant",
 }
+# Terms that a comparison leaves out, terms that speak of coding sequence, and biotypes with one.
 SILENT_TERMS = ["non_coding_transcript_variant", "nmd_transcript_variant", "splice_polypyrimidine_tract_variant"]
 CODING_TERMS = ["missense_variant", "missense_mutation", "synonymous_variant", "silent", "frameshift_variant", "frame_shift_del", "frame_shift_ins", "nonsense_mutation", "stop_gained", "stop_lost", "nonstop_mutation", "start_lost", "translation_start_site", "inframe_deletion", "inframe_insertion", "in_frame_del", "in_frame_ins", "protein_altering_variant", "stop_retained_variant", "splice_site"]
 CODING_BIOTYPES = ["protein_coding", "nonsense_mediated_decay", "non_stop_decay", "IG_V_gene", "IG_D_gene", "IG_J_gene", "IG_C_gene", "TR_V_gene", "TR_D_gene", "TR_J_gene", "TR_C_gene", "protein_coding_LoF"]

@@ -51,9 +51,10 @@ def with_size_check(df: DataFrame, bytes_at_most: int = BROADCAST_BYTES) -> Data
 KEY = ["transcript_id", "chrom", "start"]
 
 
-def interval_join(variants: DataFrame, transcripts: DataFrame, width: int = BIN, how: str = "left", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def interval_join(variants: DataFrame, transcripts: DataFrame, width: int = BIN, how: str = "left", broadcast_bytes: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """Each variant with each transcript of its chromosome with start <= pos <= end; with `left`, variants without any
-    stay, with null transcript columns (transcript_id null)."""
+    stay, with null transcript columns (transcript_id null). `size` is the measured bytes of the transcripts where they are
+    known already."""
     clash = set(variants.columns) & set(transcripts.columns) - {"chrom"}
     if clash:
         raise ValueError(f"both sides have columns {sorted(clash)}")
@@ -61,7 +62,7 @@ def interval_join(variants: DataFrame, transcripts: DataFrame, width: int = BIN,
     on = (F.col("chrom") == F.col("_chrom")) & (F.col("_vbin") == F.col("_bin")) & F.col("pos").between(F.col("start"), F.col("end"))
     whole = binned(transcripts, width).withColumnRenamed("chrom", "_chrom")
     narrow = [*KEY, "end"]
-    small = total_bytes(whole) <= broadcast_bytes
+    small = (total_bytes(whole) if size is None else size) <= broadcast_bytes
     if small or set(transcripts.columns) <= set(narrow):
         return v.join(F.broadcast(whole) if small else whole, on, how).drop("_chrom", "_bin", "_vbin")
     ids = binned(transcripts.select(*narrow), width).withColumnRenamed("chrom", "_chrom")

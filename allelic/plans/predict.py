@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, codon, coords, terms
 from . import indel
-from .overlap import BIN, interval_join
+from .overlap import BIN, BROADCAST_BYTES, interval_join, total_bytes
 
 # Executors need no copy of this package: what runs on them travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,14 +27,19 @@ EMPTY = {"intron_number": "''", "cdna_position": "0L"}
 TX = ["transcript_id", "gene_id", "gene_name", "strand", "biotype", "canonical", "msk_canonical", "mane_select", "protein_id", "entrez_id"]
 
 
-def _region(df: DataFrame, indels: bool = False) -> DataFrame:
-    """Where a variant starts: exon, coding position, splice sites."""
-    pos, ref, alt = F.col("pos"), F.col("ref"), F.col("alt")
-    df = df.withColumns({"_exon": coords.exon_at(pos), "_coding": coords.is_coding(), "_plus": F.col("strand") == 1})
-    touched = coords.indel_splice_site(pos, ref, alt) if indels else F.lit("")
-    df = df.withColumns({"_cds": F.when(F.col("_exon").isNull(), F.lit(0).cast("bigint")).otherwise(coords.cds_position(pos)), "_indel_site": touched, "_near": coords.in_splice_region(pos)})
-    site = F.when(F.col("_exon").isNull(), coords.splice_site(pos)).otherwise(F.lit(""))
-    return df.withColumns({"_site": F.coalesce(F.nullif("_indel_site", F.lit("")), site) if indels else site})
+def _region(df: DataFrame, plain: bool) -> DataFrame:
+    """Where a variant starts: exon, coding position, splice sites. Rows of segments (plain) have the exons beside it."""
+    pos = F.col("pos")
+    df = df.withColumns({"_coding": coords.is_coding(), "_plus": F.col("strand") == 1})
+    if plain:
+        df = df.withColumn("_inside", pos <= F.col("_lo.end"))
+        df = df.withColumn("_exon", F.when(F.col("_inside"), F.col("_lo.number")))
+        place = {"_cds": coords.plain_cds_position(pos), "_near": coords.plain_in_splice_region(pos), "_site": coords.plain_splice_site(pos), "_edge_codon": coords.plain_splice_codon(pos), "_place": coords.plain_notation(pos)}
+    else:
+        df = df.withColumns({"_exon": coords.exon_at(pos)["number"], "_exons": F.size("exons")})
+        place = {"_cds": coords.cds_position(pos), "_near": coords.in_splice_region(pos), "_site": coords.splice_site(pos), "_edge_codon": coords.splice_codon(pos), "_place": coords.notation(pos)}
+    cds, site = place.pop("_cds"), place.pop("_site")
+    return df.withColumns({**place, "_cds": F.when(F.col("_exon").isNull(), F.lit(0).cast("bigint")).otherwise(cds), "_site": F.when(F.col("_exon").isNull(), site).otherwise(F.lit(""))})
 
 
 def _cascade(coding_term: Column, extra_utr: Column | None = None, extra_cds: Column | None = None) -> Column:
@@ -53,9 +58,11 @@ def _cascade(coding_term: Column, extra_utr: Column | None = None, extra_cds: Co
     return F.when(F.col("transcript_id").isNull(), F.lit("intergenic_variant")).when(F.col("_exon").isNull(), intron).when(~F.col("_coding"), noncoding).when(before | after, utr).otherwise(cds)
 
 
-def _impact(term: Column, coding_term: Column) -> Column:
-    """Of the term before splice_region is appended; the intronic compound counts as its first term."""
-    return F.when(term == F.concat(coding_term, F.lit(",splice_region_variant")), terms.impact(coding_term)).otherwise(terms.impact(term))
+def _impact(term: Column) -> Column:
+    """Of a predicted list of terms: the first is the highest (a splice region is appended, never in front of a coding
+    term), so that no expression goes over an array."""
+    first = F.substring_index(term, ",", 1)
+    return F.when(first.isin(terms.HIGH), F.lit("HIGH")).when(first.isin(terms.MODERATE), F.lit("MODERATE")).when(first.isin(terms.LOW), F.lit("LOW")).otherwise(F.lit("MODIFIER"))
 
 
 def _finish(df: DataFrame, variant_columns: list[str], only: list[str] | None = None) -> DataFrame:
@@ -73,11 +80,12 @@ def _finish(df: DataFrame, variant_columns: list[str], only: list[str] | None =
     return df.select(*variant_columns, row.alias("_row")).select(*variant_columns, "_row.*")
 
 
-def _snv(df: DataFrame) -> DataFrame:
-    """Adds the predicted columns for single-base variants."""
-    df = _region(df)
+def _snv(df: DataFrame, plain: bool) -> DataFrame:
+    """Adds the predicted columns for single-base variants, joined with segments (plain) or with whole transcripts."""
+    df = _region(df, plain)
     number, offset = coords.codon_number(F.col("_cds")), coords.codon_offset(F.col("_cds"))
-    df = df.withColumns({"_number": number, "_offset": offset, "_ref_codon": codon.codon_at(F.col("cds_sequence"), number)})
+    own = codon.codon_at(F.col("_slice"), number - F.col("_codon0")) if plain else codon.codon_at(F.col("cds_sequence"), number)
+    df = df.withColumns({"_number": number, "_offset": offset, "_ref_codon": F.when(number > 0, own).otherwise(F.lit(""))})
     base = F.when(F.col("_plus"), F.col("alt")).otherwise(codon.complement(F.col("alt")))
     df = df.withColumn("_alt_codon", codon.mutate(F.col("_ref_codon"), F.col("_offset"), base))
     df = df.withColumns({"_ref_aa": codon.amino_acid(F.col("_ref_codon")), "_alt_aa": codon.amino_acid(F.col("_alt_codon"))})
@@ -89,83 +97,83 @@ def _snv(df: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_term", term).withColumn("consequence", _cascade(F.col("_term")))
     in_cds = F.col("_coding") & F.col("_exon").isNotNull() & F.col("pos").between(F.col("cds_start"), F.col("cds_end"))
-    df = df.withColumns({"_in_cds": F.coalesce(in_cds, F.lit(False)), "impact": _impact(F.col("consequence"), F.col("_term"))})
+    df = df.withColumns({"_in_cds": F.coalesce(in_cds, F.lit(False)), "impact": _impact(F.col("consequence"))})
     known = F.col("_in_cds") & (F.col("_cds") >= 1) & ~F.col("_term").isin("intron_variant", "coding_sequence_variant")
-    splice_n = F.when(F.col("_coding") & F.col("_exon").isNull() & F.col("consequence").isin("splice_donor_variant", "splice_acceptor_variant"), coords.splice_codon(F.col("pos"))).otherwise(F.lit(0))
+    splice_n = F.when(F.col("_coding") & F.col("_exon").isNull() & F.col("consequence").isin("splice_donor_variant", "splice_acceptor_variant"), F.col("_edge_codon")).otherwise(F.lit(0))
     df = df.withColumns({"_known": known, "_splice_n": splice_n})
     number = n.cast("string")
     three = codon.three_letter
-    # codons from the 3' UTR's start to its first stop
-    utr = codon.translate(F.coalesce(F.col("utr3_sequence"), F.lit("")))
-    stop = F.when(F.col("_term") == "stop_lost", F.instr(utr, "*")).otherwise(F.lit(0))
+    stop = F.when(F.col("_term") == "stop_lost", F.col("_utr_stop")).otherwise(F.lit(0))
     p = (
         F.when(F.col("_term") == "missense_variant", F.concat(F.lit("p."), three(ref), number, three(alt))).when(F.col("_term") == "synonymous_variant", F.concat(F.lit("p."), three(ref), number, F.lit("=")))
         .when(F.col("_term") == "stop_gained", F.concat(F.lit("p."), three(ref), number, F.lit("Ter"))).when(F.col("_term") == "stop_lost", F.concat(F.lit("p.Ter"), number, three(alt), F.lit("ext*"), F.when(stop > 0, stop.cast("string")).otherwise(F.lit("?"))))
         .when(F.col("_term") == "stop_retained_variant", F.concat(F.lit("p.Ter"), number, F.lit("="))).when(F.col("_term") == "start_lost", F.lit("p.Met1?")).otherwise(F.lit(""))
     )
     strand_base = lambda c: F.when(F.col("_plus"), F.col(c)).otherwise(codon.complement(F.col(c)))
-    at = coords.notation(F.col("pos"))
     prefix = F.when(F.col("_coding"), F.lit("c.")).otherwise(F.lit("n."))
-    df = df.withColumns({"_at": at})
-    c = F.when(F.col("transcript_id").isNull() | (F.col("_at") == ""), F.lit("")).when(F.col("ref") == F.col("alt"), F.concat(prefix, F.col("_at"), F.lit("="))).otherwise(F.concat(prefix, F.col("_at"), strand_base("ref"), F.lit(">"), strand_base("alt")))
+    c = F.when(F.col("transcript_id").isNull() | (F.col("_place") == ""), F.lit("")).when(F.col("ref") == F.col("alt"), F.concat(prefix, F.col("_place"), F.lit("="))).otherwise(F.concat(prefix, F.col("_place"), strand_base("ref"), F.lit(">"), strand_base("alt")))
     change = F.when(F.col("_known") & F.col("_term").isin("missense_variant", "stop_gained", "stop_lost", "start_lost"), F.concat(ref, number, alt)).otherwise(F.lit(""))
     return df.withColumns({
         "cds_position": F.when(F.col("_in_cds"), F.col("_cds")).otherwise(F.lit(0)).cast("bigint"),
         "protein_position": F.when(F.col("_in_cds"), n).otherwise(F.col("_splice_n")).cast("bigint"),
         "amino_acid_change": change,
         "codon_change": F.when(F.col("_known"), codon.codon_change(F.col("_ref_codon"), F.col("_alt_codon"), F.col("_offset"))).otherwise(F.lit("")),
-        "exon_number": F.coalesce(F.concat(F.col("_exon.number").cast("string"), F.lit("/"), F.size("exons").cast("string")), F.lit("")),
+        "exon_number": F.coalesce(F.concat(F.col("_exon").cast("string"), F.lit("/"), F.col("_exons").cast("string")), F.lit("")),
         "hgvsp": F.when(F.col("_known"), p).when(F.col("_splice_n") > 0, F.concat(F.lit("p.X"), F.col("_splice_n").cast("string"), F.lit("_splice"))).otherwise(F.lit("")),
         "hgvsc": c,
     })
 
 
-EFFECT = "consequence string, cds_position bigint, protein_position bigint, amino_acid_change string, hgvsp string, hgvsc string"
+EFFECT = "consequence string, cds_position bigint, protein_position bigint, amino_acid_change string, hgvsp string, hgvsc string, exon int, near boolean, site string, indel_site string, edge_codon bigint, in_cds boolean"
 
 
-#: Transcripts that a worker keeps parsed.
-KEEP = 5000
+#: Characters of transcripts that a worker keeps parsed.
+KEEP = 48 << 20
 _parsed: dict[str, indel.Tx] = {}
+_kept = [0]
 
 
 def packed_transcript() -> Column:
     """A transcript as one string, made once for each transcript before the join; workers parse each string once."""
     regions = F.array_join(F.transform("cds_regions", lambda r: F.concat_ws(",", r["start"], r["end"], r["offset"])), ";")
-    exons = F.array_join(F.transform(F.arrays_zip(F.col("exons").alias("e"), F.col("exon_cum").alias("c")), lambda x: F.concat_ws(",", x["e"]["start"], x["e"]["end"], x["e"]["cds_start"], x["e"]["cds_end"], x["c"])), ";")
+    exons = F.array_join(F.transform(F.arrays_zip(F.col("exons").alias("e"), F.col("exon_cum").alias("c")), lambda x: F.concat_ws(",", x["e"]["start"], x["e"]["end"], x["e"]["cds_start"], x["e"]["cds_end"], x["c"], x["e"]["number"])), ";")
     return F.concat_ws("|", "strand", "cds_start", "cds_end", F.coalesce(regions, F.lit("")), F.coalesce(exons, F.lit("")), F.coalesce("cds_sequence", F.lit("")), F.coalesce("utr3_sequence", F.lit("")))
 
 
 def parsed(s: str) -> indel.Tx:
     t = _parsed.get(s)
     if t is None:
-        if len(_parsed) >= KEEP:
+        if _kept[0] > KEEP:
             _parsed.clear()
+            _kept[0] = 0
+        _kept[0] += len(s)
         strand, lo, hi, regions, exons, cds, utr3 = s.split("|")
         rows = lambda text: [tuple(map(int, x.split(","))) for x in text.split(";") if x]
         e = rows(exons)
-        t = _parsed[s] = indel.Tx(int(strand), rows(regions), cds, utr3, exons=[x[:4] for x in e], cds_start=int(lo), cds_end=int(hi), exon_cum=[x[4] for x in e])
+        t = _parsed[s] = indel.Tx(int(strand), rows(regions), cds, utr3, exons=[x[:4] for x in e], cds_start=int(lo), cds_end=int(hi), exon_cum=[x[4] for x in e], numbers=[x[5] for x in e])
     return t
 
 
-def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, in_cds: pd.Series, tx: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, r, a, inside, s in zip(pos.tolist(), ref.tolist(), alt.tolist(), in_cds.tolist(), tx.tolist(), strict=True):
+def _effects(pos: pd.Series, ref: pd.Series, alt: pd.Series, tx: pd.Series) -> pd.DataFrame:
+    out, none = [], indel.Effect()
+    for p, r, a, s in zip(pos.tolist(), ref.tolist(), alt.tolist(), tx.tolist(), strict=True):
         if not s:
-            out.append(("", 0, 0, "", "", ""))
+            out.append(("", 0, 0, "", "", "", 0, False, "", "", 0, False))
             continue
         t = parsed(s)
-        e = indel.coding_effect(t, p, r, a) if inside else indel.Effect()
-        out.append((e.consequence, e.cds_position, e.protein_position, e.amino_acid_change, e.hgvsp(), indel.hgvsc(t, p, r, a)))
-    return pd.DataFrame(out, columns=["consequence", "cds_position", "protein_position", "amino_acid_change", "hgvsp", "hgvsc"])
+        exon, near, site, touched, edge = indel.place(t, p, r, a)
+        inside = exon > 0 and t.coding and t.cds_start <= p <= t.cds_end
+        e = indel.coding_effect(t, p, r, a) if inside else none
+        out.append((e.consequence, e.cds_position, e.protein_position, e.amino_acid_change, e.hgvsp() if inside else "", indel.hgvsc(t, p, r, a), exon, near, site, touched, edge, inside))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in EFFECT.split(", ")])
 
 
 def _complex(df: DataFrame) -> DataFrame:
     """Adds the predicted columns for all other variants."""
-    df = _region(df, indels=True)
+    df = df.withColumn("_e", F.pandas_udf(_effects, EFFECT)("pos", "ref", "alt", "_packed")).drop("_packed")
+    df = df.withColumns({"_exon": F.when(F.col("_e.exon") > 0, F.col("_e.exon")), "_coding": coords.is_coding(), "_plus": F.col("strand") == 1, "_near": F.col("_e.near"), "_indel_site": F.col("_e.indel_site"), "_in_cds": F.coalesce("_e.in_cds", F.lit(False))})
+    df = df.withColumn("_site", F.coalesce(F.nullif("_indel_site", F.lit("")), F.col("_e.site")))
     pos, end = F.col("pos"), F.col("pos") + F.length("ref") - 1
-    in_cds = F.coalesce(F.col("_coding") & F.col("_exon").isNotNull() & pos.between(F.col("cds_start"), F.col("cds_end")), F.lit(False))
-    df = df.withColumn("_in_cds", in_cds)
-    df = df.withColumn("_e", F.pandas_udf(_effects, EFFECT)("pos", "ref", "alt", "_in_cds", "_packed"))
     long, indel_ = F.length("ref") > 1, F.length("ref") != F.length("alt")
     lo, hi, plus = F.col("cds_start"), F.col("cds_end"), F.col("_plus")
     start_lo, start_hi = F.when(plus, lo).otherwise(hi - 2), F.when(plus, lo + 2).otherwise(hi)
@@ -175,8 +183,8 @@ def _complex(df: DataFrame) -> DataFrame:
     utr = F.when(long, F.when(indel_ & (F.col("_indel_site") != ""), F.col("_indel_site")).when(five & spans_start, F.lit("start_lost")).when(~five & spans_stop, F.lit("stop_lost,3_prime_UTR_variant")))
     cds = F.when(indel_ & long & spans_start, F.lit("start_lost")).when(F.col("_indel_site") != "", F.col("_indel_site"))
     df = df.withColumns({"consequence": _cascade(F.col("_e.consequence"), utr, cds)})
-    df = df.withColumn("impact", _impact(F.col("consequence"), F.col("_e.consequence")))
-    splice_n = F.when(F.col("_coding") & F.col("_exon").isNull() & F.col("consequence").isin("splice_donor_variant", "splice_acceptor_variant"), coords.splice_codon(pos)).otherwise(F.lit(0))
+    df = df.withColumn("impact", _impact(F.col("consequence")))
+    splice_n = F.when(F.col("_coding") & F.col("_exon").isNull() & F.col("consequence").isin("splice_donor_variant", "splice_acceptor_variant"), F.col("_e.edge_codon")).otherwise(F.lit(0))
     df = df.withColumn("_splice_n", splice_n)
     lost = (F.col("consequence") == "start_lost") & F.col("_exon").isNotNull()
     start_utr = lost & ~F.col("_in_cds")
@@ -185,30 +193,58 @@ def _complex(df: DataFrame) -> DataFrame:
         "protein_position": F.when(start_utr | (lost & indel_ & long), F.lit(1)).when(F.col("_in_cds"), F.col("_e.protein_position")).otherwise(F.col("_splice_n")).cast("bigint"),
         "amino_acid_change": F.coalesce("_e.amino_acid_change", F.lit("")),
         "codon_change": F.lit(""),
-        "exon_number": F.coalesce(F.concat(F.col("_exon.number").cast("string"), F.lit("/"), F.size("exons").cast("string")), F.lit("")),
+        "exon_number": F.coalesce(F.concat(F.col("_exon").cast("string"), F.lit("/"), F.col("_exons").cast("string")), F.lit("")),
         "hgvsp": F.when(start_utr | (lost & indel_ & long), F.lit("p.Met1?")).when(F.col("_in_cds"), F.col("_e.hgvsp")).when(F.col("_splice_n") > 0, F.concat(F.lit("p.X"), F.col("_splice_n").cast("string"), F.lit("_splice"))).otherwise(F.lit("")),
         "hgvsc": F.coalesce("_e.hgvsc", F.lit("")),
     })
 
 
+def prepared(transcripts: DataFrame) -> tuple[DataFrame, int]:
+    """transcripts with what prediction needs of each, made once a transcript and on all cores, and their measured bytes."""
+    size = 2 * total_bytes(transcripts)  # and what is added
+    cores = transcripts.sparkSession.sparkContext.defaultParallelism
+    t = transcripts.repartition(cores) if size <= BROADCAST_BYTES else transcripts  # a small model may be one partition
+    if "peptide_md5" not in t.columns:
+        t = t.withColumn("peptide_md5", codon.peptide_md5(F.col("cds_sequence")))
+    utr_stop = F.instr(codon.translate(F.coalesce(F.col("utr3_sequence"), F.lit(""))), "*")  # codons to the first stop there
+    return coords.with_plan(t.withColumns({"tx_start": F.col("start"), "_utr_stop": utr_stop})), size
+
+
+def _single(variants: DataFrame, t: DataFrame, size: int, width: int, only: list[str] | None) -> DataFrame:
+    """Prediction of single-base variants: by segments for plain transcripts, without an expression over arrays; by whole
+    transcripts for the others; and a row for variants that no transcript holds."""
+    kept = variants.columns
+    out = _finish(_snv(interval_join(variants, coords.segments(t.where("_plain")).drop("_plain"), width, "inner", size=size), True), kept, only)
+    out = out.unionByName(_finish(_snv(interval_join(variants, t.where("not _plain").drop("_plain"), width, "inner", size=size), False), kept, only))
+    return out.unionByName(_finish(_nowhere(variants, t, size, width), kept, only))
+
+
+def _nowhere(variants: DataFrame, t: DataFrame, size: int, width: int) -> DataFrame:
+    """Variants that no transcript holds, with their predicted columns."""
+    ids = t.select("transcript_id", "chrom", "start", "end")
+    names = [c for c in t.columns if c not in variants.columns]
+    kinds = dict(t.dtypes)
+    rest = interval_join(variants, ids, width, "left", size=size).where("transcript_id is null").drop("transcript_id", "start", "end")
+    rest = rest.withColumns({c: F.lit(None).cast(kinds[c]) for c in names})
+    zero = {"cds_position": "0L", "protein_position": "0L"}
+    return rest.withColumns({"consequence": F.lit("intergenic_variant"), "impact": F.lit("MODIFIER"), **{c: F.expr(zero.get(c, "''")) for c in OUT[2:]}})
+
+
 def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool = False, width: int = BIN, only: list[str] | None = None) -> DataFrame:
     """variants (at least chrom, pos, ref, alt) with the prediction for each transcript that holds them; a variant
     without a transcript has one intergenic row. With canonical_only only MSK-canonical transcripts count; `only` names
     the predicted columns that are wanted."""
-    t = transcripts.where("msk_canonical") if canonical_only else transcripts
-    if "peptide_md5" not in t.columns:
-        t = t.withColumn("peptide_md5", codon.peptide_md5(F.col("cds_sequence")))
-    t = t.withColumn("tx_start", F.col("start"))
+    t, size = prepared(transcripts.where("msk_canonical") if canonical_only else transcripts)
     columns = variants.columns
     v = variants.withColumn("chrom", alleles.chrom_of_vcf(F.col("chrom"))).withColumnsRenamed({c: f"_v_{c}" for c in columns if c in t.columns and c != "chrom"})
-    kept = v.columns
     snv = alleles.is_snv(F.col("ref"), F.col("alt"))
-    one = _finish(_snv(interval_join(v.where(snv), t, width)), kept, only)
-    more = _finish(_complex(interval_join(v.where(~snv), t.withColumn("_packed", packed_transcript()), width)), kept, only)
+    one = _single(v.where(snv), t, size, width, only)
+    packed = t.withColumns({"_packed": packed_transcript(), "_exons": F.size("exons")}).drop("_plain", "exons", "exon_cum", "cds_regions", "cds_sequence", "utr3_sequence", "_t5", "_t3", "_utr_stop")
+    more = _finish(_complex(interval_join(v.where(~snv), packed, width, size=size)), v.columns, only)
     return one.unionByName(more)
 
 
 def annotate_snvs(variants: DataFrame, transcripts: DataFrame, width: int = BIN, only: list[str] | None = None) -> DataFrame:
     """The single-base branch alone, for inputs known to hold nothing else."""
-    t = transcripts.withColumns({"peptide_md5": F.lit(""), "tx_start": F.col("start")})
-    return _finish(_snv(interval_join(variants, t, width)), variants.columns, only)
+    t, size = prepared(transcripts.withColumn("peptide_md5", F.lit("")))
+    return _single(variants, t, size, width, only)

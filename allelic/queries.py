@@ -446,7 +446,19 @@ CELLS = {
 
 @query("F28_S19_prediction_cells", synth.duck(**CELLS) + "SELECT * FROM cl")
 def f28(spark, d):
-    return lookups.explode_matrix(matrices(spark, d))
+    """Digest and prediction dumps written from the matrices (with rows that aren't kept), scanned, and taken apart."""
+    m = matrices(spark, d)
+    ids = m.select("md5").distinct().withColumn("id", F.pmod(F.xxhash64("md5"), F.lit(1 << 40)))
+    digests, dump = _path(spark, "md5"), _path(spark, "dump")
+    ids.select(F.concat_ws("\t", "id", "md5").alias("value")).unionAll(spark.createDataFrame([("no number\tx",)], "value string")).write.text(digests)
+    # a dump escapes zeros, line ends, tabs and backslashes
+    escaped = F.hex("matrix")
+    for byte, code in (("5C", "5C5C"), ("00", "5C30"), ("0A", "5C6E"), ("09", "5C74"), ("0D", "5C72")):
+        escaped = F.regexp_replace(escaped, rf"\G((?:(?!{byte}|5C)..|5C..)*){byte}" if byte != "5C" else r"\G((?:(?!5C)..)*)5C", f"$1{code}")
+    line = lambda analysis: F.concat(F.concat_ws("\t", "id", analysis, F.lit("")).cast("binary"), F.unhex(escaped)).cast("string").alias("value")
+    rows = m.join(ids, "md5").withColumn("a", F.when(F.col("analysis") == "sift", "267").otherwise("269"))
+    rows.select(line("a")).unionAll(rows.select(line(F.lit("268")))).unionAll(rows.withColumn("id", -F.col("id")).select(line("a"))).write.text(dump)
+    return lookups.explode_matrix(tables.prediction_dump(spark, dump, tables.translation_md5(tables.read(spark, digests))))
 
 
 @query(
@@ -626,9 +638,8 @@ GRADE = "CASE WHEN {0} IN ('splice_acceptor_variant', 'splice_donor_variant', 's
 PRIM = "list_filter({0}, lambda y: " + GRADE.format("y") + " = list_max(list_transform({0}, lambda z: " + GRADE.format("z") + ")))[1]"
 
 
-D5_SQL = (
-    synth.duck(**COMPARE, **NORM, q=f"SELECT p.*, {HGVSC_CAT} AS hc, array_to_string(x.t, ',') AS a, array_to_string(y.t, ',') AS b, {NON.format('x.t')} AS na, {NON.format('y.t')} AS nb, {COD.format('lc')} AS ca, {COD.format('rc')} AS cb, {PRIM.format("x.t")} AS pa, {PRIM.format("y.t")} AS pb FROM p JOIN t3 x ON lc = x.c JOIN t3 y ON rc = y.c WHERE hl AND hr")
-    + f"""SELECT key, n, CASE WHEN a = b THEN 'match' WHEN a IN ('downstream_gene_variant', 'upstream_gene_variant') THEN 'upstream_reclassified' WHEN b = 'coding_sequence_variant' AND ca THEN 'no_cds_data'
+D5_Q = f"SELECT p.*, {HGVSC_CAT} AS hc, array_to_string(x.t, ',') AS a, array_to_string(y.t, ',') AS b, {NON.format('x.t')} AS na, {NON.format('y.t')} AS nb, {COD.format('lc')} AS ca, {COD.format('rc')} AS cb, {PRIM.format("x.t")} AS pa, {PRIM.format("y.t")} AS pb FROM p JOIN t3 x ON lc = x.c JOIN t3 y ON rc = y.c WHERE hl AND hr"
+D5_CASE = f"""CASE WHEN a = b THEN 'match' WHEN a IN ('downstream_gene_variant', 'upstream_gene_variant') THEN 'upstream_reclassified' WHEN b = 'coding_sequence_variant' AND ca THEN 'no_cds_data'
   WHEN (ca AND nb) OR (na AND cb) OR (na AND nb) OR (a = 'non_coding_transcript_exon_variant' AND {UTR.format('b')}) OR ({UTR.format('a')} AND b = 'non_coding_transcript_exon_variant') THEN 'transcript_model_change'
   WHEN (na AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND nb) OR (ca AND b = 'intergenic_variant') OR (a = 'intergenic_variant' AND cb) THEN 'gene_model_change'
   WHEN ({UTR.format('a')} OR a = 'intron_variant') AND ({UTR.format('b')} OR b = 'intron_variant') THEN 'upstream_reclassified'
@@ -636,8 +647,8 @@ D5_SQL = (
     OR (b IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(a, 'splice_region_variant') OR contains(a, 'frameshift_variant') OR a = 'start_lost')) OR (a IN ('splice_acceptor_variant', 'splice_donor_variant') AND (contains(b, 'splice_region_variant') OR contains(b, 'frameshift_variant') OR b = 'start_lost'))
     OR (b IN ('splice_acceptor_variant', 'splice_donor_variant') AND contains(a, 'inframe_variant')) OR (a IN ('splice_acceptor_variant', 'splice_donor_variant') AND contains(b, 'inframe_variant')) OR (pa = 'inframe_variant' AND pb IN ('stop_gained', 'stop_lost')) OR (pb = 'inframe_variant' AND pa IN ('stop_gained', 'stop_lost'))
     OR (pa = 'stop_retained_variant' AND pb IN ('stop_lost', 'synonymous_variant')) OR (pb = 'stop_retained_variant' AND pa IN ('stop_lost', 'synonymous_variant')) OR (pa = 'start_lost' AND pb IN ('synonymous_variant', 'missense_variant', 'inframe_variant', 'inframe_deletion')) OR (pb = 'start_lost' AND pa IN ('synonymous_variant', 'missense_variant', 'inframe_variant', 'inframe_deletion')) THEN 'match'
-  WHEN hc IN ('position_shift', 'delins_normalized', 'transcript_model_change') THEN hc ELSE 'mismatch' END AS cat FROM q"""
-)
+  WHEN hc IN ('position_shift', 'delins_normalized', 'transcript_model_change') THEN hc ELSE 'mismatch' END"""
+D5_SQL = synth.duck(**COMPARE, **NORM, q=D5_Q) + f"SELECT key, n, {D5_CASE} AS cat FROM q"
 
 
 @query("D3_D5_D8_consequence_category", D5_SQL)
@@ -645,7 +656,7 @@ def d5(spark, d):
     return compared(spark, d).select("key", "n", F.col("Cat_consequence").alias("cat"))
 
 
-@query("A12_category_counts", D5_SQL.replace("SELECT key, n, CASE", ", dc AS (SELECT CASE", 1) + ")" + f""", cats AS (SELECT 'consequence' AS col, cat FROM dc UNION ALL SELECT 'hgvsc', {HGVSC_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'hgvsp_short', {HGVSP_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'impact', CASE WHEN li = ri THEN 'match' ELSE 'mismatch' END FROM p WHERE hl AND hr)
+@query("A12_category_counts", synth.duck(**COMPARE, **NORM, q=D5_Q, dc=f"SELECT {D5_CASE} AS cat FROM q") + f""", cats AS (SELECT 'consequence' AS col, cat FROM dc UNION ALL SELECT 'hgvsc', {HGVSC_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'hgvsp_short', {HGVSP_CAT} FROM p WHERE hl AND hr UNION ALL SELECT 'impact', CASE WHEN li = ri THEN 'match' ELSE 'mismatch' END FROM p WHERE hl AND hr)
 SELECT col AS column, cat AS category, CAST(count(*) AS BIGINT) AS count, CAST(row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, cat) AS BIGINT) AS place FROM cats GROUP BY col, cat""")
 def a12(spark, d):
     return compare.category_counts(compared(spark, d))
@@ -656,9 +667,99 @@ def a15(spark, d):
     return compare.differing(compared(spark, d, False), 100).select("key", "n", F.col("L_consequence").alias("l_consequence"), F.col("R_consequence").alias("r_consequence"))
 
 
-@query("D9_A16_K15_field_report", synth.duck(**COMPARE, f=" UNION ALL ".join(f"SELECT '{c}' AS field, CASE WHEN {x} = '' AND {y} = '' THEN 'both_empty' WHEN {x} = '' THEN 'right_only' WHEN {y} = '' THEN 'left_only' WHEN {x} = {y} THEN 'match' ELSE 'mismatch' END AS st FROM p WHERE hl AND hr" for c, x, y in (("consequence", "lc", "rc"), ("hgvsc", "lh", "rh"), ("hgvsp_short", "lp", "rp")))) + "SELECT field, CAST(count(*) AS BIGINT) AS total, " + ", ".join(f"CAST(count(CASE WHEN st = '{s}' THEN 1 END) AS BIGINT) AS {s}" for s in ("match", "mismatch", "both_empty", "left_only", "right_only")) + ", CASE WHEN count(CASE WHEN st <> 'both_empty' THEN 1 END) > 0 THEN round(100.0 * count(CASE WHEN st = 'match' THEN 1 END) / count(CASE WHEN st <> 'both_empty' THEN 1 END), 4) ELSE 0.0 END AS match_rate FROM f GROUP BY field")
+#: A nested response for each variant, made from its annotations, some fields relabelled; and our annotations, of which some
+#: canonical ones are missing. T: the text of an integer, in either engine's words.
+THEIRS = {
+    "gene_symbol": "CASE WHEN record_id % 17 = 0 THEN concat('X', gene_name) ELSE gene_name END", "terms": RELABEL, "amino_acids": "CASE WHEN amino_acid_change = '' THEN '' ELSE concat(substr(amino_acid_change, 1, 1), '/', right(amino_acid_change, 1)) END",
+    "protein_start": "CASE WHEN record_id % 19 = 0 THEN protein_position + 1 ELSE protein_position END", "hgvsc": "CASE WHEN record_id % 9 = 0 THEN '' ELSE concat(transcript_id, ':', {rename}) END", "hgvsp": "CASE WHEN record_id % 10 = 1 OR hgvsp = '' THEN '' WHEN record_id % 10 = 2 THEN concat('ENSP1:', hgvsp, 'fs') ELSE concat('ENSP1:', hgvsp) END",
+    "sift_score": "CASE WHEN record_id % 4 = 0 THEN NULL ELSE CAST((record_id % 1000 + 4 * (record_id % 3)) / 1000.0 AS DOUBLE) END", "sift_prediction": "CASE record_id % 3 WHEN 0 THEN 'tolerated' WHEN 1 THEN 'deleterious' ELSE '' END",
+    "polyphen_score": "CASE WHEN record_id % 5 = 0 THEN NULL ELSE CAST((record_id % 500) / 1000.0 AS DOUBLE) END", "polyphen_prediction": "CASE record_id % 2 WHEN 0 THEN 'benign' ELSE '' END",
+}
+OURS = {"sift_score": "CASE WHEN record_id % 6 = 1 THEN '' ELSE concat('0.', lpad(CAST(record_id % 1000 AS {text}), 3, '0')) END", "sift_prediction": "CASE WHEN record_id % 3 = 2 THEN '' ELSE 'tolerated' END", "polyphen_score": "concat('0.', lpad(CAST(record_id % 500 AS {text}), 3, '0'))", "polyphen_prediction": "CASE record_id % 6 WHEN 0 THEN 'benign' WHEN 1 THEN '' ELSE 'unknown' END"}
+
+
+def responses_and_annotations(spark, d):
+    a = annotated(spark, d)
+    spark_words = lambda e: e.replace("{rename}", RENAME.format("regexp_replace", "")).replace("{text}", "STRING")
+    t = a.where("transcript_id <> ''").withColumns({f"_{k}": F.expr(spark_words(e)) for k, e in THEIRS.items()})
+    one = F.struct("transcript_id", F.col("_gene_symbol").alias("gene_symbol"), "biotype", F.when(F.col("msk_canonical"), "1").otherwise("").alias("canonical"), F.split("_terms", ",").alias("consequence_terms"), *(F.col(f"_{k}").alias(k) for k in THEIRS if k not in ("gene_symbol", "terms")))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("tx_start")).alias("a"), F.col("transcript_id").alias("b"), one.alias("t"))))
+    responses = t.groupBy("record_id").agg(F.transform(listed, lambda x: x["t"]).alias("transcript_consequences"))
+    ours = a.where("not (msk_canonical and record_id % 6 = 0)").withColumns({k: F.expr(spark_words(e)) for k, e in OURS.items()})
+    return responses, ours
+
+
+_duck_words = lambda e: e.replace("{rename}", RENAME.format("regexp_replace", ", 'g'")).replace("{text}", "VARCHAR")
+_as_text = lambda c: f"CASE WHEN {c} IS NULL THEN '' ELSE regexp_replace(CAST({c} AS VARCHAR), '[.]0$', '') END"
+_short = lambda c: SHORT.replace("hgvsp", c)
+RESPONSES = synth.STEPS | {
+    "g": "SELECT * FROM (SELECT *, " + ", ".join(f"{_duck_words(e)} AS g_{k}" for k, e in THEIRS.items()) + f", row_number() OVER (PARTITION BY record_id ORDER BY msk_canonical DESC, {CODING} DESC, tx_start DESC, transcript_id) AS rn FROM ann WHERE transcript_id <> '') q WHERE rn = 1",
+    "o": "SELECT * FROM (SELECT o.*, " + ", ".join(f"{_duck_words(e).replace('record_id', 'o.record_id')} AS o_{k}" for k, e in OURS.items()) + f", row_number() OVER (PARTITION BY o.record_id ORDER BY split_part(o.transcript_id, '.', 1) = split_part(g.transcript_id, '.', 1) DESC, {{better}}) AS rk FROM ann o JOIN g ON o.record_id = g.record_id WHERE NOT (o.msk_canonical AND o.record_id % 6 = 0)) q WHERE rk = 1".replace("{better}", BETTER.replace("biotype", "o.biotype").replace("msk_canonical", "o.msk_canonical").replace("CASE impact", "CASE o.impact").replace("hgvsp <>", "o.hgvsp <>").replace("tx_start", "o.tx_start").replace(" transcript_id", " o.transcript_id")),
+    # the pairs, under the names that the rules of categories go by
+    "p": f"""SELECT o.record_id AS key, g.transcript_id AS tid, true AS hl, true AS hr, g_terms AS lc, o.consequence AS rc, g_hgvsc AS lh, o.hgvsc AS rh, {_short("regexp_replace(g_hgvsp, '^.*:', '')")} AS lp, {_short('o.hgvsp')} AS rp, g_gene_symbol AS lg, o.gene_name AS rg, g_amino_acids AS la, CASE WHEN length(o.amino_acid_change) < 2 THEN '' ELSE substr(o.amino_acid_change, 1, 1) || '/' || right(o.amino_acid_change, 1) END AS ra,
+  CASE WHEN g_protein_start > 0 THEN CAST(g_protein_start AS VARCHAR) ELSE '' END AS lq, CASE WHEN o.protein_position > 0 THEN CAST(o.protein_position AS VARCHAR) ELSE '' END AS rq, {_as_text('g_sift_score')} AS ls, o_sift_score AS rs, g_sift_prediction AS lsp, o_sift_prediction AS rsp, {_as_text('g_polyphen_score')} AS lpo, o_polyphen_score AS rpo, g_polyphen_prediction AS lpp, o_polyphen_prediction AS rpp, 1 AS n, '' AS li, '' AS ri FROM o JOIN g ON o.record_id = g.record_id""",
+}
+# the pairs' consequence category isn't corrected by that of the coding notation, and the protein notation stands alone
+_c_plain = D5_CASE.replace("WHEN hc IN ('position_shift', 'delins_normalized', 'transcript_model_change') THEN hc ", "")
+_p_plain = HGVSP_PLAIN.replace("contains(rc,", "contains(rp,").replace("lh <> ''", "false")
+_plain = lambda x, y: f"CASE WHEN {x} = '' AND {y} = '' THEN 'both_empty' WHEN {x} = {y} THEN 'match' ELSE 'mismatch' END"
+RESPONSE_ROWS = RESPONSES | NORM | {
+    "q": D5_Q,
+    "cc": f"SELECT key AS k2, CASE WHEN lc = '' AND rc = '' THEN 'both_empty' WHEN lc = rc THEN 'match' ELSE {_c_plain} END AS cat FROM q",
+    "f": " UNION ALL ".join(
+        [f"SELECT '{f}' AS field, {_plain(x, y)} AS cat, {x} AS x, {y} AS y FROM p" for f, x, y in (("gene_symbol", "lg", "rg"), ("amino_acids", "la", "ra"), ("protein_start", "lq", "rq"), ("sift_score", "ls", "rs"), ("sift_prediction", "lsp", "rsp"), ("polyphen_score", "lpo", "rpo"), ("polyphen_prediction", "lpp", "rpp"))]
+        + ["SELECT 'consequence_terms', cat, '', '' FROM cc", f"SELECT 'hgvsc', {HGVSC_CAT}, '', '' FROM p", f"SELECT 'hgvsp', {_p_plain}, '', '' FROM p"]
+    ),
+    "fs": "SELECT *, cat IN ('match', 'both_empty') OR (field = 'hgvsp' AND cat = 'fuzzy_fs') OR (field IN ('sift_score', 'polyphen_score') AND coalesce(abs(TRY_CAST(x AS DOUBLE) - TRY_CAST(y AS DOUBLE)) < 0.005, false)) AS same FROM f",
+}
+
+
+@query("D9_J12_A16_K15_field_report", synth.duck(**RESPONSE_ROWS) + "SELECT field, CAST(count(*) AS BIGINT) AS total, CAST(count(CASE WHEN same AND cat <> 'both_empty' THEN 1 END) AS BIGINT) AS matches, CAST(count(CASE WHEN NOT same THEN 1 END) AS BIGINT) AS mismatches, CAST(count(CASE WHEN cat = 'both_empty' THEN 1 END) AS BIGINT) AS both_empty, CASE WHEN count(CASE WHEN cat <> 'both_empty' THEN 1 END) > 0 THEN round(100.0 * count(CASE WHEN same AND cat <> 'both_empty' THEN 1 END) / count(CASE WHEN cat <> 'both_empty' THEN 1 END), 4) ELSE 100.0 END AS match_rate FROM fs GROUP BY field")
 def d9(spark, d):
-    return compare.gn_report(compare.gn_fields(compare.paired(*two_files(spark, d), "key", "record_id"), ["consequence", "hgvsc", "hgvsp_short"]))
+    """All ten fields, of each response's transcript and our annotation of it (or our best one)."""
+    return compare.response_report(compare.response_fields(compare.response_pairs(*responses_and_annotations(spark, d), "record_id"), "record_id"))
+
+
+@query("D9_D10_field_categories", synth.duck(**RESPONSE_ROWS) + "SELECT field, cat AS category, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN same THEN 1 END) AS BIGINT) AS same FROM fs GROUP BY field, cat")
+def d10(spark, d):
+    f = compare.response_fields(compare.response_pairs(*responses_and_annotations(spark, d), "record_id"), "record_id")
+    return f.groupBy("field", "category").agg(F.count("*").alias("n"), F.count_if("same").cast("bigint").alias("same"))
+
+
+@query("J12_transcript_pairs", synth.duck(**RESPONSES) + "SELECT o.record_id, g.transcript_id AS theirs, o.transcript_id AS ours FROM o JOIN g ON o.record_id = g.record_id")
+def j12(spark, d):
+    p = compare.response_pairs(*responses_and_annotations(spark, d), "record_id")
+    return p.select("record_id", F.col("theirs.transcript_id").alias("theirs"), F.col("ours.transcript_id").alias("ours"))
+
+
+#: Two VCFs of the variants: QUAL, FILTER and declared INFO keys, some changed in the second; several alternate alleles stay one.
+VCF_SIDES = {
+    "l": "SELECT record_id, chrom || ':' || CAST(pos AS VARCHAR) || ' ' || ref || '>' || alt || ',T' AS key, CAST(record_id % 90 AS VARCHAR) AS q, 'PASS' AS f, CAST(record_id % 7 AS VARCHAR) AS ac, CASE WHEN record_id % 4 = 0 THEN 'true' ELSE '' END AS db FROM v WHERE record_id % 11 <> 0",
+    "r": "SELECT record_id, chrom || ':' || CAST(pos AS VARCHAR) || ' ' || ref || '>' || alt || ',T' AS key, CASE WHEN record_id % 6 = 0 THEN '.' ELSE CAST(record_id % 90 AS VARCHAR) END AS q, CASE WHEN record_id % 8 = 0 THEN 'q10' ELSE 'PASS' END AS f, CAST(record_id % 5 AS VARCHAR) AS ac, CASE WHEN record_id % 4 = 0 THEN 'true' ELSE '' END AS db FROM v WHERE record_id % 13 <> 0",
+    "pr": "SELECT l.*, r.q AS rq, r.f AS rf, r.ac AS rac, r.db AS rdb FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM l) l JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY record_id) AS nn FROM r) r ON l.key = r.key AND l.nn = r.nn",
+    "lo": " UNION ALL ".join(f"SELECT '{c}' AS col, CASE WHEN {x} = {y} THEN 1 ELSE 0 END AS same FROM pr" for c, x, y in (("QUAL", "q", "rq"), ("FILTER", "f", "rf"), ("AC", "ac", "rac"), ("DB", "db", "rdb"))),
+}
+
+
+@query("D11_vcf_compare", synth.duck(**VCF_SIDES) + "SELECT col AS column, CAST(sum(same) AS BIGINT) AS matches, CAST(count(*) - sum(same) AS BIGINT) AS diffs, round(100.0 * sum(same) / count(*), 4) AS concordance FROM lo GROUP BY col")
+def d11(spark, d):
+    """VCFs written from the variants, sorted by record, and compared."""
+    v = variants_only(spark, d)
+    head = ["##fileformat=VCFv4.2", '##INFO=<ID=AC,Number=1,Type=Integer,Description="a, b">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="c">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
+
+    def written(keep, qual, filtered, ac):
+        path = _path(spark, "vcf")
+        info = F.concat(F.lit("AC="), F.expr(ac), F.when(F.col("record_id") % 4 == 0, ";DB").otherwise(""))
+        body = v.where(keep).select("record_id", F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "pos", F.lit("."), "ref", F.concat("alt", F.lit(",T")), F.expr(qual), F.expr(filtered), info).alias("value"))
+        top = spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "record_id bigint, value string")
+        top.unionAll(body).orderBy("record_id").select("value").write.text(path)
+        return variants_for(path)
+
+    variants_for = lambda path: vs.vcf_for_compare(spark, path)
+    left, lh = written("record_id % 11 <> 0", "cast(record_id % 90 as string)", "'PASS'", "record_id % 7")
+    right, rh = written("record_id % 13 <> 0", "case when record_id % 6 = 0 then '.' else cast(record_id % 90 as string) end", "case when record_id % 8 = 0 then 'q10' else 'PASS' end", "record_id % 5")
+    columns, _ = compare.resolve_columns(lh, rh, set())
+    return compare.column_counts(compare.categorised(compare.paired(left, right, "_key", "record_id"), columns, False))
 
 
 # ---- reverse mapping ----------------------------------------------------------------------------------------------
@@ -829,3 +930,103 @@ def s12(spark, d):
 def x4(spark, d):
     r = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "pos", F.lit(":1")).alias("region"), F.col("alt").alias("allele"))
     return session.annotate_regions(r, synth.transcripts(spark, d).drop("k", "n"), BIN).groupBy("id").agg(F.count("*").alias("n"))
+
+
+# ---- reference files, written and scanned -------------------------------------------------------------------------
+
+
+def _written(spark, name: str, head: list[str], rows: DataFrame) -> DataFrame:
+    """The lines of a file of header lines and rows (value)."""
+    path = _path(spark, name)
+    top = spark.createDataFrame([(0, i, h) for i, h in enumerate(head)], "a int, b bigint, value string")
+    top.unionAll(rows.select(F.lit(1), F.monotonically_increasing_id(), "value")).coalesce(1).sortWithinPartitions("a", "b").select("value").write.text(path)
+    return tables.read(spark, path)
+
+
+def _tabs(*columns):
+    return F.concat_ws("\t", *(c if not isinstance(c, str) else F.col(c) for c in columns)).alias("value")
+
+
+@query("S10_S11_canonical_files", "SELECT 'GENE' || CAST(s_suppkey AS VARCHAR) AS gene_name, 'ENST' || CAST(s_suppkey AS VARCHAR) AS target, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE CAST(s_suppkey + 7 AS VARCHAR) END AS entrez_id, 'ENST' || CAST(s_suppkey * 2 AS VARCHAR) AS override FROM supplier")
+def s10(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    gene, e = F.concat(F.lit("GENE"), "s_suppkey"), F.lit("")
+    t = F.concat(F.lit("ENST"), "s_suppkey", F.lit(".3"))
+    entrez = F.when(F.col("s_suppkey") % 3 == 0, "nan").otherwise((F.col("s_suppkey") + 7).cast("string"))
+    c = tables.canonical_table(_written(spark, "canonical", ["\t".join(["h"] * 28)], s.select(_tabs(gene, e, F.lit("ENST1"), *[e] * 8, t, *[e] * 15, entrez))))
+    o = tables.override_table(_written(spark, "override", ["a\tb\tc"], s.select(_tabs(gene, F.lit("x"), F.concat(F.lit("ENST"), F.col("s_suppkey") * 2, F.lit(".1"))))))
+    return c.select("gene_name", "target", "entrez_id").join(o.select("gene_name", F.col("target").alias("override")), "gene_name")
+
+
+@query("S14_signal_file", synth.duck() + "SELECT chrom, pos, CASE WHEN length(ref) < length(alt) THEN '' ELSE ref END AS ref, alt, record_id % 9 AS signal_count, record_id % 9 / 100.0 AS signal_frequency FROM v WHERE record_id % 9 > 0")
+def s14(spark, d):
+    v = variants_only(spark, d)
+    ref = F.when(F.length("ref") < F.length("alt"), "-").otherwise(F.col("ref"))
+    n = F.col("record_id") % 9
+    rows = tables.signal(_written(spark, "signal", ["Chromosome\tStart_Position\tReference_Allele\tAlternate_Allele\tn_impact\tf_impact"], v.select(_tabs(F.concat(F.lit("chr"), "chrom"), "pos", ref, "alt", n, n / 100))))
+    return rows.select("chrom", "pos", "ref", "alt", "signal_count", "signal_frequency")
+
+
+@query("S17_S18_hotspot_and_gene_files", "SELECT 'ENST' || CAST(p_partkey AS VARCHAR) AS transcript_id, p_size AS position, CAST(p_size / 100.0 AS DOUBLE) AS q_value, CASE WHEN p_partkey % 2 = 0 THEN 'ONCOGENE' ELSE '' END AS gene_type FROM part")
+def s17(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    gene = F.concat(F.lit("GENE"), "p_partkey")
+    h = tables.hotspots(_written(spark, "hotspots", ["hugo_symbol\ttranscript_id\tamino_acid_position\ttype\tq_value"], p.select(_tabs(gene, F.concat(F.lit("ENST"), "p_partkey"), "p_size", F.lit("3d"), (F.col("p_size") / 100).cast("string")))))
+    g = tables.gene_list(_written(spark, "genes", ["Hugo Symbol\tGene Type"], p.where("p_partkey % 2 = 0").select(_tabs(gene, F.lit("ONCOGENE")))))
+    return lookups.join_genes(h, g).select("transcript_id", F.col("position").cast("int").alias("position"), "q_value", "gene_type")
+
+
+@query("S20_S21_S22_protein_files", "SELECT 'ENST' || CAST(p_partkey AS VARCHAR) AS transcript_id, 'PF' || CAST(p_size AS VARCHAR) AS pfam, 'family ' || CAST(p_size AS VARCHAR) AS name, CAST(p_partkey % 50 AS BIGINT) AS start_pos, CAST(p_partkey % 50 + 20 AS BIGINT) AS end_pos, CAST(p_partkey % 30 AS BIGINT) AS site, 'Q' || CAST(p_partkey AS VARCHAR) AS accession FROM part")
+def s20(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    t = F.concat(F.lit("ENST"), "p_partkey")
+    families = _written(spark, "families", [], p.select(F.concat_ws("\t", F.concat(F.lit("PF"), "p_size"), F.concat(F.lit("family "), "p_size"), F.lit("d")).alias("value")).distinct())
+    domains = _written(spark, "domains", ["h\th\th\th\th\th"], p.select(_tabs(F.lit("ENSG"), t, F.lit("ENSP"), F.concat(F.lit("PF"), "p_size"), F.col("p_partkey") % 50, F.col("p_partkey") % 50 + 20)))
+    path = _path(spark, "ptm")
+    p.select(F.to_json(F.struct(F.lit("E").alias("uniprot_entry"), F.lit("A").alias("uniprot_accession"), (F.col("p_partkey") % 30).alias("position"), F.lit("Phosphorylation").alias("type"), F.array(F.lit("1")).alias("pubmed_ids"), F.lit("S").alias("sequence"), F.array(t).alias("ensembl_transcript_ids"))).alias("value")).write.text(path)
+    accessions = _written(spark, "uniprot", ["h\th"], p.select(_tabs(F.concat(t, F.lit(".4")), F.concat(F.lit("Q"), "p_partkey"))))
+    out = tables.pfam(families, domains).join(tables.ptm(spark, path).select("transcript_id", F.col("position").alias("site")), "transcript_id").join(tables.uniprot(accessions), "transcript_id")
+    return out.select("transcript_id", "pfam", "name", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "site", "accession")
+
+
+@query("S9_json_transcripts", synth.duck() + "SELECT transcript_id, gene_name, chrom, s AS start_pos, e AS end_pos, strand, biotype, canonical, cds_start, cds_end, CAST(n AS BIGINT) AS exons FROM tx")
+def s9(spark, d):
+    """A JSON model written from the transcripts, one to a file part, and scanned."""
+    t = synth.transcripts(spark, d)
+    exons = F.transform("exons", lambda e: F.struct(e["number"].alias("Number"), e["start"].alias("Start"), e["end"].alias("End"), e["cds_start"].alias("CDSStart"), e["cds_end"].alias("CDSEnd"), e["frame"].alias("Frame")))
+    names = {"transcript_id": "ID", "gene_id": "GeneID", "gene_name": "GeneName", "chrom": "Chrom", "start": "Start", "end": "End", "strand": "Strand", "biotype": "Biotype", "msk_canonical": "IsCanonicalMSK", "canonical": "IsCanonicalEnsembl", "mane_select": "IsMANESelect", "cds_start": "CDSStart", "cds_end": "CDSEnd"}
+    path = _path(spark, "json")
+    model_json = F.to_json(F.struct(*(F.col(k).alias(v) for k, v in names.items()), exons.alias("Exons")))
+    # a multi-line file holds an array of transcripts
+    parts = t.select(F.pmod(F.xxhash64("transcript_id"), F.lit(16)).alias("p"), model_json.alias("j")).groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    parts.write.partitionBy("p").text(path)
+    return tables.json_transcripts(spark, path).select("transcript_id", "gene_name", "chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "strand", "biotype", "canonical", "cds_start", "cds_end", F.size("exons").cast("bigint").alias("exons"))
+
+
+@query("K10_K12_J16_cache_export", ANN + f"SELECT DISTINCT {NUMERIC} AS chrom_numeric, pos, ref, alt, transcript_id, consequence, hgvsc, true AS sorted, false AS there FROM ann")
+def k10(spark, d):
+    """All annotations cached, exported from the cache, and the cache cleared."""
+    cache, path = _path(spark, "cache"), _path(spark, "export")
+    writers.write_cache(annotated(spark, d).select("chrom", "pos", "ref", "alt", "transcript_id", "consequence", "hgvsc"), cache)
+    writers.export_cache(spark, cache, path)
+    writers.clear_cache(spark, cache)
+    there = writers.read_cache(spark, cache) is not None
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = F.struct(*writers.EXPORT_ORDER)
+    ahead = F.lag(place).over(Window.partitionBy("file").orderBy("row"))
+    return df.select("chrom_numeric", "pos", "ref", "alt", "transcript_id", "consequence", "hgvsc", F.coalesce(ahead <= place, F.lit(True)).alias("sorted"), F.lit(there).alias("there"))
+
+
+@query("X1_X6_X9_enriched", synth.duck(**synth.STEPS, **KEYED, x=INDEX, key="SELECT DISTINCT record_id, chrom, pos, ref, alt FROM n5", g=GENES.replace("{text}", "VARCHAR"), g1="SELECT gene_name, arg_max(gene_type, line) AS gene_type FROM g GROUP BY gene_name", rem="SELECT chrom, pos, ref, alt, max(record_id) % 50 AS ac FROM v WHERE record_id % 7 < 3 GROUP BY 1, 2, 3, 4") + """SELECT a.record_id, a.transcript_id, coalesce(clinvar_significance, '') AS clinvar_significance, coalesce(gene_type, '') AS gene_type, CASE WHEN coalesce(x.gnomad_ac, 0) > 0 THEN x.gnomad_ac WHEN rem.ac > 0 THEN rem.ac ELSE 0 END AS gnomad_ac, CASE WHEN coalesce(x.gnomad_ac, 0) > 0 THEN 'local' WHEN rem.ac > 0 THEN 'remote' ELSE '' END AS frequency_source
+FROM ann a JOIN key USING (record_id) LEFT JOIN x ON key.chrom = x.chrom AND key.pos = x.pos AND key.ref = x.ref AND key.alt = x.alt LEFT JOIN g1 ON g1.gene_name = a.gene_name LEFT JOIN rem ON rem.chrom = a.chrom AND rem.pos = a.pos AND rem.ref = a.ref AND rem.alt = a.alt""")
+def x1(spark, d):
+    """Annotations joined with the sources that a configuration turns on, and frequencies from a service's stored responses
+    where the index has none."""
+    index = index_of(spark, d).withColumn("gnomad_af", F.col("gnomad_ac") / 1000)
+    g = spark.sql(GENES.replace("{text}", "STRING").replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+    config = session.Config.from_options({"clinvar": "on", "gnomad": "yes", "genes": "true", "alphamissense": "off", "hotspots": "no"})
+    a = session.enriched(annotated(spark, d), session.Sources(index=index, genes=g, hotspots=None), config)
+    remote = variants_only(spark, d).where("record_id % 7 < 3").groupBy("chrom", "pos", "ref", "alt").agg((F.max("record_id") % 50).alias("ac"))
+    body = F.to_json(F.struct(F.struct(F.struct((F.col("ac") / 1000).alias("af")).alias("af"), F.struct("ac").alias("ac")).alias("gnomad_exome")))
+    responses = session.reshape_remote(remote.select("chrom", "pos", "ref", "alt", body.alias("response")))
+    return session.local_first(a, responses).select("record_id", "transcript_id", "clinvar_significance", "gene_type", "gnomad_ac", "frequency_source")

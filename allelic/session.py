@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import alleles, coords, terms, text
 from .functions.notation import parse_location, parse_region
+from .operators import lookups
 from .plans import predict, reverse
 from .plans.overlap import BIN
 
@@ -39,11 +40,72 @@ class Config:
         on = lambda v: str(v).strip().lower() in ("1", "true", "yes", "on")
         known = {"alphamissense", "clinvar", "signal", "gnomad", "dbsnp", "hotspots", "genes", "sift", "polyphen"}
         c = cls(assembly=assembly(options.get("assembly", "GRCh38")), canonical_only=on(options.get("canonical_only", "false")))
-        c.sources = {s for s in known if on(options.get(s, s in c.sources))}
+        c.sources = {s for s in known if on(options.get(s, str(s in c.sources)))}
         c.exclude = [x for x in options.get("exclude", "").split(",") if x]
         return c
 
 
+    @classmethod
+    def load(cls, path: str | None = None, environment: dict[str, str] | None = None, prefix: str = "ALLELIC_") -> Config:
+        """From a file of `name = value` lines (# begins a comment) and, above it, from the environment."""
+        options: dict[str, str] = {}
+        if path:
+            with open(path, encoding="utf-8") as f:
+                for line in f:
+                    name, found, value = line.split("#", 1)[0].partition("=")
+                    if found:
+                        options[name.strip().lower()] = value.strip().strip("\"'")
+        options |= {k.removeprefix(prefix).lower(): v for k, v in (environment or {}).items() if k.startswith(prefix)}
+        return cls.from_options(options)
+
+
+@dataclass
+class Sources:
+    """The reference tables that annotations are joined with; None where there is none."""
+
+    index: DataFrame | None = None
+    hotspots: DataFrame | None = None
+    genes: DataFrame | None = None
+    predictions: DataFrame | None = None
+
+
+#: Columns of the genomic index, by source.
+INDEXED = {"alphamissense": ["am_score", "am_class"], "clinvar": ["clinvar_significance", "clinvar_review", "clinvar_disease"], "gnomad": ["gnomad_af", "gnomad_ac", "gnomad_an", "gnomad_homalt"], "dbsnp": ["dbsnp_id"], "signal": ["signal_status", "signal_count", "signal_frequency"]}
+
+
+def enriched(annotations: DataFrame, sources: Sources, config: Config) -> DataFrame:
+    """annotations joined with every source that is there and that the configuration turns on: the index of genomic sources
+    in one join, then protein- and gene-level tables."""
+    out = annotations
+    if sources.index is not None and config.uses_index():
+        on = {c for s, cols in INDEXED.items() if s in config.sources and (s != "signal" or assembly(config.assembly) == "GRCh37") for c in cols}
+        out = lookups.join_index(out, sources.index.select(*lookups.GENOMIC_KEY, *(c for c in sources.index.columns if c in on)))
+    if sources.predictions is not None and config.sources & {"sift", "polyphen"}:
+        out = lookups.join_predictions(out, sources.predictions)
+        out = out.drop(*(f"{a}_{b}" for a in ("sift", "polyphen") if a not in config.sources for b in ("score", "prediction")))
+    if sources.hotspots is not None and "hotspots" in config.sources:
+        out = lookups.join_hotspots(out, sources.hotspots)
+    if sources.genes is not None and "genes" in config.sources:
+        out = lookups.join_genes(out, sources.genes)
+    return out
+
+
+def local_first(annotations: DataFrame, remote: DataFrame | None = None) -> DataFrame:
+    """Population frequency and rs id of each row: its own, if it has either; else those of a stored response of a variant
+    service (chrom, pos, ref, alt and the columns of `reshape_remote`), as many as it has. `frequency_source` says which."""
+    cols = ["dbsnp_id", "gnomad_af", "gnomad_ac", "gnomad_an", "gnomad_homalt"]
+    zero = lambda c: F.lit("") if c == "dbsnp_id" else F.lit(0.0) if c == "gnomad_af" else F.lit(0).cast("bigint")
+    have = annotations.withColumns({c: F.coalesce(F.col(c), zero(c)) if c in annotations.columns else zero(c) for c in cols})
+    own = (F.col("dbsnp_id") != "") | (F.col("gnomad_af") != 0)
+    if remote is None:
+        return have.withColumn("frequency_source", F.when(own, "local").otherwise(""))
+    r = remote.groupBy(*lookups.GENOMIC_KEY).agg(*(F.max(c).alias(f"_{c}") for c in cols))
+    out = have.join(r, lookups.GENOMIC_KEY, "left")
+    found = F.coalesce((F.col("_dbsnp_id") != "") | (F.col("_gnomad_af") != 0), F.lit(False))
+    source = F.when(own, "local").when(found, "remote").otherwise("")
+    return out.withColumn("frequency_source", source).withColumns({c: F.when(F.col("frequency_source") == "remote", F.col(f"_{c}")).otherwise(F.col(c)) for c in cols}).drop(*(f"_{c}" for c in cols))
+
+
 def register(spark: SparkSession, path: str, view: str = "annotations") -> DataFrame:
     """An exported Parquet table as a view for free-form SQL."""
     df = spark.read.parquet(path)

@@ -129,3 +129,39 @@ def json_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return lines_of(spark, path)
+
+
+# The analyses of a prediction dump that are kept, by their public attribute ids.
+ANALYSES = {267: "sift", 269: "polyphen"}
+# What a dump writes after a backslash, and the byte that it stands for.
+ESCAPES = {"30": "00", "6E": "0A", "74": "09", "72": "0D"}
+
+
+def unescaped(digits: Column) -> Column:
+    """Bytes, as hexadecimal digits, without a dump's backslash escapes. Bytes are pairs of digits, read from the left."""
+    marked = F.regexp_replace(digits, r"\G((?:(?!5C)..)*)5C(..)", "$1<$2>")
+    for code, byte in ESCAPES.items():
+        marked = F.replace(marked, F.lit(f"<{code}>"), F.lit(byte))
+    return F.regexp_replace(marked, "[<>]", "")
+
+
+def translation_md5(lines: DataFrame) -> DataFrame:
+    """translation_id and md5 of a digest dump; lines without a number are skipped, the last of an id counts."""
+    f = lines.select("line", F.split("value", TAB, 2).alias("f")).where(F.size("f") == 2)
+    rows = f.select("line", at(0).try_cast("bigint").alias("translation_id"), at(1).alias("md5")).where("translation_id is not null")
+    return rows.groupBy("translation_id").agg(F.max_by("md5", "line").alias("md5"))
+
+
+def prediction_dump(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """md5, analysis and matrix (binary) of a prediction dump: rows of known digests and of the analyses that are kept; the
+    first of equal (md5, analysis) counts. Lines are bytes: they are taken apart as hexadecimal digits."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = raw.select(place.alias("_line"), F.hex(F.col("value").cast("binary")).alias("_h"))
+    number = lambda i: F.unhex(F.regexp_extract("_h", "^((?:3[0-9])+)09((?:3[0-9])+)09", i)).cast("string").try_cast("bigint")
+    rows = rows.select("_line", number(1).alias("translation_id"), number(2).alias("_a"), F.regexp_extract("_h", "^(?:3[0-9])+09(?:3[0-9])+09((?:..)*)$", 1).alias("_m"))
+    name = F.when(F.lit(False), F.lit(""))
+    for k, v in ANALYSES.items():
+        name = name.when(F.col("_a") == k, F.lit(v))
+    rows = rows.withColumn("analysis", name).where("analysis is not null").join(digests, "translation_id")
+    return rows.groupBy("md5", "analysis").agg(F.unhex(unescaped(F.min_by("_m", "_line"))).alias("matrix"))

@@ -224,3 +224,41 @@ def test_long_genomic_spans(spark):
     specs = spark.createDataFrame([(1, "1:g.2_110000del")], "id long, input string").select("id", F.explode(F.array(reverse.parse_spec(F.col("input")))).alias("spec"))
     got = reverse.hgvsg_to_variants(specs, t).first()
     assert (got["pos"], got["ref"], got["alt"], got["error"]) == (1, bases[:110_000], "A", "")
+
+
+def test_segments_agree_with_whole_transcripts(spark, monkeypatch):
+    """Plain transcripts by segments, and the same ones as if they weren't plain."""
+    from allelic import synth
+    from allelic.functions import coords
+
+    v = synth.variants(spark, SF).where("record_id % 7 = 0").select("record_id", "chrom", "pos", "ref", "alt")
+    t = synth.transcripts(spark, SF).drop("k", "n")
+    assert coords.with_plan(t).where("not _plain").count() == 0
+    got = sorted(map(str, predict.annotate(v, t, width=1024).collect()))
+    real = coords.with_plan
+    monkeypatch.setattr(coords, "with_plan", lambda df: real(df).withColumn("_plain", F.lit(False)))
+    assert got == sorted(map(str, predict.annotate(v, t, width=1024).collect()))
+
+
+def test_odd_transcripts_are_not_plain(spark, tx):
+    """Exons of two bases, short introns, gaps between coding parts, and exons that don't fill the transcript."""
+    from allelic.functions import coords
+
+    exon = lambda n, a, b, c=0, d=0: (n, a, b, c, d, 0)
+    base = tx.where("gene_name = 'GENE1'").first().asDict(recursive=True)
+    rows = []
+    for i, (exons, regions, cum) in enumerate([
+        ([exon(1, 990, 1004, 1000, 1004), exon(2, 1016, 1030, 1016, 1028)], [(1000, 1004, 0), (1016, 1028, 5)], [0, 15]),
+        ([exon(1, 990, 1004, 1000, 1004), exon(2, 1010, 1030, 1010, 1022)], [(1000, 1004, 0), (1010, 1022, 5)], [0, 15]),
+        ([exon(1, 990, 1010, 1000, 1010), exon(2, 1029, 1030)], [(1000, 1010, 0)], [0, 21]),
+        ([exon(1, 995, 1030, 1000, 1017)], [(1000, 1017, 0)], [0]),
+        ([exon(1, 990, 1030, 1000, 1017)], [(1000, 1005, 0), (1010, 1017, 6)], [0]),
+    ]):
+        rows.append((*(base[c] if c not in ("transcript_id", "exons", "cds_regions", "exon_cum", "cds_end") else {"transcript_id": f"T{i}", "exons": exons, "cds_regions": regions, "exon_cum": cum, "cds_end": regions[-1][1]}[c] for c in tx.columns),))
+    t = spark.createDataFrame(rows, tx.schema)
+    assert {r["transcript_id"] for r in coords.with_plan(t).where("_plain").collect()} == {"T0"}
+    v = spark.createDataFrame([(p, "1", p, "A", "C") for p in range(988, 1033)], "record_id long, chrom string, pos long, ref string, alt string")
+    a = predict.annotate(v, t)
+    assert a.where("transcript_id = ''").count() == 4 and a.where("transcript_id <> ''").count() == 41 * 5
+    near = {(r["transcript_id"], r["pos"]): r["consequence"] for r in a.collect()}
+    assert near["T2", 1028] == "splice_acceptor_variant" and near["T1", 1007].startswith("splice_") and near["T3", 992] == "intron_variant"
