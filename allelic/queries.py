@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -171,7 +172,7 @@ def a22(spark, d):
 def _shared(spark) -> str:
     """The folder that driver and executors share; there is no local one to fall back to, which executors wouldn't see."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local["):
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return at.rstrip("/") if at else _local()
 

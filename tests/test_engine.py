@@ -261,4 +261,4 @@ def test_odd_transcripts_are_not_plain(spark, tx):
     a = predict.annotate(v, t)
     assert a.where("transcript_id = ''").count() == 4 and a.where("transcript_id <> ''").count() == 41 * 5
     near = {(r["transcript_id"], r["pos"]): r["consequence"] for r in a.collect()}
-    assert near["T2", 1028] == "splice_acceptor_variant" and near["T1", 1007].startswith("splice_") and near["T3", 992] == "intron_variant"
+    assert near["T2", 1028] == "splice_acceptor_variant" and near["T1", 1007].startswith("splice_") and near["T3", 992].startswith("splice_region")
