@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -259,16 +260,16 @@ def load(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_CODERS: dict = {}
-
-
 def coder_of(shared, special: bool = True) -> Coder:
-    """One coder for each worker process and vocabulary."""
+    """One coder for each worker process and vocabulary. Functions travel by value, with globals of their own in each task,
+    so what a process keeps from task to task stands beside them; the last coder only."""
     text = shared.value
     key = (hashlib.sha256(text.encode()).hexdigest(), special)
-    if key not in _CODERS:
-        _CODERS[key] = Coder(Vocabulary(json.loads(text)), special)
-    return _CODERS[key]
+    held = sys.__dict__.setdefault("_allelic_coder", {})
+    if key not in held:
+        held.clear()
+        held[key] = Coder(Vocabulary(json.loads(text)), special)
+    return held[key]
 
 
 def _rest(df: DataFrame, name: str) -> list[str]:
