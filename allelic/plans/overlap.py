@@ -35,12 +35,17 @@ def bytes_of(kind: T.DataType, c: Column) -> Column:
     return F.lit(WIDTH)
 
 
-def total_bytes(df: DataFrame) -> int:
-    """The measured bytes of a table's rows."""
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
     each = F.lit(2 * WIDTH)
     for f in df.schema.fields:
         each = each + bytes_of(f.dataType, F.col(f"`{f.name}`"))
-    return int(df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0])
+    return each.cast("long")
+
+
+def total_bytes(df: DataFrame) -> int:
+    """The measured bytes of a table's rows."""
+    return int(df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0])
 
 
 def with_size_check(df: DataFrame, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:

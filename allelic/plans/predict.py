@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alleles, codon, coords, terms
 from . import indel
-from .overlap import BIN, BROADCAST_BYTES, interval_join, total_bytes
+from .overlap import BIN, BROADCAST_BYTES, interval_join, row_bytes
 
 # Executors need no copy of this package: what runs on them travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -199,23 +199,26 @@ def _complex(df: DataFrame) -> DataFrame:
     })
 
 
-def prepared(transcripts: DataFrame) -> tuple[DataFrame, int]:
-    """transcripts with what prediction needs of each, made once a transcript and on all cores, and their measured bytes."""
-    size = 2 * total_bytes(transcripts)  # and what is added
+def prepared(transcripts: DataFrame) -> tuple[DataFrame, int, bool]:
+    """transcripts with what prediction needs of each, made once a transcript and on all cores; their measured bytes, and
+    whether some of them aren't plain."""
+    known = coords.with_plan(transcripts).agg(F.coalesce(F.sum(row_bytes(transcripts)), F.lit(0)), F.count_if(~F.col("_plain"))).first()
+    size = 2 * int(known[0])  # with what is added
     cores = transcripts.sparkSession.sparkContext.defaultParallelism
     t = transcripts.repartition(cores) if size <= BROADCAST_BYTES else transcripts  # a small model may be one partition
     if "peptide_md5" not in t.columns:
         t = t.withColumn("peptide_md5", codon.peptide_md5(F.col("cds_sequence")))
     utr_stop = F.instr(codon.translate(F.coalesce(F.col("utr3_sequence"), F.lit(""))), "*")  # codons to the first stop there
-    return coords.with_plan(t.withColumns({"tx_start": F.col("start"), "_utr_stop": utr_stop})), size
+    return coords.with_plan(t.withColumns({"tx_start": F.col("start"), "_utr_stop": utr_stop})), size, known[1] > 0
 
 
-def _single(variants: DataFrame, t: DataFrame, size: int, width: int, only: list[str] | None) -> DataFrame:
+def _single(variants: DataFrame, t: DataFrame, size: int, odd: bool, width: int, only: list[str] | None) -> DataFrame:
     """Prediction of single-base variants: by segments for plain transcripts, without an expression over arrays; by whole
     transcripts for the others; and a row for variants that no transcript holds."""
     kept = variants.columns
     out = _finish(_snv(interval_join(variants, coords.segments(t.where("_plain")).drop("_plain"), width, "inner", size=size), True), kept, only)
-    out = out.unionByName(_finish(_snv(interval_join(variants, t.where("not _plain").drop("_plain"), width, "inner", size=size), False), kept, only))
+    if odd:
+        out = out.unionByName(_finish(_snv(interval_join(variants, t.where("not _plain").drop("_plain"), width, "inner", size=size), False), kept, only))
     return out.unionByName(_finish(_nowhere(variants, t, size, width), kept, only))
 
 
@@ -234,11 +237,11 @@ def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool =
     """variants (at least chrom, pos, ref, alt) with the prediction for each transcript that holds them; a variant
     without a transcript has one intergenic row. With canonical_only only MSK-canonical transcripts count; `only` names
     the predicted columns that are wanted."""
-    t, size = prepared(transcripts.where("msk_canonical") if canonical_only else transcripts)
+    t, size, odd = prepared(transcripts.where("msk_canonical") if canonical_only else transcripts)
     columns = variants.columns
     v = variants.withColumn("chrom", alleles.chrom_of_vcf(F.col("chrom"))).withColumnsRenamed({c: f"_v_{c}" for c in columns if c in t.columns and c != "chrom"})
     snv = alleles.is_snv(F.col("ref"), F.col("alt"))
-    one = _single(v.where(snv), t, size, width, only)
+    one = _single(v.where(snv), t, size, odd, width, only)
     packed = t.withColumns({"_packed": packed_transcript(), "_exons": F.size("exons")}).drop("_plain", "exons", "exon_cum", "cds_regions", "cds_sequence", "utr3_sequence", "_t5", "_t3", "_utr_stop")
     more = _finish(_complex(interval_join(v.where(~snv), packed, width, size=size)), v.columns, only)
     return one.unionByName(more)
@@ -246,5 +249,5 @@ def annotate(variants: DataFrame, transcripts: DataFrame, canonical_only: bool =
 
 def annotate_snvs(variants: DataFrame, transcripts: DataFrame, width: int = BIN, only: list[str] | None = None) -> DataFrame:
     """The single-base branch alone, for inputs known to hold nothing else."""
-    t, size = prepared(transcripts.withColumn("peptide_md5", F.lit("")))
-    return _single(variants, t, size, width, only)
+    t, size, odd = prepared(transcripts.withColumn("peptide_md5", F.lit("")))
+    return _single(variants, t, size, odd, width, only)
