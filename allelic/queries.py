@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +12,9 @@ from . import session, synth
 from .functions import alleles, codon, coords, notation, terms, text
 from .operators import lookups, writers
 from .plans import compare, model, overlap, pick, predict, reverse
-from .sources import tables
+from .sources import compressed, tables
 from .sources import variants as vs
+from .store import shared_dir
 from .streaming import annotate as stream
 
 #: Width of the interval join's bins for the synthetic genome, whose transcripts are a few hundred bases long.
@@ -139,7 +136,7 @@ NUMERIC = "CASE WHEN chrom IN ('1','2','3','4','5') THEN CAST(chrom AS INT) ELSE
 def a17(spark, d):
     """Written as sorted, range-partitioned Parquet and read back; `sorted` says of each row whether it stands where the
     order puts it: not before the row ahead of it in its file."""
-    path = f"{_shared(spark)}/export-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     writers.write_parquet(annotated(spark, d), path)
     df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     place = F.struct(*writers.EXPORT_ORDER)
@@ -162,29 +159,13 @@ def a21_gene(spark, d):
 @query("A22_K11_cache_by_change", ANN + "SELECT DISTINCT chrom, pos, ref, alt, transcript_id, amino_acid_change FROM ann WHERE gene_name IN ('GENE1', 'GENE2', 'GENE3') AND amino_acid_change <> ''")
 def a22(spark, d):
     """All annotations written to the cache twice (the second time adds nothing), then searched."""
-    path = f"{_shared(spark)}/cache-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
     a = annotated(spark, d).select("chrom", "pos", "ref", "alt", "transcript_id", "gene_name", "amino_acid_change", "consequence")
     writers.write_cache(a, path)
     writers.write_cache(a, path)
     return writers.read_cache(spark, path).where("gene_name in ('GENE1', 'GENE2', 'GENE3') and amino_acid_change <> ''").select("chrom", "pos", "ref", "alt", "transcript_id", "amino_acid_change")
 
 
-def _shared(spark) -> str:
-    """The folder that driver and executors share; there is no local one to fall back to, which executors wouldn't see."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return at.rstrip("/") if at else _local()
-
-
-@cache
-def _local() -> str:
-    """With a local master there is one machine: a folder that goes with the process."""
-    folder = tempfile.TemporaryDirectory(prefix="allelic-")
-    atexit.register(folder.cleanup)
-    return folder.name
-
-
 # ---- functions on alleles, terms and notations --------------------------------------------------------------------
 
 
@@ -504,7 +485,7 @@ def j9(spark, d):
     row = lambda kind, lo, hi: F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.lit("x"), F.lit(kind), lo.cast("string"), hi.cast("string"), F.lit("."), sign, F.lit("."), attributes)
     e = t.withColumn("e", F.explode("exons"))
     lines = t.select(row("transcript", F.col("start"), F.col("end")).alias("value")).unionAll(e.select(row("exon", F.col("e.start"), F.col("e.end")))).unionAll(e.where("e.cds_start > 0").select(row("CDS", F.col("e.cds_start"), F.col("e.cds_end"))))
-    path = f"{_shared(spark)}/gtf-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gtf-{uuid.uuid4().hex}"
     lines.write.text(path)
     m = model.assemble(tables.gtf(tables.read(spark, path)))
     return m.select("transcript_id", "gene_name", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "cds_start", "cds_end", F.size("exons").cast("bigint").alias("exons"), F.coalesce(F.get("cds_regions", F.lit(0))["offset"], F.lit(0)).alias("first_offset"), F.element_at("exon_cum", -1).alias("last_cum"))
@@ -516,7 +497,7 @@ def j6(spark, d):
     t = synth.transcripts(spark, d).where("cds_start > 0")
     seq = F.concat(F.lit("GGGGG"), "cds_sequence", "utr3_sequence")
     head = F.concat(F.lit(">"), text.unversioned(F.col("transcript_id")), F.lit(".99|"), "gene_name", F.lit("|CDS:6-"), F.length("cds_sequence") + 5, F.lit("|"))
-    path = f"{_shared(spark)}/fasta-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
     t.select(F.concat_ws("\n", head, F.substring(seq, 1, 60), F.substring(seq, 61, 100000)).alias("value")).write.text(path)
     return model.with_sequences(t.drop("cds_sequence", "utr3_sequence"), tables.fasta(spark, path)).select("transcript_id", "cds_sequence", "utr3_sequence")
 
@@ -822,7 +803,7 @@ def r5(spark, d):
 
 
 def _path(spark, name: str) -> str:
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("S1_S3_K1_vcf_round_trip", ANN + "SELECT chrom, pos, ref, alt, replace(consequence, ',', '&') AS consequence, transcript_id FROM ann")
@@ -927,6 +908,21 @@ def s12(spark, d):
     return lookups.unified_index(parts).select("chrom", "pos", "ref", "alt", F.col("am_score").cast("double").alias("am_score"), "clinvar_significance", "gnomad_ac", "dbsnp_id")
 
 
+@query("S1_S15_block_compressed", V + "SELECT record_id, chrom, pos, ref, alt, CAST(record_id % 50 + 1 AS BIGINT) AS gnomad_ac, 1 AS n_records FROM v")
+def s15(spark, d):
+    """A frequency file in blocks, whose lines lie across blocks and splits, scanned as such and as a VCF."""
+    path = _path(spark, "bgz")
+    info = F.concat(F.lit("AC="), F.col("record_id") % 50 + 1, F.lit(";AF=0.5;AN=100;NOTE="), F.repeat(F.sha2(F.col("record_id").cast("string"), 256), (F.col("record_id") % 4).cast("int")))
+    rows = variants_only(spark, d).select(F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), "pos", "record_id", "ref", "alt", F.lit("."), F.lit("PASS"), info).alias("value"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",)], "value string").coalesce(1)
+    compressed.write_blocks(head.unionAll(rows), path)
+    key = ["chrom", "pos", "ref", "alt"]
+    records = vs.read_vcf(spark, path).select(F.col("id").cast("bigint").alias("record_id"), alleles.chrom_of_vcf(F.col("chrom")).alias("chrom"), *key[1:])
+    found = vs.gnomad(vs.lines_of(spark, path)).groupBy("line", *key).agg(F.max("gnomad_ac").alias("gnomad_ac"))
+    counts = vs.read_vcf(spark, path).groupBy(F.col("record_id").alias("line")).agg(F.max(F.col("id").cast("bigint")).alias("record_id"), F.count("*").cast("int").alias("n_records"))
+    return records.join(counts, "record_id").join(found.drop(*key), "line").select("record_id", *key, "gnomad_ac", "n_records")
+
+
 @query("X4_region_requests", synth.duck(**REFBASE, b="SELECT DISTINCT chrom, pos FROM cj") + "SELECT record_id AS id, CAST(count(*) AS BIGINT) AS n FROM (SELECT record_id, k FROM v LEFT JOIN tx t ON v.chrom = t.chrom AND v.pos BETWEEN t.s AND t.e) q GROUP BY 1")
 def x4(spark, d):
     r = variants_only(spark, d).select(F.col("record_id").alias("id"), F.concat("chrom", F.lit(":"), "pos", F.lit("-"), "pos", F.lit(":1")).alias("region"), F.col("alt").alias("allele"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, text
+from . import compressed
 from .variants import TAB, lines_of
 
 
@@ -51,7 +52,9 @@ def gtf(lines: DataFrame, chrom: str | None = None) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """name (up to the first pipe or space), cds_from and cds_to (null where the header has no CDS:a-b) and sequence."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v")).where("trim(v) <> ''")
+    file = spark.read.option("lineSep", "\n>").text(path)
+    compressed.must_be_plain(spark, file.inputFiles())
+    raw = file.select(F.regexp_replace("value", "^>", "").alias("v")).where("trim(v) <> ''")
     head, body = F.split("v", "\n", 2)[0], F.coalesce(F.get(F.split("v", "\n", 2), F.lit(1)), F.lit(""))
     part = lambda i: F.nullif(F.regexp_extract(head, r"CDS:(\d+)-(\d+)", i), F.lit("")).try_cast("bigint")
     return raw.select(F.regexp_extract(head, r"^([^|\s]*)", 1).alias("name"), part(1).alias("cds_from"), part(2).alias("cds_to"), F.upper(F.regexp_replace(body, r"[\s>]", "")).alias("sequence"))
@@ -156,6 +159,7 @@ def prediction_dump(spark: SparkSession, path: str, digests: DataFrame) -> DataF
     """md5, analysis and matrix (binary) of a prediction dump: rows of known digests and of the analyses that are kept; the
     first of equal (md5, analysis) counts. Lines are bytes: they are taken apart as hexadecimal digits."""
     raw = spark.read.option("lineSep", "\n").text(path)
+    compressed.must_be_plain(spark, raw.inputFiles())
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     rows = raw.select(place.alias("_line"), F.hex(F.col("value").cast("binary")).alias("_h"))
     number = lambda i: F.unhex(F.regexp_extract("_h", "^((?:3[0-9])+)09((?:3[0-9])+)09", i)).cast("string").try_cast("bigint")
