@@ -81,6 +81,11 @@ class Rollup:
         fs, p = self._fs(f"{self.path}/log/batch-{batch}")
         return fs.exists(p) or any(not self._names_of(b).where(F.col("batch") == batch).isEmpty() for b in self._bases()[-1:])
 
+    def committed(self) -> set[str]:
+        """The names of all committed batches: one for each commit, however much it holds."""
+        held = {r["batch"] for b in self._bases()[-1:] for r in self._names_of(b).collect()}
+        return held | {n.removeprefix("batch-") for n in self._names("log")}
+
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Adds a batch of signed rows once; False if it is already there."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
