@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from . import session
 from .functions import alleles
 from .operators import lookups, writers
 from .plans import compare, model, pick, predict, reverse
-from .sources import tables, variants
+from .sources import compressed, tables, variants
+from .store import shared_dir
 from .streaming import annotate as stream
 
 
@@ -72,6 +74,13 @@ def load_sources(spark: SparkSession, a) -> session.Sources:
     return found
 
 
+def print_rows(table: DataFrame) -> None:
+    """All rows, tab-separated, a partition at a time."""
+    print("\t".join(table.columns))
+    for row in table.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def configured(a) -> session.Config:
     return session.Config.load(a.config, dict(os.environ))
 
@@ -89,9 +98,9 @@ def annotate(spark: SparkSession, a) -> None:
         writers.write_vcf(rows, [*meta, "\t".join(fixed)], a.out)
     elif a.kind == "maf":
         rows, header = variants.read_maf(spark, a.input)
-        known = predict.annotate(rows, t, only).columns
-        rows = predicted(rows)
-        extra = [c for c in rows.columns if c not in known]
+        base = predict.annotate(rows, t, only)
+        rows = session.enriched(base, sources, config)
+        extra = [c for c in rows.columns if c not in base.columns]
         best = pick.best_for_maf(rows, ["record_id"]).join(pick.all_effects(rows, ["record_id"]), "record_id")
         if a.replace:
             header, lines = writers.maf_replace(best, header, extra)
@@ -101,8 +110,13 @@ def annotate(spark: SparkSession, a) -> None:
         top.unionByName(lines).orderBy("record_id").select("value").write.mode("overwrite").text(a.out)
     else:
         found = reverse.resolve(spark.createDataFrame([(0, a.input)], "id bigint, input string"), t)
-        found.where("error <> ''").select("error").show(1000, False)
-        writers.table_of(predicted(found.where("error = ''").select("chrom", "pos", "ref", "alt"))).show(1000, False)
+        for row in found.where("error <> ''").select("error").collect():  # of one input
+            print("error:", row["error"], file=sys.stderr)
+        table = writers.table_of(predicted(found.where("error = ''").select("chrom", "pos", "ref", "alt")))
+        if a.out == "-":
+            print_rows(table)
+        else:
+            table.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(a.out)
 
 
 def convert(spark: SparkSession, a) -> None:
@@ -130,8 +144,8 @@ def compare_files(spark: SparkSession, a) -> None:
     rows = compare.categorised(pairs, columns, not a.simple)
     compare.differing(rows, a.max_diffs, a.all).write.mode("overwrite").option("sep", "\t").option("header", True).csv(a.out)
     compare.overlap_stats(pairs).show(truncate=False)
-    compare.column_counts(rows).show(1000, False)
-    compare.category_counts(rows).orderBy("column", "place").show(1000, False)
+    print_rows(compare.column_counts(rows))
+    print_rows(compare.category_counts(rows).orderBy("column", "place"))
 
 
 def export(spark: SparkSession, a) -> None:
@@ -198,7 +212,10 @@ def main(argv: list[str] | None = None) -> None:
     command("version", version)
     command("stream", run_stream, "input", "out", "--model", flags=("--follow",))
     a = p.parse_args(argv)
-    a.f(SparkSession.builder.appName("allelic").getOrCreate(), a)
+    spark = SparkSession.builder.appName("allelic").getOrCreate()
+    if getattr(a, "input", None) == "-":  # standard input is read once
+        a.input = compressed.spool(spark, sys.stdin.buffer, shared_dir(spark))
+    a.f(spark, a)
 
 
 if __name__ == "__main__":

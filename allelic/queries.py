@@ -17,8 +17,9 @@ from .sources import variants as vs
 from .store import shared_dir
 from .streaming import annotate as stream
 
-#: Width of the interval join's bins for the synthetic genome, whose transcripts are a few hundred bases long.
-BIN = 1024
+#: Width of the interval join's bins for the synthetic genome, whose segments are some hundred bases long: the narrower a
+#: bin, the fewer of its segments a variant is compared with.
+BIN = 128
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

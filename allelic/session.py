@@ -17,6 +17,11 @@ from .plans.overlap import BIN
 ASSEMBLIES = {"grch37": "GRCh37", "hg19": "GRCh37", "37": "GRCh37", "grch38": "GRCh38", "hg38": "GRCh38", "38": "GRCh38"}
 
 
+#: Settings that a session for prediction should have. Hot spots' compiler leaves methods of more than 8,000 bytes of code
+#: uncompiled, and one method for a whole stage of predictions is larger; below the limit Spark falls back to smaller ones.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def assembly(name: str) -> str:
     known = ASSEMBLIES.get(name.strip().lower())
     if not known:

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from allelic import synth  # noqa: E402
+from allelic import session, synth  # noqa: E402
 from allelic.plans import pick, predict  # noqa: E402
 from allelic.queries import BIN, QUERIES  # noqa: E402
 
@@ -21,7 +21,7 @@ HEADLINE = ["J1_interval_join", "C1_C2_C11_C12_snv_consequence", "C3_to_C9_C13_C
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g")).config("spark.sql.shuffle.partitions", str(2 * int(cpus) if cpus.isdigit() else 16)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g")).config("spark.sql.shuffle.partitions", str(2 * int(cpus) if cpus.isdigit() else 16)).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config(map=session.SETTINGS).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     run = lambda df: df.write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
