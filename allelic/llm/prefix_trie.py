@@ -38,7 +38,7 @@ from .common import materialize, ship
 ship(__name__)
 
 #: Parts that the members of a prefix are dealt to before its least member is known.
-SALTS = 1024
+SALTS = 128
 #: Ids that are joined into one run of a digest: distinct ids of a span of this width.
 RUN = 4096
 
