@@ -532,6 +532,8 @@ LABELLED = "CASE WHEN record_id % 2 = 0 AND hgvsc <> '' THEN concat(transcript_i
 
 def two_files(spark, d):
     a = pick.pick_best(annotated(spark, d), ["record_id"]).withColumn("key", alleles.compare_key(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).withColumn("short", codon.to_short(F.col("hgvsp")))
+    a.select("key", "record_id", "transcript_id", "consequence", "hgvsc", "short", "impact").write.parquet(path := _path(spark, "picked"))  # predicted once for both sides
+    a = spark.read.parquet(path)
     left = a.where("record_id % 11 <> 0").select("key", "record_id", "consequence", F.expr(LABELLED).alias("hgvsc"), F.col("short").alias("hgvsp_short"), "impact")
     right = a.where("record_id % 13 <> 0").select("key", "record_id", F.expr(RELABEL).alias("consequence"), F.expr(RENAME.format("regexp_replace", "")).alias("hgvsc"), F.expr(REWRITE.format("regexp_replace", "", "short")).alias("hgvsp_short"), "impact")
     return left, right
