@@ -342,17 +342,18 @@ def token_counts(df: DataFrame, path: str, text: str = "text", names: tuple[str,
     """df without its text, with the number of tokens of each, and that of the pieces which the vocabulary's split gives."""
     small_batches(df.sparkSession)
     shared = load(df.sparkSession, path)
-    rest = [c for c in df.columns if c != text and c.lower() not in names]
+    own = next(c for c in df.columns if c.lower() == text.lower())
+    rest = [c for c in df.columns if c != own and c.lower() not in {n.lower() for n in names}]
 
     def run(batches):
         coder = coder_of(shared)
         for batch in batches:
-            rows = list(coder.counts([t or "" for t in batch.column(text).to_pylist()]))
+            rows = list(coder.counts([t or "" for t in batch.column(own).to_pylist()]))
             if rows:
                 yield pa.record_batch([*(batch.column(c) for c in rest), *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))], names=[*rest, *names])
 
     quoted = [f"`{c}`" for c in rest]
-    return df.selectExpr(*quoted, f"`{text}`").mapInArrow(run, df.limit(0).selectExpr(*quoted, *(f"0L as `{n}`" for n in names)).schema)
+    return df.selectExpr(*quoted, f"`{own}`").mapInArrow(run, df.limit(0).selectExpr(*quoted, *(f"0L as `{n}`" for n in names)).schema)
 
 
 ship(__name__)

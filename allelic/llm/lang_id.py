@@ -110,7 +110,7 @@ def windows(text: bytes) -> np.ndarray:
 def training_rows(docs: DataFrame) -> list:
     """(lang, cut) of a bounded sample: up to TEXTS rows for each language outside the held-out fold, chosen by the hash
     of their id, and CUTS windows of each at places that the hash gives."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
     # share of each language's rows whose hash is below this limit: about 1.3 * TEXTS, cut to TEXTS below
     counts = rows.groupBy(F.col("lang").alias("_lang")).agg((1.3 * TEXTS / F.count("*")).alias("_limit"))
     unit = F.col("_h") / F.lit(2.0**64) + 0.5
@@ -145,12 +145,13 @@ def fit(docs: DataFrame) -> ByteCNN | None:
 def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """docs with lang_pred and score for every row."""
     small_batches(docs.sparkSession)
-    names = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    own = next(c for c in docs.columns if c.lower() == "text")
+    names = [f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = docs.limit(0).selectExpr(*names, "cast(null as string) as lang_pred", "cast(null as double) as score").schema
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(own).to_pylist()
             pred, score = [UND] * len(texts), [0.0 if model is None else 1.0] * len(texts)
             if model is not None:
                 real = [i for i, t in enumerate(texts) if t and _letter.search(t)]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship, small_batches
+from .common import discard, free_name, materialize, ship, small_batches
 from .graph import components
 
 BANDS, ROWS = 30, 5
@@ -381,15 +381,17 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = near_duplicates(docs, k, percent)
     full = rows.where("n_shingles > 0")
     gone = materialize(full.groupBy("doc_id", "text_hash").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "gone")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "first")
+    h, i, th, first, row = (free_name(docs.columns, c) for c in ("_h", "_id", "_th", "first", "_row"))
+    gone = gone.select(F.col("doc_id").alias(i), F.col("text_hash").alias(th), F.col("first").alias(first))
     if gone.count() <= 1_000_000:  # 20 MB; beyond it, a shuffle join
         gone = F.broadcast(gone)
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
-    stay = marked.join(gone, at, "left_anti").select(*docs.columns)
+    marked = docs.withColumn(h, F.xxhash64("text"))
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(h) == F.col(th))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    stay = marked.join(gone, at, "left_anti").select(*own)
     # firsts that occur as several equal rows
-    repeated = marked.join(gone.where("first"), at).groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return stay.unionAll(repeated.select("_row.*"))
+    repeated = marked.join(gone.where(F.col(first)), at).groupBy(i, th).agg(F.min(F.struct(*own)).alias(row))
+    return stay.unionAll(repeated.select(f"{row}.*"))
 
 
 ship(__name__)

@@ -64,7 +64,7 @@ def feature_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [sorted({h for w in word_set(t) for h in _parts[w]}) for t in batch.column("text").to_pylist()]
+            sets = [sorted({h for w in word_set(t) for h in _parts[w]}) for t in batch.column(own).to_pylist()]
             yield pa.record_batch([batch.column("kind"), batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "h", "parts"])
 
     return rows.select("kind", "h", "text").mapInArrow(run, "kind int, h long, parts array<long>")
@@ -181,12 +181,13 @@ def train(docs: DataFrame, labels: DataFrame) -> PULinear | None:
 def score(docs: DataFrame, model: PULinear | None) -> DataFrame:
     """docs with score and predicted (1 if score >= 0.5) for every row."""
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    own = next(c for c in docs.columns if c.lower() == "text")
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = docs.limit(0).selectExpr(*(f"`{c}`" for c in names), "cast(null as double) as score", "cast(null as int) as predicted").schema
 
     def run(batches):
         for batch in batches:
-            s = [model.score(t) if model else 0.0 for t in batch.column("text").to_pylist()]
+            s = [model.score(t) if model else 0.0 for t in batch.column(own).to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
