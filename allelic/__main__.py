@@ -89,7 +89,10 @@ def annotate(spark: SparkSession, a) -> None:
     t = load_model(spark, a.model)
     config, sources = configured(a), load_sources(spark, a)
     only = a.canonical_only or config.canonical_only
-    predicted = lambda rows: session.enriched(predict.annotate(rows, t, only), sources, config)
+    if a.cache and only:
+        raise SystemExit("a cache holds the predictions for all transcripts: --cache can't go with --canonical-only")
+    one = lambda rows: writers.annotate_cached(rows, lambda v: predict.annotate(v, t), a.cache) if a.cache else predict.annotate(rows, t, only)
+    predicted = lambda rows: session.enriched(one(rows), sources, config)
     if a.kind == "vcf":
         meta, samples = variants.vcf_header(spark, a.input)
         rows = predicted(variants.read_vcf(spark, a.input))
@@ -98,7 +101,7 @@ def annotate(spark: SparkSession, a) -> None:
         writers.write_vcf(rows, [*meta, "\t".join(fixed)], a.out)
     elif a.kind == "maf":
         rows, header = variants.read_maf(spark, a.input)
-        base = predict.annotate(rows, t, only)
+        base = one(rows)
         rows = session.enriched(base, sources, config)
         extra = [c for c in rows.columns if c not in base.columns]
         best = pick.best_for_maf(rows, ["record_id"]).join(pick.all_effects(rows, ["record_id"]), "record_id")
@@ -200,7 +203,7 @@ def main(argv: list[str] | None = None) -> None:
     for x in ("--fasta", "--canonical", "--overrides", "--chrom"):
         c.add_argument(x)
     c = command("index", index, "out", *(f"--{n}" for n in session.INDEXED))
-    c = command("annotate", annotate, "kind", "input", "out", "--model", "--exclude", "--config", "--index", "--hotspots", "--genes", "--predictions", flags=("--pick", "--canonical-only", "--replace"))
+    c = command("annotate", annotate, "kind", "input", "out", "--model", "--exclude", "--config", "--index", "--hotspots", "--genes", "--predictions", "--cache", flags=("--pick", "--canonical-only", "--replace"))
     c = command("convert", convert, "input", "out", "--model")
     c.add_argument("--assembly", default="GRCh38")
     c = command("compare", compare_files, "left", "right", "out", "--columns", flags=("--simple", "--all"))

@@ -167,6 +167,19 @@ def a22(spark, d):
     return writers.read_cache(spark, path).where("gene_name in ('GENE1', 'GENE2', 'GENE3') and amino_acid_change <> ''").select("chrom", "pos", "ref", "alt", "transcript_id", "amino_acid_change")
 
 
+@query("K11_J16_annotate_cached", ANN + "SELECT record_id, transcript_id, consequence, hgvsc, true AS once FROM ann")
+def k11(spark, d):
+    """Every second variant annotated through a cache, then all: the second run predicts the others only. `once` says
+    that the cache holds a row's key one time."""
+    path, v = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", variants_only(spark, d)
+    t = synth.transcripts(spark, d).drop("k", "n")
+    predicted = lambda rows: predict.annotate(rows, t, width=BIN)
+    writers.annotate_cached(v.where("record_id % 2 = 0"), predicted, path)
+    out = writers.annotate_cached(v, predicted, path)
+    counts = writers.read_cache(spark, path).groupBy(*writers.CACHE_KEY).agg((F.count("*") == 1).alias("once"))
+    return out.join(counts, writers.CACHE_KEY).select("record_id", "transcript_id", "consequence", "hgvsc", "once")
+
+
 # ---- functions on alleles, terms and notations --------------------------------------------------------------------
 
 
@@ -553,6 +566,18 @@ def j10(spark, d):
     return compare.overlap_stats(compare.paired(*two_files(spark, d), "key", "record_id"))
 
 
+@query(
+    "J10_hot_keys",
+    V + """, l AS (SELECT chrom, record_id, row_number() OVER (PARTITION BY chrom ORDER BY record_id) AS n FROM v WHERE record_id % 11 <> 0), r AS (SELECT chrom, record_id, row_number() OVER (PARTITION BY chrom ORDER BY record_id) AS n FROM v WHERE record_id % 13 <> 0)
+SELECT coalesce(l.chrom, r.chrom) AS chrom, coalesce(l.n, r.n) AS n, l.record_id AS left_id, r.record_id AS right_id FROM l FULL JOIN r ON l.chrom = r.chrom AND l.n = r.n""",
+)
+def j10_hot(spark, d):
+    """The n-th variant of each chromosome in two files: five keys, which are numbered in parts."""
+    v = synth.variants(spark, d).select("chrom", "record_id")
+    pairs = compare.paired(v.where("record_id % 11 <> 0"), v.where("record_id % 13 <> 0"), "chrom", "record_id", many=1 << 10)
+    return pairs.select(F.col("key").alias("chrom"), "n", F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"))
+
+
 COLUMNS = [("consequence", "consequence"), ("hgvsc", "hgvsc"), ("hgvsp_short", "hgvsp_short"), ("impact", "impact")]
 
 

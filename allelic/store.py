@@ -45,8 +45,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, draft: str, final: str) -> bool:
-    """Renames a finished folder to a name that must not exist. Of two that try, one succeeds; the other's draft goes, and it
-    gets False."""
+    """Renames a finished folder to a name that must not exist. Of two that try, one succeeds; the other gets False, and its
+    draft stays."""
     fs, p = file_system(spark, draft)
     _, q = file_system(spark, final)
     fs.mkdirs(q.getParent())
@@ -57,6 +57,5 @@ def rename(spark: SparkSession, draft: str, final: str) -> bool:
     except Py4JJavaError as e:
         if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
             raise
-        fs.delete(p, True)
         return False
     return True
