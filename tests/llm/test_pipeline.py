@@ -46,6 +46,6 @@ def test_odd_rows_and_no_rows(spark):
 
 
 def test_every_query_runs(spark):
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLE_SQL) <= set(QUERIES)
     for name, f in QUERIES.items():
         assert f(spark, SF).count() > 0, name
