@@ -7,6 +7,9 @@ it, so that a prefix which many words share is encoded once.
 
 Defined results: a null text counts as empty; an empty text has no tokens. Repeated rows and extra columns pass
 through unchanged; a column named like the result gives way to it. Very long texts are encoded whole. Special tokens that stand in a text are encoded as themselves unless `special=False`.
+
+A text's tokens depend on that text alone, so there are no ties among rows; between merges the vocabulary's order decides. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations

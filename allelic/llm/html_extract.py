@@ -14,6 +14,9 @@ closed by the end of what encloses them; unclosed scripts, styles and comments r
 begins no tag, or a tag that never ends, is text. Very long and malformed pages are read whole, in time that grows with
 their length. Repeated rows are repeated; columns pass through, but for the page's and those named text and n_chars, which
 the results replace.
+
+An empty table gives an empty one. A page's result depends on that page alone, so there are no ties among rows; a block's value
+at a split's threshold goes to the lower branch.
 """
 
 from __future__ import annotations

@@ -20,6 +20,8 @@ read whole. Ties go to the least (id, hash of the text). Columns other than doc_
 `deduplicate` whatever their names.
 
 Chance of missing a pair at exactly the threshold 0.8: (1 - 0.8**5)**30 = 7e-6 by the bands, below 1e-6 by the margin.
+
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

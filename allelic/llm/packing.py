@@ -14,6 +14,8 @@ Defined results: rows of length 0 or null have one piece of length 0 without a b
 as they occur. Ties in length go by key, those in cost to the rule first tried. Very long texts become many pieces. Keys may
 be null and may have any name but those of the results (piece, start, length, bin_id, offset, capacity); a key so named is an
 error. Other columns aren't read.
+
+An empty table gives no piece.
 """
 
 from __future__ import annotations

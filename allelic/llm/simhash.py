@@ -11,6 +11,8 @@ Defined results: a null text counts as empty; the fingerprint of a text without
 fingerprints. Equal rows stay as many rows; of those, each but the last is followed by its like. Rows with a null id come
 last in the order of ids; rows with equal ids are ordered by their texts' hash. A very long text is one row of one task's
 range, and no cap applies to it. Only the named columns are read, so clashing names of others don't matter.
+
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ Features are the word parts that differ most between positives and the unlabelle
 
 Defined results: null and empty texts get the model's score for a text without features; without a confirmed positive
 in the training rows every score is 0.
+
+Whole texts are read, however long; a text's score depends on that text alone, so repeated rows get equal scores. Ties
+between features go to the smaller hash. Columns pass through, but for score and predicted, which the results replace; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ Defined results: a null url and one without `://` have an empty host and path, n
 paths are read whole. Repeated rows stay. Ties between rules of one length can't be: two such rules never fit one url with
 the same host and path, except as the same rule. Columns named like the results (host, path, rule, verdict, template,
 purity) give way to them; all others pass through, whatever their names.
+
+An empty table gives an empty one.
 """
 
 from __future__ import annotations

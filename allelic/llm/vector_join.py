@@ -21,6 +21,8 @@ left is a blocked comparison, which an exact answer costs there. Clustered vecto
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different length don't link. Equal rows stay as many rows, each counting the others. A null vec_id is not kept. Ties go to
 the least id. Other columns aren't read, whatever their names.
+
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
