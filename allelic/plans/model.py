@@ -16,18 +16,23 @@ def assemble(features: DataFrame) -> DataFrame:
     """One row for each transcript of the GTF features (feature, chrom, start, end, strand, frame and attributes): exons
     with their coding parts, coding bounds from codons where the file has them, else from CDS rows; running offsets.
 
-    One group-by on the transcript; an exon's rows are bounded by the transcript."""
+    One shuffle on the transcript; an exon's rows are bounded by the transcript. One id may stand at several places (as in both
+    pseudoautosomal regions): a row belongs to the transcript row of its id and chromosome that begins last before it."""
     f = features.where(F.col("feature").isin("transcript", "exon", "CDS", "start_codon", "stop_codon") & (F.col("transcript_id") != ""))
+    same = Window.partitionBy("transcript_id", "chrom")
+    begin = F.when(F.col("feature") == "transcript", F.col("start"))
+    upto = same.orderBy("start", F.col("feature") != "transcript").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("_begin", F.coalesce(F.max(begin).over(upto), F.min(begin).over(same)))
     of = lambda kind, c: F.when(F.col("feature") == kind, c)
     pair = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), "frame")
     own = lambda c: F.first(of("transcript", F.col(c)), ignorenulls=True)
-    t = f.groupBy("transcript_id").agg(
+    t = f.groupBy("transcript_id", F.col("chrom").alias("_chrom"), "_begin").agg(
         *(own(c).alias(c) for c in ("gene_id", "gene_name", "chrom", "start", "end", "strand", "biotype", "canonical", "mane_select")),
         F.max("protein_id").alias("protein_id"), F.array_sort(F.collect_set(of("exon", pair))).alias("_exons"), F.array_sort(F.collect_set(of("CDS", pair))).alias("_cds"),
         F.min(of("CDS", F.col("start"))).alias("_lo"), F.max(of("CDS", F.col("end"))).alias("_hi"),
         F.min(F.when(F.col("feature").isin("start_codon", "stop_codon"), F.col("start"))).alias("_clo"), F.max(F.when(F.col("feature").isin("start_codon", "stop_codon"), F.col("end"))).alias("_chi"),
         F.max(of("start_codon", F.lit(1))).alias("_has_start"), F.max(of("stop_codon", F.lit(1))).alias("_has_stop"),
-    ).where("start is not null")
+    ).where("start is not null").drop("_chrom", "_begin")
     plus = F.col("strand") == 1
     left, right = F.when(plus, F.col("_has_start")).otherwise(F.col("_has_stop")), F.when(plus, F.col("_has_stop")).otherwise(F.col("_has_start"))
     zero = F.lit(0).cast("bigint")
