@@ -78,9 +78,15 @@ def best_hotspots(hotspots: DataFrame) -> DataFrame:
     return h.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _apart(annotations: DataFrame, key: Column) -> Column:
+    """A text key; rows where it is null get one of some thousand that no table has, so that they are dealt to all tasks."""
+    spread = [c for c in (*GENOMIC_KEY, "transcript_id") if c in annotations.columns]
+    return F.coalesce(key, F.concat(F.lit("-"), F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string")))
+
+
 def join_hotspots(annotations: DataFrame, hotspots: DataFrame) -> DataFrame:
     h = best_hotspots(hotspots).select(F.col("transcript_id").alias("_t"), F.col("position").alias("_p"), F.col("type").alias("hotspot_type"), text.q_value(F.col("q_value")).alias("hotspot_q"))
-    key = F.when(F.col("protein_position") != 0, text.unversioned(F.col("transcript_id")))
+    key = _apart(annotations, F.when(F.col("protein_position") != 0, text.unversioned(F.col("transcript_id"))))
     out = annotations.join(with_size_check(h), (key == F.col("_t")) & (F.col("protein_position") == F.col("_p")), "left")
     return out.withColumns({"hotspot": F.when(F.col("_t").isNotNull(), "Y").otherwise(""), "hotspot_type": F.coalesce("hotspot_type", F.lit("")), "hotspot_q": F.coalesce("hotspot_q", F.lit(""))}).drop("_t", "_p")
 
@@ -95,7 +101,7 @@ def join_predictions(annotations: DataFrame, cells: DataFrame) -> DataFrame:
     """SIFT and PolyPhen of missense rows from cells (md5, analysis, position, alt_aa, score, prediction)."""
     alt = F.substring("amino_acid_change", -1, 1)
     key = F.when(terms.is_missense(F.col("consequence")) & (F.col("peptide_md5") != ""), F.col("peptide_md5"))
-    out = annotations.withColumns({"_md5": key, "_aa": alt})
+    out = annotations.withColumns({"_md5": _apart(annotations, key), "_aa": alt})
     # both analyses of a cell in one row, so that one join does
     wide = cells.groupBy("md5", "position", "alt_aa").agg(*(F.max(F.when(F.col("analysis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("sift", "polyphen") for c in ("score", "prediction")))
     out = out.join(wide, (F.col("_md5") == F.col("md5")) & (F.col("protein_position") == F.col("position")) & (F.col("_aa") == F.col("alt_aa")), "left")
