@@ -47,6 +47,8 @@ PLAIN, BLOCKS, STREAM = "plain", "blocks", "stream"
 
 def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
     fs, p = file_system(spark, path)
+    if ":/" in path:  # as Spark lists files: a URI, with blanks and the like encoded
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
     stream = fs.open(p)
     try:
         out = bytearray()
