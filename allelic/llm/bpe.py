@@ -24,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, small_batches
+from .common import HELD, free_name, ship, small_batches
 
 #: The pattern that a byte-level vocabulary was trained with; a fixed value of the public format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers before it starts anew, the bytes of a word that it remembers, and pairs of tokens.
 REMEMBER, SHORT_WORD, PAIRS = 250_000, 64, 1_000_000
+#: Distinct words whose number of tokens a worker remembers.
+COUNTED = 100_000
 #: Rows whose words are walked together: the more, the more prefixes are shared.
 TOGETHER = 768
 
@@ -224,7 +226,7 @@ class Coder:
 
     def counts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(tokens, pieces of the split) of each text. Of words only the number of their tokens is remembered."""
-        if len(self.sizes) > REMEMBER:
+        if len(self.sizes) > COUNTED:
             self.sizes = {}
         special = self.special and self.v.at_special
         split, sizes, once, out, fresh = self.v.split.findall, self.sizes, {}, [], set()
@@ -268,7 +270,7 @@ def coder_of(shared, special: bool = True) -> Coder:
     so what a process keeps from task to task stands beside them; the last coder only."""
     text = shared.value
     key = (hashlib.sha256(text.encode()).hexdigest(), special)
-    held = sys.__dict__.setdefault("_allelic_coder", {})
+    held = sys.__dict__.setdefault(HELD, {})
     if key not in held:
         held.clear()
         held[key] = Coder(Vocabulary(json.loads(text)), special)

@@ -60,6 +60,15 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Where a worker process keeps a tokenizer from task to task.
+HELD = "_allelic_coder"
+
+
+def let_go() -> None:
+    """Called by tasks that need no tokenizer: a worker that is used again gives up the one it kept for an earlier stage."""
+    sys.__dict__.pop(HELD, None)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """The name, with underscores in front while a column has it."""
     while name.lower() in {c.lower() for c in taken}:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship, small_batches
+from .common import fold, let_go, ship, small_batches
 
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
 #: Bounds of the training sample: texts for each language (every language is learnt), windows cut from one text.
@@ -150,6 +150,7 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     schema = docs.limit(0).selectExpr(*names, "cast(null as string) as lang_pred", "cast(null as double) as score").schema
 
     def run(batches):
+        let_go()
         for batch in batches:
             texts = batch.column(own).to_pylist()
             pred, score = [UND] * len(texts), [0.0 if model is None else 1.0] * len(texts)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, ship, small_batches
+from .common import discard, free_name, let_go, materialize, ship, small_batches
 from .graph import components
 
 BANDS, ROWS = 30, 5
@@ -126,6 +126,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("check", pa.int64()), ("registers", pa.binary())])
 
     def run(batches):
+        let_go()
         for batch in batches:
             n, cls, check, regs = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -145,6 +146,7 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
 
     def run(batches):
+        let_go()
         for batch in batches:
             if batch.num_rows:
                 j = estimate(_matrix(batch.column("ra")), batch.column("na").to_numpy().astype(float), _matrix(batch.column("rb")), batch.column("nb").to_numpy().astype(float))
@@ -163,6 +165,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     rows = wanted.join(texts_of(wanted, classes, docs), "cls").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("cls") != F.col("b"))
 
     def run(batches):
+        let_go()
         at, own = None, None
         for batch in batches:
             a, b = [], []
@@ -215,6 +218,7 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
                 yield from ((cls, int(x)) for x in kb[near[j >= threshold - MARGIN]])
 
     def run(batches):
+        let_go()
         at, band, held = None, None, ([], [])
         for batch in batches:
             found = []
@@ -300,6 +304,7 @@ def within_families(families: DataFrame, classes: DataFrame, docs: DataFrame, k:
         return out
 
     def run(batches):
+        let_go()
         at, held = None, []
         for batch in batches:
             found = []

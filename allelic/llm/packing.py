@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import let_go, materialize, ship
 
 CAPACITIES = (256, 512, 1024, 2048)
 SHARD = 4096
@@ -94,6 +94,7 @@ def pack(df: DataFrame, keys: list[str], length: Column, capacities=CAPACITIES)
     some = pieces.where("length > 0").withColumn("offset", F.least(F.floor((F.col("bin_id") / F.lit(2.0**64) + 0.5) * shards), F.lit(shards - 1)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         pdf = pdf.sort_values(["length", "bin_id", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets, sizes = zip(*pack_lengths(pdf["length"].tolist(), capacities), strict=True)
         return pdf[full].assign(bin_id=[int(pdf["offset"].iloc[0]) << 32 | b for b in bins], offset=offsets, capacity=sizes)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, ship, small_batches
+from .common import fold, let_go, materialize, ship, small_batches
 
 #: Expected bounds of the training sample, and the bound of the features.
 POSITIVES, UNLABELLED, FEATURES = 4000, 8000, 1024
@@ -67,6 +67,7 @@ def feature_sets(rows: DataFrame) -> DataFrame:
     small_batches(rows.sparkSession)
 
     def run(batches):
+        let_go()
         for batch in batches:
             sets = [sorted({h for w in word_set(t) for h in _parts[w]}) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("kind"), batch.column("h"), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "h", "parts"])
@@ -190,6 +191,7 @@ def score(docs: DataFrame, model: PULinear | None) -> DataFrame:
     schema = docs.limit(0).selectExpr(*(f"`{c}`" for c in names), "cast(null as double) as score", "cast(null as int) as predicted").schema
 
     def run(batches):
+        let_go()
         for batch in batches:
             s = [model.score(t) if model else 0.0 for t in batch.column(own).to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
