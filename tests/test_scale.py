@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,18 @@ def test_translation(spark, cds):
     got = spark.createDataFrame([(cds,)], "s string").select(codon.translate(F.col("s"))).first()[0]
     s = cds or ""
     assert got == "".join(codon.CODE.get(s[3 * i : 3 * i + 3], "X") for i in range(math.floor(len(s) / 3)))
+
+
+def test_a_large_model_is_never_broadcast(spark):
+    """Spark's estimate, from a file's few bytes, would send a model of any size through the driver to all executors."""
+    v, t = queries.variants_only(spark, SF), synth.transcripts(spark, SF).drop("k", "n")
+    for width in (queries.BIN, 8):
+        plan = overlap.interval_join(v, t, width, broadcast_bytes=1)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "BroadcastHashJoin" in overlap.interval_join(v, t, queries.BIN)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_a_batch_are_decoded_once():
+    got = predict._once(pa.array(["ACGT" * 9, None, "T", "ACGT" * 9]))
+    assert got == ["ACGT" * 9, None, "T", "ACGT" * 9] and got[0] is got[3]
+    assert predict._once(pa.array([], pa.string())) == []
