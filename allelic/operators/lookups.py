@@ -120,14 +120,50 @@ def decode_cell(cell: Column, analysis: Column) -> Column:
     return F.when(cell != 0xFFFF, F.struct((cell.bitwiseAND(1023) / 1000.0).alias("score"), name.alias("prediction")))
 
 
+def cell_at(matrix: Column, at: Column) -> Column:
+    """The cell (0 to 65535) at a place, from 0, of a matrix of a 3-byte header and little-endian cells, 20 for a position."""
+    swapped = F.conv(F.hex(F.substring(matrix, (4 + 2 * at).cast("int"), F.lit(2))), 16, 10).cast("int")
+    return swapped % 256 * 256 + F.floor(swapped / 256).cast("int")
+
+
 def explode_matrix(matrices: DataFrame) -> DataFrame:
-    """Cells of matrices (md5, analysis, matrix: binary of a 3-byte header and little-endian cells, 20 for a position)."""
+    """Cells of matrices (md5, analysis, matrix: binary, see cell_at)."""
     n = F.floor((F.octet_length("matrix") - 3) / 2).cast("int")
     rows = matrices.where(F.octet_length("matrix") >= 5).select("md5", "analysis", "matrix", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
-    byte = lambda at: F.conv(F.hex(F.expr(f"substring(matrix, {at}, 1)")), 16, 10).cast("int")
-    cell = byte("4 + 2 * _i") + byte("5 + 2 * _i") * 256
-    out = rows.select("md5", "analysis", (F.expr("_i div 20") + 1).cast("bigint").alias("position"), F.substring(F.lit(AMINO), F.expr("cast(_i % 20 + 1 as int)"), F.lit(1)).alias("alt_aa"), decode_cell(cell, F.col("analysis")).alias("_d"))
-    return out.where("_d is not null").select("md5", "analysis", "position", "alt_aa", "_d.score", "_d.prediction")
+    # generated from a one-element array, so that a cell is read once and not in each expression that uses it
+    rows = rows.select("md5", "analysis", "_i", F.explode(F.array(cell_at(F.col("matrix"), F.col("_i")))).alias("_cell")).where("_cell <> 65535")
+    d = decode_cell(F.col("_cell"), F.col("analysis"))
+    return rows.select("md5", "analysis", (F.expr("_i div 20") + 1).cast("bigint").alias("position"), F.substring(F.lit(AMINO), F.expr("cast(_i % 20 + 1 as int)"), F.lit(1)).alias("alt_aa"), d["score"].alias("score"), d["prediction"].alias("prediction"))
+
+
+def with_matrices(peptides: DataFrame, matrices: DataFrame) -> DataFrame:
+    """Rows with peptide_md5 and the matrices of that peptide, an array for each analysis (`_sift`, `_polyphen`): some hundred
+    bytes a peptide, where its cells would be a hundred rows and more."""
+    wide = matrices.where(F.octet_length("matrix") >= 5).groupBy("md5").agg(*(F.collect_set(F.when(F.col("analysis") == a, F.col("matrix"))).alias(f"_{a}") for a in CLASSES))
+    return peptides.join(wide, F.col("peptide_md5") == F.col("md5"), "left").drop("md5")
+
+
+def read_matrices(annotations: DataFrame) -> DataFrame:
+    """SIFT and PolyPhen of missense rows, as `join_predictions` gives them, each read at its place in the row's matrices."""
+    aa = F.substring("amino_acid_change", -1, 1)
+    at = (F.col("protein_position") - 1) * len(AMINO) + F.instr(F.lit(AMINO), aa) - 1
+    asked = terms.is_missense(F.col("consequence")) & (F.col("protein_position") > 0) & (aa != "") & (F.instr(F.lit(AMINO), aa) > 0)
+    out = annotations.withColumn("_at", F.explode(F.array(F.when(asked, at))))
+
+    def most(analysis, part):
+        cells = F.transform(F.col(f"_{analysis}"), lambda m: F.when(F.col("_at") < F.floor((F.octet_length(m) - 3) / 2), decode_cell(cell_at(m, F.col("_at")), F.lit(analysis))[part]))
+        value = F.when(F.col("_at").isNotNull(), F.array_max(cells))
+        return F.coalesce(text.score3(value) if part == "score" else value, F.lit(""))
+
+    return out.withColumns({f"{a}_{part}": most(a, part) for a in CLASSES for part in ("score", "prediction")}).drop("_at", *(f"_{a}" for a in CLASSES))
+
+
+def join_matrices(annotations: DataFrame, peptides: DataFrame, matrices: DataFrame) -> DataFrame:
+    """Annotations with the predictions of their transcripts' peptides (transcript_id, peptide_md5): the matrices are joined to
+    the peptides first, so that the many rows are dealt once."""
+    key = _apart(annotations, F.nullif("transcript_id", F.lit("")))
+    found = with_matrices(peptides, matrices).withColumnRenamed("transcript_id", "_id").hint("merge")
+    return read_matrices(annotations.withColumn("_key", key).join(found, F.col("_key") == F.col("_id"), "left").drop("_key", "_id"))
 
 
 def join_by_transcript(df: DataFrame, table: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, text
+from ..plans.overlap import with_size_check
 from . import compressed
 from .variants import TAB, lines_of
 
@@ -136,16 +137,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 # The analyses of a prediction dump that are kept, by their public attribute ids.
 ANALYSES = {267: "sift", 269: "polyphen"}
-# What a dump writes after a backslash, and the byte that it stands for.
-ESCAPES = {"30": "00", "6E": "0A", "74": "09", "72": "0D"}
+# What a dump writes after a backslash, and the character that it stands for; other characters stand for themselves.
+ESCAPES = {"0": "\0", "n": "\n", "t": "\t", "r": "\r"}
+#: Bytes as characters, one for each, so that text functions take them apart, and a character that no byte gives.
+BYTES, NO_BYTE = "ISO-8859-1", "\u0100"
 
 
-def unescaped(digits: Column) -> Column:
-    """Bytes, as hexadecimal digits, without a dump's backslash escapes. Bytes are pairs of digits, read from the left."""
-    marked = F.regexp_replace(digits, r"\G((?:(?!5C)..)*)5C(..)", "$1<$2>")
-    for code, byte in ESCAPES.items():
-        marked = F.replace(marked, F.lit(f"<{code}>"), F.lit(byte))
-    return F.regexp_replace(marked, "[<>]", "")
+def escaped(bytes_: Column) -> Column:
+    """Bytes with a dump's backslash escapes, as characters."""
+    out = F.replace(F.decode(bytes_, BYTES), F.lit("\\"), F.lit("\\\\"))
+    for code, char in ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(f"\\{code}"))
+    return out
+
+
+def unescaped(chars: Column) -> Column:
+    """The bytes of characters with a dump's backslash escapes, read from the left: pairs of backslashes are put aside first."""
+    out = F.replace(chars, F.lit("\\\\"), F.lit(NO_BYTE))
+    for code, char in ESCAPES.items():
+        out = F.replace(out, F.lit(f"\\{code}"), F.lit(char))
+    return F.encode(F.replace(F.regexp_replace(out, r"(?s)\\(.)", "$1"), F.lit(NO_BYTE), F.lit("\\")), BYTES)
 
 
 def translation_md5(lines: DataFrame) -> DataFrame:
@@ -157,15 +168,16 @@ def translation_md5(lines: DataFrame) -> DataFrame:
 
 def prediction_dump(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
     """md5, analysis and matrix (binary) of a prediction dump: rows of known digests and of the analyses that are kept; the
-    first of equal (md5, analysis) counts. Lines are bytes: they are taken apart as hexadecimal digits."""
+    first of equal (md5, analysis) counts. Lines are bytes: they are taken apart as characters of one byte."""
     raw = spark.read.option("lineSep", "\n").text(path)
     compressed.must_be_plain(spark, raw.inputFiles())
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    rows = raw.select(place.alias("_line"), F.hex(F.col("value").cast("binary")).alias("_h"))
-    number = lambda i: F.unhex(F.regexp_extract("_h", "^((?:3[0-9])+)09((?:3[0-9])+)09", i)).cast("string").try_cast("bigint")
-    rows = rows.select("_line", number(1).alias("translation_id"), number(2).alias("_a"), F.regexp_extract("_h", "^(?:3[0-9])+09(?:3[0-9])+09((?:..)*)$", 1).alias("_m"))
+    rows = raw.select(place.alias("_line"), F.decode(F.col("value").cast("binary"), BYTES).alias("_t"))
+    part = lambda i: F.regexp_extract("_t", r"(?s)\A([0-9]+)\t([0-9]+)\t(.*)\z", i)
+    number = lambda i: F.regexp_extract("_t", r"\A([0-9]+)\t([0-9]+)\t", i).try_cast("bigint")
+    rows = rows.select("_line", number(1).alias("translation_id"), number(2).alias("_a"), part(3).alias("_m"))
     name = F.when(F.lit(False), F.lit(""))
     for k, v in ANALYSES.items():
         name = name.when(F.col("_a") == k, F.lit(v))
-    rows = rows.withColumn("analysis", name).where("analysis is not null").join(digests, "translation_id")
-    return rows.groupBy("md5", "analysis").agg(F.unhex(unescaped(F.min_by("_m", "_line"))).alias("matrix"))
+    rows = rows.withColumn("analysis", name).where("analysis is not null").join(with_size_check(digests), "translation_id")
+    return rows.groupBy("md5", "analysis").agg(unescaped(F.min_by("_m", "_line")).alias("matrix"))
